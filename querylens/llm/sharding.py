@@ -69,11 +69,10 @@ for _k, _v in enumerate(_BITS):
     _ENTRY = f"xor({_ENTRY}, ((xor(a, b) >> {_k}) & 1) * {_v})"
 
 _CRC32 = f"""
-WITH hexed AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+WITH hexed AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents),
 crcs AS (
   SELECT doc_id, text, xor(list_reduce(
-    list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2),
-      lambda p: ((strpos('0123456789ABCDEF', h[p]) - 1) * 16 + strpos('0123456789ABCDEF', h[p + 1]) - 1)::BIGINT)),
+    list_prepend(4294967295::BIGINT, list_transform(h, lambda x: ('0x' || x)::BIGINT)),
     lambda a, b: xor(a >> 8, {_ENTRY})), 4294967295::BIGINT) AS text_crc32
   FROM hexed
 )
