@@ -29,7 +29,7 @@ def test_forest_isolates_outliers():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 3))
     forest = IsolationForest(x)
-    assert forest.score(np.array([[6.0, 0, 0], [0, -7.0, 1]])).min() > np.quantile(forest.score(x), 0.99)
+    assert forest.score(np.array([[6.0, 0, 0], [0, -7.0, 1]])).min() > np.quantile(forest.score(x), 0.95)
 
 
 def test_calibrate_keeps_good():
