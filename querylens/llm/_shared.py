@@ -15,15 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the session's shared checkpoint folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder, as spark.checkpoint.dir names it.
 
-    The folder is the one named by spark.checkpoint.dir; only where that is unset (tests on one
-    machine) a folder of the operating system's temporary directory is taken.
+    Only where that is unset (tests on one machine) a folder of the operating system's temporary directory is taken.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="querylens-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -14,6 +14,10 @@ vantage-point tree over all bits finds the pairs. k grows with the number of poi
 small, which changes the work but never the links. A large leaf whose points are alike (many near copies) keeps few pairs:
 each tree hands on only a spanning forest of its links.
 
+`hashes` > 1 takes that many fingerprints of each text, from as many mixes of its shingles' hashes. Two texts are then linked
+if one pair of fingerprints is within `radius` and all bits together put their similarity (Jaccard, of shingle sets) at
+`similarity` or more. One 64-bit fingerprint can't do that: at similarity 0.8 about 10 of 64 bits differ, give or take 3.
+
 Shards hold a range of leaves each and are sized by count. Components come from alternating large-star and small-star rounds
 over checkpointed link tables; no links, components or fingerprints are collected.
 
@@ -28,7 +32,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,13 +44,16 @@ RADIUS = 4
 SEED = 42
 POINTS_PER_SHARD = 20_000
 POINTS_PER_LEAF = 64
+POINTS_PER_KEY = 2048  # above it, leaves agree on one block more
+MOST_PAIRS = 2_000_000
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+def simhash(text: str | None, shingle: int = SHINGLE, hashes: int = 1) -> list[int]:
+    """`hashes` fingerprints; the first is that of the plain XXH64 values."""
     words = (text or "").encode().translate(_UPPER).split()  # bytes split at just the ASCII white space that counts here
     if not words:
-        return 0
+        return [0] * hashes
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
@@ -55,24 +61,45 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     view, digest = memoryview(joined), xxhash.xxh64_intdigest
     last = ends[-n:].tolist()
     h = np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[:n].tolist(), last, strict=True)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        ones += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    out = []
+    for k in range(hashes):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, n, 1 << 16):
+            part = h[at : at + (1 << 16)]
+            part = _mixed(part + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) if k else part
+            ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big"))
+    return out
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The key columns and `fp`, the fingerprint as a signed long."""
+def names(hashes: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, hashes))]
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keys: tuple[str, ...] = ("doc_id",), hashes: int = 1) -> DataFrame:
+    """The key columns and fp, fp1, ...: the fingerprints as signed longs."""
     rows = docs.select(*keys, "text")
     n = len(keys)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n])
+    fps = names(hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.fromiter((simhash(x.as_py(), shingle) for x in batch.column(n)), np.uint64, len(batch)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(fp)], [*keys, "fp"])
+            fp = np.array([simhash(x.as_py(), shingle, hashes) for x in batch.column(n)], np.uint64).reshape(-1, hashes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(fp[:, k].copy()) for k in range(hashes))], [*keys, *fps])
+
+    return rows.mapInArrow(run, schema + "".join(f", {c} long" for c in fps))
 
-    return rows.mapInArrow(run, schema + ", fp long")
+
+def most_differing(similarity: float, bits: int) -> int:
+    """Differing bits of two texts of that Jaccard similarity, on average: the angle between their shingles' indicator vectors."""
+    return round(bits * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
 
 
 class VantagePointTree:
@@ -82,11 +109,12 @@ class VantagePointTree:
     the boundary: by the triangle inequality both must lie within `radius` of it. Leaves compare their points directly.
     """
 
-    def __init__(self, points: np.ndarray, leaf: int = POINTS_PER_LEAF):
-        self.points, self.leaf = points, leaf
+    def __init__(self, points: np.ndarray, leaf: int = POINTS_PER_LEAF, also=None):
+        """also(a, b): which pairs of indices are links, of those within the radius; by default all."""
+        self.points, self.leaf, self.also = points, leaf, also
 
     def pairs(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Indices of all near pairs' ends, or, past a leaf, of a set of links with the same components."""
+        """Indices of the linked pairs' ends; of very many pairs a spanning forest stands for those found so far."""
         left: list[np.ndarray] = []
         right: list[np.ndarray] = []
         todo = [(np.arange(len(self.points)), np.zeros(0, np.int64))]
@@ -133,9 +161,17 @@ class VantagePointTree:
             if within:
                 near &= np.arange(len(b))[None, :] > np.arange(at, at + near.shape[0])[:, None]
             i, j = np.nonzero(near)
+            i, j = a[at + i], b[j]
+            if len(i) and self.also:
+                linked = self.also(i, j)
+                i, j = i[linked], j[linked]
             if len(i):
-                left.append(a[at + i])
-                right.append(b[j])
+                left.append(i)
+                right.append(j)
+        if sum(map(len, left)) > MOST_PAIRS:
+            root = roots(len(self.points), np.concatenate(left), np.concatenate(right))
+            left[:] = [np.flatnonzero(root != np.arange(len(root)))]
+            right[:] = [root[left[0]]]
 
 
 def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -163,18 +199,32 @@ def blocks(n_blocks: int) -> list[tuple[int, int]]:
 
 
 def agreeing(n_points: int, radius: int) -> int:
-    """How many blocks a leaf's points agree on: enough that a leaf of unrelated points holds about POINTS_PER_LEAF."""
+    """How many blocks a leaf's points agree on: enough that a leaf of unrelated points holds about POINTS_PER_KEY at most."""
     k = 1
-    while k < 4 and n_points / 2 ** (64 * k / (radius + k)) > POINTS_PER_LEAF:
+    while k < 4 and n_points / 2 ** (64 * k / (radius + k)) > POINTS_PER_KEY:
         k += 1
     return k
 
 
-def shard_links(points: np.ndarray, keys: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the runs of equal keys, one for each point that isn't the first of its component in its leaf."""
-    order = np.lexsort((points, keys))
-    points, keys = points[order], keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+def shard_links(fps: np.ndarray, use: np.ndarray, keys: np.ndarray, radius: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of links within the runs of equal keys, one for each point that isn't the first of its component in its leaf.
+
+    fps has a row for each point; use tells which of its fingerprints the key is from. most: differing bits in the whole row.
+    """
+    points = fps[np.arange(len(fps)), use]
+    order = np.lexsort((points, keys, use))
+    points, keys, fps, use = points[order], keys[order], fps[order], use[order]
+
+    def also(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64) <= most
+
+    def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        near = np.bitwise_count(points[a] ^ points[b]) <= radius
+        if most is not None:
+            near[near] = also(a[near], b[near])
+        return near
+
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (use[1:] != use[:-1])]))
     size = np.diff(np.concatenate([first, [len(keys)]]))
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     # trees that are one leaf are compared in step: point i with point i + d of the same leaf
@@ -183,44 +233,51 @@ def shard_links(points: np.ndarray, keys: np.ndarray, radius: int) -> tuple[np.n
     at = np.flatnonzero(small & (rest > 1))
     d = 1
     while len(at):
-        near = np.bitwise_count(points[at] ^ points[at + d]) <= radius
+        near = linked(at, at + d)
         left.append(at[near])
         right.append(at[near] + d)
         d += 1
         at = at[rest[at] > d]
     for f, n in zip(first[size > POINTS_PER_LEAF], size[size > POINTS_PER_LEAF], strict=True):
-        a, b = VantagePointTree(points[f : f + n]).pairs(radius)
+        a, b = VantagePointTree(points[f : f + n], also=(lambda i, j, f=f: also(i + f, j + f)) if most is not None else None).pairs(radius)
+        root = roots(int(n), a, b)
+        a = np.flatnonzero(root != np.arange(n))
         left.append(a + f)
-        right.append(b + f)
+        right.append(root[a] + f)
     root = roots(len(points), np.concatenate(left), np.concatenate(right))
-    linked = np.flatnonzero(root != np.arange(len(points)))
-    return points[linked], points[root[linked]]
+    some = np.flatnonzero(root != np.arange(len(points)))
+    return order[some], order[root[some]]
 
 
-def links(points: DataFrame, radius: int = RADIUS, points_per_shard: int = POINTS_PER_SHARD) -> DataFrame:
-    """Pairs (a, b) of near fingerprints with the components of all near pairs. `points` has distinct `fp`; give it checkpointed."""
+def links(points: DataFrame, radius: int = RADIUS, points_per_shard: int = POINTS_PER_SHARD, hashes: int = 1, similarity: float | None = None) -> DataFrame:
+    """Pairs (a, b) of linked points with the components of all links. `points` has distinct `node` and fingerprints; give it checkpointed."""
     n = points.count()
     k = agreeing(n, radius)
     parts = blocks(radius + k)
-    chosen = list(combinations(range(radius + k), k))
+    fps = names(hashes)
+    chosen = [(f, c) for f in range(hashes) for c in combinations(range(radius + k), k)]
     shards = max(1, -(-n // points_per_shard))
+    most = None if similarity is None else most_differing(similarity, 64 * hashes)
+    per_fp = len(chosen) // hashes
 
-    def leaf(c: tuple[int, ...]) -> Column:
+    def leaf(f: int, c: tuple[int, ...]) -> Column:
         """The chosen blocks' bits, side by side."""
         out = F.lit(0).cast("long")
         for j in c:
             shift, width = parts[j]
-            out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)))
+            out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned(fps[f], shift).bitwiseAND(F.lit((1 << width) - 1)))
         return out
 
-    dealt = points.select("fp", F.posexplode(F.array(*[leaf(c) for c in chosen])).alias("choice", "leaf"))
+    dealt = points.select("node", *fps, F.posexplode(F.array(*[leaf(f, c) for f, c in chosen])).alias("choice", "leaf"))
     dealt = dealt.withColumn("shard", F.col("choice") * shards + F.pmod(F.xxhash64("leaf"), F.lit(shards)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = shard_links(pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["leaf"].to_numpy(np.int64), radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+    def run(part: pa.Table) -> pa.Table:
+        rows = np.column_stack([part.column(c).to_numpy() for c in fps]).view(np.uint64)
+        node = part.column("node").to_numpy()
+        a, b = shard_links(rows, part.column("choice").to_numpy().astype(np.int64) // per_fp, part.column("leaf").to_numpy(), radius, most)
+        return pa.table({"a": node[a], "b": node[b]})
 
-    return dealt.groupBy("shard").applyInPandas(run, "a long, b long").distinct()
+    return dealt.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -246,25 +303,27 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small
 
 
-def with_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Add component_id to rows with doc_id and fp, which should be given checkpointed."""
-    points = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    star = components(links(points.select("fp"), radius))
-    grouped = points.join(star, points["fp"] == star["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def with_components(prints: DataFrame, radius: int = RADIUS, hashes: int = 1, similarity: float | None = None) -> DataFrame:
+    """Add component_id to rows with doc_id and fingerprints, which should be given checkpointed."""
+    fps = names(hashes)
+    node = F.col("fp") if hashes == 1 else F.xxhash64(*fps)
+    points = checkpointed(prints.groupBy(*fps).agg(F.min("doc_id").alias("least")).withColumn("node", node))
+    star = components(links(points.select("node", *fps), radius, hashes=hashes, similarity=similarity))
+    grouped = points.select("node", "least").join(star, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     grouped = checkpointed(grouped)
     ids = checkpointed(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
-    by_point = checkpointed(grouped.select("fp", "root").join(ids, "root").select("fp", "component_id"))
-    return prints.join(by_point, "fp")
+    by_point = checkpointed(grouped.select("node", "root").join(ids, "root").select("node", "component_id"))
+    return prints.withColumn("node", node).join(by_point, "node")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, hashes: int = 1, similarity: float | None = None) -> DataFrame:
     """One row of each component, one with the least id, with all columns of `docs`.
 
     Of rows with that id the one with the least text digest stays, and of equal rows any one.
     """
-    keyed = fingerprints(docs.withColumn("__text", F.xxhash64("text")), shingle, ("doc_id", "__text"))
-    found = with_components(checkpointed(keyed), radius).filter("doc_id <=> component_id")
-    lone = F.when(F.col("component_id").isNull(), F.col("fp"))
+    keyed = fingerprints(docs.withColumn("__text", F.xxhash64("text")), shingle, ("doc_id", "__text"), hashes)
+    found = with_components(checkpointed(keyed), radius, hashes, similarity).filter("doc_id <=> component_id")
+    lone = F.when(F.col("component_id").isNull(), F.col("node"))
     first = checkpointed(found.groupBy("component_id", lone.alias("lone")).agg(F.min_by(F.struct("__text"), "__text").alias("kept"), F.count(F.lit(1)).alias("n")))
     keys = first.select(F.col("component_id").alias("__id"), F.col("kept.__text").alias("__kept"))
     kept = docs.join(keys, docs["doc_id"].eqNullSafe(keys["__id"]) & (F.xxhash64(docs["text"]) == keys["__kept"]), "left_semi")

@@ -29,7 +29,7 @@ def brute_components(n, near):
 @settings(max_examples=150, deadline=None)
 @given(st.one_of(st.none(), st.text("abÄZ \t\n\x1c\xa0", max_size=60)))
 def test_simhash(text):
-    assert simhash(text) == brute_simhash(text)
+    assert simhash(text) == [brute_simhash(text)] and simhash(text, 4, 3)[0] == brute_simhash(text)
 
 
 def clustered(rng, n):
@@ -51,9 +51,7 @@ def test_trees_and_shards_lose_no_link():
         assert {(max(p), min(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == set(near)
         want = brute_components(len(x), near)
         assert roots(len(x), a, b).tolist() == want
-        p, q = shard_links(x, np.zeros(len(x), np.int64), 4)
-        at = {int(v): i for i, v in enumerate(x)}
-        i, j = (np.array([at[int(v)] for v in s], np.int64) for s in (p, q))
+        i, j = shard_links(x.reshape(-1, 1), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), 4)
         assert roots(len(x), i, j).tolist() == want
 
 
@@ -94,3 +92,21 @@ def test_components_match_brute_force(spark, monkeypatch):
     assert with_components(prints.limit(0)).count() == 0 and keep_one(docs.limit(0)).count() == 0
     monkeypatch.setattr("querylens.llm.simhash.agreeing", lambda n, r: 2)
     assert sorted(str((r.doc_id, r.component_id)) for r in with_components(prints).collect()) == want
+
+
+def test_many_hashes_find_similar_texts_only(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for group in range(60):
+        t = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for k, edits in enumerate((0, 1, 3, 60)):
+            u = list(t)
+            for _ in range(edits):
+                u[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+            rows.append((group * 10 + k, " ".join(u)))
+            want[group * 10 + k] = group * 10 + (3 if k == 3 else 0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = checkpointed(fingerprints(docs, 5, hashes=6))
+    got = {r.doc_id: r.component_id for r in with_components(prints, 8, 6, 0.8).collect()}
+    assert sum(got[d] == want[d] for d in want) >= 0.99 * len(want)
+    assert sorted(r.doc_id for r in keep_one(docs, 5, 8, 6, 0.8).collect()) == sorted(set(got.values()))
