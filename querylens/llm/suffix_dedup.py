@@ -12,8 +12,9 @@ strings repeat is decided by suffix arrays; a lossless filter in front keeps tex
    very many documents have is dealt out by window instead, so no passage or its borders overload a bucket.
 3. Suffix arrays. A bucket's runs are cut into parts of at most 2 ** 20 bytes. Each part gets a suffix array by
    Larsson-Sadakane refinement: ranks by the first 5 bytes, then by 10, 20, 40 and `length`, sorting only what isn't single
-   yet. Common prefixes of neighbours, with Kasai's bound from the position before, tell where equal strings end. The parts'
-   sorted lists of different strings are merged by binary search, eight bytes at a time, which gives each string its least id.
+   yet. Common prefixes of neighbours, with Kasai's bound from the position before, tell where equal strings end. Runs of an
+   anchor stay in one part if they fit; else the parts' sorted lists of different strings are merged by binary search, eight
+   bytes at a time. That gives each string its least id.
 4. Spans go back to the documents' shards and are applied to the texts.
 
 Shards and buckets are sized by bytes, so their number grows with the corpus and their size doesn't.
@@ -42,6 +43,7 @@ GRAM = 24
 BYTES_PER_SHARD = 8 << 20
 HOT_DOCUMENTS = 2000
 PART_BYTES = 1 << 20
+MOST_WINDOWS = 4096  # in a run
 NULL_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BITS = 20
@@ -89,7 +91,12 @@ def runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray
         wide *= 2
     if wide < want:
         least = np.minimum(least[: wide - want], least[want - wide :])
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    new = np.concatenate([[True], least[1:] != least[:-1]])
+    first = np.flatnonzero(new)
+    gaps = np.diff(np.append(first, windows))
+    if gaps.max() > MOST_WINDOWS:  # a text that repeats itself byte by byte
+        new[np.concatenate([np.arange(f, f + g, MOST_WINDOWS) for f, g in zip(first[gaps > MOST_WINDOWS], gaps[gaps > MOST_WINDOWS], strict=True)])] = True
+        first = np.flatnonzero(new)
     return first, np.append(first[1:], windows), least[first]
 
 
@@ -110,7 +117,8 @@ class _Shard:
         self.owner = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
         self.first = np.concatenate([np.zeros(0, np.int64), *[f[0] for f in found]])
         self.last = np.concatenate([np.zeros(0, np.int64), *[f[1] for f in found]])
-        self.anchor = np.concatenate([np.zeros(0, np.uint64), *[f[2] for f in found]])
+        self.anchor = np.concatenate([np.zeros(0, np.uint64), *[f[2] for f in found]]) >> np.uint64(4)
+        self.of_docs = [f[2] for f in found]
 
     def order_of_runs(self) -> np.ndarray:
         return np.array(list(self.order.values()), np.int64)[self.owner]
@@ -136,8 +144,9 @@ def _anchor_sender(buckets: int, length: int):
     def send(docs: pa.Table) -> pa.Table:
         """Anchor hashes by bucket; the low four bits hold how many of the shard's documents have it, as a power of two."""
         s = _Shard(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), length)
-        by_doc = np.unique(np.rec.fromarrays([s.anchor >> np.uint64(4), s.order_of_runs()])) if len(s.anchor) else np.zeros(0, [("f0", "u8"), ("f1", "i8")])
-        anchor, n = np.unique(by_doc["f0"], return_counts=True)
+        each = np.sort(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, s.of_docs)])) >> np.uint64(4)
+        first = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]])) if len(each) else np.zeros(0, np.int64)
+        anchor, n = each[first], np.diff(np.append(first, len(each)))
         value = anchor << np.uint64(4) | np.minimum(15, np.ceil(np.log2(n))).astype(np.uint64)
         bucket = (anchor % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -176,8 +185,8 @@ def _run_sender(buckets: int, length: int):
         if docs.num_rows and shared.num_rows:
             s = _Shard(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), length)
             known = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in shared.column("shared").to_pylist()]))
-            at = np.minimum(np.searchsorted(known, (s.anchor >> np.uint64(4)) << np.uint64(1)), len(known) - 1)
-            kept = np.flatnonzero(known[at] >> np.uint64(1) == s.anchor >> np.uint64(4))
+            at = np.minimum(np.searchsorted(known, s.anchor << np.uint64(1)), len(known) - 1)
+            kept = np.flatnonzero(known[at] >> np.uint64(1) == s.anchor)
             hot = known[at[kept]] & np.uint64(1) == 1
             text, order = s.data.tobytes(), s.order_of_runs()
             first, last = s.first[kept], s.last[kept]
@@ -199,9 +208,10 @@ def _run_sender(buckets: int, length: int):
             out["begin"] += first[beaten].tolist()
             out["stop"] += (last[beaten] + length - 1).tolist()
             sent = np.flatnonzero(~beaten)
-            bucket = ((s.anchor[kept][run[sent]] >> np.uint64(4)) % np.uint64(buckets)).astype(np.int64)
-            lone = np.flatnonzero(single[sent])
-            bucket[lone] = [xxhash.xxh64_intdigest(content[k]) % buckets for k in sent[lone].tolist()]
+            meet = s.anchor[kept][run]
+            lone = np.flatnonzero(single)
+            meet[lone] = [xxhash.xxh64_intdigest(content[k]) >> 4 for k in lone.tolist()]
+            bucket = (meet[sent] % np.uint64(buckets)).astype(np.int64)
             by_bucket = np.argsort(bucket, kind="stable")
             sent, bucket = sent[by_bucket], bucket[by_bucket]
             me, squeeze = docs.column("shard")[0].as_py(), zstandard.ZstdCompressor(1).compress
@@ -211,7 +221,7 @@ def _run_sender(buckets: int, length: int):
             out["shard"] += [me] * n_spans
             for b, i, j in _groups(bucket):
                 k = sent[i:j]
-                head = np.column_stack([order[k], s.keys[owner[k]], first[k], last[k] - first[k]]).astype(np.int64)
+                head = np.column_stack([order[k], s.keys[owner[k]], first[k], last[k] - first[k], meet[k].astype(np.int64)]).astype(np.int64)
                 out["bucket"].append(b)
                 out["runs"].append(squeeze(np.int64(len(k)).tobytes() + head.tobytes() + b"".join(content[x] for x in k.tolist())))
                 out["shard"].append(me)
@@ -353,32 +363,44 @@ class SuffixPart:
         return np.where(low < high, low, -1)
 
 
-def covered(order: np.ndarray, first: np.ndarray, windows: np.ndarray, text: np.ndarray, length: int, part_bytes: int = PART_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bucket's runs, given by their document's order, first window, number of windows and bytes: spans (run, begin, stop)."""
+def covered(order: np.ndarray, first: np.ndarray, windows: np.ndarray, text: np.ndarray, length: int, part_bytes: int = PART_BYTES, meet: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket's runs, given by their document's order, first window, number of windows and bytes: spans (run, begin, stop).
+
+    Equal windows have equal `meet` (all, by default). Runs are sorted by it and cut into parts where it changes, as far as
+    part_bytes allows; parts that share a value are merged.
+    """
     size = windows + length - 1
-    begin = np.cumsum(size) - size
+    at = np.cumsum(size) - size
+    meet = np.zeros(len(size), np.int64) if meet is None else meet
+    sort = np.argsort(meet, kind="stable")
+    whole = np.append(np.flatnonzero(np.concatenate([[True], meet[sort][1:] != meet[sort][:-1]])), len(sort)) if len(sort) else np.zeros(1, np.int64)
+    total = np.concatenate([[0], np.cumsum(size[sort])])
     cuts = [0]
-    while cuts[-1] < len(size):
-        limit = begin[cuts[-1]] + part_bytes - 1
-        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(begin + size, limit, "right"))))
-    parts, owners, places = [], [], []
+    while cuts[-1] < len(sort):
+        most = int(np.searchsorted(total, total[cuts[-1]] + part_bytes, "right")) - 1
+        even = int(whole[np.searchsorted(whole, most, "right") - 1])
+        cuts.append(even if even > cuts[-1] else max(most, cuts[-1] + 1))
+    parts, owners, places, best = [], [], [], []
     for a, b in zip(cuts, cuts[1:], strict=False):
-        run = np.repeat(np.arange(a, b), windows[a:b])
-        step = np.arange(len(run)) - np.repeat(np.cumsum(windows[a:b]) - windows[a:b], windows[a:b])
-        piece = text[begin[a] : begin[b - 1] + size[b - 1]]
-        parts.append(SuffixPart(piece, begin[run] - begin[a] + step, order[run], length))
+        runs_, n = sort[a:b], windows[sort[a:b]]
+        run = np.repeat(runs_, n)
+        step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        begin = np.cumsum(size[runs_]) - size[runs_]
+        byte = np.repeat(at[runs_] - begin, size[runs_]) + np.arange(int(size[runs_].sum()))
+        parts.append(SuffixPart(text[byte], np.repeat(begin, n) + step, order[run], length))
         owners.append(run)
         places.append(first[run] + step)
-    best = [p.least.copy() for p in parts]
-    for i, p in enumerate(parts):
-        for j in range(i):
-            at = parts[j].find(p)
-            hit = at >= 0
-            best[i][hit] = np.minimum(best[i][hit], parts[j].least[at[hit]])
-            np.minimum.at(best[j], at[hit], p.least[hit])
+        best.append(parts[-1].least.copy())
+        k = len(parts) - 2
+        while k >= 0 and meet[sort[cuts[k + 1] - 1]] == meet[sort[a]]:
+            found = parts[k].find(parts[-1])
+            hit = found >= 0
+            best[-1][hit] = np.minimum(best[-1][hit], parts[k].least[found[hit]])
+            np.minimum.at(best[k], found[hit], parts[-1].least[hit])
+            k -= 1
     spans = [[np.zeros(0, np.int64)] * 3]
-    for p, run, place, b in zip(parts, owners, places, best, strict=True):
-        lost = np.flatnonzero(b[p.string] < order[run])
+    for p, run, place, least in zip(parts, owners, places, best, strict=True):
+        lost = np.flatnonzero(least[p.string] < order[run])
         if len(lost):
             r, w = run[lost], place[lost]
             new = np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1] + 1)])
@@ -393,11 +415,11 @@ def _judge(length: int):
         for s, blob in zip(blobs.column("shard").to_pylist(), blobs.column("runs").to_pylist(), strict=True):
             raw = zstandard.decompress(blob)
             n = int(np.frombuffer(raw, np.int64, 1)[0])
-            heads.append(np.frombuffer(raw, np.int64, 4 * n, 8).reshape(n, 4))
-            texts.append(np.frombuffer(raw, np.uint8, -1, 8 + 32 * n))
+            heads.append(np.frombuffer(raw, np.int64, 5 * n, 8).reshape(n, 5))
+            texts.append(np.frombuffer(raw, np.uint8, -1, 8 + 40 * n))
             shards.append(np.full(n, s))
         head = np.concatenate(heads)
-        run, begin, stop = covered(head[:, 0], head[:, 2], head[:, 3], np.concatenate(texts), length)
+        run, begin, stop = covered(head[:, 0], head[:, 2], head[:, 3], np.concatenate(texts), length, meet=head[:, 4])
         return pa.table({"shard": pa.array(np.concatenate(shards)[run].astype(np.int32)), "row": pa.array(head[run, 1]), "begin": pa.array(begin), "stop": pa.array(stop)})
 
     return judge

@@ -35,7 +35,7 @@ def corpus(rng, n):
             p = rng.choice(passages)
             parts.insert(rng.randrange(len(parts) + 1), p[rng.randint(0, 20) : rng.randint(60, len(p) + 60)])
         texts.append("".join(parts))
-    return texts + ["a" * 300, "a" * 120, "a" * 49, "a" * 50, texts[0], texts[0]]
+    return texts + ["a" * 9000, "a" * 300, "a" * 120, "a" * 49, "a" * 50, texts[0], texts[0]]
 
 
 def test_parts_and_merging_match_brute_force():
