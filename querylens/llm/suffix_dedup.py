@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -444,9 +445,14 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, bytes_per_shard: int = B
 
 
 def release(df: DataFrame) -> None:
-    """Have the driver forget what is no longer used, so that executors can delete its shuffle files."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Have the driver forget what is no longer used, so that executors can delete its shuffle files.
+
+    Python's references go first and the JVM hears of it a moment later, hence the rounds.
+    """
+    for _ in range(3):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def merge_spans(begin: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
