@@ -133,39 +133,33 @@ class SuffixTree:
         root = np.full(width, 1.0)
         root[:-1] += n0
         root /= n0.sum() + 256
-        # distributions of retained contexts, by level; a context's suffix is its key without the top byte
-        kept = [np.zeros(1, np.int64)]
-        chance = [root.reshape(1, -1)]
-        tests = []
-        for d in range(1, self.depth + 1):
-            key, n = levels[d]
-            context, first = np.unique(key >> 8, return_index=True)
-            counted = np.zeros((len(context), width))
-            counted[np.repeat(np.arange(len(context)), np.diff([*first, len(key)])), self.codes[key & 255]] = n
-            suffix = context & ((1 << 8 * (d - 1)) - 1)
-            tests.append((context, counted, suffix))
-        # divergence from the suffix's counts, longest first, so that suffixes of retained contexts are retained
+        # divergence from the suffix's distribution, row by row; longest first, so that suffixes of retained contexts are retained
+        firsts, totals = [], []
+        for key, n in levels:
+            first = np.flatnonzero(np.concatenate([[True], key[1:] >> 8 != key[:-1] >> 8])) if len(key) else np.zeros(0, np.int64)
+            sums = np.add.reduceat(n, first) if len(key) else n
+            firsts.append(first)
+            totals.append(np.repeat(sums, np.diff(np.append(first, len(key)))))
         wanted: list[np.ndarray] = [np.zeros(0, np.int64)] * (self.depth + 1)
         for d in range(self.depth, 0, -1):
-            context, counted, suffix = tests[d - 1]
-            total = counted.sum(1, keepdims=True)
+            (key, n), (above, above_n) = levels[d], levels[d - 1]
+            if len(key):
+                at = np.searchsorted(above, key & ((1 << 8 * d) - 1))
+                part = n * (np.log(n / totals[d]) - np.log(above_n[at] / totals[d - 1][at]))
+                gain = np.add.reduceat(part, firsts[d])
+                wanted[d] = np.union1d(wanted[d], (key[firsts[d]] >> 8)[gain >= divergence])
             if d > 1:
-                above, above_counts, _ = tests[d - 2]
-                at = np.minimum(np.searchsorted(above, suffix), max(0, len(above) - 1))
-                base = above_counts[at] if len(above) else np.zeros_like(counted)
-            else:
-                base = np.broadcast_to(np.append(n0, 0.0), counted.shape)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = np.where(counted > 0, counted * np.log((counted / total) / (base / base.sum(1, keepdims=True))), 0).sum(1)
-            wanted[d] = np.union1d(wanted[d], context[gain >= divergence]) if len(context) else wanted[d]
-            if d > 1:
-                wanted[d - 1] = wanted[d] & ((1 << 8 * (d - 1)) - 1)
+                wanted[d - 1] = np.unique(wanted[d] & ((1 << 8 * (d - 1)) - 1))
+        # distributions of retained contexts, by level; a context's suffix is its key without the top byte
+        kept, chance = [np.zeros(1, np.int64)], [root.reshape(1, -1)]
         for d in range(1, self.depth + 1):
-            context, counted, suffix = tests[d - 1]
-            own = np.isin(context, wanted[d])
-            context, counted, suffix = context[own], counted[own], suffix[own]
+            context = wanted[d]
+            rows = np.isin(levels[d][0] >> 8, context)
+            key, n = levels[d][0][rows], levels[d][1][rows]
+            counted = np.zeros((len(context), width))
+            counted[np.searchsorted(context, key >> 8), self.codes[key & 255]] = n
             kinds = (counted > 0).sum(1, keepdims=True)
-            parent = chance[d - 1][np.searchsorted(kept[d - 1], suffix)] if len(context) else np.zeros((0, width))
+            parent = chance[d - 1][np.searchsorted(kept[d - 1], context & ((1 << 8 * (d - 1)) - 1))]
             kept.append(context)
             chance.append((counted + kinds * parent) / (counted.sum(1, keepdims=True) + kinds))
         self.n_contexts = sum(map(len, kept))
