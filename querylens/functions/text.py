@@ -57,25 +57,32 @@ def bleu4(gold: Column, pred: Column) -> Column:
 
     0 without words in `pred` or without a common word.
     """
-    ref, hyp = words(gold), words(pred)
-    n_ref, n_hyp = F.size(ref), F.size(hyp)
+    return let(F.struct(words(gold).alias("ref"), words(pred).alias("hyp")), _bleu4_of_words)
 
-    def grams(w: Column, n: int) -> Column:
-        some = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.slice(w, i, n))
-        return F.when(F.size(w) >= n, some).otherwise(F.array().cast("array<array<string>>"))
 
-    def matches(n: int) -> Column:
-        own, other = grams(hyp, n), grams(ref, n)
-        count = lambda side, g: F.size(F.filter(side, lambda x: x == g))
-        return F.aggregate(F.array_distinct(own), F.lit(0), lambda acc, g: acc + F.least(count(own, g), count(other, g)))
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def log_precision(n: int) -> Column:
-        m = matches(n)
-        return F.ln(F.when(m == 0, F.lit(NO_MATCH_COUNT)).otherwise(m.cast("double")) / F.greatest(F.lit(1), n_hyp - n + 1))
 
-    penalty = F.when(n_hyp > n_ref, 1.0).otherwise(F.exp(1 - n_ref / n_hyp))
-    score = penalty * F.exp(sum((log_precision(n) for n in range(1, 5)), F.lit(0.0)) / 4)
-    return F.when((n_hyp == 0) | (matches(1) == 0), 0.0).otherwise(score)
+def _numbered_grams(w: Column, n: int) -> Column:
+    """The n-grams of an array of words, each with the number of equal ones before it, so that they form a set."""
+    some = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), "\x01"))
+    grams = F.when(F.size(w) >= n, F.array_sort(some)).otherwise(F.array().cast("array<string>"))
+    return let(grams, lambda a: F.transform(a, lambda g, i: F.concat(g, F.lit("\x02"), (i - F.array_position(a, g)).cast("string"))))
+
+
+def _bleu4_of_words(s: Column) -> Column:
+    n_ref, n_hyp = F.size(s["ref"]), F.size(s["hyp"])
+    # equal grams meet in pairs, so the common set has the clipped number of matches
+    hits = F.struct(*[F.size(F.array_intersect(_numbered_grams(s["hyp"], n), _numbered_grams(s["ref"], n))).cast("double").alias(f"m{n}") for n in range(1, 5)])
+
+    def score(m: Column) -> Column:
+        logs = [F.ln(F.when(m[f"m{n}"] == 0, F.lit(NO_MATCH_COUNT)).otherwise(m[f"m{n}"]) / F.greatest(F.lit(1), n_hyp - n + 1)) for n in range(1, 5)]
+        penalty = F.when(n_hyp > n_ref, 1.0).otherwise(F.exp(1 - n_ref / n_hyp))
+        return F.when((n_hyp == 0) | (m["m1"] == 0), 0.0).otherwise(penalty * F.exp(sum(logs[1:], logs[0]) / 4))
+
+    return let(hits, score)
 
 
 def length_penalty(n_tokens: Column, target: int = 256) -> Column:

@@ -95,7 +95,7 @@ def _from_json(text: str) -> Iterator[tuple]:
 def _from_markdown(text: str) -> Iterator[tuple]:
     marks = list(re.finditer(BOLD_LABEL, text))
     ends = [m.start() for m in marks[1:]] + [len(text)]
-    for mark, end in zip(marks, ends, strict=True):
+    for mark, end in zip(marks, ends, strict=False):
         body = re.split(RELATIONSHIP_HEADER, text[mark.end() : end], maxsplit=1)[0]
         yield "node", mark[1], dict(re.findall(TICKED_PROPERTY, body))
     for start, kind, end in re.findall(ARROW, text):
