@@ -176,13 +176,23 @@ def _share(blobs: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array(shard, pa.int32()), "shared": pa.array(back, pa.binary())})
 
 
-_SENT = "bucket long, shard int, runs binary, row long, begin long, stop long"
+_SENT = "bucket long, shard int, runs binary, spans binary"
+
+
+def pack_spans(row: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> bytes:
+    """Spans as bytes; overlapping and touching ones of a row become one."""
+    order = np.lexsort((begin, row))
+    row, begin, stop = row[order], begin[order], stop[order]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (begin[1:] > stop[:-1])]) if len(row) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    stop = np.maximum.reduceat(stop, first) if len(first) else stop
+    return np.column_stack([row[first], begin[first], stop]).astype(np.int64).tobytes()
 
 
 def _run_sender(buckets: int, length: int):
     def send(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        """Runs by bucket (row null), and spans that equal runs in this shard already settle (bucket null)."""
-        out: dict[str, list] = {k: [] for k in ("bucket", "shard", "runs", "row", "begin", "stop")}
+        """Runs by bucket, and in one more row (bucket null) the spans that equal runs in this shard already settle."""
+        out: dict[str, list] = {k: [] for k in ("bucket", "shard", "runs", "spans")}
         if docs.num_rows and shared.num_rows:
             s = _Shard(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), length)
             known = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in shared.column("shared").to_pylist()]))
@@ -205,9 +215,6 @@ def _run_sender(buckets: int, length: int):
                 least.setdefault(content[k], k)
             chief = np.fromiter((least[c] for c in content), np.int64, len(content))
             beaten = order[chief] < order
-            out["row"] += s.keys[owner[beaten]].tolist()
-            out["begin"] += first[beaten].tolist()
-            out["stop"] += (last[beaten] + length - 1).tolist()
             sent = np.flatnonzero(~beaten)
             meet = s.anchor[kept][run]
             lone = np.flatnonzero(single)
@@ -216,19 +223,18 @@ def _run_sender(buckets: int, length: int):
             by_bucket = np.argsort(bucket, kind="stable")
             sent, bucket = sent[by_bucket], bucket[by_bucket]
             me, squeeze = docs.column("shard")[0].as_py(), zstandard.ZstdCompressor(1).compress
-            n_spans = len(out["row"])
-            for name in ("bucket", "runs"):
-                out[name] += [None] * n_spans
-            out["shard"] += [me] * n_spans
+            out["bucket"].append(None)
+            out["shard"].append(me)
+            out["runs"].append(None)
+            out["spans"].append(pack_spans(s.keys[owner[beaten]], first[beaten], last[beaten] + length - 1))
             for b, i, j in _groups(bucket):
                 k = sent[i:j]
                 head = np.column_stack([order[k], s.keys[owner[k]], first[k], last[k] - first[k], meet[k].astype(np.int64)]).astype(np.int64)
                 out["bucket"].append(b)
                 out["runs"].append(squeeze(np.int64(len(k)).tobytes() + head.tobytes() + b"".join(content[x] for x in k.tolist())))
                 out["shard"].append(me)
-                for name in ("row", "begin", "stop"):
-                    out[name].append(None)
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+                out["spans"].append(None)
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
 
     return send
@@ -421,13 +427,16 @@ def _judge(length: int):
             shards.append(np.full(n, s))
         head = np.concatenate(heads)
         run, begin, stop = covered(head[:, 0], head[:, 2], head[:, 3], np.concatenate(texts), length, meet=head[:, 4])
-        return pa.table({"shard": pa.array(np.concatenate(shards)[run].astype(np.int32)), "row": pa.array(head[run, 1]), "begin": pa.array(begin), "stop": pa.array(stop)})
+        home = np.concatenate(shards)[run]
+        order = np.argsort(home, kind="stable")
+        run, begin, stop, found = run[order], begin[order], stop[order], _groups(home[order])
+        return pa.table({"shard": pa.array([x for x, _, _ in found], pa.int32()), "spans": pa.array([pack_spans(head[run[i:j], 1], begin[i:j], stop[i:j]) for _, i, j in found], pa.binary())})
 
     return judge
 
 
 def repeat_spans(docs: DataFrame, length: int = LENGTH, bytes_per_shard: int = BYTES_PER_SHARD) -> tuple[DataFrame, int]:
-    """(shard, row, begin, stop): overlapping spans to remove, by the shard and key of the row; and the number of shards."""
+    """(shard, spans): spans to remove, as pack_spans has them, by the shard of their rows; and the number of shards."""
     shards = shards_for(text_bytes(docs), bytes_per_shard)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _shard_column(shards).alias("shard"))
     anchors = dealt.groupBy("shard").applyInArrow(_anchor_sender(shards, length), "bucket long, shard int, anchors binary")
@@ -436,8 +445,8 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, bytes_per_shard: int = B
     sent = dealt.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_run_sender(shards, length), _SENT)
     sent = checkpointed(sent)
     release(docs)
-    judged = sent.filter("bucket IS NOT NULL").select("bucket", "shard", "runs").groupBy("bucket").applyInArrow(_judge(length), "shard int, row long, begin long, stop long")
-    settled = sent.filter("bucket IS NULL").select("shard", "row", "begin", "stop")
+    judged = sent.filter("bucket IS NOT NULL").select("bucket", "shard", "runs").groupBy("bucket").applyInArrow(_judge(length), "shard int, spans binary")
+    settled = sent.filter("bucket IS NULL").select("shard", "spans")
     spans = checkpointed(judged.union(settled))
     del sent, shared, judged, settled
     release(docs)
@@ -477,7 +486,7 @@ def cut_out(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def _with_spans(docs: pa.Table, spans: pa.Table):
     """(raw text, maximal spans) of each row."""
-    row, begin, stop = (spans.column(c).to_numpy() for c in ("row", "begin", "stop"))
+    row, begin, stop = np.frombuffer(b"".join(spans.column("spans").to_pylist()), np.int64).reshape(-1, 3).T
     order = np.argsort(row, kind="stable")
     row, begin, stop = row[order], begin[order], stop[order]
     for doc_id, text in zip(docs.column("doc_id"), docs.column("text"), strict=True):
