@@ -191,7 +191,7 @@ def pack_spans(row: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> bytes:
 
 def _run_sender(buckets: int, length: int):
     def send(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        """Runs by bucket, and in one more row (bucket null) the spans that equal runs in this shard already settle."""
+        """Runs by bucket, and in one more row the spans that equal runs in this shard already settle."""
         out: dict[str, list] = {k: [] for k in ("bucket", "shard", "runs", "spans")}
         if docs.num_rows and shared.num_rows:
             s = _Shard(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), length)
@@ -223,7 +223,7 @@ def _run_sender(buckets: int, length: int):
             by_bucket = np.argsort(bucket, kind="stable")
             sent, bucket = sent[by_bucket], bucket[by_bucket]
             me, squeeze = docs.column("shard")[0].as_py(), zstandard.ZstdCompressor(1).compress
-            out["bucket"].append(None)
+            out["bucket"].append(me % buckets)
             out["shard"].append(me)
             out["runs"].append(None)
             out["spans"].append(pack_spans(s.keys[owner[beaten]], first[beaten], last[beaten] + length - 1))
@@ -244,7 +244,7 @@ class SuffixPart:
     """Suffix array of the windows of some runs: text, the windows' starts in it, and each window's document order."""
 
     def __init__(self, text: np.ndarray, starts: np.ndarray, order: np.ndarray, length: int):
-        self.text, self.length = np.concatenate([text, np.zeros(16, np.uint8)]), length
+        self.text, self.length, self._words = np.concatenate([text, np.zeros(16, np.uint8)]), length, None
         rank = self._refine(len(text), starts, length)
         by_rank = np.argsort(rank, kind="stable")
         self.array = starts[by_rank]
@@ -254,6 +254,7 @@ class SuffixPart:
         self.string[by_rank] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(starts))))
         self.least = np.minimum.reduceat(order[by_rank], first) if len(first) else np.zeros(0, np.int64)
         self.at = self.array[first]
+        self._words = None  # no longer needed
 
     def word(self, at: np.ndarray, k: int) -> np.ndarray:
         """Bytes k to k + 7 after each position, as a number in the order of the bytes; bytes past `length` are zero."""
@@ -344,7 +345,7 @@ class SuffixPart:
         return out
 
     def _raw_word(self, at: np.ndarray) -> np.ndarray:
-        if not hasattr(self, "_words"):
+        if self._words is None:
             t = self.text.astype(np.uint64)
             w = np.zeros(len(t) - 8, np.uint64)
             for j in range(8):
@@ -387,50 +388,77 @@ def covered(order: np.ndarray, first: np.ndarray, windows: np.ndarray, text: np.
         most = int(np.searchsorted(total, total[cuts[-1]] + part_bytes, "right")) - 1
         even = int(whole[np.searchsorted(whole, most, "right") - 1])
         cuts.append(even if even > cuts[-1] else max(most, cuts[-1] + 1))
-    parts, owners, places, best = [], [], [], []
+    spans = [[np.zeros(0, np.int64)] * 3]
+    held: list[tuple] = []  # parts that later ones may share a value with
+
+    def finish() -> None:
+        for p, run, place, least in held:
+            lost = np.flatnonzero(least[p.string] < order[run])
+            if len(lost):
+                r, w = run[lost], place[lost]
+                new = np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1] + 1)])
+                end = np.append(np.flatnonzero(new)[1:] - 1, len(r) - 1)
+                spans.append([r[new], w[new], w[end] + length])
+        held.clear()
+
     for a, b in zip(cuts, cuts[1:], strict=False):
         runs_, n = sort[a:b], windows[sort[a:b]]
+        if held and meet[sort[a - 1]] != meet[runs_[0]]:
+            finish()
         run = np.repeat(runs_, n)
         step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
         begin = np.cumsum(size[runs_]) - size[runs_]
         byte = np.repeat(at[runs_] - begin, size[runs_]) + np.arange(int(size[runs_].sum()))
-        parts.append(SuffixPart(text[byte], np.repeat(begin, n) + step, order[run], length))
-        owners.append(run)
-        places.append(first[run] + step)
-        best.append(parts[-1].least.copy())
-        k = len(parts) - 2
-        while k >= 0 and meet[sort[cuts[k + 1] - 1]] == meet[sort[a]]:
-            found = parts[k].find(parts[-1])
+        part = SuffixPart(text[byte], np.repeat(begin, n) + step, order[run], length)
+        best = part.least.copy()
+        for other, _, _, theirs in held:
+            found = other.find(part)
             hit = found >= 0
-            best[-1][hit] = np.minimum(best[-1][hit], parts[k].least[found[hit]])
-            np.minimum.at(best[k], found[hit], parts[-1].least[hit])
-            k -= 1
-    spans = [[np.zeros(0, np.int64)] * 3]
-    for p, run, place, least in zip(parts, owners, places, best, strict=True):
-        lost = np.flatnonzero(least[p.string] < order[run])
-        if len(lost):
-            r, w = run[lost], place[lost]
-            new = np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1] + 1)])
-            end = np.append(np.flatnonzero(new)[1:] - 1, len(r) - 1)
-            spans.append([r[new], w[new], w[end] + length])
+            best[hit] = np.minimum(best[hit], other.least[found[hit]])
+            np.minimum.at(theirs, found[hit], part.least[hit])
+        held.append((part, run, first[run] + step, best))
+    finish()
     return tuple(np.concatenate(x) for x in zip(*spans, strict=True))
 
 
 def _judge(length: int):
     def judge(blobs: pa.Table) -> pa.Table:
-        heads, texts, shards = [], [], []
-        for s, blob in zip(blobs.column("shard").to_pylist(), blobs.column("runs").to_pylist(), strict=True):
+        """Spans by shard, from a bucket's runs; those that were settled before are handed on."""
+        shard, spans, heads, shards, content = [], [], [], [], []
+        for s, blob, settled in zip(blobs.column("shard").to_pylist(), blobs.column("runs").to_pylist(), blobs.column("spans").to_pylist(), strict=True):
+            if settled is not None:
+                shard.append(s)
+                spans.append(settled)
+                continue
             raw = zstandard.decompress(blob)
             n = int(np.frombuffer(raw, np.int64, 1)[0])
-            heads.append(np.frombuffer(raw, np.int64, 5 * n, 8).reshape(n, 5))
-            texts.append(np.frombuffer(raw, np.uint8, -1, 8 + 40 * n))
+            head = np.frombuffer(raw, np.int64, 5 * n, 8).reshape(n, 5)
+            ends = (8 + 40 * n + np.cumsum(head[:, 3] + length - 1)).tolist()
+            content += [raw[a:b] for a, b in zip([8 + 40 * n, *ends], ends, strict=False)]
+            heads.append(head)
             shards.append(np.full(n, s))
-        head = np.concatenate(heads)
-        run, begin, stop = covered(head[:, 0], head[:, 2], head[:, 3], np.concatenate(texts), length, meet=head[:, 4])
-        home = np.concatenate(shards)[run]
-        order = np.argsort(home, kind="stable")
-        run, begin, stop, found = run[order], begin[order], stop[order], _groups(home[order])
-        return pa.table({"shard": pa.array([x for x, _, _ in found], pa.int32()), "spans": pa.array([pack_spans(head[run[i:j], 1], begin[i:j], stop[i:j]) for _, i, j in found], pa.binary())})
+        if heads:
+            head, home = np.concatenate(heads), np.concatenate(shards)
+            order = head[:, 0]
+            least: dict[bytes, int] = {}
+            for k in np.argsort(order, kind="stable").tolist():
+                least.setdefault(content[k], k)
+            chief = np.fromiter((least[c] for c in content), np.int64, len(content))
+            beaten = order[chief] < order  # equal to a run of a smaller id as a whole
+            kept = np.flatnonzero(~beaten)
+            text = np.frombuffer(b"".join(content[k] for k in kept.tolist()), np.uint8)
+            del content, least
+            run, begin, stop = covered(order[kept], head[kept, 2], head[kept, 3], text, length, meet=head[kept, 4])
+            lost = np.flatnonzero(beaten)
+            run = np.concatenate([kept[run], lost])
+            begin = np.concatenate([begin, head[lost, 2]])
+            stop = np.concatenate([stop, head[lost, 2] + head[lost, 3] + length - 1])
+            by_home = np.argsort(home[run], kind="stable")
+            run, begin, stop = run[by_home], begin[by_home], stop[by_home]
+            for s, i, j in _groups(home[run]):
+                shard.append(s)
+                spans.append(pack_spans(head[run[i:j], 1], begin[i:j], stop[i:j]))
+        return pa.table({"shard": pa.array(shard, pa.int32()), "spans": pa.array(spans, pa.binary())})
 
     return judge
 
@@ -443,12 +471,8 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, bytes_per_shard: int = B
     shared = checkpointed(anchors.groupBy("bucket").applyInArrow(_share, "shard int, shared binary"))
     release(docs)
     sent = dealt.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_run_sender(shards, length), _SENT)
-    sent = checkpointed(sent)
-    release(docs)
-    judged = sent.filter("bucket IS NOT NULL").select("bucket", "shard", "runs").groupBy("bucket").applyInArrow(_judge(length), "shard int, spans binary")
-    settled = sent.filter("bucket IS NULL").select("shard", "spans")
-    spans = checkpointed(judged.union(settled))
-    del sent, shared, judged, settled
+    spans = checkpointed(sent.groupBy("bucket").applyInArrow(_judge(length), "shard int, spans binary"))
+    del sent, shared
     release(docs)
     return spans, shards
 
