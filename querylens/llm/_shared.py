@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def arrays(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a bounded result as arrays; by Arrow, so that no row becomes a Python object."""
+    return [c.to_numpy() for c in df.toArrow().columns]
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts; decides how many shards an operator deals its input to."""
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0

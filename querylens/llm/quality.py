@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylens.llm._shared import checkpointed, table
+from querylens.llm._shared import arrays, checkpointed, table
 
 TREES = 100
 ROWS_PER_TREE = 256
@@ -187,10 +187,11 @@ def fit(stats: DataFrame, labels: DataFrame, trees: int = TREES, rows_per_tree:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = stats.filter(~failed).join(known, "doc_id")
-    sample = known.filter("quality = 1").orderBy(F.xxhash64("doc_id", F.lit(SEED)), *STATS).limit(trees * rows_per_tree).select(*STATS).toPandas()
+    sample = known.filter("quality = 1").orderBy(F.xxhash64("doc_id", F.lit(SEED)), *STATS).limit(trees * rows_per_tree).select(*STATS)
+    sample = np.column_stack(arrays(sample))
     if len(sample) < 2:
         return QualityModel(None)
-    model = QualityModel(IsolationForest(features(sample.to_numpy()), trees, rows_per_tree))
+    model = QualityModel(IsolationForest(features(sample), trees, rows_per_tree))
     bins = F.least(F.floor(F.col("anomaly") * BINS), F.lit(BINS - 1)).alias("bin")
     counts = judge_stats(known, model, "quality").groupBy("quality", bins).count().collect()  # 2 x BINS rows at most
     good, bad = np.zeros(BINS), np.zeros(BINS)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylens.llm._shared import checkpointed, table
+from querylens.llm._shared import arrays, checkpointed, table
 
 DEPTH = 5
 LEAST_SHARE = 1e-5
@@ -233,8 +233,9 @@ def fit_tree(summed: DataFrame, depth: int = DEPTH, least_share: float = LEAST_S
             held = held.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
         context = F.shiftright("key", 8)
         often = held.groupBy(context.alias("context")).agg(F.sum("n").alias("m")).filter(F.col("m") >= max(1.0, least_share * total)).select("context")
-        found = (held.join(often, context == F.col("context")) if d else held).select("key", "n").toPandas().sort_values("key")
-        levels.append((found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)))
+        key, n = arrays((held.join(often, context == F.col("context")) if d else held).select("key", "n"))
+        order = np.argsort(key)
+        levels.append((key[order], n[order]))
     return SuffixTree(levels[::-1], divergence)
 
 
@@ -257,8 +258,9 @@ def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, most_words:
         if taken > most_words:
             break
         least = r["least"]
-    top = words.filter(F.col("n") >= least).toPandas().sort_values("key")
-    shared = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64), np.log10(top["n"].to_numpy(float) + 1), tree))
+    top, times = arrays(words.filter(F.col("n") >= least))
+    order = np.argsort(top)
+    shared = spark.sparkContext.broadcast((top[order], np.log10(times[order] + 1.0).astype(np.float64), tree))
     denominator = float(np.log10(all_tokens + kinds + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
