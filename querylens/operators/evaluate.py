@@ -23,12 +23,13 @@ def row_metrics(df: DataFrame, completion: str = "completion", backend: str = "t
 
 
 def rollup(rows: DataFrame, source: str = "data_source") -> DataFrame:
-    """One total row (is_total 1) and one row per source, a null source among them; means of no rows are 0."""
-    means = [F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in METRICS]
-    total = rows.agg(*means, F.count(F.lit(1)).alias("n")).select(F.lit(1).alias("is_total"), F.lit(None).cast("string").alias(source), *METRICS, "n")
-    groups = rows.rollup(source).agg(F.grouping(source).cast("int").alias("is_total"), *means, F.count(F.lit(1)).alias("n"))
-    # rollup of no rows gives no row at all
-    return groups.select("is_total", source, *METRICS, "n").union(total.filter("n = 0"))
+    """One total row (is_total 1) and one row per source, a null source among them; no rows give no row.
+
+    Row metrics are summed per source first, so the rollup's copies are of that small table and not of the rows.
+    """
+    sums = rows.groupBy(source).agg(*[F.sum(c).alias(c) for c in METRICS], F.count(F.lit(1)).alias("n"))
+    means = [(F.sum(c) / F.sum("n")).alias(c) for c in METRICS]
+    return sums.rollup(source).agg(F.grouping(source).cast("int").alias("is_total"), *means, F.sum("n").alias("n")).select("is_total", source, *METRICS, "n")
 
 
 def running_mean(rows: DataFrame, value: str, order: str, every: int = 50) -> DataFrame:
@@ -52,7 +53,7 @@ def evaluate(df: DataFrame, order: str = "row_id", completion: str = "completion
     What comes to the driver is one row per source and five samples.
     """
     rows = row_metrics(first_rows(df, max_examples, order), completion, backend)
-    report: dict = {"overall": {}, "per_source": {}, "examples_logged": []}
+    report: dict = {"overall": dict.fromkeys(("bleu", "em", "execution_accuracy"), 0.0) | {"n": 0}, "per_source": {}, "examples_logged": []}
     for r in rollup(rows).collect():
         entry = {"bleu": r["bleu"], "em": r["em"], "execution_accuracy": r["exec"], "n": r["n"]}
         if r["is_total"]:
