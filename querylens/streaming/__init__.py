@@ -1 +1,19 @@
+"""Extension: the stateless native scorers over a stream of completions. Batch and stream use the same expressions."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from querylens.functions import text as X
+
+
+def score_stream(rows: DataFrame) -> DataFrame:
+    """Add pred, em, bleu and r_length to a streaming (or batch) DataFrame with completion, cypher and n_tokens. No state is kept."""
+    rows = rows.withColumn("pred", X.extract_query(F.col("completion")))
+    return rows.withColumns({"em": X.exact_match(F.col("pred"), F.col("cypher")), "bleu": X.bleu4(F.col("cypher"), F.col("pred")), "r_length": X.length_penalty(F.col("n_tokens"))})
+
+
+def write_scores(rows: DataFrame, path: str, checkpoint: str):
+    """Start a query that appends scores as Parquet and takes up at its checkpoint after a failure."""
+    return score_stream(rows).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
