@@ -187,7 +187,11 @@ def fit(stats: DataFrame, labels: DataFrame, trees: int = TREES, rows_per_tree:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = stats.filter(~failed).join(known, "doc_id")
-    sample = known.filter("quality = 1").orderBy(F.xxhash64("doc_id", F.lit(SEED)), *STATS).limit(trees * rows_per_tree).select(*STATS)
+    good = known.filter("quality = 1").withColumn("draw", F.xxhash64("doc_id", F.lit(SEED)))
+    # of very many good rows, those with a small draw hold the sample; so tasks don't send the driver a full sample each
+    share = min(1.0, 2 * trees * rows_per_tree / max(1, good.count()))
+    near = good.filter(F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    sample = near.orderBy(F.pmod("draw", F.lit(1 << 30)), "draw", *STATS).limit(trees * rows_per_tree).select(*STATS)
     sample = np.column_stack(arrays(sample))
     if len(sample) < 2:
         return QualityModel(None)
