@@ -14,9 +14,16 @@ vantage-point tree over all bits finds the pairs. k grows with the number of poi
 small, which changes the work but never the links. A large leaf whose points are alike (many near copies) keeps few pairs:
 each tree hands on only a spanning forest of its links.
 
-`hashes` > 1 takes that many fingerprints of each text, from as many mixes of its shingles' hashes. Two texts are then linked
-if one pair of fingerprints is within `radius` and all bits together put their similarity (Jaccard, of shingle sets) at
-`similarity` or more. One 64-bit fingerprint can't do that: at similarity 0.8 about 10 of 64 bits differ, give or take 3.
+`hashes` > 1 takes that many fingerprints of each text, from as many mixes of its shingles' hashes; texts are linked if one
+pair of fingerprints is within `radius`. Bits only estimate a similarity (Jaccard, of shingle sets): at 0.8 about 10 of 64
+differ, give or take 3. So with a `similarity` the shingle sets themselves decide, and `radius` and `hashes` aren't read.
+
+Texts of equal sets are one point. In any total order of shingles two sets of similarity t share one of each set's first
+n - ceil(t n) + 1, so only these are dealt out. Of these a pair must share as many as its similarity needs with all that is
+not dealt out in common (no link is lost), and each such pair is decided by the exact Jaccard of its sets.
+The order puts shingles common in a sample last, which keeps candidates few and changes no link. Of a shingle with many
+points these are first held against one, and pairs that are not in one component by then are all decided. Sets are of
+64-bit hashes.
 
 Shards hold a range of leaves each and are sized by count. Components come from alternating large-star and small-star rounds
 over checkpointed link tables; no links, components or fingerprints are collected.
@@ -28,7 +35,7 @@ are none); an empty table gives an empty result. Extra columns are not read by t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -37,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylens.llm._shared import checkpointed, table
+from querylens.llm._shared import arrays, checkpointed, table
 
 SHINGLE = 4
 RADIUS = 4
@@ -46,21 +53,35 @@ POINTS_PER_SHARD = 20_000
 POINTS_PER_LEAF = 64
 POINTS_PER_KEY = 2048  # above it, leaves agree on one block more
 MOST_PAIRS = 2_000_000
+SAMPLED = 16  # common shingles are counted in one of so many texts
+COMMON, MOST_COMMON = 8, 500_000  # sampled texts with a common shingle, and how many shingles are taken as common
+ROWS_PER_SHARD = 200_000
+SETS_AT_ONCE = 500
+MANY = 8  # points of a shingle that are held against one of them first
+SLOTS = 1 << 23  # of the filter that candidates' sets pass; fewer let more sets by
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def simhash(text: str | None, shingle: int = SHINGLE, hashes: int = 1) -> list[int]:
-    """`hashes` fingerprints; the first is that of the plain XXH64 values."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 of each shingle, repeats kept; none of a wordless text."""
     words = (text or "").encode().translate(_UPPER).split()  # bytes split at just the ASCII white space that counts here
     if not words:
-        return [0] * hashes
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = ends - [len(w) for w in words]
     view, digest = memoryview(joined), xxhash.xxh64_intdigest
     last = ends[-n:].tolist()
-    h = np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[:n].tolist(), last, strict=True)), np.uint64, n)
+    return np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[:n].tolist(), last, strict=True)), np.uint64, n)
+
+
+def simhash(text: str | None, shingle: int = SHINGLE, hashes: int = 1) -> list[int]:
+    """`hashes` fingerprints; the first is that of the plain XXH64 values."""
+    h = shingle_hashes(text, shingle)
+    n = len(h)
+    if not n:
+        return [0] * hashes
     out = []
     for k in range(hashes):
         ones = np.zeros(64, np.int64)
@@ -83,7 +104,7 @@ def names(hashes: int) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keys: tuple[str, ...] = ("doc_id",), hashes: int = 1) -> DataFrame:
-    """The key columns and fp, fp1, ...: the fingerprints as signed longs."""
+    """The key columns and fp, fp1, ...: the fingerprints as signed longs; with more than one also `shingles`, the set."""
     rows = docs.select(*keys, "text")
     n = len(keys)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n])
@@ -92,14 +113,33 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keys: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([simhash(x.as_py(), shingle, hashes) for x in batch.column(n)], np.uint64).reshape(-1, hashes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(fp[:, k].copy()) for k in range(hashes))], [*keys, *fps])
+            sets = [_lists(batch.column(n), shingle)] if hashes > 1 else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(fp[:, k].copy()) for k in range(hashes)), *sets], [*keys, *fps, "shingles"][: n + hashes + len(sets)])
+
+    return rows.mapInArrow(run, schema + "".join(f", {c} long" for c in fps) + ", shingles array<long>" * (hashes > 1))
+
+
+def over_sets(rows: DataFrame, shingle: int | None, each: Callable[[list, pa.Array, list], pa.RecordBatch], schema: str) -> DataFrame:
+    """each(columns before the last, shingle sets, their nodes), some rows at a time, in the task that makes the sets.
+
+    The last column has texts, or with no `shingle` the sets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SETS_AT_ONCE):
+                *columns, last = batch.slice(at, SETS_AT_ONCE).columns
+                sets = last if shingle is None else _lists(last, shingle)
+                offsets, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+                node = [xxhash.xxh64_intdigest(values[i:j].tobytes()) - (1 << 63) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield each(columns, sets, node)
 
-    return rows.mapInArrow(run, schema + "".join(f", {c} long" for c in fps))
+    return rows.mapInArrow(run, schema)
 
 
-def most_differing(similarity: float, bits: int) -> int:
-    """Differing bits of two texts of that Jaccard similarity, on average: the angle between their shingles' indicator vectors."""
-    return round(bits * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+def _lists(texts: pa.Array, shingle: int) -> pa.Array:
+    sets = [np.unique(shingle_hashes(x.as_py(), shingle).view(np.int64)) for x in texts]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
 
 
 class VantagePointTree:
@@ -109,9 +149,8 @@ class VantagePointTree:
     the boundary: by the triangle inequality both must lie within `radius` of it. Leaves compare their points directly.
     """
 
-    def __init__(self, points: np.ndarray, leaf: int = POINTS_PER_LEAF, also=None):
-        """also(a, b): which pairs of indices are links, of those within the radius; by default all."""
-        self.points, self.leaf, self.also = points, leaf, also
+    def __init__(self, points: np.ndarray, leaf: int = POINTS_PER_LEAF):
+        self.points, self.leaf = points, leaf
 
     def pairs(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the linked pairs' ends; of very many pairs a spanning forest stands for those found so far."""
@@ -162,9 +201,6 @@ class VantagePointTree:
                 near &= np.arange(len(b))[None, :] > np.arange(at, at + near.shape[0])[:, None]
             i, j = np.nonzero(near)
             i, j = a[at + i], b[j]
-            if len(i) and self.also:
-                linked = self.also(i, j)
-                i, j = i[linked], j[linked]
             if len(i):
                 left.append(i)
                 right.append(j)
@@ -206,23 +242,17 @@ def agreeing(n_points: int, radius: int) -> int:
     return k
 
 
-def shard_links(fps: np.ndarray, use: np.ndarray, keys: np.ndarray, radius: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(fps: np.ndarray, use: np.ndarray, keys: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices of links within the runs of equal keys, one for each point that isn't the first of its component in its leaf.
 
-    fps has a row for each point; use tells which of its fingerprints the key is from. most: differing bits in the whole row.
+    fps has a row for each point; use tells which of its fingerprints the key is from.
     """
     points = fps[np.arange(len(fps)), use]
     order = np.lexsort((points, keys, use))
-    points, keys, fps, use = points[order], keys[order], fps[order], use[order]
-
-    def also(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64) <= most
+    points, keys, use = points[order], keys[order], use[order]
 
     def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        near = np.bitwise_count(points[a] ^ points[b]) <= radius
-        if most is not None:
-            near[near] = also(a[near], b[near])
-        return near
+        return np.bitwise_count(points[a] ^ points[b]) <= radius
 
     first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (use[1:] != use[:-1])]))
     size = np.diff(np.concatenate([first, [len(keys)]]))
@@ -239,7 +269,7 @@ def shard_links(fps: np.ndarray, use: np.ndarray, keys: np.ndarray, radius: int,
         d += 1
         at = at[rest[at] > d]
     for f, n in zip(first[size > POINTS_PER_LEAF], size[size > POINTS_PER_LEAF], strict=True):
-        a, b = VantagePointTree(points[f : f + n], also=(lambda i, j, f=f: also(i + f, j + f)) if most is not None else None).pairs(radius)
+        a, b = VantagePointTree(points[f : f + n]).pairs(radius)
         root = roots(int(n), a, b)
         a = np.flatnonzero(root != np.arange(n))
         left.append(a + f)
@@ -249,7 +279,7 @@ def shard_links(fps: np.ndarray, use: np.ndarray, keys: np.ndarray, radius: int,
     return order[some], order[root[some]]
 
 
-def links(points: DataFrame, radius: int = RADIUS, points_per_shard: int = POINTS_PER_SHARD, hashes: int = 1, similarity: float | None = None) -> DataFrame:
+def links(points: DataFrame, radius: int = RADIUS, points_per_shard: int = POINTS_PER_SHARD, hashes: int = 1) -> DataFrame:
     """Pairs (a, b) of linked points with the components of all links. `points` has distinct `node` and fingerprints; give it checkpointed."""
     n = points.count()
     k = agreeing(n, radius)
@@ -257,7 +287,6 @@ def links(points: DataFrame, radius: int = RADIUS, points_per_shard: int = POINT
     fps = names(hashes)
     chosen = [(f, c) for f in range(hashes) for c in combinations(range(radius + k), k)]
     shards = max(1, -(-n // points_per_shard))
-    most = None if similarity is None else most_differing(similarity, 64 * hashes)
     per_fp = len(chosen) // hashes
 
     def leaf(f: int, c: tuple[int, ...]) -> Column:
@@ -274,7 +303,7 @@ def links(points: DataFrame, radius: int = RADIUS, points_per_shard: int = POINT
     def run(part: pa.Table) -> pa.Table:
         rows = np.column_stack([part.column(c).to_numpy() for c in fps]).view(np.uint64)
         node = part.column("node").to_numpy()
-        a, b = shard_links(rows, part.column("choice").to_numpy().astype(np.int64) // per_fp, part.column("leaf").to_numpy(), radius, most)
+        a, b = shard_links(rows, part.column("choice").to_numpy().astype(np.int64) // per_fp, part.column("leaf").to_numpy(), radius)
         return pa.table({"a": node[a], "b": node[b]})
 
     return dealt.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
@@ -304,11 +333,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def with_components(prints: DataFrame, radius: int = RADIUS, hashes: int = 1, similarity: float | None = None) -> DataFrame:
-    """Add component_id to rows with doc_id and fingerprints, which should be given checkpointed."""
+    """Add component_id to rows with doc_id and fingerprints, which should be given checkpointed.
+
+    With a `similarity` the rows' shingle sets decide, exactly, and the fingerprints aren't read.
+    """
+    if similarity is not None:
+        return with_set_components(prints.select(*[c for c in prints.columns if c != "shingles"], "shingles"), similarity)
     fps = names(hashes)
     node = F.col("fp") if hashes == 1 else F.xxhash64(*fps)
     points = checkpointed(prints.groupBy(*fps).agg(F.min("doc_id").alias("least")).withColumn("node", node))
-    star = components(links(points.select("node", *fps), radius, hashes=hashes, similarity=similarity))
+    star = components(links(points.select("node", *fps), radius, hashes=hashes))
     grouped = points.select("node", "least").join(star, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     grouped = checkpointed(grouped)
     ids = checkpointed(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
@@ -316,13 +350,174 @@ def with_components(prints: DataFrame, radius: int = RADIUS, hashes: int = 1, si
     return prints.withColumn("node", node).join(by_point, "node")
 
 
+def common_shingles(sample: DataFrame, shingle: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles common in a sample, sorted, and their ranks from least to most common. They decide the work, no result."""
+
+    def each(columns: list, sets: pa.Array, node: list) -> pa.RecordBatch:
+        key, n = np.unique(sets.flatten().to_numpy(), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    found = over_sets(sample, shingle, each, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
+    key, n = arrays(found.orderBy(F.desc("n"), "key").limit(MOST_COMMON))
+    rank = np.empty(len(key), np.int64)
+    rank[np.lexsort((key, n))] = np.arange(len(key))
+    order = np.argsort(key)
+    return key[order], rank[order]
+
+
+def prefix(h: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set: a set of that similarity or more has one of them among its own first."""
+    if not len(h):
+        return h
+    n = len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1
+    at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
+    last = common[at] == h if len(common) else np.zeros(len(h), bool)
+    rare = h[~last]
+    if len(rare) >= n:
+        return rare[:n]
+    return np.concatenate([rare, h[last][np.argsort(rank[at[last]])]])[:n]
+
+
+def first_shingles(rows: DataFrame, shingle: int | None, sample: DataFrame, similarity: float) -> DataFrame:
+    """The node, size and prefix of each row's shingle set in place of the last column."""
+    shared = rows.sparkSession.sparkContext.broadcast(common_shingles(sample, shingle))
+    names = [*rows.columns[:-1], "node", "size", "prefix"]
+
+    def each(columns: list, sets: pa.Array, node: list) -> pa.RecordBatch:
+        common, rank = shared.value
+        offsets, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+        first = [prefix(values[i:j], similarity, common, rank) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
+        return pa.RecordBatch.from_arrays([*columns, pa.array(node, pa.int64()), pa.array(np.diff(offsets).astype(np.int64)), lists], names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return over_sets(rows, shingle, each, schema + ", node long, size long, prefix array<long>")
+
+
+def run_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, similarity: float, first: bool) -> tuple[np.ndarray, ...]:
+    """Pairs of nodes with one key, of different roots and of sizes that allow the similarity, and the sizes; a pair comes once a key.
+
+    first: of a key with MANY nodes or more only the pairs with its node of least number.
+    """
+    order = np.lexsort((node, size, key))
+    key, node, size, root = key[order], node[order], size[order], root[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    length = np.diff(np.append(starts, len(key)))
+    many = np.repeat(first & (length >= MANY), length)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def take(a: np.ndarray, b: np.ndarray) -> None:
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        swapped = node[a] > node[b]
+        left.append(np.where(swapped, b, a))
+        right.append(np.where(swapped, a, b))
+
+    if many.any():
+        pivot = np.lexsort((node, key))[starts]
+        a, b = np.repeat(pivot, length)[many], np.flatnonzero(many)
+        fits = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6
+        take(a[fits], b[fits])
+    rest = np.repeat(starts + length, length) - np.arange(len(key))
+    at = np.flatnonzero(~many & (rest > 1))
+    d = 1
+    while len(at):
+        at = at[size[at] >= similarity * size[at + d] - 1e-6]  # sizes rise, so what is too small stays so
+        take(at, at + d)
+        d += 1
+        at = at[rest[at] > d]
+    a, b = np.concatenate(left), np.concatenate(right)
+    return node[a], node[b], size[a], size[b]
+
+
+def candidate_pairs(rows: DataFrame, similarity: float, first: bool) -> DataFrame:
+    """Distinct pairs (a, b) of `run_pairs` over the rows of each shard that share keys enough.
+
+    What two prefixes share and what follows the prefix that ends first is all that the sets can share.
+    """
+
+    def run(part: pa.Table) -> pa.Table:
+        a, b, x, y = run_pairs(*(part.column(c).to_numpy() for c in ("key", "node", "size", "root")), similarity, first)
+        order = np.lexsort((b, a))
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])) if len(a) else order
+        at = order[new]
+        return pa.table({"a": a[at], "b": b[at], "n": np.diff(np.append(new, len(a))), "most": np.maximum(x, y)[at], "both": (x + y)[at]})
+
+    found = rows.groupBy("shard").applyInArrow(run, "a long, b long, n long, most long, both long")
+    found = found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.max("both").alias("both"))
+    enough = F.col("n") + F.ceil(F.col("most") * similarity - 1e-6) - 1 >= F.col("both") * (similarity / (1 + similarity)) - 1e-6
+    return found.filter(enough).select("a", "b")
+
+
+def with_set_components(docs: DataFrame, similarity: float, shingle: int | None = None, sample: DataFrame | None = None) -> DataFrame:
+    """node, root and component_id instead of the last column, the texts or (no `shingle`) sets; links are all pairs that similar.
+
+    The sets are made again when candidates are decided rather than stored. `sample` has some of the rows, or all by default.
+    """
+    rest = docs.columns[:-1]
+    points = checkpointed(first_shingles(docs, shingle, docs if sample is None else sample, similarity))
+    rows = points.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    shard = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-rows // ROWS_PER_SHARD)))).alias("shard")
+
+    def shared_keys(part: pa.Table) -> pa.Table:
+        key, node = part.column("key").to_numpy(), part.column("node").to_numpy()
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+        order, key = order[new], key[new]
+        same = key[1:] == key[:-1]
+        return part.select(["key", "node", "size"]).take(pa.array(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]))
+
+    dealt = points.select(F.explode("prefix").alias("key"), "node", "size").select(shard, "key", "node", "size")
+    shared = checkpointed(dealt.groupBy("shard").applyInArrow(shared_keys, "key long, node long, size long"))
+    links = star = pairs = None
+    rounds = [False] if shared.groupBy("key").count().filter(F.col("count") >= MANY).isEmpty() else [True, False]
+    for first in rounds:
+        rooted = shared.withColumn("root", F.col("node"))
+        if star is not None:
+            rooted = shared.join(star, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+        fresh = candidate_pairs(rooted.select(shard, "key", "node", "size", "root"), similarity, first)
+        pairs = checkpointed(fresh if pairs is None else fresh.join(pairs, ["a", "b"], "left_anti"))
+        found = exact_links(docs, shingle, pairs, similarity)
+        links = checkpointed(found if links is None else links.union(found))
+        star = checkpointed(components(links))
+    grouped = checkpointed(points.select(*rest, "node").join(star, "node", "left").select(*rest, "node", F.coalesce("root", "node").alias("root")))
+    ids = checkpointed(grouped.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    return grouped.join(ids, "root")
+
+
+def exact_links(docs: DataFrame, shingle: int | None, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have that Jaccard similarity or more."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    slots = np.zeros(SLOTS, bool)
+    slots[arrays(ends.select(F.pmod("node", F.lit(SLOTS)).alias("slot")).distinct())[0]] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(slots))
+
+    def each(columns: list, sets: pa.Array, node: list) -> pa.RecordBatch:
+        at = np.array(node, np.int64) % SLOTS
+        some = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), sets], ["node", "shingles"]).filter(pa.array(some))
+
+    found = over_sets(docs.select(docs.columns[-1]), shingle, each, "node long, shingles array<long>")
+    held = checkpointed(found.dropDuplicates(["node"]))
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("of"))
+    return both.filter(F.col("n") / (F.col("of") - F.col("n")) >= similarity).select("a", "b")
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, hashes: int = 1, similarity: float | None = None) -> DataFrame:
     """One row of each component, one with the least id, with all columns of `docs`.
 
-    Of rows with that id the one with the least text digest stays, and of equal rows any one.
+    Of rows with that id the one with the least text digest stays, and of equal rows any one. With a `similarity` the
+    shingle sets decide, exactly, and no fingerprints are made.
     """
-    keyed = fingerprints(docs.withColumn("__text", F.xxhash64("text")), shingle, ("doc_id", "__text"), hashes)
-    found = with_components(checkpointed(keyed), radius, hashes, similarity).filter("doc_id <=> component_id")
+    digests = docs.withColumn("__text", F.xxhash64("text"))
+    if similarity is None:
+        found = with_components(checkpointed(fingerprints(digests, shingle, ("doc_id", "__text"), hashes)), radius, hashes)
+    else:
+        rows = digests.select("doc_id", "__text", "text")
+        found = with_set_components(rows, similarity, shingle, rows.filter(F.pmod("__text", F.lit(SAMPLED)) == 0))
+    found = found.filter("doc_id <=> component_id")
     lone = F.when(F.col("component_id").isNull(), F.col("node"))
     first = checkpointed(found.groupBy("component_id", lone.alias("lone")).agg(F.min_by(F.struct("__text"), "__text").alias("kept"), F.count(F.lit(1)).alias("n")))
     keys = first.select(F.col("component_id").alias("__id"), F.col("kept.__text").alias("__kept"))

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from querylens.llm._shared import checkpointed
+from querylens.llm import simhash as module
 from querylens.llm.simhash import VantagePointTree, components, fingerprints, keep_one, roots, shard_links, simhash, with_components
 
 
@@ -110,3 +111,34 @@ def test_many_hashes_find_similar_texts_only(spark):
     got = {r.doc_id: r.component_id for r in with_components(prints, 8, 6, 0.8).collect()}
     assert sum(got[d] == want[d] for d in want) >= 0.99 * len(want)
     assert sorted(r.doc_id for r in keep_one(docs, 5, 8, 6, 0.8).collect()) == sorted(set(got.values()))
+
+
+def shingle_set(text, k=5):
+    w = text.lower().split()
+    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def test_similar_texts_are_linked_by_exact_jaccard(spark, monkeypatch):
+    rng = random.Random(10)
+    line = [f"line{i}" for i in range(12)]
+    texts = []
+    for _ in range(60):
+        t = [f"w{rng.randrange(10**6)}" for _ in range(100)] + line
+        texts.append(t)
+        for edits in (2, 3, 4):
+            u = list(t)
+            for at in rng.sample(range(100), edits):
+                u[at] = f"x{rng.randrange(10**6)}"
+            texts.append(u)
+    texts = [" ".join(t) for t in texts]
+    sets = [shingle_set(t) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    assert 20 < len(near) < 300
+    want = sorted(set(brute_components(len(texts), near)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in keep_one(docs, 5, 8, 6, 0.8).collect()) == want
+    monkeypatch.setattr(module, "MANY", 2)
+    assert sorted(r.doc_id for r in keep_one(docs, 5, 8, 6, 0.8).collect()) == want
+    monkeypatch.setattr(module, "COMMON", 10**9)
+    assert sorted(r.doc_id for r in keep_one(docs, 5, 8, 6, 0.8).collect()) == want
+    assert keep_one(docs.limit(0), 5, 8, 6, 0.8).count() == 0
