@@ -142,3 +142,11 @@ def test_similar_texts_are_linked_by_exact_jaccard(spark, monkeypatch):
     monkeypatch.setattr(module, "COMMON", 10**9)
     assert sorted(r.doc_id for r in keep_one(docs, 5, 8, 6, 0.8).collect()) == want
     assert keep_one(docs.limit(0), 5, 8, 6, 0.8).count() == 0
+
+
+def test_a_repeated_line_does_not_link_different_texts(spark):
+    rng = random.Random(12)
+    line = " ".join(f"line{i}" for i in range(10)) + "\n"
+    rows = [(d, line * 100 + " ".join(f"w{rng.randrange(10**7)}" for _ in range(3000))) for d in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in keep_one(docs, 5, 8, 6, 0.8).collect()) == [0, 1, 2, 3]
