@@ -333,7 +333,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def with_components(prints: DataFrame, radius: int = RADIUS, hashes: int = 1, similarity: float | None = None) -> DataFrame:
-    """Add component_id to rows with doc_id and fingerprints, which should be given checkpointed.
+    """Add node, root and component_id to rows with doc_id and fingerprints, which should be given checkpointed.
 
     With a `similarity` the rows' shingle sets decide, exactly, and the fingerprints aren't read.
     """
@@ -346,7 +346,7 @@ def with_components(prints: DataFrame, radius: int = RADIUS, hashes: int = 1, si
     grouped = points.select("node", "least").join(star, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     grouped = checkpointed(grouped)
     ids = checkpointed(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
-    by_point = checkpointed(grouped.select("node", "root").join(ids, "root").select("node", "component_id"))
+    by_point = checkpointed(grouped.select("node", "root").join(ids, "root"))
     return prints.withColumn("node", node).join(by_point, "node")
 
 
@@ -508,7 +508,7 @@ def exact_links(docs: DataFrame, shingle: int | None, pairs: DataFrame, similari
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, hashes: int = 1, similarity: float | None = None) -> DataFrame:
     """One row of each component, one with the least id, with all columns of `docs`.
 
-    Of rows with that id the one with the least text digest stays, and of equal rows any one. With a `similarity` the
+    Components are told apart by their roots, since ids may be repeated or null. Of rows with that id the one with the least text digest stays, and of equal rows any one. With a `similarity` the
     shingle sets decide, exactly, and no fingerprints are made.
     """
     digests = docs.withColumn("__text", F.xxhash64("text"))
@@ -518,9 +518,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, hash
         rows = digests.select("doc_id", "__text", "text")
         found = with_set_components(rows, similarity, shingle, rows.filter(F.pmod("__text", F.lit(SAMPLED)) == 0))
     found = found.filter("doc_id <=> component_id")
-    lone = F.when(F.col("component_id").isNull(), F.col("node"))
-    first = checkpointed(found.groupBy("component_id", lone.alias("lone")).agg(F.min_by(F.struct("__text"), "__text").alias("kept"), F.count(F.lit(1)).alias("n")))
-    keys = first.select(F.col("component_id").alias("__id"), F.col("kept.__text").alias("__kept"))
+    first = checkpointed(found.groupBy("root").agg(F.min_by(F.struct("doc_id", "__text"), "__text").alias("kept"), F.count(F.lit(1)).alias("n")))
+    keys = first.select(F.col("kept.doc_id").alias("__id"), F.col("kept.__text").alias("__kept"))
     kept = docs.join(keys, docs["doc_id"].eqNullSafe(keys["__id"]) & (F.xxhash64(docs["text"]) == keys["__kept"]), "left_semi")
     if first.filter("n > 1").isEmpty():
         return kept

@@ -150,3 +150,15 @@ def test_a_repeated_line_does_not_link_different_texts(spark):
     rows = [(d, line * 100 + " ".join(f"w{rng.randrange(10**7)}" for _ in range(3000))) for d in range(4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in keep_one(docs, 5, 8, 6, 0.8).collect()) == [0, 1, 2, 3]
+
+
+def test_repeated_and_null_ids_keep_one_row_of_each_component(spark):
+    rng = random.Random(11)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(300)] for _ in range(3)]
+    near = [" ".join(["x", *t[1:]]) for t in texts]
+    texts = [" ".join(t) for t in texts]
+    rows = [(7, texts[0]), (8, near[0]), (7, texts[1]), (9, near[1]), (None, texts[2]), (None, near[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for similarity in (0.8, None):
+        kept = [(r.doc_id, r.text) for r in keep_one(docs, similarity=similarity).collect()]
+        assert len(kept) == 3 and {(7, texts[0]), (7, texts[1])} < set(kept) and {i for i, _ in kept} == {7, None}
