@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import threading
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from querylens.plans import syntax as S
 from querylens.plans.binder import Binder, Catalog
+from querylens.plans.checkpoints import checkpointed
 
-MAX_HOPS = 8  # of a variable-length relationship without an upper bound
+LAZY_HOPS = 8  # paths that can be longer grow round by round, each checkpointed, until a round adds none
 ROW_CAP = 10_001
 
 
@@ -48,9 +50,13 @@ class ExecutionResult:
 
 
 class GraphSession:
-    """Runs queries over a graph. mode "typed": unknown names fail; "schemaless": unknown labels and types match nothing."""
+    """Runs queries over a graph. mode "typed": unknown names fail; "schemaless": unknown labels and types match nothing.
 
-    def __init__(self, spark: SparkSession, graph: PropertyGraph, mode: str = "typed", max_hops: int = MAX_HOPS):
+    max_hops: an upper bound for variable-length relationships that have none of their own; by default paths grow until
+    none can.
+    """
+
+    def __init__(self, spark: SparkSession, graph: PropertyGraph, mode: str = "typed", max_hops: int | None = None):
         self.spark, self.graph, self.mode, self.max_hops = spark, graph, mode, max_hops
 
     def execute(self, query: str) -> DataFrame:
@@ -71,10 +77,10 @@ class GraphSession:
         late = threading.Event()
         timer = threading.Timer(timeout_s, lambda: (late.set(), sc.cancelJobGroup(group))) if timeout_s else None
         try:
-            frame = self.execute(query).limit(ROW_CAP)
             sc.setJobGroup(group, "query", interruptOnCancel=True)
             if timer:
                 timer.start()
+            frame = self.execute(query).limit(ROW_CAP)
             return ExecutionResult(True, [tuple(r) for r in frame.collect()])
         except S.QueryError as problem:
             return ExecutionResult(False, None, str(problem)[:300], problem.kind)
@@ -136,6 +142,9 @@ def mentioned(clauses: list) -> dict[str, set[str]]:
             expression(c.where)
         elif isinstance(c, S.Create):
             paths(c.paths)
+            for item in (x for _, items in c.on for x in items if x[0] == "assign"):
+                expression(item[1])
+                expression(item[2])
         elif isinstance(c, S.Unwind):
             expression(c.value)
         elif isinstance(c, S.Projection):
@@ -156,6 +165,15 @@ def mentioned(clauses: list) -> dict[str, set[str]]:
     return out
 
 
+def conjuncts(e: tuple | None) -> list[tuple]:
+    return [] if e is None else conjuncts(e[2]) + conjuncts(e[3]) if e[:2] == ("bin", "AND") else [e]
+
+
+def simple(e) -> bool:
+    """Nothing in it needs more than the variables it names: no subquery, label test or list projection."""
+    return not isinstance(e, (tuple, list)) or (not e or e[0] not in ("exists", "has", "each")) and all(map(simple, e))
+
+
 class _Part:
     def __init__(self, session: GraphSession):
         self.session, self.graph = session, session.graph
@@ -204,10 +222,9 @@ class _Part:
         for kind in rel.types or sorted(self.graph.rels):
             for start, end, d in self.graph.rels.get(kind, []):
                 keep = [c for c in d.columns if c not in ("src", "dst", "eid") and ("*" in props or c in props)]
-                eid = F.col("eid").cast("string") if "eid" in d.columns else F.concat_ws(">", F.lit(start), "src", F.lit(end), "dst")
                 whole = d.select(
                     F.lit(kind).alias(f"{var}:type"), F.lit(start).alias("a:label"), F.col("src").alias("a:id"), F.lit(end).alias("b:label"), F.col("dst").alias("b:id"),
-                    F.concat(F.lit(kind + ":"), eid).alias(f"{var}:eid"), *[F.col(c).alias(f"{var}:{c}") for c in keep],
+                    self.edge_key(kind, start, end, d).alias(f"{var}:eid"), *[F.col(c).alias(f"{var}:{c}") for c in keep],
                 )
                 found.append(whole)
         if not found:
@@ -224,32 +241,62 @@ class _Part:
             turned[1] = turned[1].filter((F.col(f"`{var}:from:id`") != F.col(f"`{var}:to:id`")) | (F.col(f"`{var}:from:label`") != F.col(f"`{var}:to:label`")))
         return _union(turned)
 
-    def hops_of(self, var: str, rel: S.Rel) -> DataFrame:
-        """Paths of the asked lengths as one edge each; no edge twice in a path."""
+    @staticmethod
+    def edge_key(kind: str, start: str, end: str, d: DataFrame) -> Column:
+        """What tells an edge from all others: its type with its eid, or with its ends where it has none."""
+        ends = F.concat_ws(">", F.lit(start), "src", F.lit(end), "dst")
+        return F.concat(F.lit(kind + ":"), F.coalesce(F.col("eid").cast("string"), ends) if "eid" in d.columns else ends)
+
+    def most_hops(self, rel: S.Rel) -> int | None:
+        """How long a path can be by the labels of its ends; None where these form a cycle."""
+        ends = {(a, b) for kind in rel.types or self.graph.rels for a, b, _ in self.graph.rels.get(kind, [])}
+        if rel.direction == "both":
+            return None if ends else 0
+        n = 0
+        while ends:  # edges into labels that no edge leaves
+            starts = {a for a, _ in ends}
+            rest = {e for e in ends if e[1] in starts}
+            if rest == ends:
+                return None
+            ends, n = rest, n + 1
+        return n
+
+    def hops_of(self, var: str, rel: S.Rel, seeds: DataFrame) -> DataFrame:
+        """Paths of the asked lengths from the seeds (label, id) as one edge each; no edge twice in a path.
+
+        Without an upper bound, paths grow until none can. Labels may say after how many hops that is; else, and where it
+        is late, each round is checkpointed and the first that adds nothing is the last.
+        """
         low, high = rel.hops
-        high = self.session.max_hops if high is None else high
+        bounds = [x for x in (self.session.max_hops if high is None else high, self.most_hops(rel)) if x is not None]
+        most = min(bounds) if bounds else None
         ends = ("from:label", "from:id", "to:label", "to:id")
         step = self.edges_of("s", S.Rel(None, rel.types, rel.direction), set())
         step = step.select(*[F.col(f"`s:{c}`").alias(f"s:{c}") for c in ends], F.col("`s:eid`").alias("s:eid"))
-        path = step.select(*[F.col(f"`s:{c}`").alias(f"{var}:{c}") for c in ends], F.array("`s:eid`").alias(f"{var}:eids"))
-        found = []
-        if low == 0:
-            every = self.nodes_of("n", [], set())
-            both = [F.col(f"`n:{c}`").alias(f"{var}:{e}:{c}") for e in ("from", "to") for c in ("label", "id")]
-            found.append(every.select(*both, F.array().cast("array<string>").alias(f"{var}:eids")))
-        for k in range(1, high + 1):
-            if k > 1:
-                on = (F.col(f"`{var}:to:id`") == F.col("`s:from:id`")) & (F.col(f"`{var}:to:label`") == F.col("`s:from:label`"))
-                path = path.join(step, on).filter(~F.array_contains(f"`{var}:eids`", F.col("`s:eid`")))
-                path = path.select(
-                    *[F.col(f"`{var}:from:{c}`") for c in ("label", "id")], *[F.col(f"`s:to:{c}`").alias(f"{var}:to:{c}") for c in ("label", "id")], F.concat(f"`{var}:eids`", F.array("`s:eid`")).alias(f"{var}:eids")
-                )
-            if k >= max(1, low):
+        start = [F.col(c).alias(f"{var}:{e}:{c}") for e in ("from", "to") for c in ("label", "id")]
+        path = seeds.select(*start, F.array().cast("array<string>").alias(f"{var}:eids"))
+        found, k = [path] if low == 0 else [], 0
+        on = (F.col(f"`{var}:to:id`") == F.col("`s:from:id`")) & (F.col(f"`{var}:to:label`") == F.col("`s:from:label`"))
+        while most is None or k < most:
+            k += 1
+            path = path.join(step, on).filter(~F.array_contains(f"`{var}:eids`", F.col("`s:eid`")))
+            path = path.select(
+                *[F.col(f"`{var}:from:{c}`") for c in ("label", "id")], *[F.col(f"`s:to:{c}`").alias(f"{var}:to:{c}") for c in ("label", "id")], F.concat(f"`{var}:eids`", F.array("`s:eid`")).alias(f"{var}:eids")
+            )
+            if most is None or most > LAZY_HOPS:
+                path = checkpointed(path)
+                if path.isEmpty():
+                    break
+            if k >= low:
                 found.append(path)
-        return _union(found)
+        return _union(found) if found else path.limit(0)
 
-    def pattern(self, df: DataFrame | None, paths: list[S.Path], kinds: dict[str, str]) -> tuple[DataFrame, list[Column]]:
-        """Extend df by the paths. kinds gets the new variables; inline conditions on old ones are returned."""
+    def pattern(self, df: DataFrame | None, paths: list[S.Path], kinds: dict[str, str], where: tuple | None = None) -> tuple[DataFrame, list[Column]]:
+        """Extend df by the paths. kinds gets the new variables; inline conditions on old ones are returned.
+
+        What `where` says of the variables before a variable-length relationship is applied before that grows paths; the
+        caller applies all of it in the end.
+        """
         used: list[tuple[str, bool]] = []  # relationships of this clause, for uniqueness
         tests: list[Column] = []
         for path in paths:
@@ -264,7 +311,15 @@ class _Part:
                         df = scan if df is None else df.crossJoin(scan)
                 else:
                     r = rel.var or f"_r{next(self.anonymous)}"
-                    edges = self.hops_of(r, rel) if rel.hops else self.edges_of(r, rel, self.named.get(rel.var, set()) | {key for key, _ in rel.props})
+                    if rel.hops:
+                        for t in tests:
+                            df = df.filter(t)
+                        tests.clear()
+                        for e in conjuncts(where):
+                            if simple(e) and set(mentioned([S.Match([], e, False)])) <= set(kinds):
+                                df = df.filter(self.value(e, kinds, df))
+                        seeds = df.select(*[F.col(f"`{names[k - 1]}:{c}`").alias(c) for c in ("label", "id")]).distinct()
+                    edges = self.hops_of(r, rel, seeds) if rel.hops else self.edges_of(r, rel, self.named.get(rel.var, set()) | {key for key, _ in rel.props})
                     before = names[k - 1]
                     on = [(f"{before}:id", f"{r}:from:id"), (f"{before}:label", f"{r}:from:label")]
                     if var in kinds:
@@ -303,7 +358,7 @@ class _Part:
 
     def match(self, clause: S.Match) -> None:
         if not clause.optional:
-            df, tests = self.pattern(self.df, clause.paths, self.kinds)
+            df, tests = self.pattern(self.df, clause.paths, self.kinds, clause.where)
             for t in tests:
                 df = df.filter(t)
             self.df = self.where(df, clause.where, self.kinds)
@@ -315,7 +370,7 @@ class _Part:
         seeds = base.columns if outer_used or any(old[v] != "node" for v in shared) else [f"{v}:{c}" for v in shared for c in self.held(base, v)]
         # matches are found for distinct keys and joined back, so rows of the base keep their number
         keys = base.select(*[F.col(f"`{c}`") for c in seeds]).distinct() if seeds else None
-        df, tests = self.pattern(keys, clause.paths, inner)
+        df, tests = self.pattern(keys, clause.paths, inner, clause.where)
         for t in tests:
             df = df.filter(t)
         df = self.where(df, clause.where, inner)
@@ -360,7 +415,7 @@ class _Part:
         seeds = list(dict.fromkeys(c for c in seeds if c in df.columns))
         inner_kinds = {v: kinds[v] for v in shared}
         keys = df.select(*[F.col(f"`{c}`") for c in seeds]).distinct() if seeds else None
-        found, tests = self.pattern(keys, e[1], inner_kinds)
+        found, tests = self.pattern(keys, e[1], inner_kinds, e[2])
         for t in tests:
             found = found.filter(t)
         found = self.where(found, e[2], inner_kinds)
@@ -579,84 +634,153 @@ class _Part:
 
     # --- updates: each makes new DataFrames for the session's graph
     def create(self, clause: S.Create) -> None:
-        rows = self.frame()
+        """MERGE finds or makes each node by its label and properties, then each relationship by its ends, type and properties."""
+        if clause.on:
+            self.df = self.frame().withColumn("_made", F.lit(False))
         for path in clause.paths:
-            ends = []
-            for n in path.nodes:
-                var = n.var or f"_n{next(self.anonymous)}"
-                if var not in self.kinds:
-                    label = n.labels[0] if n.labels else "Any"
-                    known = self.graph.nodes.get(label)
-                    props = {key: self.value(v, self.kinds, rows) for key, v in n.props}
-                    if clause.merge and known is not None and props:
-                        there = known.filter(reduce(lambda a, b: a & b, [F.col(k) == v for k, v in props.items()]))
-                        if not there.isEmpty():
-                            continue
-                    if "id" not in props:
-                        start = (known.agg(F.max("id")).first()[0] or 0) + 1 if known is not None else 1
-                        props["id"] = F.lit(start) + F.monotonically_increasing_id()
-                    made = {f"{var}:{k}": v for k, v in props.items()}
-                    rows = rows.withColumns({f"{var}:label": F.lit(label), **made})
-                    new = rows.select(*[F.col(f"`{var}:{k}`").alias(k) for k in props])
-                    self.graph.nodes[label] = new if known is None else known.unionByName(new, allowMissingColumns=True)
-                    self.kinds[var] = "node"
-                ends.append(var)
+            ends = [self.made_node(n, clause) for n in path.nodes]
             for r, a, b in zip(path.rels, ends, ends[1:], strict=False):
-                a, b = (b, a) if r.direction == "in" else (a, b)
-                props = {key: self.value(v, self.kinds, rows) for key, v in r.props}
-                new = rows.select(F.col(f"`{a}:id`").alias("src"), F.col(f"`{b}:id`").alias("dst"), *[v.alias(k) for k, v in props.items()])
-                for start, end in [(x["a"], x["b"]) for x in rows.select(F.col(f"`{a}:label`").alias("a"), F.col(f"`{b}:label`").alias("b")).distinct().collect()]:
-                    part = rows.filter((F.col(f"`{a}:label`") == start) & (F.col(f"`{b}:label`") == end)).select(F.col(f"`{a}:id`").alias("src"), F.col(f"`{b}:id`").alias("dst"), *[v.alias(k) for k, v in props.items()]) if len(self.graph.nodes) > 1 else new
-                    self.add_edges(r.types[0], start, end, part)
-        self.df = rows
+                self.made_edge(r, *((b, a) if r.direction == "in" else (a, b)), clause)
+        for when, items in clause.on:
+            self.change(S.Change("set", items), F.col("_made") == F.lit(when == "create"))
+        if clause.on:
+            self.df = self.df.drop("_made")
+
+    def given(self, item: S.Node | S.Rel) -> dict[str, str]:
+        """Adds a column for each inline property's value; the columns by property."""
+        rows, names = self.frame(), {key: f"_given{next(self.anonymous)}" for key, _ in item.props}
+        self.df = rows.withColumns({names[key]: self.value(v, self.kinds, rows) for key, v in item.props})
+        return names
+
+    def made_node(self, n: S.Node, clause: S.Create) -> str:
+        var = n.var or f"_n{next(self.anonymous)}"
+        if var in self.kinds:
+            return var
+        label = n.labels[0] if n.labels else "Any"
+        known, given = self.graph.nodes.get(label), self.given(n)
+        need = self.named.get(var, set()) | set(given)
+        wanted = self.df
+        if clause.merge:
+            wanted = wanted.select(F.lit(1).alias("_one"), *given.values()).distinct()
+            if known is not None and set(given) <= set(known.columns):
+                same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(key)) for key, c in given.items()], F.lit(True))
+                wanted = wanted.join(known.select(*given), same, "left_anti") if given else wanted.filter(F.lit(known.isEmpty()))
+        new_id = f"_id{next(self.anonymous)}"
+        if "id" in given:
+            made = wanted.withColumn(new_id, F.col(given["id"]))
+        else:  # rows are checkpointed with their ids, which are not the same when made again
+            least = (known.agg(F.max("id")).first()[0] or 0) + 1 if known is not None else 1
+            made = checkpointed(wanted.withColumn(new_id, F.lit(least) + F.monotonically_increasing_id()))
+        new = made.select(F.col(new_id).alias("id"), *[F.col(c).alias(key) for key, c in given.items() if key != "id"])
+        self.graph.nodes[label] = new if known is None else known.unionByName(new, allowMissingColumns=True)
+        if clause.merge:
+            nodes = self.nodes_of(var, [label], need)
+            same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"`{var}:{key}`")) for key, c in given.items()], F.lit(True))
+            rows = self.df.join(nodes, same)
+            if clause.on:
+                fresh = new.select(F.col("id").alias(new_id)).distinct().withColumn("_fresh", F.lit(True))
+                rows = rows.join(fresh, F.col(f"`{var}:id`") == F.col(new_id), "left").withColumn("_made", F.col("_made") | F.coalesce("_fresh", F.lit(False))).drop(new_id, "_fresh")
+        else:
+            rows = made.withColumns({f"{var}:label": F.lit(label), f"{var}:id": F.col(new_id), **{f"{var}:{key}": F.col(c) for key, c in given.items() if key != "id"}})
+        self.df, self.kinds[var] = rows.drop(new_id, *given.values()), "node"
+        return var
+
+    def made_edge(self, r: S.Rel, a: str, b: str, clause: S.Create) -> None:
+        var, kind = r.var or f"_r{next(self.anonymous)}", r.types[0]
+        given = self.given(r)
+        ends = [f"{x}:{c}" for x in (a, b) for c in ("label", "id")]
+        need = self.named.get(var, set()) | set(given)
+        way = S.Rel(None, [kind], "both" if r.direction == "both" else "out")
+
+        def joined(edges: DataFrame) -> Column:
+            tests = [F.col(f"`{x}`") == F.col(f"`{var}:{y}`") for x, y in zip(ends, ("from:label", "from:id", "to:label", "to:id"), strict=True)]
+            return reduce(lambda p, q: p & q, [*tests, *[F.col(c).eqNullSafe(F.col(f"`{var}:{key}`")) if f"{var}:{key}" in edges.columns else F.lit(False) for key, c in given.items()]])
+
+        wanted = self.df
+        if clause.merge:
+            there = self.edges_of(var, way, need)
+            wanted = wanted.select(*[F.col(f"`{c}`") for c in ends], *given.values()).distinct().join(there, joined(there), "left_anti")
+        new_id = f"_id{next(self.anonymous)}"
+        made = checkpointed(wanted.withColumn(new_id, F.concat(F.lit(f"{uuid.uuid4().hex}:"), F.monotonically_increasing_id().cast("string"))))
+        for start, end in made.select(F.col(f"`{a}:label`"), F.col(f"`{b}:label`")).distinct().collect():  # pairs of labels
+            part = made.filter((F.col(f"`{a}:label`") == start) & (F.col(f"`{b}:label`") == end))
+            self.add_edges(kind, start, end, part.select(F.col(f"`{a}:id`").alias("src"), F.col(f"`{b}:id`").alias("dst"), F.col(new_id).alias("eid"), *[F.col(c).alias(key) for key, c in given.items()]))
+        if clause.merge:
+            edges = self.edges_of(var, way, need)
+            rows = self.df.join(edges, joined(edges))
+            if clause.on:
+                fresh = made.select(F.concat(F.lit(kind + ":"), new_id).alias(new_id), F.lit(True).alias("_fresh"))
+                rows = rows.join(fresh, F.col(f"`{var}:eid`") == F.col(new_id), "left").withColumn("_made", F.col("_made") | F.coalesce("_fresh", F.lit(False))).drop(new_id, "_fresh")
+        else:
+            froms = {f"{var}:{y}": F.col(f"`{x}`") for x, y in zip(ends, ("from:label", "from:id", "to:label", "to:id"), strict=True)}
+            rows = made.withColumns({f"{var}:type": F.lit(kind), **froms, f"{var}:eid": F.concat(F.lit(kind + ":"), F.col(new_id)), **{f"{var}:{key}": F.col(c) for key, c in given.items()}})
+        self.df, self.kinds[var] = rows.drop(new_id, *given.values()), "rel"
 
     def add_edges(self, kind: str, start: str, end: str, new: DataFrame) -> None:
         held = self.graph.rels.setdefault(kind, [])
         for k, (a, b, d) in enumerate(held):
             if (a, b) == (start, end):
+                d = d.withColumn("eid", F.col("eid").cast("string")) if "eid" in d.columns else d
                 held[k] = (a, b, d.unionByName(new, allowMissingColumns=True))
                 return
         held.append((start, end, new))
 
-    def change(self, clause: S.Change) -> None:
-        rows = self.frame()
+    def change(self, clause: S.Change, only: Column | None = None) -> None:
+        """SET, REMOVE and DELETE, for the rows where `only` holds."""
         for item in clause.items:
             target = item[1] if item[0] == "assign" else item
             if target[0] not in ("prop", "var"):
                 raise S.BindProblem("labels can't be changed on a typed graph")
+            if target[0] == "var" and clause.kind in ("set", "remove"):
+                raise S.BindProblem("properties are set one by one")
             var = target[1][1] if target[0] == "prop" else target[1]
-            if self.kinds.get(var) == "rel":
-                self.delete_edges(rows, var) if clause.kind in ("delete", "detach") else None
+            if self.kinds.get(var) not in ("node", "rel"):
+                raise S.BindProblem(f"variable {var} is no node or relationship")
+            rows = self.frame()
+            some = rows if only is None else rows.filter(only)
+            if clause.kind in ("delete", "detach"):
+                (self.delete_edges if self.kinds[var] == "rel" else self.delete_nodes)(some, var, clause.kind == "detach")
                 continue
-            if self.kinds.get(var) != "node":
-                raise S.BindProblem(f"variable {var} is no node")
-            for label in [r[0] for r in rows.select(F.col(f"`{var}:label`")).distinct().collect() if r[0]]:
-                own = rows.filter(F.col(f"`{var}:label`") == label)
-                table = self.graph.nodes[label]
-                if clause.kind in ("delete", "detach"):
-                    gone = own.select(F.col(f"`{var}:id`").alias("id")).distinct()
-                    self.graph.nodes[label] = table.join(gone, "id", "left_anti")
-                    for kind, held in self.graph.rels.items():
-                        for k, (a, b, d) in enumerate(held):
-                            d = d.join(gone.withColumnRenamed("id", "src"), "src", "left_anti") if a == label else d
-                            d = d.join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti") if b == label else d
-                            self.graph.rels[kind][k] = (a, b, d)
+            key, new = target[2], self.value(item[2], self.kinds, rows) if clause.kind == "set" else F.lit(None)
+            own = "id" if self.kinds[var] == "node" else "eid"
+            changed = some.groupBy(F.col(f"`{var}:{'label' if own == 'id' else 'type'}`").alias("__kind"), F.col(f"`{var}:{own}`").alias("__own")).agg(F.last(new).alias("__new"), F.lit(True).alias("__hit"))
+            for kind in self.kinds_of(some, var):
+                hit = changed.filter(F.col("__kind") == kind).drop("__kind")
+                if own == "id":
+                    self.graph.nodes[kind] = self.updated(self.graph.nodes[kind], F.col("id"), hit, key)
                 else:
-                    new = self.value(item[2], self.kinds, rows) if clause.kind == "set" else F.lit(None)
-                    changed = own.groupBy(F.col(f"`{var}:id`").alias("id")).agg(F.last(new).alias("__new"), F.lit(True).alias("__hit"))
-                    key = target[2]
-                    kept = F.col(key) if key in table.columns else F.lit(None)
-                    self.graph.nodes[label] = table.join(changed, "id", "left").withColumn(key, F.when(F.col("__hit"), F.col("__new")).otherwise(kept)).drop("__new", "__hit")
-            if clause.kind in ("set", "remove"):
-                rows = rows.withColumn(f"{var}:{target[2]}", self.value(item[2], self.kinds, rows) if clause.kind == "set" else F.lit(None))
-        self.df = rows
-
-    def delete_edges(self, rows: DataFrame, var: str) -> None:
-        gone = rows.select(*[F.col(f"`{var}:{c}`").alias(f"gone {c}") for c in ("type", "from:id", "to:id")]).distinct()
-        for kind, held in self.graph.rels.items():
-            for k, (a, b, d) in enumerate(held):
-                on = (F.col("gone type") == kind) & ((F.col("src") == F.col("gone from:id")) & (F.col("dst") == F.col("gone to:id")) | (F.col("src") == F.col("gone to:id")) & (F.col("dst") == F.col("gone from:id")))
-                held[k] = (a, b, d.join(gone, on, "left_anti"))
+                    self.graph.rels[kind] = [(a, b, self.updated(d, self.edge_key(kind, a, b, d), hit, key)) for a, b, d in self.graph.rels[kind]]
+            held = f"{var}:{key}"
+            old = F.col(f"`{held}`") if held in rows.columns else F.lit(None)
+            self.df = rows.withColumn(held, new if only is None else F.when(only, new).otherwise(old))
+
+    def kinds_of(self, rows: DataFrame, var: str) -> list[str]:
+        """The labels or types that a variable has; as many as the graph's tables at most."""
+        return [r[0] for r in rows.select(F.col(f"`{var}:{'label' if self.kinds[var] == 'node' else 'type'}`")).distinct().collect() if r[0]]
+
+    @staticmethod
+    def updated(table: DataFrame, own: Column, changed: DataFrame, key: str) -> DataFrame:
+        kept = F.col(key) if key in table.columns else F.lit(None)
+        joined = table.withColumn("__id", own).join(changed, F.col("__id") == F.col("__own"), "left")
+        return joined.withColumn(key, F.when(F.col("__hit"), F.col("__new")).otherwise(kept)).drop("__id", "__own", "__new", "__hit")
+
+    def delete_nodes(self, rows: DataFrame, var: str, detach: bool) -> None:
+        for label in self.kinds_of(rows, var):
+            gone = rows.filter(F.col(f"`{var}:label`") == label).select(F.col(f"`{var}:id`").alias("id")).distinct()
+            for kind, held in self.graph.rels.items():
+                for k, (a, b, d) in enumerate(held):
+                    for end in [e for e, x in (("src", a), ("dst", b)) if x == label]:
+                        there = gone.withColumnRenamed("id", end)
+                        if not detach and not d.join(there, end, "left_semi").isEmpty():
+                            raise S.BindProblem(f"a node of {label} has relationships; DETACH DELETE deletes these too")
+                        d = d.join(there, end, "left_anti")
+                    self.graph.rels[kind][k] = (a, b, d)
+            self.graph.nodes[label] = self.graph.nodes[label].join(gone, "id", "left_anti")
+
+    def delete_edges(self, rows: DataFrame, var: str, detach: bool) -> None:
+        gone = rows.select(F.col(f"`{var}:eid`").alias("__gone")).distinct()
+        for kind in self.kinds_of(rows, var):
+            self.graph.rels[kind] = [(a, b, d.join(gone, self.edge_key(kind, a, b, d) == F.col("__gone"), "left_anti")) for a, b, d in self.graph.rels[kind]]
 
     def foreach(self, clause: S.Foreach) -> None:
         before, kinds = self.df, dict(self.kinds)
