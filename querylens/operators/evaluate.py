@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querylens.functions import text as X
 from querylens.operators.judge import judge_column
 
 METRICS = ("bleu", "em", "exec")
+BLOCKS = 4096  # of a chunk of the running mean
 
 
 def row_metrics(df: DataFrame, completion: str = "completion", backend: str = "typed") -> DataFrame:
@@ -35,11 +38,17 @@ def rollup(rows: DataFrame, source: str = "data_source") -> DataFrame:
 def running_mean(rows: DataFrame, value: str, order: str, every: int = 50) -> DataFrame:
     """Mean of all rows up to each `every`-th one, by a 0-based gapless order column.
 
-    Sums of blocks of `every` rows come first, so the ordered window meets one row per block, not all rows.
+    Sums of blocks of `every` rows come first, then sums of chunks of BLOCKS blocks: only the chunks, a row for each
+    every * BLOCKS rows, are in one ordered window; the blocks are summed up chunk by chunk.
     """
     blocks = rows.groupBy(F.floor(F.col(order) / every).alias("block")).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("k"))
-    upto = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    means = blocks.select("block", "k", (F.sum("s").over(upto) / F.sum("k").over(upto)).alias("running"))
+    blocks = blocks.withColumn("chunk", F.floor(F.col("block") / BLOCKS))
+    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = blocks.groupBy("chunk").agg(F.sum("s").alias("cs"), F.sum("k").alias("ck"))
+    chunks = chunks.select("chunk", F.coalesce(F.sum("cs").over(before), F.lit(0)).alias("cs"), F.coalesce(F.sum("ck").over(before), F.lit(0)).alias("ck"))
+    upto = Window.partitionBy("chunk").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = blocks.select("chunk", "block", "k", F.sum("s").over(upto).alias("s"), F.sum("k").over(upto).alias("n")).join(chunks, "chunk")
+    means = sums.select("block", "k", ((F.col("cs") + F.col("s")) / (F.col("ck") + F.col("n"))).alias("running"))
     return means.filter(F.col("k") == every).select(((F.col("block") + 1) * every - 1).alias(order), "running")
 
 
@@ -47,12 +56,39 @@ def first_rows(df: DataFrame, n: int | None, order: str) -> DataFrame:
     return df if n is None else df.orderBy(order).limit(n)
 
 
-def evaluate(df: DataFrame, order: str = "row_id", completion: str = "completion", max_examples: int | None = None, backend: str = "typed", output_path: str | None = None) -> dict:
+def generator(complete: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A hook for `evaluate` from a function of one prompt, run in Arrow batches; where it fails the completion is empty."""
+
+    def one(prompt: str) -> str:
+        try:
+            return complete(prompt) or ""
+        except Exception:
+            return ""
+
+    @F.pandas_udf("string")
+    def run(prompts: pd.Series) -> pd.Series:
+        return prompts.map(one)
+
+    return run
+
+
+def with_completions(df: DataFrame, completion: str = "completion", prompt_template: str | None = None, generate: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The completion of each row: `generate` of its prompt if given, else the column of that name; null becomes empty."""
+    made = F.col(completion) if generate is None else generate(X.prompt(F.col("schema"), F.col("question"), prompt_template or X.PROMPT))
+    return df.withColumn(completion, F.coalesce(made, F.lit("")))
+
+
+def evaluate(
+    df: DataFrame, order: str = "row_id", completion: str = "completion", max_examples: int | None = None, backend: str = "typed", output_path: str | None = None,
+    prompt_template: str | None = None, generate: Callable[[Column], Column] | None = None,
+) -> dict:
     """The report as a dict: overall, per_source and the first five rows. Writes it as one JSON file if a path is given.
 
-    What comes to the driver is one row per source and five samples.
+    Completions are read from a column, or made by `generate`, a function from the prompt's column to the completion's
+    (see `generator`); `prompt_template` has the places {schema} and {question}. What comes to the driver is one row per
+    source and five samples.
     """
-    rows = row_metrics(first_rows(df, max_examples, order), completion, backend)
+    rows = row_metrics(with_completions(first_rows(df, max_examples, order), completion, prompt_template, generate), completion, backend)
     report: dict = {"overall": dict.fromkeys(("bleu", "em", "execution_accuracy"), 0.0) | {"n": 0}, "per_source": {}, "examples_logged": []}
     for r in rollup(rows).collect():
         entry = {"bleu": r["bleu"], "em": r["em"], "execution_accuracy": r["exec"], "n": r["n"]}

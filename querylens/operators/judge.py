@@ -1,7 +1,7 @@
 """Execution grading on the empty typed graph, and the bundle of row scorers.
 
 Grades: 0.0 no query or one that can't be parsed, 0.3 fails otherwise, 0.7 runs, 1.0 runs and gives the gold query's set of
-rows. Each distinct (schema, pred, gold) is judged once.
+rows. Repeated (schema, pred, gold) are judged once a Python worker, from a bounded cache; no text is shuffled.
 """
 
 from __future__ import annotations
@@ -44,7 +44,8 @@ def execute(schema_text: str | None, query: str | None, backend: str = "typed")
         return True, empty_graph.row_set(empty_graph.execute(query or "", _schema(schema_text) if backend == "typed" else None)), None, None
     except QueryError as problem:
         return False, None, str(problem)[:300], problem.kind
-    except (RecursionError, OverflowError, ArithmeticError) as problem:
+    except (RecursionError, ArithmeticError, MemoryError, TypeError, ValueError, LookupError, AttributeError) as problem:
+        # queries come from models: what the evaluator can't do with their values is the query's error
         return False, None, str(problem)[:300], "runtime"
 
 
@@ -52,6 +53,7 @@ def grade(success: bool, error_kind: str | None) -> float:
     return RAN if success else PARSE if error_kind == "parse" else RUNTIME
 
 
+@lru_cache(maxsize=4096)
 def judge_one(pred: str | None, gold: str | None, schema_text: str | None, backend: str = "typed") -> float:
     """`pred` is an extracted query; `gold` is taken as it is."""
     if not pred:
@@ -83,13 +85,7 @@ def judge_column(df: DataFrame, pred: str, gold: str = "cypher", schema: str = "
     def run(preds: pd.Series, golds: pd.Series, schemas: pd.Series) -> pd.Series:
         return pd.Series([judge_one(p, g, s, backend) for p, g, s in zip(preds, golds, schemas, strict=True)], dtype=float)
 
-    keys = {c: F.coalesce(F.col(c), F.lit("")) for c in (pred, gold, schema)}
-    graded = df.select(*[v.alias(f"__{c}") for c, v in keys.items()]).distinct().withColumn(out, run(*[f"__{c}" for c in keys]))
-    on = None
-    for c, v in keys.items():
-        test = v == F.col(f"__{c}")
-        on = test if on is None else on & test
-    return df.join(graded, on, "left").drop(*[f"__{c}" for c in keys])
+    return df.withColumn(out, run(*[F.coalesce(F.col(c), F.lit("")) for c in (pred, gold, schema)]))
 
 
 def rowset_equal(a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from querylens.plans.checkpoints import checkpointed
 from querylens.plans.frames import PropertyGraph
 
 # one schema text of each format, and one that is none
@@ -78,18 +79,23 @@ T2C_SQL = f"""t2c AS (
 )"""
 
 
-def strided_sample(df: DataFrame, order: str, about: int = 200) -> DataFrame:
+def strided_sample(df: DataFrame, order: str, about: int = 200, parts: int = 256) -> DataFrame:
     """Every k-th row in the order of a unique column, k chosen for at least `about` rows (all, if there are fewer).
 
-    The order's ranks come from range partitions: rows are counted per partition, and each partition numbers its own.
+    Ranks come from range partitions of that column alone: each numbers its own rows and goes on from the counts of those
+    before it. The partitions are checkpointed once, so both steps see the same ones. Rows are read again for the chosen
+    values, of which there are fewer than 2 * about + 1, or n of them where n < 2 * about.
     """
-    ordered = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    step = max(1, df.count() // about)
+    keys = df.select(F.col(order).alias("__key")).repartitionByRange(parts, "__key").withColumn("__part", F.spark_partition_id())
+    keys = checkpointed(keys)
+    counts = keys.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    inside = Window.partitionBy("__part").orderBy(order)
-    ranked = ordered.withColumn("__k", F.row_number().over(inside) - 1).join(F.broadcast(starts), "__part")
-    return ranked.filter((F.col("__start") + F.col("__k")) % step == 0).select(*df.columns)
+    starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")  # a row for each partition
+    step = max(1, keys.count() // about)
+    inside = Window.partitionBy("__part").orderBy("__key")
+    ranked = keys.withColumn("__k", F.row_number().over(inside) - 1).join(F.broadcast(starts), "__part")
+    chosen = ranked.filter((F.col("__start") + F.col("__k")) % step == 0).select("__key")
+    return df.join(F.broadcast(chosen), F.col(order).eqNullSafe(F.col("__key")), "left_semi")
 
 
 def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
