@@ -19,15 +19,12 @@ from pyspark.sql import types as T
 from querylens.functions.text import STRING_LITERAL
 
 # fixed values: what clauses, nodes and relationships look like
-CLAUSE = (
-    r"\b(?:MATCH|OPTIONAL\s+MATCH|CREATE|MERGE)\b\s*(.+?)"
-    r"(?=\b(?:WHERE|RETURN|WITH|MATCH|OPTIONAL\s+MATCH|CREATE|MERGE|DELETE|SET|REMOVE|UNWIND|UNION|CALL|FOREACH|ORDER\s+BY|LIMIT|SKIP|$)\b)"
-)
+CLAUSE = r"\b(?:MATCH|OPTIONAL\s+MATCH|CREATE|MERGE)\b\s*(.+?)(?=\b(?:WHERE|RETURN|WITH|MATCH|OPTIONAL\s+MATCH|CREATE|MERGE|DELETE|SET|REMOVE|UNWIND|UNION|CALL|FOREACH|ORDER\s+BY|LIMIT|SKIP|$)\b)"
 NODE = r"\(\s*([A-Za-z_][A-Za-z0-9_]*)?\s*(?::\s*([A-Za-z_][A-Za-z0-9_]*(?:\s*\|\s*[A-Za-z_][A-Za-z0-9_]*)*))?\s*(\{[^}]*\})?\s*\)"
 RELATIONSHIP = r"-\s*\[\s*([A-Za-z_][A-Za-z0-9_]*)?\s*(?::\s*([A-Za-z_][A-Za-z0-9_]*(?:\s*\|\s*[A-Za-z_][A-Za-z0-9_]*)*))?\s*(\*[^]]*)?\s*(\{[^}]*\})?\s*\]\s*(-?\>?)"
 UNLABELED = "_unlabeled_"
 MAX_SIZE = 20
-BUDGET = 50_000
+BUDGET = 10_000  # expansions of one edit distance, about three seconds
 
 GRAPH = T.StructType(
     [
@@ -104,11 +101,12 @@ def label_overlap(pred: Column, gold: Column) -> Column:
     return 0.5 * F.size(F.array_intersect(pred, gold)) / F.greatest(F.size(F.array_distinct(gold)), F.lit(1))
 
 
-def edit_distance(a: tuple, b: tuple, budget: int = BUDGET) -> float:
-    """Least number of node and edge insertions, deletions and relabelings between two pattern graphs.
+def edit_distance(a: tuple, b: tuple, budget: int | None = None) -> tuple[float, bool]:
+    """Least number of node and edge insertions, deletions and relabelings between two pattern graphs, and if it is exact.
 
-    Branch and bound over node assignments; when the budget of expansions runs out, the best distance found so far, which is
-    never below the exact one.
+    Branch and bound over node assignments: what is left costs at least what the multisets of labels and of types of the
+    nodes and edges left differ in. Without a budget the search ends by itself and is exact; when a budget of expansions
+    runs out, the best distance found so far is given, which is never below the exact one.
     """
     (la, ea), (lb, eb) = a, b
 
@@ -121,9 +119,11 @@ def edit_distance(a: tuple, b: tuple, budget: int = BUDGET) -> float:
     wa, wb = between(ea), between(eb)
     none = Counter()
     unlike = lambda x, y: max(x.total(), y.total()) - (x & y).total()
-    best = [len(la) + len(lb) + len(ea) + len(eb), budget]
+    best, left = len(la) + len(lb) + len(ea) + len(eb), float("inf") if budget is None else budget
+    # of the edges of a, the types of those that end at node i or later
+    after_a = [Counter(t for s, d, t in ea if max(s, d) >= i) for i in range(len(la) + 1)]
 
-    def edge_cost(done: list[int | None], i: int, j: int | None) -> int:
+    def edge_cost(done: tuple, i: int, j: int | None) -> int:
         """Of the edges between node i, mapped to j, and the nodes mapped before, and of its loops."""
         cost = 0
         for k, m in [*enumerate(done), (i, j)]:
@@ -133,38 +133,44 @@ def edit_distance(a: tuple, b: tuple, budget: int = BUDGET) -> float:
                 cost += unlike(x, y)
         return cost
 
-    def search(done: list[int | None], cost: int) -> None:
+    def bound(done: tuple) -> int:
+        used = {j for j in done if j is not None}
+        nodes = unlike(Counter(la[len(done) :]), Counter(x for j, x in enumerate(lb) if j not in used))
+        return nodes + unlike(after_a[len(done)], Counter(t for s, d, t in eb if s not in used or d not in used))
+
+    todo: list[tuple[int, tuple]] = [(0, ())]
+    while todo:
+        cost, done = todo.pop()
+        if cost + bound(done) >= best:
+            continue
+        if left <= 0:
+            return float(best), False
+        left -= 1
         i = len(done)
-        left_b = [lb[j] for j in range(len(lb)) if j not in done]
-        bound = max(len(la) - i, len(left_b)) - (Counter(la[i:]) & Counter(left_b)).total()
-        if cost + bound >= best[0] or best[1] <= 0:
-            return
-        best[1] -= 1
         if i == len(la):
-            rest = {j for j in range(len(lb)) if j not in done}
-            total = cost + len(rest) + sum(1 for s, d, _ in eb if s in rest or d in rest)
-            best[0] = min(best[0], total)
-            return
+            best = cost + bound(done)  # all that is left is insertions
+            continue
         options = [(edge_cost(done, i, j) + (la[i] != lb[j]), j) for j in range(len(lb)) if j not in done]
         options.append((edge_cost(done, i, None) + 1, None))
-        for extra, j in sorted(options, key=lambda o: (o[0], o[1] is None)):
-            search([*done, j], cost + extra)
+        todo += [(cost + extra, (*done, j)) for extra, j in sorted(options, key=lambda o: (o[0], o[1] is None), reverse=True)]
+    return float(best), True
 
-    search([], 0)
-    return float(best[0])
 
+def ged_score(pred: str | None, gold: str | None, budget: int | None = BUDGET) -> tuple[float, bool]:
+    """Of two queries, after extraction of `pred`: 1 - distance / larger size; label overlap for large graphs; 0 for empty ones.
 
-def ged_score(pred: str | None, gold: str | None) -> float:
-    """Of two queries, after extraction of `pred`: 1 - distance / larger size; label overlap for large graphs; 0 for empty ones."""
+    The second value tells if the score is exact, that is if the budget was enough; without a budget it always is.
+    """
     if not pred or not gold:
-        return 0.0
+        return 0.0, True
     a, b = pattern_graph(pred), pattern_graph(gold)
     size = [len(g[0]) + len(g[1]) for g in (a, b)]
     if not all(size):
-        return 0.0
+        return 0.0, True
     if max(size) > MAX_SIZE:
-        return 0.5 * len({*a[0]} & {*b[0]}) / max(len({*b[0]}), 1)
-    return max(0.0, 1 - edit_distance(a, b) / max(size))
+        return 0.5 * len({*a[0]} & {*b[0]}) / max(len({*b[0]}), 1), True
+    distance, exact = edit_distance(a, b, budget)
+    return max(0.0, 1 - distance / max(size)), exact
 
 
 def string_ratio(pred: str | None, gold: str | None) -> float:
@@ -172,10 +178,22 @@ def string_ratio(pred: str | None, gold: str | None) -> float:
     return difflib.SequenceMatcher(None, gold.strip(), pred.strip()).ratio() if pred and gold else 0.0
 
 
-@F.pandas_udf(T.DoubleType())
-def ged_column(pred: pd.Series, gold: pd.Series) -> pd.Series:
-    cached = lru_cache(maxsize=4096)(ged_score)
-    return pd.Series([cached(p, g) for p, g in zip(pred, gold, strict=True)], dtype=float)
+GED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("exact", T.BooleanType())])
+
+
+def ged_struct(pred: str | Column, gold: str | Column, budget: int | None = BUDGET) -> Column:
+    """Struct (score, exact) of each row; with no budget every score is exact, however long that takes."""
+
+    @F.pandas_udf(GED)
+    def run(preds: pd.Series, golds: pd.Series) -> pd.DataFrame:
+        cached = lru_cache(maxsize=4096)(lambda p, g: ged_score(p, g, budget))
+        return pd.DataFrame([cached(p, g) for p, g in zip(preds, golds, strict=True)], columns=GED.names)
+
+    return run(pred, gold)
+
+
+def ged_column(pred: str | Column, gold: str | Column, budget: int | None = BUDGET) -> Column:
+    return ged_struct(pred, gold, budget)["score"]
 
 
 @F.pandas_udf(T.DoubleType())

@@ -11,7 +11,7 @@ from querylens.functions import text as X
 from querylens.operators import evaluate as ev
 from querylens.operators import judge, pattern
 from querylens.operators import schema as sc
-from querylens.plans.frames import GraphSession
+from querylens.plans.frames import GraphSession, PropertyGraph
 from querylens.sources import adapters as ad
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,6 +218,28 @@ def _schemas(spark, sf_dir):
     return _t2c(spark, sf_dir).select("schema").distinct()
 
 
+# a schema text of its own for each customer, in one of the three formats; labels, properties and their kinds differ
+_VARIED = [("name", "STRING"), ("size", "INTEGER"), ("price", "FLOAT"), ("born", "DATE"), ("tags", "LIST")]
+
+
+def _varied(spark, sf_dir):
+    key = F.col("c_custkey")
+    k = key.cast("string")
+    props = F.slice(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(t).alias("t")) for n, t in _VARIED]), F.lit(1), (key % 6).cast("int"))
+    joined = lambda f, by: F.array_join(F.transform(props, f), by)
+    markdown = F.concat(F.lit("Node properties:\n- **L"), k, F.lit("**\n"), joined(lambda p: F.concat(F.lit("  - `"), p.n, F.lit("`: "), p.t, F.lit("\n")), ""), F.lit("Relationships:\n(:L"), k, F.lit(")-[:R"), k, F.lit("]->(:M"), k, F.lit(")"))
+    inner = joined(lambda p: F.concat(F.lit('"'), p.n, F.lit('": {"type": "'), p.t, F.lit('"}')), ", ")
+    json = F.concat(F.lit('{"L'), k, F.lit('": {"type": "node", "properties": {'), inner, F.lit('}}, "R'), k, F.lit('": {"type": "relationship", "from": ["L'), k, F.lit('"], "to": ["M'), k, F.lit('"]}}'))
+    blocks = F.concat(F.lit("L"), k, F.lit(" {"), joined(lambda p: F.concat(p.n, F.lit(": "), p.t), ", "), F.lit("}\n{'start': L"), k, F.lit(", 'type': R"), k, F.lit(", 'end': M"), k, F.lit("}"))
+    text = F.when(key % 3 == 0, markdown).when(key % 3 == 1, json).otherwise(blocks)
+    return ad.read_table(spark, sf_dir, "customer").filter(key % 6 > 0).select("c_custkey", text.alias("schema"))
+
+
+@query(f"SELECT c_custkey, 'CREATE NODE TABLE L' || c_custkey || '(id INT64, ' || array_to_string([{', '.join(ad._text(f'{n} {sc.TYPES.get(t, chr(83) + 'TRING')}') for n, t in _VARIED)}][1:c_custkey % 6], ', ') || ', PRIMARY KEY (id));' || chr(10) || 'CREATE NODE TABLE M' || c_custkey || '(id INT64, PRIMARY KEY (id));' || chr(10) || 'CREATE REL TABLE R' || c_custkey || '(FROM L' || c_custkey || ' TO M' || c_custkey || ');' AS ddl FROM customer WHERE c_custkey % 6 > 0")
+def schema_compile_varied(spark, sf_dir):
+    return sc.compile_column(_varied(spark, sf_dir)).select("c_custkey", "ddl")
+
+
 @query(f"{_T2C}, r AS (SELECT DISTINCT schema, unnest(regexp_extract_all(schema, {ad._text(sc.ARROW)})) AS hit FROM t2c) SELECT schema, regexp_extract(hit, {ad._text(sc.ARROW)}, 2) AS type, regexp_extract(hit, {ad._text(sc.ARROW)}, 1) AS src, regexp_extract(hit, {ad._text(sc.ARROW)}, 3) AS dst FROM r")
 def schema_rels_arrow(spark, sf_dir):
     return _schemas(spark, sf_dir).select("schema", F.explode(sc.arrow_relationships(F.col("schema"))).alias("r")).select("schema", "r.*")
@@ -341,6 +363,41 @@ def ged_score(spark, sf_dir):
     return _pred(spark, sf_dir).select("row_id", F.round(pattern.ged_column("pred", "cypher"), 9).alias("ged"))
 
 
+@query()
+def ged_exact(spark, sf_dir):
+    """The score without a budget, and whether the budget would have cut it."""
+    d = _pred(spark, sf_dir)
+    return d.select("row_id", F.round(pattern.ged_column("pred", "cypher", None), 9).alias("ged"), pattern.ged_struct("pred", "cypher")["exact"].alias("within_budget"))
+
+
+# patterns of three arrows, by key: the types differ, each way of the arrow is met, and a comma starts a new path
+_ARROW_SQL = "CASE s_suppkey % 3 WHEN 0 THEN '-[:T' || s_suppkey || ']->' WHEN 1 THEN '-[x:T' || s_suppkey || '|Z]-' ELSE '<-[:T' || s_suppkey || ' {k: 1}]-' END"
+
+
+def _arrows(spark, sf_dir):
+    k = F.col("s_suppkey").cast("string")
+    way = F.col("s_suppkey") % 3
+    arrow = F.when(way == 0, F.concat(F.lit("-[:T"), k, F.lit("]->"))).when(way == 1, F.concat(F.lit("-[x:T"), k, F.lit("|Z]-"))).otherwise(F.concat(F.lit("<-[:T"), k, F.lit(" {k: 1}]-")))
+    text = F.concat(F.lit("MATCH (a:A)"), arrow, F.lit("(b:B)-[:S]->(c), (c)"), arrow, F.lit("(a) WHERE a.x = '(z)-[:No]->(y)' OPTIONAL MATCH (a)-[:U]->(:D) RETURN a"))
+    return ad.read_table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("text"))
+
+
+@query(
+    "WITH e(src, dst, type, way) AS (VALUES ('n0', 'n1', 'T', 0), ('n1', 'n0', 'T', 1), ('n1', 'n2', 'S', 0), ('n2', 'n0', 'T', 0), ('n0', 'n2', 'T', 1), ('n0', 'n3', 'U', 0)) "
+    "SELECT s_suppkey, src, dst, CASE type WHEN 'T' THEN 'T' || s_suppkey ELSE type END AS type FROM supplier, e WHERE way = 0 OR s_suppkey % 3 <> 0"
+)
+def graph_edges(spark, sf_dir):
+    d = _arrows(spark, sf_dir).select("s_suppkey", F.explode(pattern.graph_column("text")["edges"]).alias("e"))
+    return d.select("s_suppkey", "e.src", "e.dst", "e.type")
+
+
+@query(
+    f"SELECT s_suppkey, unnest(['(a:A)' || {_ARROW_SQL} || '(b:B)-[:S]->(c), (c)' || {_ARROW_SQL} || '(a) ', '(a)-[:U]->(:D) ']) AS body FROM supplier"
+)
+def clause_segments(spark, sf_dir):
+    return _arrows(spark, sf_dir).select("s_suppkey", F.explode(pattern.clause_bodies(F.col("text"))).alias("body"))
+
+
 # --- judging
 @query(f"{_T2C} SELECT row_id, {_GRADE} AS grade FROM t2c")
 def judge_grades(spark, sf_dir):
@@ -364,6 +421,27 @@ def error_kind_schemaless(spark, sf_dir):
     return d.select("row_id", "r.error_kind")
 
 
+_HOSTILE = [
+    ("UNWIND range(1, 1000000000) AS x RETURN x", "timeout"),
+    ("UNWIND range(1, 1000) AS x UNWIND range(1, 1000) AS y UNWIND range(1, 1000) AS z RETURN x", "timeout"),
+    ("WITH 7 AS x " + "WITH x * x AS x " * 9 + "RETURN x", "runtime"),
+    ("RETURN " + "(" * 2000 + "1", "runtime"),
+    ("CALL db.labels() YIELD label RETURN label", "runtime"),
+    ("RETURN size(range(1, 1000000000)) AS n", None),
+    ("RETURN " + "[" * 9, "parse"),
+]
+
+
+@query(f"WITH h(k, kind) AS (VALUES {', '.join(f'({k}, {ad._text(kind) if kind else chr(78) + chr(85) + chr(76) + chr(76)})' for k, (_, kind) in enumerate(_HOSTILE))}) SELECT c_custkey, kind AS error_kind, CASE kind WHEN 'parse' THEN 0.0 WHEN 'timeout' THEN 0.3 WHEN 'runtime' THEN 0.3 ELSE 0.7 END::DOUBLE AS grade FROM customer JOIN h ON k = c_custkey % {len(_HOSTILE)} WHERE c_custkey < 70")
+def judge_hostile(spark, sf_dir):
+    """Completions made to break a judge: each ends within its budget, with a grade."""
+    key = F.col("c_custkey")
+    text = F.get(F.array(*[F.lit(q) for q, _ in _HOSTILE]), (key % len(_HOSTILE)).cast("int"))
+    d = ad.read_table(spark, sf_dir, "customer").filter(key < 70).select("c_custkey", text.alias("pred"), F.lit("MATCH (c:Customer) RETURN c").alias("cypher"), F.lit(ad.SCHEMAS[0]).alias("schema"))
+    d = judge.judge_column(d, "pred").withColumn("r", judge.execution_column(F.col("pred"), F.col("schema")))
+    return d.select("c_custkey", "r.error_kind", "grade")
+
+
 @query("SELECT a.o_custkey AS k, (SELECT list(DISTINCT o_orderstatus ORDER BY o_orderstatus) FROM orders x WHERE x.o_custkey = a.o_custkey) = (SELECT list(DISTINCT o_orderstatus ORDER BY o_orderstatus) FROM orders y WHERE y.o_custkey = a.o_custkey + 1) AS same FROM (SELECT DISTINCT o_custkey FROM orders) a WHERE EXISTS (SELECT 1 FROM orders z WHERE z.o_custkey = a.o_custkey + 1)")
 def rowset_equal(spark, sf_dir):
     rows = ad.read_table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_list("o_orderstatus").alias("r"))
@@ -378,6 +456,13 @@ def composite_reward(spark, sf_dir):
     return d.select("row_id", F.round("reward", 9).alias("reward"))
 
 
+@query(f"{_T2C} SELECT row_id, 0.0::DOUBLE AS r_judge, 0.0::DOUBLE AS r_string, 0.0::DOUBLE AS r_ged, 0.0::DOUBLE AS r_length, 0.0::DOUBLE AS reward FROM t2c")
+def missing_inputs(spark, sf_dir):
+    """Scores of rows that have neither gold, schema nor token counts."""
+    d = judge.composite(_t2c(spark, sf_dir).select("row_id", "completion"))
+    return d.select("row_id", "r_judge", "r_string", "r_ged", "r_length", "reward")
+
+
 @query()
 def composite_reward_full(spark, sf_dir):
     d = judge.composite(_t2c(spark, sf_dir))
@@ -448,6 +533,39 @@ def cy_updates(spark, sf_dir):
     return g.execute("MATCH (c:Customer) RETURN count(*) AS n, sum(CASE WHEN c.mktsegment = 'BUILDING' THEN 1 ELSE 0 END) AS k")
 
 
+def _changed(text: str, reading: str):
+    """A query after an update, on a session of its own: the graph's tables are replaced, the files are not touched."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = GraphSession(spark, ad.star_graph(spark, sf_dir))
+        g.execute(text)
+        return g.execute(reading)
+
+    return run
+
+
+_REGIONS = "MATCH (n:Nation)-[r:IN_REGION]->(x:Region) RETURN n.id AS n, x.id AS x"
+UPDATES = {
+    "cy_merge": ("MATCH (n:Nation) WHERE n.id < 9 MERGE (x:Region {name: n.name}) MERGE (n)-[:IN_REGION]->(x) MERGE (y:Region {id: n.regionkey}) MERGE (n)-[:IN_REGION]->(y)", "MATCH (n:Nation)-[:IN_REGION]->(x:Region) RETURN n.id AS n, x.name AS x",
+                 "SELECT n_nationkey AS n, r_name AS x FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 9"),
+    "cy_delete_rel": ("MATCH (n:Nation)-[r:IN_REGION]->(x:Region) WHERE n.id > x.id + 3 DELETE r", _REGIONS, "SELECT n_nationkey AS n, n_regionkey AS x FROM nation WHERE n_nationkey <= n_regionkey + 3"),
+    "cy_set_rel": ("MATCH (o:Orders)-[r:CONTAINS]->(p:Part) WHERE r.quantity > 40 SET r.discount = r.quantity", "MATCH (o:Orders)-[r:CONTAINS]->(p:Part) RETURN r.returnflag AS f, count(*) AS n, round(sum(r.discount), 4) AS d",
+                   "SELECT l_returnflag AS f, count(*) AS n, round(sum(CASE WHEN l_quantity > 40 THEN l_quantity ELSE l_discount END), 4) AS d FROM lineitem GROUP BY 1"),
+}
+for _name, (_update, _reading, _sql) in UPDATES.items():
+    QUERIES[_name] = _changed(_update, _reading)
+    ORACLES[_name] = _sql
+
+
+@query("WITH RECURSIVE walk(a, b, n) AS (SELECT n_nationkey, n_nationkey + 1, 1 FROM nation WHERE n_nationkey = 0 UNION ALL SELECT a, b + 1, n + 1 FROM walk WHERE b < (SELECT max(n_nationkey) FROM nation)) SELECT b::BIGINT AS b, n FROM walk")
+def cy_var_unbounded(spark, sf_dir):
+    """Nations in a row: paths from the first are as long as the row, with no bound in the query."""
+    nation = ad.read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+    row = nation.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).join(nation.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    g = GraphSession(spark, PropertyGraph({"N": nation}, {"NEXT": [("N", "N", row)]}))
+    return g.execute("MATCH (a:N {id: 0})-[p:NEXT*]->(b) RETURN b.id AS b, size(p) AS n")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation from completions to the report's rows."""
     return eval_rollup(spark, sf_dir)

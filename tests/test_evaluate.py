@@ -1,9 +1,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from querylens.operators import evaluate as ev
 from querylens.operators import schema as sc
+from querylens.sources.adapters import strided_sample
 
 S = "(:A)-[:R]->(:B)"
 ROWS = [(0, "a", "RETURN 1", "RETURN 1"), (1, "a", "RETURN 1", "bad ("), (2, None, "MATCH (a:A) RETURN a", "MATCH (b:B) RETURN b"), (3, "b", "RETURN 2", None)]
@@ -43,3 +45,45 @@ def test_parse_rate(spark):
     r = sc.parse_rate(d).first()
     assert (r.total, r.trivial, r.non_trivial_rate) == (5, 3, 0.4)
     assert sc.parse_rate(d.limit(0)).first().non_trivial_rate == 0.0
+
+
+def test_completions_from_a_hook(rows):
+    bare = rows.drop("completion")
+    asked = ev.evaluate(bare, generate=lambda prompt: F.when(prompt.contains("q0"), "RETURN 1").otherwise(F.lit(None)))
+    assert [e["pred"] for e in asked["examples_logged"]] == ["RETURN 1", "", "", ""]
+
+    def model(prompt):
+        if "q1" in prompt:
+            raise ValueError("out of memory")
+        return "RETURN 1" if prompt == "Ask: q0 of (:A)-[:R]->(:B)" else "none"
+
+    asked = ev.evaluate(bare, prompt_template="Ask: {question} of {schema}", generate=ev.generator(model))
+    assert [e["pred"] for e in asked["examples_logged"]] == ["RETURN 1", "", "none", "none"]
+
+
+def test_strided_sample_over_many_partitions(spark):
+    adaptive = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000", "spark.sql.shuffle.partitions": "64"}
+    old = {k: spark.conf.get(k, None) for k in adaptive}
+    try:
+        for k, v in adaptive.items():
+            spark.conf.set(k, v)
+        d = spark.range(0, 300_000, 3, 16).select((F.col("id") * 7 % 300_007).alias("k"), F.lit("x").alias("v"))
+        keys = sorted(r.k for r in d.collect())
+        got = strided_sample(d, "k", 200)
+        assert sorted(r.k for r in got.collect()) == keys[:: len(keys) // 200] and got.columns == ["k", "v"]
+        assert strided_sample(d.limit(150), "k").count() == 150 and strided_sample(d.limit(0), "k").count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_running_mean_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(ev, "BLOCKS", 3)
+    d = spark.range(1000).selectExpr("id AS row_id", "CAST(id AS DOUBLE) AS v")
+    assert {r.row_id: r.running for r in ev.running_mean(d, "v", "row_id", 10).collect()} == {k: k / 2 for k in range(9, 1000, 10)}
+
+
+def test_public_names():
+    import querylens
+
+    assert all(hasattr(querylens, n) for n in querylens.__all__)

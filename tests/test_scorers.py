@@ -97,11 +97,13 @@ def test_pattern_graphs(query, labels, edges):
 
 def test_edit_distance_scores():
     q = "MATCH (a:Person)-[:KNOWS]->(b:Person) RETURN a"
-    assert pattern.ged_score(q, q) == 1
-    assert pattern.ged_score(q, q.replace("b:Person", "b:City")) == pytest.approx(2 / 3)
-    assert pattern.ged_score("RETURN 1", q) == pattern.ged_score(None, q) == 0
+    assert pattern.ged_score(q, q) == (1, True)
+    assert pattern.ged_score(q, q.replace("b:Person", "b:City")) == (pytest.approx(2 / 3), True)
+    assert pattern.ged_score("RETURN 1", q) == pattern.ged_score(None, q) == (0, True)
+    other = q.replace("(b:Person)", "(b:City)-[:IN]->(c:Land)")
+    assert pattern.ged_score(q, other, 1)[1] is False and pattern.ged_score(q, other, None) == (pytest.approx(0.4), True)
     long = "MATCH " + ", ".join(f"(n{i}:L{i % 4})" for i in range(21)) + " RETURN 1"
-    assert pattern.ged_score(long, "MATCH (a:L0), (b:Z) RETURN a") == 0.25
+    assert pattern.ged_score(long, "MATCH (a:L0), (b:Z) RETURN a") == (0.25, True)
 
 
 def brute_distance(a, b):
@@ -133,8 +135,11 @@ graphs = st.integers(0, 3).flatmap(
 @settings(max_examples=150, deadline=None)
 @given(graphs, graphs)
 def test_edit_distance_is_exact(a, b):
-    assert pattern.edit_distance(a, b) == brute_distance(a, b) == pattern.edit_distance(b, a)
-    assert pattern.edit_distance(a, a) == 0
+    want = brute_distance(a, b)
+    assert pattern.edit_distance(a, b) == pattern.edit_distance(b, a) == (want, True)
+    assert pattern.edit_distance(a, a) == (0, True)
+    cut, exact = pattern.edit_distance(a, b, 2)
+    assert cut >= want and (cut == want or not exact)
 
 
 A = "Node properties:\n- **Product**\n  - `productName`: STRING\n  - `unitPrice`: FLOAT\nRelationships:\n(:Product)-[:PART_OF]->(:Category)"
