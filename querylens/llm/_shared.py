@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from querylens.plans.checkpoints import checkpoint_folder, checkpointed, delete_folder  # noqa: F401
+
 # What separates words: space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,23 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder, as spark.checkpoint.dir names it.
-
-    Only where that is unset (tests on one machine) a folder of the operating system's temporary directory is taken.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="querylens-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared checkpoint folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def arrays(df: DataFrame) -> list[np.ndarray]:
     """The columns of a bounded result as arrays; by Arrow, so that no row becomes a Python object."""
     return [c.to_numpy() for c in df.toArrow().columns]
@@ -47,6 +30,14 @@ def shards_for(n_bytes: int, per_shard: int, least: int = 6) -> int:
     return max(least, -(-n_bytes // per_shard))
 
 
+MOST_PARTITIONS = 20_000
+
+
+def by_shard(df: DataFrame, shards: int, column: str = "shard") -> DataFrame:
+    """Rows of a shard together, in as many partitions as there are shards; a task holds one shard in memory at a time."""
+    return df.repartition(min(shards, MOST_PARTITIONS), column)
+
+
 def gapless_rank(df: DataFrame, group: str, bucket: str, order: list[Column], out: str) -> DataFrame:
     """Number the rows of each group 0, 1, 2, ... without bringing a group into one task.
 

@@ -6,17 +6,21 @@ strings repeat is decided by suffix arrays; a lossless filter in front keeps tex
 1. Anchors. Of the 24-byte grams in a window of `length` bytes, the one with the least hash is the window's anchor; equal
    windows have equal anchors, so each window has one place to meet its equals. Documents are dealt into shards by id; each
    shard sends the hashes of its anchors once (twice where two of its documents have it), and gets those back that two
-   documents have.
-2. Runs. Neighbouring windows with the same anchor form a run, which is sent whole to its anchor's bucket if the anchor is
-   shared. Of equal runs in a shard only the one of the least id is sent, the others are removed at once. An anchor that
-   very many documents have is dealt out by window instead, so no passage or its borders overload a bucket.
-3. Suffix arrays. A bucket's runs are cut into parts of at most 2 ** 20 bytes. Each part gets a suffix array by
-   Larsson-Sadakane refinement: ranks by the first 5 bytes, then by 10, 20, 40 and `length`, sorting only what isn't single
-   yet. Common prefixes of neighbours, with Kasai's bound from the position before, tell where equal strings end. Runs of an
-   anchor stay in one part if they fit; else the parts' sorted lists of different strings are merged by binary search, eight
-   bytes at a time. That gives each string its least id.
+   documents have. Neighbouring windows with the same anchor form a run; only runs of shared anchors go on.
+2. A suffix array for each shard, by Larsson-Sadakane refinement: ranks by the first 5 bytes, then by 10, 20, 40 and
+   `length`, sorting only what isn't single yet. Common prefixes of neighbours, with Kasai's bound from the position before,
+   tell where equal strings end, and with that each string's least id in the shard. Windows that a smaller id of the shard
+   has are settled; the others go on to their anchor's bucket, in runs. (An anchor that very many documents have is dealt out
+   by window instead, so no passage or its borders overload a bucket.)
+3. Merging across shards. A bucket's runs are cut into parts of some shards each. Each part's suffix array gives its sorted
+   different strings; they are looked up by binary search, eight bytes at a time, in the sorted strings of the parts before
+   and merged into them. That gives each string its least id, and so the windows that a smaller id has.
 4. Spans go back to the documents' shards and are applied to the texts.
 
+An array's text has each run of bytes once, however many documents have it; its windows count with the least of their ids,
+and all documents are judged by the array's strings. A shard's array is cut into parts of at most PART_BYTES where the anchor
+changes (there no string is in two parts); parts that share an anchor are merged like those of a bucket.
+
 Shards and buckets are sized by bytes, so their number grows with the corpus and their size doesn't.
 
 Defined results: a null text is empty; texts shorter than `length` stay; a null id counts as larger than any other, and rows
@@ -26,9 +30,7 @@ Extra columns are kept by `remove_repeats`, whose texts lose bytes of cut charac
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +39,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylens.llm._shared import checkpointed, shards_for, table, text_bytes
+from querylens.llm._shared import by_shard, checkpointed, shards_for, table, text_bytes
 
 LENGTH = 50
 GRAM = 24
 BYTES_PER_SHARD = 8 << 20
 HOT_DOCUMENTS = 2000
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 21
 MOST_WINDOWS = 4096  # in a run
 NULL_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
-_BITS = 20
+_BITS = 21  # of a position in a part; two ranks and a position make one 64-bit number
 _BYTES = np.array([1 << 8 * k for k in range(8)], np.uint64)
 
 
@@ -209,29 +211,26 @@ def _run_sender(buckets: int, length: int):
             last = np.where(single, first + 1, last[run])
             owner, order = s.owner[kept][run], order[kept][run]
             begin = s.begin[owner] + first
-            least: dict[bytes, int] = {}
             content = [text[a:b] for a, b in zip(begin.tolist(), (begin + last - first + length - 1).tolist(), strict=True)]
-            for k in np.argsort(order, kind="stable").tolist():
-                least.setdefault(content[k], k)
-            chief = np.fromiter((least[c] for c in content), np.int64, len(content))
-            beaten = order[chief] < order
-            sent = np.flatnonzero(~beaten)
             meet = s.anchor[kept][run]
             lone = np.flatnonzero(single)
             meet[lone] = [xxhash.xxh64_intdigest(content[k]) >> 4 for k in lone.tolist()]
-            bucket = (meet[sent] % np.uint64(buckets)).astype(np.int64)
-            by_bucket = np.argsort(bucket, kind="stable")
-            sent, bucket = sent[by_bucket], bucket[by_bucket]
+            beaten = covered(order, last - first, content, length, meet=meet)
+            k, low, high = stretches(beaten, last - first)
             me, squeeze = docs.column("shard")[0].as_py(), zstandard.ZstdCompressor(1).compress
             out["bucket"].append(me % buckets)
             out["shard"].append(me)
             out["runs"].append(None)
-            out["spans"].append(pack_spans(s.keys[owner[beaten]], first[beaten], last[beaten] + length - 1))
+            out["spans"].append(pack_spans(s.keys[owner[k]], first[k] + low, first[k] + high + length - 1))
+            k, low, high = stretches(~beaten, last - first)
+            bucket = (meet[k] % np.uint64(buckets)).astype(np.int64)
+            by_bucket = np.argsort(bucket, kind="stable")
+            k, low, high, bucket = k[by_bucket], low[by_bucket], high[by_bucket], bucket[by_bucket]
+            head = np.column_stack([order[k], s.keys[owner[k]], first[k] + low, high - low]).astype(np.int64)
             for b, i, j in _groups(bucket):
-                k = sent[i:j]
-                head = np.column_stack([order[k], s.keys[owner[k]], first[k], last[k] - first[k], meet[k].astype(np.int64)]).astype(np.int64)
+                parts = [content[r][x : y + length - 1] for r, x, y in zip(k[i:j].tolist(), low[i:j].tolist(), high[i:j].tolist(), strict=True)]
                 out["bucket"].append(b)
-                out["runs"].append(squeeze(np.int64(len(k)).tobytes() + head.tobytes() + b"".join(content[x] for x in k.tolist())))
+                out["runs"].append(squeeze(np.int64(j - i).tobytes() + head[i:j].tobytes() + b"".join(parts)))
                 out["shard"].append(me)
                 out["spans"].append(None)
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
@@ -244,26 +243,16 @@ class SuffixPart:
     """Suffix array of the windows of some runs: text, the windows' starts in it, and each window's document order."""
 
     def __init__(self, text: np.ndarray, starts: np.ndarray, order: np.ndarray, length: int):
-        self.text, self.length, self._words = np.concatenate([text, np.zeros(16, np.uint8)]), length, None
+        self.text, self.length = np.concatenate([text, np.zeros(16, np.uint8)]), length
         rank = self._refine(len(text), starts, length)
-        by_rank = np.argsort(rank, kind="stable")
+        by_rank = np.argsort(rank)
         self.array = starts[by_rank]
         same = self._common_prefixes(self.array) >= length
         first = np.flatnonzero(np.concatenate([[True], ~same[1:]])) if len(starts) else np.zeros(0, np.int64)
         self.string = np.empty(len(starts), np.int64)  # for each window, which of the part's different strings it is
         self.string[by_rank] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(starts))))
         self.least = np.minimum.reduceat(order[by_rank], first) if len(first) else np.zeros(0, np.int64)
-        self.at = self.array[first]
-        self._words = None  # no longer needed
-
-    def word(self, at: np.ndarray, k: int) -> np.ndarray:
-        """Bytes k to k + 7 after each position, as a number in the order of the bytes; bytes past `length` are zero."""
-        out = np.zeros(len(at), np.uint64)
-        for j in range(8):
-            out <<= np.uint64(8)
-            if k + j < self.length:
-                out |= self.text[at + k + j]
-        return out
+        self.at = self.array[first]  # one place of each different string, in the strings' order
 
     def _refine(self, n: int, starts: np.ndarray, length: int) -> np.ndarray:
         """Ranks of the windows by their first `length` bytes; equal windows have equal ranks."""
@@ -320,9 +309,12 @@ class SuffixPart:
         out = np.zeros(n, np.int64)
         if n < 2:
             return out
+        words = _words(self.text)
         before = np.concatenate([array[:1], array[:-1]])
-        place = np.argsort(array, kind="stable")
-        positions = array[place]
+        lookup = np.full(len(self.text), -1, np.int64)
+        lookup[array] = np.arange(n)
+        positions = np.flatnonzero(lookup >= 0)
+        place = lookup[positions]
         there = np.zeros(len(self.text) + 1, bool)
         there[positions] = True
         odd = np.concatenate([[False], positions[1:] == positions[:-1] + 1]) & (np.arange(n) % 2 == 1)
@@ -336,7 +328,7 @@ class SuffixPart:
             a, b = positions[at], before[place[at]]
             open_ = np.arange(len(at))
             while len(open_):
-                unlike = self._raw_word(a[open_] + done[open_]) ^ self._raw_word(b[open_] + done[open_])
+                unlike = words(a[open_] + done[open_]) ^ words(b[open_] + done[open_])
                 done[open_] = np.minimum(self.length, done[open_] + 8 - np.searchsorted(_BYTES, unlike, "right"))
                 open_ = open_[(unlike == 0) & (done[open_] < self.length)]
             known[at] = done
@@ -344,81 +336,138 @@ class SuffixPart:
         out[0] = 0
         return out
 
-    def _raw_word(self, at: np.ndarray) -> np.ndarray:
-        if self._words is None:
-            t = self.text.astype(np.uint64)
-            w = np.zeros(len(t) - 8, np.uint64)
-            for j in range(8):
-                w = w << np.uint64(8) | t[j : len(t) - 8 + j]
-            self._words = w
-        return self._words[np.minimum(at, len(self._words) - 1)]
-
-    def find(self, other: SuffixPart) -> np.ndarray:
-        """For each string of `other` its number in this part, or -1: binary search, narrowed eight bytes at a time."""
-        low, high = np.zeros(len(other.at), np.int64), np.full(len(other.at), len(self.at))
-        for k in range(0, self.length, 8):
-            mine, asked = self.word(self.at, k), other.word(other.at, k)
-            bounds = []
-            for side in (np.less, np.less_equal):
-                a, b = low.copy(), high.copy()
-                while (open_ := a < b).any():
-                    middle = (a + b) >> 1
-                    less = open_ & side(mine[np.minimum(middle, len(mine) - 1)], asked)
-                    a = np.where(less, middle + 1, a)
-                    b = np.where(open_ & ~less, middle, b)
-                bounds.append(a)
-            low, high = bounds
-        return np.where(low < high, low, -1)
 
+def _words(text: np.ndarray):
+    """For positions: the eight bytes from there on as a number in the order of the bytes (the last ones, past the end)."""
+    view = np.ndarray((len(text) - 7,), ">u8", text, strides=(1,))
+    return lambda at: view[np.minimum(at, len(view) - 1)].astype(np.uint64)
+
+
+class SortedStrings:
+    """The different strings of several parts in order, each with a number that stays, and its least document order."""
+
+    def __init__(self, length: int):
+        self.length, self.text, self.n = length, np.zeros(16, np.uint8), 0
+        self.at, self.number, self.least = (np.zeros(0, np.int64),) * 3
+        self.lead = np.zeros(0, np.uint64)
 
-def covered(order: np.ndarray, first: np.ndarray, windows: np.ndarray, text: np.ndarray, length: int, part_bytes: int = PART_BYTES, meet: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bucket's runs, given by their document's order, first window, number of windows and bytes: spans (run, begin, stop).
+    def word(self, text: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+        """Bytes k to k + 7 of the strings at some positions of a text; bytes past `length` are zero."""
+        out = _words(text)(at + k)
+        past = np.uint64(8 * max(0, k + 8 - self.length))
+        return out >> past << past
 
-    Equal windows have equal `meet` (all, by default). Runs are sorted by it and cut into parts where it changes, as far as
-    part_bytes allows; parts that share a value are merged.
+    def find(self, part: SuffixPart) -> tuple[np.ndarray, np.ndarray]:
+        """For each string of the part its place here, and if it is there: binary search, narrowed eight bytes at a time."""
+        asked = self.word(part.text, part.at, 0)
+        low, high = np.searchsorted(self.lead, asked), np.searchsorted(self.lead, asked, "right")
+        for k in range(8, self.length, 8):
+            some = np.flatnonzero(low < high)
+            if not len(some):
+                break
+            asked = self.word(part.text, part.at[some], k)
+            bounds = []
+            for less in (np.less, np.less_equal):
+                a, b = low[some], high[some]
+                open_ = np.flatnonzero(a < b)
+                while len(open_):
+                    middle = (a[open_] + b[open_]) >> 1
+                    up = less(self.word(self.text, self.at[middle], k), asked[open_])
+                    a[open_] = np.where(up, middle + 1, a[open_])
+                    b[open_] = np.where(up, b[open_], middle)
+                    open_ = open_[a[open_] < b[open_]]
+                bounds.append(a)
+            low[some], high[some] = bounds
+        return low, low < high
+
+    def merge(self, part: SuffixPart) -> np.ndarray:
+        """The numbers of the part's strings; new ones are put in their places."""
+        place, there = self.find(part) if self.n else (np.zeros(len(part.at), np.int64), np.zeros(len(part.at), bool))
+        numbers = np.empty(len(part.at), np.int64)
+        numbers[there] = self.number[place[there]]
+        fresh = np.flatnonzero(~there)
+        numbers[fresh] = self.n + np.arange(len(fresh))
+        self.least[numbers[there]] = np.minimum(self.least[numbers[there]], part.least[there])
+        self.least = np.concatenate([self.least, part.least[fresh]])
+        self.lead = np.insert(self.lead, place[fresh], self.word(part.text, part.at[fresh], 0))
+        self.at = np.insert(self.at, place[fresh], part.at[fresh] + len(self.text))
+        self.number = np.insert(self.number, place[fresh], numbers[fresh])
+        self.text = np.concatenate([self.text, part.text])
+        self.n += len(fresh)
+        return numbers
+
+
+def covered(order: np.ndarray, windows: np.ndarray, content: list[bytes], length: int, part_bytes: int = 0, meet: np.ndarray | None = None) -> np.ndarray:
+    """For each window of some runs if a smaller order has it, run after run.
+
+    Runs are given by their document's order, number of windows and bytes. With `meet`, which equal windows have in common,
+    parts are cut where it changes if part_bytes allows; parts that share a value, or all without it, are merged.
     """
-    size = windows + length - 1
-    at = np.cumsum(size) - size
-    meet = np.zeros(len(size), np.int64) if meet is None else meet
-    sort = np.argsort(meet, kind="stable")
-    whole = np.append(np.flatnonzero(np.concatenate([[True], meet[sort][1:] != meet[sort][:-1]])), len(sort)) if len(sort) else np.zeros(1, np.int64)
-    total = np.concatenate([[0], np.cumsum(size[sort])])
-    cuts = [0]
-    while cuts[-1] < len(sort):
-        most = int(np.searchsorted(total, total[cuts[-1]] + part_bytes, "right")) - 1
-        even = int(whole[np.searchsorted(whole, most, "right") - 1])
-        cuts.append(even if even > cuts[-1] else max(most, cuts[-1] + 1))
-    spans = [[np.zeros(0, np.int64)] * 3]
-    held: list[tuple] = []  # parts that later ones may share a value with
+    part_bytes = part_bytes or PART_BYTES
+    sort = np.arange(len(order)) if meet is None else np.argsort(meet, kind="stable")
+    meet = np.zeros(len(order), np.int64) if meet is None else meet
+    offset = np.concatenate([[0], np.cumsum(windows)]).astype(np.int64)
+    lost = np.zeros(int(offset[-1]), bool)
+    held: list[tuple] = []  # parts that later ones may share a string with
 
     def finish() -> None:
-        for p, run, place, least in held:
-            lost = np.flatnonzero(least[p.string] < order[run])
-            if len(lost):
-                r, w = run[lost], place[lost]
-                new = np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1] + 1)])
-                end = np.append(np.flatnonzero(new)[1:] - 1, len(r) - 1)
-                spans.append([r[new], w[new], w[end] + length])
+        for classes, members, begin, of_class, string, numbers in held:
+            least = strings.least[numbers][string]  # of each of the array's windows
+            n = windows[members]
+            run = np.repeat(members, n)
+            step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+            lost[offset[run] + step] = least[begin[of_class[classes]][np.repeat(np.arange(len(members)), n)] + step] < order[run]
         held.clear()
 
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        runs_, n = sort[a:b], windows[sort[a:b]]
-        if held and meet[sort[a - 1]] != meet[runs_[0]]:
+    strings, at = SortedStrings(length), 0
+    ordered = meet[sort]
+    while at < len(sort):
+        # runs of a part: each run's bytes once
+        known: dict[bytes, int] = {}
+        text, classes, size, end, even = [], [], 0, at, at
+        while end < len(sort):
+            c = content[sort[end]]
+            if c not in known:
+                if text and size + len(c) > part_bytes:
+                    break
+                known[c] = len(known)
+                text.append(c)
+                size += len(c)
+            classes.append(known[c])
+            end += 1
+            if end < len(sort) and ordered[end] != ordered[end - 1]:
+                even = end
+        if end < len(sort) and even > at:  # cut where the value changes
+            end = even
+            classes = classes[: end - at]
+            text = text[: max(classes) + 1]
+        members, classes = sort[at:end], np.array(classes, np.int64)
+        n = np.array([len(c) - length + 1 for c in text], np.int64)
+        least = np.full(len(text), np.iinfo(np.int64).max)
+        np.minimum.at(least, classes, order[members])
+        begin = np.cumsum(n) - n  # of the classes' windows in the array's
+        starts = np.repeat(np.cumsum(n + length - 1) - (n + length - 1) - begin, n) + np.arange(int(n.sum()))
+        if held and ordered[at] != ordered[at - 1]:
             finish()
-        run = np.repeat(runs_, n)
-        step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-        begin = np.cumsum(size[runs_]) - size[runs_]
-        byte = np.repeat(at[runs_] - begin, size[runs_]) + np.arange(int(size[runs_].sum()))
-        part = SuffixPart(text[byte], np.repeat(begin, n) + step, order[run], length)
-        best = part.least.copy()
-        for other, _, _, theirs in held:
-            found = other.find(part)
-            hit = found >= 0
-            best[hit] = np.minimum(best[hit], other.least[found[hit]])
-            np.minimum.at(theirs, found[hit], part.least[hit])
-        held.append((part, run, first[run] + step, best))
+            strings = SortedStrings(length)
+        part = SuffixPart(np.frombuffer(b"".join(text), np.uint8), starts, np.repeat(least, n), length)
+        held.append((classes, members, begin, np.arange(len(text)), part.string, strings.merge(part)))
+        at = end
     finish()
-    return tuple(np.concatenate(x) for x in zip(*spans, strict=True))
+    return lost
+
+
+def stretches(flags: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal stretches of flagged windows within the runs: run, first window and one past the last."""
+    offset = np.cumsum(windows) - windows
+    before = np.concatenate([[False], flags[:-1]])
+    before[offset[windows > 0]] = False
+    begin = np.flatnonzero(flags & ~before)
+    after = np.concatenate([flags[1:], [False]]) if len(flags) else flags
+    after[(offset + windows - 1)[windows > 0]] = False
+    end = np.flatnonzero(flags & ~after)
+    run = np.repeat(np.arange(len(windows)), windows)[begin]
+    return run, begin - offset[run], end + 1 - offset[run]
 
 
 def _judge(length: int):
@@ -432,29 +481,17 @@ def _judge(length: int):
                 continue
             raw = zstandard.decompress(blob)
             n = int(np.frombuffer(raw, np.int64, 1)[0])
-            head = np.frombuffer(raw, np.int64, 5 * n, 8).reshape(n, 5)
-            ends = (8 + 40 * n + np.cumsum(head[:, 3] + length - 1)).tolist()
-            content += [raw[a:b] for a, b in zip([8 + 40 * n, *ends], ends, strict=False)]
+            head = np.frombuffer(raw, np.int64, 4 * n, 8).reshape(n, 4)
+            ends = (8 + 32 * n + np.cumsum(head[:, 3] + length - 1)).tolist()
+            content.append([raw[a:b] for a, b in zip([8 + 32 * n, *ends], ends, strict=False)])
             heads.append(head)
-            shards.append(np.full(n, s))
+            shards.append(s)
         if heads:
-            head, home = np.concatenate(heads), np.concatenate(shards)
-            order = head[:, 0]
-            least: dict[bytes, int] = {}
-            for k in np.argsort(order, kind="stable").tolist():
-                least.setdefault(content[k], k)
-            chief = np.fromiter((least[c] for c in content), np.int64, len(content))
-            beaten = order[chief] < order  # equal to a run of a smaller id as a whole
-            kept = np.flatnonzero(~beaten)
-            text = np.frombuffer(b"".join(content[k] for k in kept.tolist()), np.uint8)
-            del content, least
-            run, begin, stop = covered(order[kept], head[kept, 2], head[kept, 3], text, length, meet=head[kept, 4])
-            lost = np.flatnonzero(beaten)
-            run = np.concatenate([kept[run], lost])
-            begin = np.concatenate([begin, head[lost, 2]])
-            stop = np.concatenate([stop, head[lost, 2] + head[lost, 3] + length - 1])
-            by_home = np.argsort(home[run], kind="stable")
-            run, begin, stop = run[by_home], begin[by_home], stop[by_home]
+            by_home = np.argsort(shards, kind="stable").tolist()  # so a part is of some shards
+            head, home = np.concatenate([heads[k] for k in by_home]), np.repeat(np.array(shards)[by_home], [len(heads[k]) for k in by_home])
+            lost = covered(head[:, 0], head[:, 3], [c for k in by_home for c in content[k]], length)
+            run, low, high = stretches(lost, head[:, 3])
+            begin, stop = head[run, 2] + low, head[run, 2] + high + length - 1
             for s, i, j in _groups(home[run]):
                 shard.append(s)
                 spans.append(pack_spans(head[run[i:j], 1], begin[i:j], stop[i:j]))
@@ -466,26 +503,12 @@ def _judge(length: int):
 def repeat_spans(docs: DataFrame, length: int = LENGTH, bytes_per_shard: int = BYTES_PER_SHARD) -> tuple[DataFrame, int]:
     """(shard, spans): spans to remove, as pack_spans has them, by the shard of their rows; and the number of shards."""
     shards = shards_for(text_bytes(docs), bytes_per_shard)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _shard_column(shards).alias("shard"))
+    dealt = by_shard(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _shard_column(shards).alias("shard")), shards)
     anchors = dealt.groupBy("shard").applyInArrow(_anchor_sender(shards, length), "bucket long, shard int, anchors binary")
-    shared = checkpointed(anchors.groupBy("bucket").applyInArrow(_share, "shard int, shared binary"))
-    release(docs)
-    sent = dealt.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_run_sender(shards, length), _SENT)
-    spans = checkpointed(sent.groupBy("bucket").applyInArrow(_judge(length), "shard int, spans binary"))
-    del sent, shared
-    release(docs)
-    return spans, shards
-
-
-def release(df: DataFrame) -> None:
-    """Have the driver forget what is no longer used, so that executors can delete its shuffle files.
-
-    Python's references go first and the JVM hears of it a moment later, hence the rounds.
-    """
-    for _ in range(3):
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    shared = checkpointed(by_shard(anchors, shards, "bucket").groupBy("bucket").applyInArrow(_share, "shard int, shared binary"))
+    sent = dealt.groupBy("shard").cogroup(by_shard(shared, shards).groupBy("shard")).applyInArrow(_run_sender(shards, length), _SENT)
+    spans = checkpointed(by_shard(sent, shards, "bucket").groupBy("bucket").applyInArrow(_judge(length), "shard int, spans binary"))
+    return by_shard(spans, shards), shards
 
 
 def merge_spans(begin: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
@@ -545,12 +568,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bytes_per_shard: int =
         return pa.table(columns)
 
     shard = "__shard"
-    dealt = docs.withColumn(shard, _shard_column(shards))
+    dealt = by_shard(docs.withColumn(shard, _shard_column(shards)), shards, shard)
     return dealt.groupBy(shard).cogroup(spans.groupBy("shard")).applyInArrow(clean, docs.schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans, shards = repeat_spans(docs)
-    dealt = docs.withColumn("shard", _shard_column(shards))
+    dealt = by_shard(docs.withColumn("shard", _shard_column(shards)), shards)
     return dealt.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -46,13 +46,38 @@ def test_parts_and_merging_match_brute_force():
             rows = [(rng.randrange(12), t) for t in texts if len(t) >= length]
             order = np.array([r[0] for r in rows])
             windows = np.array([len(t) - length + 1 for _, t in rows])
-            run, begin, stop = sd.covered(order, np.zeros(len(rows), np.int64), windows, np.frombuffer(b"".join(t for _, t in rows), np.uint8), length, part_bytes)
+            lost = sd.covered(order, windows, [t for _, t in rows], length, part_bytes)
+            run, begin, stop = sd.stretches(lost, windows)
+            assert len(run) + len(sd.stretches(~lost, windows)[0]) > len(rows) // 2
             for k, ((_, raw), want) in enumerate(zip(rows, brute(rows, length), strict=True)):
-                spans = sd.merge_spans(begin[run == k], stop[run == k])
+                spans = sd.merge_spans(begin[run == k], stop[run == k] + length - 1)
                 kept = sd.cut_out(raw, spans)
                 assert (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()) == want
 
 
+def test_parts_are_merged_by_binary_search(monkeypatch):
+    """At default sizes: a bucket with runs of several shards looks its strings up in the parts before."""
+    rng = random.Random(5)
+    calls, find = [], sd.SortedStrings.find
+    monkeypatch.setattr(sd.SortedStrings, "find", lambda self, part: (calls.append(len(part.at)), find(self, part))[1])
+    texts = [bytes(rng.choices(b"abcdefgh", k=300_000)) for _ in range(12)]
+    texts += [t[1000:200_000] for t in texts]
+    windows = np.array([len(t) - 49 for t in texts])
+    lost = sd.covered(np.arange(24), windows, texts, 50)
+    assert len(calls) >= 2 and lost[: 12 * (300_000 - 49)].sum() == 0 and lost[12 * (300_000 - 49) :].all()
+
+
+def test_parts_cut_at_anchors():
+    """Windows of one anchor meet although other anchors lie between the parts."""
+    rng = random.Random(6)
+    content = [bytes(rng.choices(b"ab", k=80)) for _ in range(40)] * 3
+    meet = np.array([k % 40 // 4 for k in range(120)])
+    order, windows = np.arange(120) % 7, np.full(120, 31)
+    want = sd.covered(order, windows, content, 50, 1 << 20)
+    for part_bytes in (100, 330, 1000):
+        assert (sd.covered(order, windows, content, 50, part_bytes, meet) == want).all()
+
+
 def test_common_prefixes():
     rng = random.Random(2)
     text = np.frombuffer("".join(rng.choices("ab", k=3000)).encode() + b"ab" * 200, np.uint8)
