@@ -18,8 +18,8 @@ strings repeat is decided by suffix arrays; a lossless filter in front keeps tex
 4. Spans go back to the documents' shards and are applied to the texts.
 
 An array's text has each run of bytes once, however many documents have it; its windows count with the least of their ids,
-and all documents are judged by the array's strings. A shard's array is cut into parts of at most PART_BYTES where the anchor
-changes (there no string is in two parts); parts that share an anchor are merged like those of a bucket.
+and all documents are judged by the array's strings. A shard's array, too, is cut into parts of at most PART_BYTES which are
+merged, and runs whose anchor the shard has only once need no place in it.
 
 Shards and buckets are sized by bytes, so their number grows with the corpus and their size doesn't.
 
@@ -201,34 +201,42 @@ def _run_sender(buckets: int, length: int):
             at = np.minimum(np.searchsorted(known, s.anchor << np.uint64(1)), len(known) - 1)
             kept = np.flatnonzero(known[at] >> np.uint64(1) == s.anchor)
             hot = known[at[kept]] & np.uint64(1) == 1
-            text, order = s.data.tobytes(), s.order_of_runs()
-            first, last = s.first[kept], s.last[kept]
-            many = np.where(hot, last - first, 1)  # a hot anchor's windows go singly
-            run = np.repeat(np.arange(len(kept)), many)
-            step = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
-            single = hot[run]
-            first = np.where(single, first[run] + step, first[run])
-            last = np.where(single, first + 1, last[run])
-            owner, order = s.owner[kept][run], order[kept][run]
-            begin = s.begin[owner] + first
-            content = [text[a:b] for a, b in zip(begin.tolist(), (begin + last - first + length - 1).tolist(), strict=True)]
-            meet = s.anchor[kept][run]
-            lone = np.flatnonzero(single)
-            meet[lone] = [xxhash.xxh64_intdigest(content[k]) >> 4 for k in lone.tolist()]
-            beaten = covered(order, last - first, content, length, meet=meet)
-            k, low, high = stretches(beaten, last - first)
+            text, first, last, owner, meet = s.data.tobytes(), s.first[kept], s.last[kept], s.owner[kept], s.anchor[kept]
+            order, windows = s.order_of_runs()[kept], last - first
+            beaten = np.zeros(int(windows.sum()), bool)
+            _, back, n = np.unique(meet, return_inverse=True, return_counts=True)
+            twice = n[back] > 1  # else no other window of the shard is equal
+            some = np.flatnonzero(twice)
+            if len(some):  # neighbouring runs of a document are one text, of about a megabyte at most
+                new = np.concatenate([[True], (owner[some[1:]] != owner[some[:-1]]) | (first[some[1:]] != last[some[:-1]]) | (first[some[1:]] >> 20 != first[some[:-1]] >> 20)])
+                a, b = some[new], some[np.append(np.flatnonzero(new)[1:] - 1, len(some) - 1)]
+                begin = s.begin[owner[a]] + first[a]
+                size = last[b] - first[a]
+                content = [text[x:y] for x, y in zip(begin.tolist(), (begin + size + length - 1).tolist(), strict=True)]
+                beaten[np.repeat(twice, windows)] = covered(order[a], size, content, length)
+            k, low, high = stretches(beaten, windows)
             me, squeeze = docs.column("shard")[0].as_py(), zstandard.ZstdCompressor(1).compress
             out["bucket"].append(me % buckets)
             out["shard"].append(me)
             out["runs"].append(None)
             out["spans"].append(pack_spans(s.keys[owner[k]], first[k] + low, first[k] + high + length - 1))
-            k, low, high = stretches(~beaten, last - first)
-            bucket = (meet[k] % np.uint64(buckets)).astype(np.int64)
+            k, low, high = stretches(~beaten, windows)
+            many = np.where(hot[k], high - low, 1)  # a hot anchor's windows go singly
+            step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            k, low, high = (np.repeat(x, many) for x in (k, low, high))
+            single = hot[k]
+            low = low + np.where(single, step, 0)
+            high = np.where(single, low + 1, high)
+            begin = s.begin[owner[k]] + first[k] + low
+            meet = meet[k]
+            lone = np.flatnonzero(single)
+            meet[lone] = [xxhash.xxh64_intdigest(text[x : x + length]) >> 4 for x in begin[lone].tolist()]
+            bucket = (meet % np.uint64(buckets)).astype(np.int64)
             by_bucket = np.argsort(bucket, kind="stable")
-            k, low, high, bucket = k[by_bucket], low[by_bucket], high[by_bucket], bucket[by_bucket]
+            k, low, high, begin, bucket = k[by_bucket], low[by_bucket], high[by_bucket], begin[by_bucket], bucket[by_bucket]
             head = np.column_stack([order[k], s.keys[owner[k]], first[k] + low, high - low]).astype(np.int64)
             for b, i, j in _groups(bucket):
-                parts = [content[r][x : y + length - 1] for r, x, y in zip(k[i:j].tolist(), low[i:j].tolist(), high[i:j].tolist(), strict=True)]
+                parts = [text[x:y] for x, y in zip(begin[i:j].tolist(), (begin[i:j] + high[i:j] - low[i:j] + length - 1).tolist(), strict=True)]
                 out["bucket"].append(b)
                 out["runs"].append(squeeze(np.int64(j - i).tobytes() + head[i:j].tobytes() + b"".join(parts)))
                 out["shard"].append(me)
@@ -397,64 +405,34 @@ class SortedStrings:
         return numbers
 
 
-def covered(order: np.ndarray, windows: np.ndarray, content: list[bytes], length: int, part_bytes: int = 0, meet: np.ndarray | None = None) -> np.ndarray:
+def covered(order: np.ndarray, windows: np.ndarray, content: list[bytes], length: int, part_bytes: int = 0) -> np.ndarray:
     """For each window of some runs if a smaller order has it, run after run.
 
-    Runs are given by their document's order, number of windows and bytes. With `meet`, which equal windows have in common,
-    parts are cut where it changes if part_bytes allows; parts that share a value, or all without it, are merged.
+    Runs are given by their document's order, number of windows and bytes. The different ones are cut into parts of at most
+    part_bytes, or one run; the parts' strings are merged.
     """
     part_bytes = part_bytes or PART_BYTES
-    sort = np.arange(len(order)) if meet is None else np.argsort(meet, kind="stable")
-    meet = np.zeros(len(order), np.int64) if meet is None else meet
-    offset = np.concatenate([[0], np.cumsum(windows)]).astype(np.int64)
-    lost = np.zeros(int(offset[-1]), bool)
-    held: list[tuple] = []  # parts that later ones may share a string with
-
-    def finish() -> None:
-        for classes, members, begin, of_class, string, numbers in held:
-            least = strings.least[numbers][string]  # of each of the array's windows
-            n = windows[members]
-            run = np.repeat(members, n)
-            step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-            lost[offset[run] + step] = least[begin[of_class[classes]][np.repeat(np.arange(len(members)), n)] + step] < order[run]
-        held.clear()
-
-    strings, at = SortedStrings(length), 0
-    ordered = meet[sort]
-    while at < len(sort):
-        # runs of a part: each run's bytes once
-        known: dict[bytes, int] = {}
-        text, classes, size, end, even = [], [], 0, at, at
-        while end < len(sort):
-            c = content[sort[end]]
-            if c not in known:
-                if text and size + len(c) > part_bytes:
-                    break
-                known[c] = len(known)
-                text.append(c)
-                size += len(c)
-            classes.append(known[c])
-            end += 1
-            if end < len(sort) and ordered[end] != ordered[end - 1]:
-                even = end
-        if end < len(sort) and even > at:  # cut where the value changes
-            end = even
-            classes = classes[: end - at]
-            text = text[: max(classes) + 1]
-        members, classes = sort[at:end], np.array(classes, np.int64)
-        n = np.array([len(c) - length + 1 for c in text], np.int64)
-        least = np.full(len(text), np.iinfo(np.int64).max)
-        np.minimum.at(least, classes, order[members])
-        begin = np.cumsum(n) - n  # of the classes' windows in the array's
-        starts = np.repeat(np.cumsum(n + length - 1) - (n + length - 1) - begin, n) + np.arange(int(n.sum()))
-        if held and ordered[at] != ordered[at - 1]:
-            finish()
-            strings = SortedStrings(length)
-        part = SuffixPart(np.frombuffer(b"".join(text), np.uint8), starts, np.repeat(least, n), length)
-        held.append((classes, members, begin, np.arange(len(text)), part.string, strings.merge(part)))
+    known: dict[bytes, int] = {}
+    classes = np.fromiter((known.setdefault(c, len(known)) for c in content), np.int64, len(content))
+    texts = list(known)
+    del known
+    least = np.full(len(texts), np.iinfo(np.int64).max)
+    np.minimum.at(least, classes, order)
+    size = np.array([len(t) for t in texts], np.int64)
+    n = size - length + 1
+    begin, ends = np.cumsum(n) - n, np.concatenate([[0], np.cumsum(size)])
+    strings, parts, at = SortedStrings(length), [], 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + part_bytes, "right")) - 1)
+        own, offset = n[at:end], ends[at:end] - ends[at]
+        starts = np.repeat(offset - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+        part = SuffixPart(np.frombuffer(b"".join(texts[at:end]), np.uint8), starts, np.repeat(least[at:end], own), length)
+        parts.append((part.string, strings.merge(part)))
         at = end
-    finish()
-    return lost
+    best = np.concatenate([np.zeros(0, np.int64), *[strings.least[numbers][string] for string, numbers in parts]])
+    run = np.repeat(np.arange(len(order)), windows)
+    step = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
+    return best[begin[classes[run]] + step] < order[run]
 
 
 def stretches(flags: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -67,17 +67,6 @@ def test_parts_are_merged_by_binary_search(monkeypatch):
     assert len(calls) >= 2 and lost[: 12 * (300_000 - 49)].sum() == 0 and lost[12 * (300_000 - 49) :].all()
 
 
-def test_parts_cut_at_anchors():
-    """Windows of one anchor meet although other anchors lie between the parts."""
-    rng = random.Random(6)
-    content = [bytes(rng.choices(b"ab", k=80)) for _ in range(40)] * 3
-    meet = np.array([k % 40 // 4 for k in range(120)])
-    order, windows = np.arange(120) % 7, np.full(120, 31)
-    want = sd.covered(order, windows, content, 50, 1 << 20)
-    for part_bytes in (100, 330, 1000):
-        assert (sd.covered(order, windows, content, 50, part_bytes, meet) == want).all()
-
-
 def test_common_prefixes():
     rng = random.Random(2)
     text = np.frombuffer("".join(rng.choices("ab", k=3000)).encode() + b"ab" * 200, np.uint8)
@@ -116,3 +105,12 @@ def test_query_matches_brute_force(spark, tmp_path, monkeypatch):
     assert cleaned.columns == docs.columns and cleaned.count() == len(rows)
     assert {r.shard for r in cleaned.collect()} == {"x"}
     assert sd.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark, tmp_path):
+    rng = random.Random(7)
+    text = "".join(rng.choices("abcdefghijklmnop ", k=2_600_000))
+    rows = [(1, text), (2, text[1000:2_500_000]), (3, "x" * 60 + text[2_400_000:]), (2, text[5:])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.n_removed, r.n_spans) for r in sd.op2_suffix_dedup(spark, str(tmp_path)).collect())
+    assert got == [(1, 0, 0), (2, 2_499_000, 1), (2, 2_599_995, 1), (3, 200_000, 1)]
