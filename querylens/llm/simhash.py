@@ -4,15 +4,19 @@ Fingerprints: words of the lower-cased text, shingles of neighbouring words, XXH
 bits the majority over all shingles. Fingerprints within `radius` differing bits are linked; a component's id is the least
 document id that links reach.
 
-Links are exact. Equal fingerprints are one point, whatever number of documents share it. A vantage-point tree splits points
-by their Hamming distance to a vantage point, and a query descends only into the sides that the triangle inequality leaves
-possible. Over all 64 bits that prunes little: distances of unrelated fingerprints lie within a few bits of 32, so a query
-with radius 4 overlaps most boundaries. So the top of the forest splits by blocks of bits: of radius + k blocks at most
-`radius` hold a difference, so two linked points agree on (have distance 0 in) at least k blocks. Each choice of k blocks
-deals the points into leaves of equal blocks; a query overlaps just one leaf of each choice, and inside a leaf a
-vantage-point tree over all bits finds the pairs. k grows with the number of points so that a leaf of unrelated points stays
-small, which changes the work but never the links. A large leaf whose points are alike (many near copies) keeps few pairs:
-each tree hands on only a spanning forest of its links.
+Links are exact, and each comes out of a vantage-point tree. Equal fingerprints are one point, whatever number of documents
+share it. A tree splits points by their Hamming distance to a vantage point, and looks for pairs across the boundary only
+where the triangle inequality leaves them possible: both within `radius` of it. Over all 64 bits that prunes a bounded share
+(distances of unrelated fingerprints lie within a few bits of 32), so work would grow with the square of the points. So a
+lossless filter stands in front: of radius + k blocks of bits at most `radius` hold a difference, so two linked points agree
+on (have distance 0 in) at least k blocks, and so on any part of these. Each choice of k blocks deals the points into trees
+by so many of their bits that a tree of unrelated points holds about POINTS_PER_KEY; the number of bits and k grow with the
+points, which changes the work but never the links.
+
+Alike points (many near copies) can still crowd one tree. Beyond POINTS_PER_TASK its points are split over tasks by rings of
+distance to a vantage point, radius + 1 wide; linked points lie in the same or neighbouring rings, so each ring's task gets
+the ring before it as well. Pieces that are still too large are split again around another point, RING_LEVELS times at most.
+A tree hands on only a spanning forest of its links.
 
 `hashes` > 1 takes that many fingerprints of each text, from as many mixes of its shingles' hashes; texts are linked if one
 pair of fingerprints is within `radius`. Bits only estimate a similarity (Jaccard, of shingle sets): at 0.8 about 10 of 64
@@ -44,14 +48,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylens.llm._shared import arrays, checkpointed, table
+from querylens.llm._shared import arrays, by_shard, checkpointed, table
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
 POINTS_PER_SHARD = 20_000
 POINTS_PER_LEAF = 64
-POINTS_PER_KEY = 2048  # above it, leaves agree on one block more
+POINTS_PER_KEY = 1024  # unrelated points of a tree
+POINTS_PER_TASK = 50_000  # larger trees are split by rings
+RING_LEVELS = 4
 MOST_PAIRS = 2_000_000
 SAMPLED = 16  # common shingles are counted in one of so many texts
 COMMON, MOST_COMMON = 8, 500_000  # sampled texts with a common shingle, and how many shingles are taken as common
@@ -150,7 +156,7 @@ class VantagePointTree:
     """
 
     def __init__(self, points: np.ndarray, leaf: int = POINTS_PER_LEAF):
-        self.points, self.leaf = points, leaf
+        self.points, self.leaf, self.held = points, leaf, 0
 
     def pairs(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the linked pairs' ends; of very many pairs a spanning forest stands for those found so far."""
@@ -204,10 +210,12 @@ class VantagePointTree:
             if len(i):
                 left.append(i)
                 right.append(j)
-        if sum(map(len, left)) > MOST_PAIRS:
+                self.held += len(i)
+        if self.held > MOST_PAIRS:
             root = roots(len(self.points), np.concatenate(left), np.concatenate(right))
             left[:] = [np.flatnonzero(root != np.arange(len(root)))]
             right[:] = [root[left[0]]]
+            self.held = len(left[0])
 
 
 def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -235,48 +243,43 @@ def blocks(n_blocks: int) -> list[tuple[int, int]]:
 
 
 def agreeing(n_points: int, radius: int) -> int:
-    """How many blocks a leaf's points agree on: enough that a leaf of unrelated points holds about POINTS_PER_KEY at most."""
+    """How many blocks a tree's points agree on: enough that one of unrelated points holds about POINTS_PER_KEY at most."""
     k = 1
     while k < 4 and n_points / 2 ** (64 * k / (radius + k)) > POINTS_PER_KEY:
         k += 1
     return k
 
 
-def shard_links(fps: np.ndarray, use: np.ndarray, keys: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of links within the runs of equal keys, one for each point that isn't the first of its component in its leaf.
-
-    fps has a row for each point; use tells which of its fingerprints the key is from.
-    """
-    points = fps[np.arange(len(fps)), use]
-    order = np.lexsort((points, keys, use))
-    points, keys, use = points[order], keys[order], use[order]
-
-    def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(points[a] ^ points[b]) <= radius
-
-    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (use[1:] != use[:-1])]))
-    size = np.diff(np.concatenate([first, [len(keys)]]))
+def shard_links(points: np.ndarray, keys: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of links within the runs of equal keys, one for each point that isn't the first of its component in its tree."""
+    order = np.lexsort((points, keys))
+    points, keys = points[order], keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(keys)))
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    # trees that are one leaf are compared in step: point i with point i + d of the same leaf
-    small = np.repeat(size <= POINTS_PER_LEAF, size)
-    rest = np.repeat(first + size, size) - np.arange(len(keys))
-    at = np.flatnonzero(small & (rest > 1))
-    d = 1
-    while len(at):
-        near = linked(at, at + d)
-        left.append(at[near])
-        right.append(at[near] + d)
-        d += 1
-        at = at[rest[at] > d]
-    for f, n in zip(first[size > POINTS_PER_LEAF], size[size > POINTS_PER_LEAF], strict=True):
+    for f, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
         a, b = VantagePointTree(points[f : f + n]).pairs(radius)
-        root = roots(int(n), a, b)
-        a = np.flatnonzero(root != np.arange(n))
-        left.append(a + f)
-        right.append(root[a] + f)
-    root = roots(len(points), np.concatenate(left), np.concatenate(right))
-    some = np.flatnonzero(root != np.arange(len(points)))
-    return order[some], order[root[some]]
+        if len(a):
+            root = roots(n, a, b)
+            some = np.flatnonzero(root != np.arange(n))
+            left.append(some + f)
+            right.append(root[some] + f)
+    return order[np.concatenate(left)], order[np.concatenate(right)]
+
+
+def ringed(dealt: DataFrame, radius: int) -> DataFrame:
+    """Trees of more than POINTS_PER_TASK points split by rings of distance to one of their points."""
+    for _ in range(RING_LEVELS):
+        large = dealt.groupBy("choice", "leaf").agg(F.count(F.lit(1)).alias("n"), F.min("point").alias("vantage")).filter(F.col("n") > POINTS_PER_TASK)
+        large = checkpointed(large.select("choice", "leaf", "vantage"))
+        if large.isEmpty():
+            break
+        ring = F.floor(F.bit_count(F.col("point").bitwiseXOR(F.col("vantage"))) / (radius + 1))
+        rings = F.explode(F.when(F.col("vantage").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.array(ring, ring + 1))).alias("ring")
+        # a key that large trees share with no other row: their number is at most the points' over POINTS_PER_TASK
+        dealt = dealt.join(large, ["choice", "leaf"], "left").select("node", "point", "choice", "leaf", "vantage", rings)
+        dealt = checkpointed(dealt.select("node", "point", "choice", F.when(F.col("ring") < 0, F.col("leaf")).otherwise(F.xxhash64("leaf", "vantage", "ring")).alias("leaf")))
+    return dealt
 
 
 def links(points: DataFrame, radius: int = RADIUS, points_per_shard: int = POINTS_PER_SHARD, hashes: int = 1) -> DataFrame:
@@ -284,29 +287,32 @@ def links(points: DataFrame, radius: int = RADIUS, points_per_shard: int = POINT
     n = points.count()
     k = agreeing(n, radius)
     parts = blocks(radius + k)
+    bits = max(0, int(np.ceil(np.log2(max(1, n) / POINTS_PER_KEY) / k)))  # of each block
     fps = names(hashes)
     chosen = [(f, c) for f in range(hashes) for c in combinations(range(radius + k), k)]
-    shards = max(1, -(-n // points_per_shard))
-    per_fp = len(chosen) // hashes
+    shards = max(1, -(-n * len(chosen) // points_per_shard))
 
     def leaf(f: int, c: tuple[int, ...]) -> Column:
         """The chosen blocks' bits, side by side."""
         out = F.lit(0).cast("long")
         for j in c:
             shift, width = parts[j]
+            width = min(width, bits)
             out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned(fps[f], shift).bitwiseAND(F.lit((1 << width) - 1)))
         return out
 
-    dealt = points.select("node", *fps, F.posexplode(F.array(*[leaf(f, c) for f, c in chosen])).alias("choice", "leaf"))
-    dealt = dealt.withColumn("shard", F.col("choice") * shards + F.pmod(F.xxhash64("leaf"), F.lit(shards)))
+    dealt = points.select("node", F.posexplode(F.array(*[F.struct(F.col(fps[f]).alias("point"), leaf(f, c).alias("leaf")) for f, c in chosen])).alias("choice", "x"))
+    dealt = ringed(dealt.select("node", "x.point", "choice", "x.leaf"), radius)
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("choice", "leaf"), F.lit(shards)))
 
     def run(part: pa.Table) -> pa.Table:
-        rows = np.column_stack([part.column(c).to_numpy() for c in fps]).view(np.uint64)
-        node = part.column("node").to_numpy()
-        a, b = shard_links(rows, part.column("choice").to_numpy().astype(np.int64) // per_fp, part.column("leaf").to_numpy(), radius)
+        node, point = part.column("node").to_numpy(), part.column("point").to_numpy().view(np.uint64)
+        choice, leaves = part.column("choice").to_numpy().astype(np.int64), part.column("leaf").to_numpy()
+        key = np.unique(np.column_stack([choice, leaves]), axis=0, return_inverse=True)[1].ravel() if len(node) else leaves
+        a, b = shard_links(point, key, radius)
         return pa.table({"a": node[a], "b": node[b]})
 
-    return dealt.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
+    return by_shard(dealt, shards).groupBy("shard").applyInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def test_trees_and_shards_lose_no_link():
         assert {(max(p), min(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == set(near)
         want = brute_components(len(x), near)
         assert roots(len(x), a, b).tolist() == want
-        i, j = shard_links(x.reshape(-1, 1), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), 4)
+        i, j = shard_links(x, np.zeros(len(x), np.int64), 4)
         assert roots(len(x), i, j).tolist() == want
 
 
@@ -91,8 +91,9 @@ def test_components_match_brute_force(spark, monkeypatch):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
     assert with_components(prints.limit(0)).count() == 0 and keep_one(docs.limit(0)).count() == 0
-    monkeypatch.setattr("querylens.llm.simhash.agreeing", lambda n, r: 2)
-    assert sorted(str((r.doc_id, r.component_id)) for r in with_components(prints).collect()) == want
+    for name, value in (("POINTS_PER_KEY", 16), ("POINTS_PER_TASK", 20), ("agreeing", lambda n, r: 2)):
+        monkeypatch.setattr(module, name, value)
+        assert sorted(str((r.doc_id, r.component_id)) for r in with_components(prints).collect()) == want
 
 
 def test_many_hashes_find_similar_texts_only(spark):
@@ -162,3 +163,46 @@ def test_repeated_and_null_ids_keep_one_row_of_each_component(spark):
     for similarity in (0.8, None):
         kept = [(r.doc_id, r.text) for r in keep_one(docs, similarity=similarity).collect()]
         assert len(kept) == 3 and {(7, texts[0]), (7, texts[1])} < set(kept) and {i for i, _ in kept} == {7, None}
+
+
+def test_every_link_comes_from_a_tree(monkeypatch):
+    x = clustered(random.Random(14), 3000)
+    keys = (x >> np.uint64(62)).astype(np.int64)
+    found, pairs = [], VantagePointTree.pairs
+
+    def counted(self, radius):
+        a, b = pairs(self, radius)
+        found.extend(zip(self.points[a].tolist(), self.points[b].tolist(), strict=True))
+        return a, b
+
+    monkeypatch.setattr(VantagePointTree, "pairs", counted)
+    a, b = shard_links(x, keys, 4)
+    assert len(a) > 100
+    linked = {p for pair in found for p in pair}
+    assert {*x[a].tolist(), *x[b].tolist()} <= linked
+    monkeypatch.setattr(VantagePointTree, "pairs", lambda self, radius: (np.zeros(0, np.int64),) * 2)
+    assert not len(shard_links(x, keys, 4)[0])
+
+
+def test_trees_prune():
+    """Comparisons of a tree against all pairs, for unrelated points."""
+    rng = np.random.default_rng(3)
+    x = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 4000).astype(np.uint64))
+    done = []
+
+    class Counting(VantagePointTree):
+        def _direct(self, a, b, *rest):
+            done.append(len(a) * len(b) if len(b) else len(a) * (len(a) - 1) // 2)
+            super()._direct(a, b, *rest)
+
+    Counting(x).pairs(4)
+    assert sum(done) < 0.75 * len(x) * (len(x) - 1) / 2
+
+
+def test_query(spark, tmp_path):
+    rows = [(5, "A b c d e"), (3, "a B C d e"), (4, "other words than these here"), (None, None), (9, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = module.op6_simhash(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "fingerprint", "component_id"]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in got.collect()}
+    assert got == {d: (f"{brute_simhash(t):016x}", c) for (d, t), c in zip(rows, (3, 3, 4, 9, 9), strict=True)}
