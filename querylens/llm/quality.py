@@ -2,9 +2,11 @@
 
 A document that breaks a base rule (too few words, or mostly repeated word triples) is rejected. The others are judged by an
 isolation forest: trees split at random features and values; a row that random splits separate early, on short paths, is
-anomalous. The anomaly score is 2 ** (-mean path / expected path). The threshold comes from labelled rows: over all of
-them, by a histogram of their scores, the score that best separates good from bad while letting at least KEEP of the good
-pass.
+anomalous. The anomaly score is 2 ** (-mean path / expected path). The threshold comes from labelled rows: by a histogram
+of their scores, the score that best separates good from bad while letting at least KEEP of the good pass.
+
+Labelled ids are split by a digest (SPLIT): the forest is fitted on one part, the threshold calibrated on another, and
+`report` measures on the third, which neither has seen.
 
 Junk may be so common that it is no anomaly among all rows (a tenth of them, all alike). So the forest is fitted on rows
 labelled good, and splits reach a margin beyond the values a node holds, which makes what lies outside end on short paths.
@@ -29,7 +31,8 @@ from querylens.llm._shared import arrays, checkpointed, table
 
 TREES = 100
 ROWS_PER_TREE = 256
-KEEP = 0.998
+KEEP = 0.995
+SPLIT = {"fit": (0, 40), "calibrate": (40, 80), "report": (80, 100)}  # percent of the labelled ids
 MARGIN = 0.05
 BINS = 4096
 SEED = 7
@@ -182,12 +185,23 @@ def judge_stats(stats: DataFrame, model: QualityModel, *carried: str) -> DataFra
     return rows.mapInArrow(run, schema + ", anomaly double, base_failed boolean, kept boolean")
 
 
-def fit(stats: DataFrame, labels: DataFrame, trees: int = TREES, rows_per_tree: int = ROWS_PER_TREE, keep: float = KEEP) -> QualityModel:
-    """Fit on a table of statistics, which should be given checkpointed. `labels` has doc_id and quality (1 good, 0 bad, null not known)."""
+def labelled(stats: DataFrame, labels: DataFrame, part: str) -> DataFrame:
+    """The rows of one part of the split that pass the base rules, with their quality."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    low, high = SPLIT[part]
+    percent = F.pmod(F.xxhash64("doc_id", F.lit("split")), F.lit(100))
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = stats.filter(~failed).join(known, "doc_id")
-    good = known.filter("quality = 1").withColumn("draw", F.xxhash64("doc_id", F.lit(SEED)))
+    return stats.filter(~failed & (percent >= low) & (percent < high)).join(known, "doc_id")
+
+
+def report(stats: DataFrame, labels: DataFrame, model: QualityModel) -> DataFrame:
+    """quality, n and n_kept over the labelled rows that neither the forest nor the threshold has seen."""
+    return judge_stats(labelled(stats, labels, "report"), model, "quality").groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("long")).alias("n_kept"))
+
+
+def fit(stats: DataFrame, labels: DataFrame, trees: int = TREES, rows_per_tree: int = ROWS_PER_TREE, keep: float = KEEP) -> QualityModel:
+    """Fit on a table of statistics, which should be given checkpointed. `labels` has doc_id and quality (1 good, 0 bad, null not known)."""
+    good = labelled(stats, labels, "fit").filter("quality = 1").withColumn("draw", F.xxhash64("doc_id", F.lit(SEED)))
     # of very many good rows, those with a small draw hold the sample; so tasks don't send the driver a full sample each
     share = min(1.0, 2 * trees * rows_per_tree / max(1, good.count()))
     near = good.filter(F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
@@ -197,7 +211,7 @@ def fit(stats: DataFrame, labels: DataFrame, trees: int = TREES, rows_per_tree:
         return QualityModel(None)
     model = QualityModel(IsolationForest(features(sample), trees, rows_per_tree))
     bins = F.least(F.floor(F.col("anomaly") * BINS), F.lit(BINS - 1)).alias("bin")
-    counts = judge_stats(known, model, "quality").groupBy("quality", bins).count().collect()  # 2 x BINS rows at most
+    counts = judge_stats(labelled(stats, labels, "calibrate"), model, "quality").groupBy("quality", bins).count().collect()  # 2 x BINS rows at most
     good, bad = np.zeros(BINS), np.zeros(BINS)
     for r in counts:
         (good if r["quality"] else bad)[r["bin"]] += r["count"]
