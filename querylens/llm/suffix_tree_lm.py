@@ -1,13 +1,18 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-Texts are sequences of lower-cased words; the tree models their bytes, words separated by one space and closed by one end
-byte. Its nodes are contexts of up to DEPTH bytes. A context is a candidate if its share of all positions is at least
+Texts are sequences of tokens: lower-cased words and one end. The tree models their spelling in bytes, a space after each word
+and an end byte after the last. Its nodes are contexts of up to DEPTH bytes. A context is a candidate if its share of all positions is at least
 LEAST_SHARE, which bounds the model by DEPTH / LEAST_SHARE contexts whatever the corpus holds, and it is retained if its
 next-byte distribution diverges from that of its suffix: count times Kullback-Leibler divergence of at least DIVERGENCE nats
 (suffixes of retained contexts are retained too). A distribution is smoothed with its suffix's in proportion to its number of
 different next bytes; the root's with one count for each byte. A text is scored by the longest retained suffix before each
 byte, followed as an automaton with one table look-up a byte, for many blocks of text in step.
 
+Above the tree stands a node over whole tokens, which grows with the corpus: it holds every training token with its count c,
+however rare, and is smoothed with the spelling's probability p in proportion to its number T of different tokens:
+(c + T p) / (N + T). So words that the corpus has are scored by their counts and others by their spelling. Its table stays
+distributed, but for the most frequent words.
+
 All counts cover all training rows: tasks emit sums by 64-bit key (a gram's bytes, or a word's XXH64), which Spark adds up.
 Beside the tree the operator gives each text's add-one unigram score over words. The MOST_WORDS most frequent words are
 broadcast (16 bytes each); a text's other words are joined to the counts by key, so every word counts exactly. Two words
@@ -47,6 +52,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_UPPER).split()
 
 
+def spelled(words: list[bytes]) -> bytes:
+    return b" ".join([*words, b"\n"])
+
+
 def word_key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
@@ -97,7 +106,7 @@ def counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                     rows += 1
                     for w in words:
                         seen[w] = seen.get(w, 0) + 1
-                    texts.append(b" ".join(words) + b"\n")
+                    texts.append(spelled(words))
                     size += len(texts[-1])
                 if texts and (x is None or size > BATCH_BYTES):
                     held.append(np.unique(grams(texts, depth), return_counts=True))
@@ -189,12 +198,11 @@ class SuffixTree:
         self.logs = logs.ravel()
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text, given with its end byte."""
+        """log10 probability of each byte of the texts, given with their end bytes, text after text."""
         lead = self.depth
         n_blocks = np.array([-(-len(t) // BLOCK) for t in texts], np.int64)
-        owner = np.repeat(np.arange(len(texts)), n_blocks)
-        rows = np.full((len(owner), BLOCK + lead), END, np.uint8)
-        sizes = np.zeros(len(owner), np.int64)
+        rows = np.full((int(n_blocks.sum()), BLOCK + lead), END, np.uint8)
+        sizes = np.zeros(len(rows), np.int64)
         at = 0
         for t in texts:
             padded = np.frombuffer(bytes([END]) * lead + t, np.uint8)
@@ -205,10 +213,11 @@ class SuffixTree:
                 at += 1
         # longest blocks first: those that go on are a prefix
         order = np.argsort(-sizes, kind="stable")
-        sizes, owner = sizes[order], owner[order]
+        place = (np.cumsum(sizes) - sizes)[order]
+        out = np.empty(int(sizes.sum()), np.float32)
+        sizes = sizes[order]
         steps = np.ascontiguousarray(self.codes[rows[order]].T)
-        state = np.zeros(len(owner), np.int32)
-        total = np.zeros(len(owner))
+        state = np.zeros(len(rows), np.int32)
         going = np.searchsorted(-sizes, -np.arange(1, BLOCK + 1), "right")
         for k, codes in enumerate(steps):
             if k >= lead:
@@ -218,9 +227,9 @@ class SuffixTree:
                 state, codes = state[:n], codes[:n]
             step = state + codes
             if k >= lead:
-                total[: len(step)] += self.logs[step]
+                out[place[: len(step)] + k - lead] = self.logs[step]
             state = self.go[step]
-        return np.bincount(owner, total, len(texts)) if len(owner) else np.zeros(len(texts))
+        return out
 
 
 def fit_tree(summed: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE, divergence: float = DIVERGENCE) -> SuffixTree:
@@ -230,7 +239,7 @@ def fit_tree(summed: DataFrame, depth: int = DEPTH, least_share: float = LEAST_S
     levels = []
     for d in range(depth, -1, -1):
         if d < depth:
-            held = held.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
+            held = checkpointed(held.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")))
         context = F.shiftright("key", 8)
         often = held.groupBy(context.alias("context")).agg(F.sum("n").alias("m")).filter(F.col("m") >= max(1.0, least_share * total)).select("context")
         key, n = arrays((held.join(often, context == F.col("context")) if d else held).select("key", "n"))
@@ -260,11 +269,13 @@ def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, most_words:
         least = r["least"]
     top, times = arrays(words.filter(F.col("n") >= least))
     order = np.argsort(top)
-    shared = spark.sparkContext.broadcast((top[order], np.log10(times[order] + 1.0).astype(np.float64), tree))
+    shared = spark.sparkContext.broadcast((top[order], times[order].astype(np.float64), tree))
+    kinds_, tokens_ = float(kinds), float(all_tokens)
     denominator = float(np.log10(all_tokens + kinds + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs, model = shared.value
+        keys, counted, model = shared.value
+        logs = np.log10(counted + 1.0)
         known: dict[bytes, int] = {}
 
         def scored(ids: list, all_words: list[list[bytes]]) -> pa.RecordBatch:
@@ -285,9 +296,18 @@ def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, most_words:
             rare = np.flatnonzero(place < 0)
             rare_keys = np.fromiter((word_key(flat[i]) for i in rare.tolist()), np.int64, len(rare))
             offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[rare], minlength=len(ids)))]).astype(np.int32)
-            texts = [b" ".join(w) + b"\n" for w in all_words]
+            widths = np.fromiter((len(w) + (w != b"\n") for w in flat), np.int64, len(flat))  # a word's space is its own
+            spelling = model.score([spelled(w) for w in all_words]).astype(np.float64)
+            spelling = np.add.reduceat(spelling, np.cumsum(widths) - widths) if len(flat) else spelling
+            token = spelling
+            if tokens_:
+                token = spelling + np.log10(kinds_ / (tokens_ + kinds_))
+                seen = place >= 0
+                token[seen] = np.log10((counted[place[seen]] + kinds_ * 10 ** spelling[seen]) / (tokens_ + kinds_))
+            score = np.bincount(owner, token, len(ids))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(rare_keys), pa.array(spelling[rare])], ["key", "spelling"]))
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(top_known.astype(np.int64)), pa.array(base), pa.array(model.score(texts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare_keys))],
+                [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(top_known.astype(np.int64)), pa.array(base), pa.array(score), lists],
                 ["doc_id", "n_tokens", "top_known", "top_logs", "score", "rare"],
             )
 
@@ -302,18 +322,20 @@ def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, most_words:
                     ids, held, size = [], [], 0
             yield scored(ids, held)
 
-    schema = "doc_id long, n_tokens long, top_known long, top_logs double, score double, rare array<long>"
+    schema = "doc_id long, n_tokens long, top_known long, top_logs double, score double, rare array<struct<key: long, spelling: double>>"
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
     rows = checkpointed(rows)
-    rare = rows.select("row", F.explode("rare").alias("key")).groupBy("key", "row").agg(F.count(F.lit(1)).alias("times"))
-    rare = rare.join(words, "key").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
+    rare = rows.select("row", F.explode("rare").alias("rare")).select("row", "rare.key", "rare.spelling").join(words, "key")
+    # in place of the score as an unknown word that the row has so far
+    more = F.log10(F.col("n") + kinds_ * F.pow(F.lit(10.0), "spelling")) - F.col("spelling") - (float(np.log10(kinds_)) if kinds_ else 0.0)
+    rare = rare.groupBy("row").agg(F.count(F.lit(1)).alias("known"), F.sum(F.log10(F.col("n") + 1)).alias("logs"), F.sum(more).alias("more"))
     return rows.join(rare, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("top_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(int(all_tokens)).cast("long").alias("train_tokens"),
         (F.col("top_logs") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * denominator).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 

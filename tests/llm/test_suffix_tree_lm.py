@@ -65,8 +65,9 @@ def test_automaton_matches_brute_force_tree():
     assert tree.n_contexts == len(dist) > 10
     assert all(abs(sum(p) - 1) < 1e-9 for p in dist.values())
     probe = [texts[0], b"\n", b"unseen zebra and tea\n", b"the and " * 300 + b"\n"]
-    for t, got in zip(probe, tree.score(probe), strict=True):
-        want = 0.0
+    ends = np.cumsum([len(t) for t in probe])
+    for t, end in zip(probe, ends, strict=True):
+        got, want = float(tree.score(probe)[end - len(t) : end].sum(dtype=float)), 0.0
         for i, y in enumerate(t):
             h = (b"\n\n\n" + t)[i : i + 3]
             s = next(h[k:] for k in range(4) if h[k:] in dist)
@@ -90,11 +91,26 @@ def test_scores(spark, monkeypatch):
     for most in (1_000_000, 20):
         got = lm.score(docs, training, most_words=most).collect()
         assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    long = [r for r in got if r.doc_id is not None and r.doc_id < 400 and r.n_tokens > 10]
-    assert all(r.score < 0 for r in got) and sum(r.score > 3 * r.base_score for r in long) == len(long)
-    texts = [b" ".join(t.encode() for t in tokens(x)[:-1]) + b"\n" for d, x, _ in rows if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2]
-    tree = lm.SuffixTree(brute_levels(texts, lm.DEPTH, lm.LEAST_SHARE))
-    mine = {str(d): s for (d, _, _), s in zip(rows, tree.score([b" ".join(t.encode() for t in tokens(x)[:-1]) + b"\n" for _, x, _ in rows]), strict=True)}
-    assert all(abs(mine[str(r.doc_id)] - r.score) < 1e-3 * max(1, abs(r.score)) for r in got)
+        spell = lambda x: b"".join(t.encode() + b" " * (t != "\n") for t in tokens(x))
+        tree = lm.SuffixTree(brute_levels([spell(x) for d, x, _ in rows if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2], lm.DEPTH, lm.LEAST_SHARE))
+        mine = []
+        for d, x, _ in rows:
+            logs, at, total = tree.score([spell(x)]).astype(float), 0, 0.0
+            for t in tokens(x):
+                size = len(t.encode()) + (t != "\n")
+                total += math.log10((counted[t] + v * 10 ** logs[at : at + size].sum()) / (n + v))
+                at += size
+            mine.append((str(d), round(total, 2)))
+        assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-3 * max(10, abs(a[1])) for a, b in zip(sorted(mine), sorted((str(r.doc_id), r.score) for r in got), strict=True))
     assert lm.score(docs.limit(0), training).count() == 0
     assert lm.score(docs.limit(1), training.limit(0)).count() == 1
+
+
+def test_query(spark, tmp_path):
+    rows = [(i, f"Word{i % 7} and word{i % 5}", "en") for i in range(60)] + [(70, None, None), (None, "", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, held_out string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lm.op4_suffix_tree_lm(spark, str(tmp_path))
+    types = dict(got.dtypes)
+    assert {k: types[k] for k in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")} == {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"}
+    got = got.collect()
+    assert len(got) == len(rows) and all(r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 == 2) for r in got)
