@@ -9,8 +9,7 @@ different next bytes; the root's with one count for each byte. A text is scored
 byte, followed as an automaton with one table look-up a byte, for many blocks of text in step.
 
 Above the tree stands a node over whole tokens, which grows with the corpus: it holds every training token with its count c,
-however rare, and is smoothed with the spelling's probability p in proportion to its number T of different tokens:
-(c + T p) / (N + T). So words that the corpus has are scored by their counts and others by their spelling. Its table stays
+however rare, and is smoothed with the spelling's probability p: WORD_SHARE c / N + (1 - WORD_SHARE) p. Its table stays
 distributed, but for the most frequent words.
 
 All counts cover all training rows: tasks emit sums by 64-bit key (a gram's bytes, or a word's XXH64), which Spark adds up.
@@ -39,6 +38,7 @@ DEPTH = 5
 LEAST_SHARE = 1e-5
 DIVERGENCE = 3.0
 MOST_WORDS = 1_000_000
+WORD_SHARE = 0.15  # of a token's probability that comes from counts of whole tokens
 FLUSH = 300_000
 BLOCK = 512
 BATCH_BYTES = 4_000_000
@@ -270,7 +270,8 @@ def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, most_words:
     top, times = arrays(words.filter(F.col("n") >= least))
     order = np.argsort(top)
     shared = spark.sparkContext.broadcast((top[order], times[order].astype(np.float64), tree))
-    kinds_, tokens_ = float(kinds), float(all_tokens)
+    share, tokens = (WORD_SHARE, float(all_tokens)) if all_tokens else (0.0, 1.0)
+    unknown = float(np.log10(1 - share))
     denominator = float(np.log10(all_tokens + kinds + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,11 +300,8 @@ def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, most_words:
             widths = np.fromiter((len(w) + (w != b"\n") for w in flat), np.int64, len(flat))  # a word's space is its own
             spelling = model.score([spelled(w) for w in all_words]).astype(np.float64)
             spelling = np.add.reduceat(spelling, np.cumsum(widths) - widths) if len(flat) else spelling
-            token = spelling
-            if tokens_:
-                token = spelling + np.log10(kinds_ / (tokens_ + kinds_))
-                seen = place >= 0
-                token[seen] = np.log10((counted[place[seen]] + kinds_ * 10 ** spelling[seen]) / (tokens_ + kinds_))
+            token, seen = spelling + unknown, place >= 0
+            token[seen] = np.log10(share * counted[place[seen]] / tokens + (1 - share) * 10 ** spelling[seen])
             score = np.bincount(owner, token, len(ids))
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(rare_keys), pa.array(spelling[rare])], ["key", "spelling"]))
             return pa.RecordBatch.from_arrays(
@@ -327,7 +325,7 @@ def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, most_words:
     rows = checkpointed(rows)
     rare = rows.select("row", F.explode("rare").alias("rare")).select("row", "rare.key", "rare.spelling").join(words, "key")
     # in place of the score as an unknown word that the row has so far
-    more = F.log10(F.col("n") + kinds_ * F.pow(F.lit(10.0), "spelling")) - F.col("spelling") - (float(np.log10(kinds_)) if kinds_ else 0.0)
+    more = F.log10(F.col("n") * (share / tokens) + (1 - share) * F.pow(F.lit(10.0), "spelling")) - F.col("spelling") - unknown
     rare = rare.groupBy("row").agg(F.count(F.lit(1)).alias("known"), F.sum(F.log10(F.col("n") + 1)).alias("logs"), F.sum(more).alias("more"))
     return rows.join(rare, "row", "left").select(
         "doc_id",

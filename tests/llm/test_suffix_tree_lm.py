@@ -98,7 +98,7 @@ def test_scores(spark, monkeypatch):
             logs, at, total = tree.score([spell(x)]).astype(float), 0, 0.0
             for t in tokens(x):
                 size = len(t.encode()) + (t != "\n")
-                total += math.log10((counted[t] + v * 10 ** logs[at : at + size].sum()) / (n + v))
+                total += math.log10(lm.WORD_SHARE * counted[t] / n + (1 - lm.WORD_SHARE) * 10 ** logs[at : at + size].sum())
                 at += size
             mine.append((str(d), round(total, 2)))
         assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-3 * max(10, abs(a[1])) for a, b in zip(sorted(mine), sorted((str(r.doc_id), r.score) for r in got), strict=True))
