@@ -11,7 +11,9 @@ sum is taken inside (source, digest bucket) and continued over buckets by a pref
 third of all rows is spread over BUCKETS windows.
 
 Defined results: null text has size 0, null source is a source of its own and last, repeated rows are each taken
-on their own, a source without words takes nothing, an empty table gives an empty result. Texts are not shuffled.
+on their own, a row without words is never taken, an empty table gives an empty result. `take` shuffles no texts; `mix` joins
+the counts of copies to the rows, which shuffles them. Extra columns are kept, whatever their names, but for those that
+are named like a result (source_size, target, copies), which the result replaces.
 """
 
 from __future__ import annotations
@@ -63,7 +65,10 @@ def take(sized: DataFrame, weigh=cyclic_weights, max_epochs: int = MAX_EPOCHS, s
     checkpointed.
     """
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = sized.withColumns(
+    extra = [c for c in sized.columns if c not in ("doc_id", "source", "size", "source_size", "target", "copies")]
+    # extra columns lie in one struct meanwhile, so that their names meet no other
+    rows = sized.select("doc_id", "source", "size", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(extra)]).alias("extra"))
+    rows = rows.withColumns(
         {"source_key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "draw": F.substring(digest, 1, 16), "bucket": F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % BUCKETS}
     )
     parts = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("part_size"), F.first("source").alias("source"))
@@ -80,8 +85,8 @@ def take(sized: DataFrame, weigh=cyclic_weights, max_epochs: int = MAX_EPOCHS, s
     middle = F.col("part_start") + F.sum("size").over(inside) - F.col("size") / 2
     return (
         rows.join(parts.drop("part_size"), ["source_key", "bucket"])
-        .withColumn("copies", F.col("whole") + F.when(middle <= F.col("rest"), 1).otherwise(0))
-        .drop("source_key", "bucket", "draw", "part_start", "whole", "rest")
+        .withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.when(middle <= F.col("rest"), 1).otherwise(0)).otherwise(0))
+        .select("doc_id", "source", "size", *[F.col(f"extra.x{k}").alias(c) for k, c in enumerate(extra)], "source_size", "target", "copies")
     )
 
 
@@ -90,18 +95,16 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     copies = take(checkpointed(docs.select("doc_id", "source", n_words("text").alias("size"))), **how)
     # equal (doc_id, source, size) rows may differ in their text: deal their copies out in the order of a digest of it
     chosen = copies.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("c"))
-    numbered = docs.withColumn("__size", n_words("text"))
-    if chosen.filter(F.size("c") > 1).isEmpty():
-        pick = F.get("c", F.lit(0))
+    chosen = chosen.toDF("c0", "c1", "c2", "copies")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(docs.columns)]).alias("row"), F.col("doc_id").alias("d0"), F.col("source").alias("d1"), n_words("text").alias("d2"), F.xxhash64("text").alias("d3"))
+    if chosen.filter(F.size("copies") > 1).isEmpty():
+        pick = F.get("copies", F.lit(0))
     else:
-        numbered = numbered.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text"))))
-        pick = F.get("c", F.col("__k") - 1)
-    joined = numbered.alias("d").join(
-        chosen.alias("c"),
-        F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.__size") == F.col("c.size")),
-    )
-    out = joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), pick.cast("int"))))
-    return out.select(*[F.col(f"d.`{c}`") for c in docs.columns])
+        rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("d0", "d1", "d2").orderBy("d3")))
+        pick = F.get("copies", F.col("k") - 1)
+    out = rows.join(chosen, F.col("d0").eqNullSafe(F.col("c0")) & F.col("d1").eqNullSafe(F.col("c1")) & (F.col("d2") == F.col("c2")))
+    out = out.filter(pick > 0).select("row", F.explode(F.array_repeat(F.lit(0), pick.cast("int"))))
+    return out.select(*[F.col(f"row.x{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ and they shuffle ids and sizes, never texts.
 
 Defined results: a null key hashes like the empty string, a null text has size 16 and crc32 0, repeated rows
 go to the same shard and get slots of their own, an empty table gives an empty result. Extra columns stay
-out of the result of `op5_sharding`; `assign_shards` keeps all columns.
+out of the result of `op5_sharding`; `assign_shards` keeps all columns, but for one that is named like its result (`out`),
+which the result replaces; `write_shards` refuses to lose a column that way.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ EXTRA_BYTES = 16
 def rendezvous(key: Column, weights: list[float]) -> Column:
     """Struct (v, s): the winning draw and shard for a string key."""
     w = F.array(*[F.lit(float(x)) for x in weights])
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(len(weights) - 1)), lambda s: draw(key, s, F.get(w, s))))
 
-    def draw(s: Column) -> Column:
-        # 52 bits of the digest, so the draw is the same double on every engine
-        u = F.conv(F.substring(F.md5(F.concat(key, F.lit(":"), s.cast("string"))), 1, 13), 16, 10).cast("double")
-        return F.struct((-F.ln((u + 0.5) / float(2**52)) / F.get(w, s)).alias("v"), s.alias("s"))
 
-    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(len(weights) - 1)), draw))
+def draw(key: Column, s: Column, weight: Column) -> Column:
+    """Struct (v, s) of a key and one shard."""
+    # 52 bits of the digest, so the draw is the same double on every engine
+    u = F.conv(F.substring(F.md5(F.concat(key, F.lit(":"), s.cast("string"))), 1, 13), 16, 10).cast("double")
+    return F.struct((-F.ln((u + 0.5) / float(2**52)) / weight).alias("v"), s.alias("s"))
 
 
 def assign_shards(df: DataFrame, key: str, weights: list[float], out: str = "shard") -> DataFrame:
@@ -39,9 +41,11 @@ def assign_shards(df: DataFrame, key: str, weights: list[float], out: str = "sha
     return df.withColumn(out, rendezvous(F.coalesce(F.col(key).cast("string"), F.lit("")), weights)["s"])
 
 
-def write_shards(df: DataFrame, key: str, weights: list[float], path: str) -> None:
-    """Write one folder per shard. A shard's rows stay spread over the tasks that hold them."""
-    assign_shards(df, key, weights).write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, key: str, weights: list[float], path: str, out: str = "shard") -> None:
+    """Write one folder per shard, named by `out`. A shard's rows stay spread over the tasks that hold them."""
+    if out in df.columns:
+        raise ValueError(f"the rows have a column {out}: name another one for the shards")
+    assign_shards(df, key, weights, out).write.partitionBy(out).parquet(path)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +56,9 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length(text) + EXTRA_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.conv(F.substring(F.md5(key), 1, 2), 16, 10).cast("int").alias("bucket"),
-        rendezvous(key, [1.0] * N_SHARDS).alias("now"),
-        rendezvous(key, [1.0] * (N_SHARDS + 1)).alias("grown"),
+        F.array(rendezvous(key, [1.0] * N_SHARDS), draw(key, F.lit(N_SHARDS), F.lit(1.0))).alias("draws"),  # a new shard changes no other draw
     )
-    slim = checkpointed(slim.select("doc_id", "size", "text_crc32", "bucket", F.col("now.s").alias("shard"), F.col("grown.s").alias("grown_shard")))
+    slim = checkpointed(slim.select("doc_id", "size", "text_crc32", "bucket", F.get("draws", F.lit(0))["s"].alias("shard"), F.array_min("draws")["s"].alias("grown_shard")))
     order = [F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("text_crc32")]
     return gapless_rank(slim, "shard", "bucket", order, "slot").select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard"

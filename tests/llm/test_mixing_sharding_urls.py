@@ -4,9 +4,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
-from querylens.llm import mixing, sharding, url_rules
+from querylens.llm import mixing, registry, sharding, url_rules
 from querylens.llm._shared import checkpointed
 
 
@@ -106,3 +107,58 @@ def test_urls(spark, monkeypatch, most):
     none = spark.createDataFrame([], "verdict string, host string, path string")
     assert {r.verdict for r in url_rules.judge_urls(pages, none).collect()} == {"allow"}
     assert url_rules.judge_urls(pages.limit(0), none).count() == 0
+
+
+def test_mixing_rows_without_words_and_clashing_names(spark, monkeypatch):
+    names = ["c", "bucket", "draw", "whole", "rest", "source_key", "part_start", "extra", "row", "k", "copies", "x0", "__size", "c0", "d0"]
+    rows = [(i, "" if i % 3 == 0 else "one two three", "s" if i < 90 else "t", *[f"{n}{i}" for n in names]) for i in range(100)]
+    rows += [(200, None, "s", *names), (201, "one two three", "s", *names), (201, "one two three", "s", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for most in (mixing.BROADCAST_SOURCES, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
+        mixed = mixing.mix(docs)
+        assert mixed.columns == docs.columns
+        got = Counter(tuple(r) for r in mixed.collect())
+        assert got and all(r[1] and r in rows for r in got) and max(got.values()) <= 3 * 2
+    sized = checkpointed(docs.withColumn("size", mixing.n_words("text")))
+    taken = mixing.take(sized)
+    assert set(names) <= set(taken.columns) and taken.filter("size = 0 AND copies > 0").count() == 0
+    assert {r.bucket for r in taken.collect()} == {r[4] for r in rows}
+
+
+def test_sharding_and_urls_with_clashing_names(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "mine", "v")], "doc_id long, shard string, draws string")
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs, "doc_id", [1.0, 1.0], f"{tmp_path}/x")
+    sharding.write_shards(docs, "doc_id", [1.0, 1.0], f"{tmp_path}/x", "part_of")
+    assert [r.shard for r in spark.read.parquet(f"{tmp_path}/x").collect()] == ["mine"]
+    names = ["rule", "verdict", "rule_verdict", "best", "digest", "labels", "host", "path", "expression"]
+    pages = spark.createDataFrame([(1, "http://a.example.net/en/x", *["own"] * len(names)), (2, None, *["own"] * len(names))], "page_id long, url string, " + ", ".join(f"{n} string" for n in names))
+    got = {r.page_id: r.asDict() for r in url_rules.judge_urls(pages, spark.createDataFrame(url_rules.RULES, "verdict string, host string, path string")).collect()}
+    assert (got[1]["host"], got[1]["rule"], got[1]["verdict"]) == ("a.example.net", "example.net/en/", "allow")
+    assert (got[2]["host"], got[2]["rule"], got[2]["verdict"]) == ("", None, "allow")
+    assert all(r[n] == "own" for r in got.values() for n in ("rule_verdict", "best", "digest", "labels", "expression"))
+
+
+def test_very_long_texts(spark, tmp_path):
+    rows = [(1, "word " * 2_000_000, "a"), (2, "x" * 5_000_000, "a"), (3, "w", "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.size for r in mixing.op1_mixing(spark, str(tmp_path)).collect()} == {1: 2_000_000, 2: 1, 3: 1}
+    assert {r.doc_id: r.size for r in sharding.op5_sharding(spark, str(tmp_path)).collect()} == {1: 10_000_016, 2: 5_000_016, 3: 17}
+    pages = [(1, "http://h.example.com/de/" + "p" * 3_000_000), (2, "u" * 2_000_000)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.page_id: (len(r.path), r.verdict) for r in url_rules.op10_url_rules(spark, str(tmp_path)).collect()} == {1: (3_000_004, "block"), 2: (0, "allow")}
+
+
+@pytest.mark.parametrize("name", ["op1_mixing", "op5_sharding", "op10_url_rules"])
+def test_queries_match_their_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    for t in ("documents", "pages"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = registry.QUERIES[name](spark, sf)
+    want = duck.execute(registry.ORACLES[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(columns) == sorted(got.columns)
+    shown = lambda r: tuple(f"{x:.6f}" if isinstance(x, float) else str(x) for x in r)
+    assert sorted(shown(r[c] for c in columns) for r in got.collect()) == sorted(map(shown, want.fetchall()))
