@@ -4,9 +4,10 @@ Each language has a suffix automaton of its labelled sample: a walk along its tr
 substrings. A text is parsed against it into phrases, each the longest match from where the one before ended. The fewer
 phrases, relative to the length, the better the language's sample describes the text; the least count wins.
 
-The automata are fitted on a bounded sample: for each language at most DOCS_PER_LANGUAGE labelled documents (the ones with
-the least digests of their ids) and CHARS_PER_LANGUAGE symbols, shared out over the documents; with many languages the
-symbols are cut so that all tables together hold at most TOTAL_CHARS. The tables are broadcast; this is their size bound.
+The automata are fitted on a bounded sample: of at most LANGUAGES languages (those with most labelled documents, then by
+name) at most DOCS_PER_LANGUAGE labelled documents each (the ones with the least digests of id and text; equal ones count
+once) and CHARS_PER_LANGUAGE symbols, shared out over the documents; with many languages the symbols are cut so that all
+tables together hold at most TOTAL_CHARS. The tables are broadcast; this is their size bound.
 Predictions read whole texts. Texts are parsed in blocks of BLOCK symbols that start at the root, many blocks in step, so
 the parse is a few array operations for each position rather than a Python loop for each symbol.
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from querylens.llm._shared import table
 
+LANGUAGES = 256
 DOCS_PER_LANGUAGE = 64
 CHARS_PER_LANGUAGE = 16_384
 TOTAL_CHARS = 1_000_000
@@ -177,11 +179,15 @@ def held_out():
 def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> LanguageModel:
     """Fit on rows with doc_id, text and lang; rows without a lang or text are left out."""
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    labelled = labelled.select("lang", F.xxhash64("doc_id", "text").alias("draw"), "text")
+    counted = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    first = Window.partitionBy("lang").orderBy("draw")
     # each task keeps its own first rows before the shuffle, so a language that most rows have moves no more than others
-    chosen = [r[0] for r in labelled.select("lang", "doc_id").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= docs_per_language).select("doc_id").collect()]
+    drawn = labelled.select("lang", "draw").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= docs_per_language)
+    chosen = drawn.select("lang", "draw").distinct().join(F.broadcast(counted), "lang")  # LANGUAGES * docs_per_language rows at most
     samples: dict[str, list[str]] = {}
-    for r in labelled.filter(F.col("doc_id").isin(chosen)).select("lang", F.substring("text", 1, CHARS_PER_LANGUAGE).alias("text")).distinct().collect() if chosen else []:
+    texts = labelled.join(F.broadcast(chosen), ["lang", "draw"]).dropDuplicates(["lang", "draw"])
+    for r in texts.select("lang", F.substring("text", 1, CHARS_PER_LANGUAGE).alias("text")).collect():
         samples.setdefault(r["lang"], []).append(r["text"])
     return LanguageModel({k: v for k, v in samples.items() if any(len(symbols(t)) for t in v)})
 

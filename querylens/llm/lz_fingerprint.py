@@ -6,8 +6,8 @@ keeps the least hash in each of SLOTS slots, empty slots borrow from the next fi
 written. The share of equal bytes, corrected for chance, estimates the Jaccard likeness of the phrase sets.
 
 `op7_lz_fingerprint` also fingerprints each text with its last half replaced by the next document's start. For the order
-of documents the ids' quantiles deal them out by descending id; a document whose id is a bound goes to the part before as
-well, as its last neighbour. A part is read in order and in small batches. The parse of a text up to its middle is shared
+of documents the ids' quantiles, MOST_PARTS at most, deal them out by descending id; a document whose id is a bound goes to the
+part before as well, as its last neighbour. A part is sorted by Spark, which spills, and read in order and in small batches. The parse of a text up to its middle is shared
 by the text and its edited version.
 
 Defined results: a null text is empty; an empty text's fingerprint is all zeros, its likeness is 1 to itself and 0 to any
@@ -31,6 +31,7 @@ from querylens.llm._shared import shards_for, table
 
 SLOTS = 128  # a power of two
 BYTES_PER_PART = 8 << 20
+MOST_PARTS = 1 << 16  # so what tasks need to know of the bounds is at most half a megabyte; beyond 512 GB parts grow instead
 BATCH_ROWS = 256
 BATCH_CHARS = 2_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -175,23 +176,27 @@ def fingerprint_with_next(docs: DataFrame, parts: int | None = None) -> DataFram
     """Fingerprints of all texts and edited texts; see op7_lz_fingerprint for the columns."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     if parts is None:
-        parts = shards_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BYTES_PER_PART, 1)
+        parts = min(MOST_PARTS, shards_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BYTES_PER_PART, 1))
     asked = [k / parts for k in range(parts)] + [1.0]
-    found = docs.agg(F.percentile_approx("doc_id", asked, max(10_000, 20 * parts)).alias("q")).first()["q"] or []
+    found = docs.agg(F.percentile_approx("doc_id", asked, max(10_000, 4 * parts)).alias("q")).first()["q"] or []
     bounds = np.array(sorted(set(found)), np.int64)  # ids that are there, the largest among them
     if len(bounds):
         bounds = np.unique(np.append(bounds[1:] if len(bounds) > 1 else bounds, docs.agg(F.max("doc_id")).first()[0]))
     n = max(1, len(bounds))
 
-    @F.pandas_udf("long")
-    def part_of(ids: pd.Series) -> pd.Series:
+    @F.pandas_udf("part long, bound boolean")
+    def part_of(ids: pd.Series) -> pd.DataFrame:
         # parts count from the largest ids down; a part's first id is its bound
         values = ids.fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
-        return pd.Series(np.minimum(len(bounds) - np.searchsorted(bounds, values, "left"), n) - 1 if len(bounds) else np.zeros(len(values), np.int64))
+        if not len(bounds):
+            return pd.DataFrame({"part": np.zeros(len(values), np.int64), "bound": np.zeros(len(values), bool)})
+        place = np.searchsorted(bounds, values, "left")
+        at = np.minimum(place, len(bounds) - 1)
+        return pd.DataFrame({"part": np.minimum(len(bounds) - place, n) - 1, "bound": (bounds[at] == values) & ids.notna().to_numpy()})
 
-    dealt = docs.withColumn("part", part_of("doc_id"))
+    dealt = docs.withColumn("dealt", part_of("doc_id")).select("doc_id", "text", "dealt.part", "dealt.bound")
     if n > 1:
-        is_bound = F.col("doc_id").isin([int(b) for b in bounds])
+        is_bound = F.col("bound")
         also = F.when(is_bound, F.array(F.struct(F.col("part"), F.lit(False).alias("tail")), F.struct(((F.col("part") + n - 1) % n).alias("part"), F.lit(True).alias("tail"))))
         dealt = dealt.withColumn("to", F.explode(F.coalesce(also, F.array(F.struct(F.col("part"), F.lit(False).alias("tail")))))).select("doc_id", "text", "to.part", "to.tail")
     else:
