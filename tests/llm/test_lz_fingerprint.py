@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from querylens.llm.lz_fingerprint import Parser, fingerprint, fingerprint_with_next, likeness, phrase_hashes, signatures
+from querylens.llm.lz_fingerprint import Parser, fingerprint, fingerprint_with_next, likeness, op7_lz_fingerprint, phrase_hashes, signatures
 
 
 def brute_phrases(data):
@@ -66,3 +66,50 @@ def test_order_edits_and_edges(spark):
     nulls = fingerprint_with_next(docs.filter("doc_id is null")).collect()
     assert len(nulls) == 1
     assert likeness(np.zeros((1, 128), np.uint8), np.ones((1, 128), np.uint8))[0] == 0
+
+
+def brute_signature(data, slots=128):
+    """Scalar: hash of each phrase, least hash of each slot, empty slots from the next filled one."""
+    wrap = (1 << 64) - 1
+
+    def mix(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & wrap
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & wrap
+        return h ^ h >> 31
+
+    least = {}
+    for phrase in brute_phrases(data):
+        h = 0
+        for c in phrase:
+            h = (h * 0x9E3779B97F4A7C15 + c + 1) & wrap
+        h = mix(h)
+        least[h % slots] = min(h, least.get(h % slots, wrap))
+    if not least:
+        return bytes(slots)
+    out = []
+    for i in range(slots):
+        k = next(k for k in range(slots) if (i + k) % slots in least)
+        lent = least[(i + k) % slots]
+        out.append(mix(mix((lent + k) & wrap) if k else lent) & 255)
+    return bytes(out)
+
+
+def test_signatures_match_brute_force():
+    rng = random.Random(5)
+    for n in (0, 1, 2, 30, 400, 5000):
+        data = bytes(rng.choices(b"abc de\xc3\xa9", k=n))
+        assert signatures([Parser().feed(b"other"), Parser().feed(data)])[1].tobytes() == brute_signature(data)
+
+
+def test_query(spark, tmp_path):
+    rows = [(1, "abc abc"), (2, None), (3, "é" * 11)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op7_lz_fingerprint(spark, str(tmp_path))
+    assert got.columns[:7] == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    got = {r.doc_id: r for r in got.collect()}
+    assert {d: (r.n_chars, r.edited_sha256) for d, r in got.items()} == {
+        1: (7, hashlib.sha256(("abc " + "é" * 3).encode()).hexdigest()),
+        2: (0, hashlib.sha256(b"").hexdigest()),
+        3: (11, hashlib.sha256(("é" * 6).encode()).hexdigest()),
+    }
+    assert all(0 <= x <= 1 for r in got.values() for x in (r.near_edited, r.near_next))

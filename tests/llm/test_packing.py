@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from querylens.llm.packing import END_ID, cut, pack, pieces, plan
+from querylens.llm.packing import END_ID, cut, op9_packing, pack, pieces, plan
 
 SCHEMA = "doc_id long, text string, extra string"
 
@@ -71,3 +71,25 @@ def test_pack_round_trip(spark):
 
 def test_empty(spark):
     assert pack(pieces(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_query_over_all_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    got = op9_packing(spark, sf)
+    types = dict(got.dtypes)
+    assert {k: types[k] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")} == {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"}
+    rows = got.collect()
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    exact.encode_special_tokens = True
+    want = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        ids = np.array([*exact.encode(r.text or "", add_special_tokens=False).ids, END_ID], "<u4")
+        want += [(r.doc_id, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), 1024))]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in sequences.values():
+        ends = [0, *(a + n for a, n in sorted(held))]
+        assert [a for a, _ in sorted(held)] == ends[:-1] and ends[-1] <= 1024
+    assert len(sequences) <= -(-sum(r.length for r in rows) // 1024) * 1.01 + 1

@@ -206,3 +206,12 @@ def test_query(spark, tmp_path):
     assert got.columns == ["doc_id", "fingerprint", "component_id"]
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in got.collect()}
     assert got == {d: (f"{brute_simhash(t):016x}", c) for (d, t), c in zip(rows, (3, 3, 4, 9, 9), strict=True)}
+
+
+def test_a_spanning_forest_stands_for_very_many_pairs(monkeypatch):
+    x = clustered(random.Random(15), 500)
+    a, b = VantagePointTree(x, 8).pairs(4)
+    want = roots(len(x), a, b).tolist()
+    monkeypatch.setattr(module, "MOST_PAIRS", 20)
+    c, d = VantagePointTree(x, 8).pairs(4)
+    assert len(c) < len(a) and roots(len(x), c, d).tolist() == want
