@@ -41,7 +41,7 @@ MOST_WORDS = 1_000_000
 WORD_SHARE = 0.15  # of a token's probability that comes from counts of whole tokens
 FLUSH = 300_000
 BLOCK = 512
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 END = 10  # a byte that is in no word; stands for the end of a text and for what is before its start
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _END_KEY = xxhash.xxh64_intdigest(b"\n") - (1 << 63)
@@ -280,7 +280,7 @@ def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, most_words:
         known: dict[bytes, int] = {}
 
         def scored(ids: list, all_words: list[list[bytes]]) -> pa.RecordBatch:
-            if len(known) > 4 * FLUSH:
+            if len(known) > FLUSH:
                 known.clear()
             sizes = np.array([len(w) + 1 for w in all_words], np.int64)
             flat = [w for words in all_words for w in (*words, b"\n")]
