@@ -291,10 +291,25 @@ class _Part:
                 found.append(path)
         return _union(found) if found else path.limit(0)
 
+    @staticmethod
+    def open_start(paths: list[S.Path], where: tuple | None, kinds: dict[str, str]) -> str | None:
+        """The one variable from outside, where a pattern starts at it and asks for nothing but its id and label.
+
+        Such a pattern is matched by itself, from its first relationship on, and joined by that id; the outer rows need not
+        be read for it.
+        """
+        path = paths[0]
+        first = path.nodes[0].var
+        if len(paths) > 1 or not path.rels or path.rels[0].hops or kinds.get(first) != "node" or not simple(where):
+            return None
+        said = mentioned([S.Match(paths, where, False)])
+        others = [x.var for x in (*path.nodes[1:], *path.rels)] + [v for v in said if v != first]
+        return None if said.get(first, set()) - {"id"} or any(v in kinds for v in others) else first
+
     def pattern(self, df: DataFrame | None, paths: list[S.Path], kinds: dict[str, str], where: tuple | None = None) -> tuple[DataFrame, list[Column]]:
         """Extend df by the paths. kinds gets the new variables; inline conditions on old ones are returned.
 
-        What `where` says of the variables before a variable-length relationship is applied before that grows paths; the
+        Without df, a first node in kinds is taken from its relationship (see open_start). What `where` says of the variables before a variable-length relationship is applied before that grows paths; the
         caller applies all of it in the end.
         """
         used: list[tuple[str, bool]] = []  # relationships of this clause, for uniqueness
@@ -324,7 +339,10 @@ class _Part:
                     on = [(f"{before}:id", f"{r}:from:id"), (f"{before}:label", f"{r}:from:label")]
                     if var in kinds:
                         on += [(f"{var}:id", f"{r}:to:id"), (f"{var}:label", f"{r}:to:label")]
-                    df = df.join(edges, reduce(lambda a, b: a & b, [F.col(f"`{a}`") == F.col(f"`{b}`") for a, b in on]))
+                    if df is None:
+                        df = edges.withColumns({a: F.col(f"`{b}`") for a, b in on})
+                    else:
+                        df = df.join(edges, reduce(lambda a, b: a & b, [F.col(f"`{a}`") == F.col(f"`{b}`") for a, b in on]))
                     if var not in kinds:
                         wanted = need - {"id"}
                         to_label, to_id = F.col(f"`{r}:to:label`"), F.col(f"`{r}:to:id`")
@@ -370,6 +388,8 @@ class _Part:
         seeds = base.columns if outer_used or any(old[v] != "node" for v in shared) else [f"{v}:{c}" for v in shared for c in self.held(base, v)]
         # matches are found for distinct keys and joined back, so rows of the base keep their number
         keys = base.select(*[F.col(f"`{c}`") for c in seeds]).distinct() if seeds else None
+        if start := self.open_start(clause.paths, clause.where, old):
+            seeds, keys = [f"{start}:label", f"{start}:id"], None
         df, tests = self.pattern(keys, clause.paths, inner, clause.where)
         for t in tests:
             df = df.filter(t)
@@ -415,6 +435,8 @@ class _Part:
         seeds = list(dict.fromkeys(c for c in seeds if c in df.columns))
         inner_kinds = {v: kinds[v] for v in shared}
         keys = df.select(*[F.col(f"`{c}`") for c in seeds]).distinct() if seeds else None
+        if start := self.open_start(e[1], e[2], kinds):
+            seeds, keys = [f"{start}:label", f"{start}:id"], None
         found, tests = self.pattern(keys, e[1], inner_kinds, e[2])
         for t in tests:
             found = found.filter(t)

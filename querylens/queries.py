@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,9 @@ from querylens.functions import text as X
 from querylens.operators import evaluate as ev
 from querylens.operators import judge, pattern
 from querylens.operators import schema as sc
+from querylens.plans.checkpoints import checkpoint_folder
 from querylens.plans.frames import GraphSession, PropertyGraph
+from querylens import streaming as stream
 from querylens.sources import adapters as ad
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,6 +198,27 @@ def eval_rollup(spark, sf_dir):
     return d.select("is_total", "data_source", *[F.round(c, 9).alias(c) for c in ev.METRICS], "n")
 
 
+@query(f"{_ROWS} SELECT is_total, source, n, {', '.join(f'round({c}, 6) AS {c}' for c in ('bleu', 'em', 'execution_accuracy'))} FROM (SELECT grouping(data_source)::INT AS is_total, CASE WHEN grouping(data_source) = 1 THEN NULL ELSE coalesce(data_source, 'null') END AS source, count(*) AS n, avg(bleu) AS bleu, avg(em) AS em, avg(exec) AS execution_accuracy FROM scored GROUP BY ROLLUP (data_source))")
+def eval_report(spark, sf_dir):
+    """The JSON report, written to the shared folder and read again."""
+    path = f"{checkpoint_folder(spark)}/report-{uuid.uuid4()}"
+    ev.evaluate(_t2c(spark, sf_dir), output_path=path)
+    entry = "struct<bleu: double, em: double, execution_accuracy: double, n: long>"
+    report = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<overall: {entry}, per_source: map<string, {entry}>>").alias("r"))
+    lines = report.select(F.lit(1).alias("is_total"), F.lit(None).cast("string").alias("source"), "r.overall").union(report.select(F.lit(0), F.explode("r.per_source")).toDF("is_total", "source", "overall"))
+    return lines.select("is_total", "source", "overall.n", *[F.round(F.col(f"overall.{c}"), 6).alias(c) for c in ("bleu", "em", "execution_accuracy")])
+
+
+@query(f"{_T2C}, p AS (SELECT *, {_PRED} AS pred FROM t2c) SELECT row_id, ({q_normal('pred')} = {q_normal('cypher')})::INT AS em, {q_penalty('n_tokens')} AS r_length FROM p")
+def stream_scores(spark, sf_dir):
+    """The scorers over a stream of files, until all that is there is read."""
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4()}"
+    _t2c(spark, sf_dir).write.parquet(f"{folder}/in")
+    rows = spark.read.parquet(f"{folder}/in")
+    stream.write_scores(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("row_id", "em", "r_length")
+
+
 @query(f"{_ROWS} SELECT 0 AS is_total, NULL::VARCHAR AS data_source, {_MEANS} FROM scored WHERE data_source IS NULL")
 def null_source_group(spark, sf_dir):
     return eval_rollup(spark, sf_dir).filter("is_total = 0 AND data_source IS NULL")
