@@ -25,9 +25,11 @@ differ, give or take 3. So with a `similarity` the shingle sets themselves decid
 Texts of equal sets are one point. In any total order of shingles two sets of similarity t share one of each set's first
 n - ceil(t n) + 1, so only these are dealt out. Of these a pair must share as many as its similarity needs with all that is
 not dealt out in common (no link is lost), and each such pair is decided by the exact Jaccard of its sets.
-The order puts shingles common in a sample last, which keeps candidates few and changes no link. Of a shingle with many
-points these are first held against one, and pairs that are not in one component by then are all decided. Sets are of
-64-bit hashes.
+The order puts shingles common in a sample last, which keeps candidates few and changes no link. Shingles that the same points share are one key that counts so many times. Of a key with many points these are first held
+against the one that shares most, and keys whose points are not in one component by then are gone through again. Each point
+carries the parities of its shingles in PARITIES classes: two sets differ in at least as many shingles as they have
+parities that differ, so a pair with too many goes before it leaves its task, and no similar one does. Sets are of 64-bit
+hashes.
 
 Shards hold a range of leaves each and are sized by count. Components come from alternating large-star and small-star rounds
 over checkpointed link tables; no links, components or fingerprints are collected.
@@ -62,8 +64,11 @@ MOST_PAIRS = 2_000_000
 SAMPLED = 16  # common shingles are counted in one of so many texts
 COMMON, MOST_COMMON = 8, 500_000  # sampled texts with a common shingle, and how many shingles are taken as common
 ROWS_PER_SHARD = 200_000
+KEY_ROWS_PER_SHARD = 50_000  # of keys with their points
+PARITIES = 1024  # a multiple of 64
+PAIRS_AT_ONCE = 100_000
 SETS_AT_ONCE = 500
-MANY = 8  # points of a shingle that are held against one of them first
+MANY = 8  # points of a key that are held against one of them first
 SLOTS = 1 << 23  # of the filter that candidates' sets pass; fewer let more sets by
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -384,48 +389,88 @@ def prefix(h: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarra
     return np.concatenate([rare, h[last][np.argsort(rank[at[last]])]])[:n]
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's shingles is in each class; as longs."""
+    odd = np.bincount(h & (PARITIES - 1), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def first_shingles(rows: DataFrame, shingle: int | None, sample: DataFrame, similarity: float) -> DataFrame:
-    """The node, size and prefix of each row's shingle set in place of the last column."""
+    """The node, size, parities and prefix of each row's shingle set in place of the last column."""
     shared = rows.sparkSession.sparkContext.broadcast(common_shingles(sample, shingle))
-    names = [*rows.columns[:-1], "node", "size", "prefix"]
+    names = [*rows.columns[:-1], "node", "size", "bits", "prefix"]
 
     def each(columns: list, sets: pa.Array, node: list) -> pa.RecordBatch:
         common, rank = shared.value
         offsets, values = sets.offsets.to_numpy(), sets.values.to_numpy()
         first = [prefix(values[i:j], similarity, common, rank) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
-        return pa.RecordBatch.from_arrays([*columns, pa.array(node, pa.int64()), pa.array(np.diff(offsets).astype(np.int64)), lists], names)
+        bits = [parities(values[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        width = PARITIES // 64
+        bits = pa.ListArray.from_arrays(pa.array((np.arange(len(bits) + 1) * width).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *bits])))
+        return pa.RecordBatch.from_arrays([*columns, pa.array(node, pa.int64()), pa.array(np.diff(offsets).astype(np.int64)), bits, lists], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return over_sets(rows, shingle, each, schema + ", node long, size long, prefix array<long>")
+    return over_sets(rows, shingle, each, schema + ", node long, size long, bits array<long>, prefix array<long>")
+
+
+def shared_keys(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(list, node, keys) of keys with two nodes or more; `list` stands for a key's nodes, `keys` counts the keys with just these.
+
+    Lists are known by 64-bit numbers, as sets are.
+    """
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])]) if len(key) else np.zeros(0, bool)
+    key, node = key[new], node[new]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    length = np.diff(np.append(starts, len(key)))
+    if not (length > 1).any():
+        return (np.zeros(0, np.int64),) * 3
+    number = _mixed(np.add.reduceat(_mixed(node.view(np.uint64)), starts) + length.astype(np.uint64)).view(np.int64)
+    several = np.flatnonzero(length > 1)
+    number, first, keys = np.unique(number[several], return_index=True, return_counts=True)
+    starts, length = starts[several[first]], length[several[first]]
+    at = np.repeat(starts - np.cumsum(length) + length, length) + np.arange(length.sum())
+    return np.repeat(number, length), node[at], np.repeat(keys, length)
 
 
-def run_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, similarity: float, first: bool) -> tuple[np.ndarray, ...]:
-    """Pairs of nodes with one key, of different roots and of sizes that allow the similarity, and the sizes; a pair comes once a key.
+def run_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, keys: np.ndarray, bits: np.ndarray, similarity: float, first: bool) -> tuple[np.ndarray, ...]:
+    """Pairs of nodes with one key, of different roots and of sizes and parities that allow the similarity.
 
-    first: of a key with MANY nodes or more only the pairs with its node of least number.
+    Returned are the nodes, how many keys that one stands for (a pair comes once a key), and the sizes.
+    first: of a key with MANY nodes or more only the pairs with the node that has most nodes beside it, over all its keys.
     """
     order = np.lexsort((node, size, key))
-    key, node, size, root = key[order], node[order], size[order], root[order]
+    key, node = key[order], node[order]
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])) if len(key) else order
+    keys = np.add.reduceat(keys[order], new) if len(new) else keys
+    key, node, size, root, bits = key[new], node[new], size[order[new]], root[order[new]], bits[order[new]]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     length = np.diff(np.append(starts, len(key)))
+    unsettled = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), length) if len(key) else np.zeros(0, bool)
     many = np.repeat(first & (length >= MANY), length)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    apart = (1 - similarity) / (1 + similarity)  # most that sets may differ in, of the sum of their sizes
 
     def take(a: np.ndarray, b: np.ndarray) -> None:
-        apart = root[a] != root[b]
-        a, b = a[apart], b[apart]
-        swapped = node[a] > node[b]
-        left.append(np.where(swapped, b, a))
-        right.append(np.where(swapped, a, b))
+        fits = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6)
+        a, b = a[fits], b[fits]
+        for at in range(0, len(a), PAIRS_AT_ONCE):
+            x, y = a[at : at + PAIRS_AT_ONCE], b[at : at + PAIRS_AT_ONCE]
+            near = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= apart * (size[x] + size[y]) + 1e-6
+            x, y = x[near], y[near]
+            swapped = node[x] > node[y]
+            left.append(np.where(swapped, y, x))
+            right.append(np.where(swapped, x, y))
 
     if many.any():
-        pivot = np.lexsort((node, key))[starts]
-        a, b = np.repeat(pivot, length)[many], np.flatnonzero(many)
-        fits = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6
-        take(a[fits], b[fits])
+        _, at = np.unique(node, return_inverse=True)
+        beside = np.bincount(at, keys * np.repeat(length, length))[at]
+        pivot = np.lexsort((node, -beside, key))[starts]
+        take(np.repeat(pivot, length)[many & unsettled], np.flatnonzero(many & unsettled))
     rest = np.repeat(starts + length, length) - np.arange(len(key))
-    at = np.flatnonzero(~many & (rest > 1))
+    at = np.flatnonzero(~many & unsettled & (rest > 1))
     d = 1
     while len(at):
         at = at[size[at] >= similarity * size[at + d] - 1e-6]  # sizes rise, so what is too small stays so
@@ -433,21 +478,23 @@ def run_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndar
         d += 1
         at = at[rest[at] > d]
     a, b = np.concatenate(left), np.concatenate(right)
-    return node[a], node[b], size[a], size[b]
+    return node[a], node[b], keys[a], size[a], size[b]
 
 
 def candidate_pairs(rows: DataFrame, similarity: float, first: bool) -> DataFrame:
-    """Distinct pairs (a, b) of `run_pairs` over the rows of each shard that share keys enough.
+    """Distinct pairs (a, b) of `run_pairs` over the rows of each shard that share shingles enough.
 
     What two prefixes share and what follows the prefix that ends first is all that the sets can share.
     """
 
     def run(part: pa.Table) -> pa.Table:
-        a, b, x, y = run_pairs(*(part.column(c).to_numpy() for c in ("key", "node", "size", "root")), similarity, first)
+        bits = part.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, PARITIES // 64)
+        a, b, n, x, y = run_pairs(*(part.column(c).to_numpy() for c in ("key", "node", "size", "root", "keys")), bits, similarity, first)
         order = np.lexsort((b, a))
         new = np.flatnonzero(np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])) if len(a) else order
         at = order[new]
-        return pa.table({"a": a[at], "b": b[at], "n": np.diff(np.append(new, len(a))), "most": np.maximum(x, y)[at], "both": (x + y)[at]})
+        n = np.add.reduceat(n[order], new) if len(new) else n
+        return pa.table({"a": a[at], "b": b[at], "n": n, "most": np.maximum(x, y)[at], "both": (x + y)[at]})
 
     found = rows.groupBy("shard").applyInArrow(run, "a long, b long, n long, most long, both long")
     found = found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.max("both").alias("both"))
@@ -465,24 +512,21 @@ def with_set_components(docs: DataFrame, similarity: float, shingle: int | None
     rows = points.agg(F.sum(F.size("prefix"))).first()[0] or 0
     shard = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-rows // ROWS_PER_SHARD)))).alias("shard")
 
-    def shared_keys(part: pa.Table) -> pa.Table:
-        key, node = part.column("key").to_numpy(), part.column("node").to_numpy()
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-        order, key = order[new], key[new]
-        same = key[1:] == key[:-1]
-        return part.select(["key", "node", "size"]).take(pa.array(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]))
-
-    dealt = points.select(F.explode("prefix").alias("key"), "node", "size").select(shard, "key", "node", "size")
-    shared = checkpointed(dealt.groupBy("shard").applyInArrow(shared_keys, "key long, node long, size long"))
+    def run(part: pa.Table) -> pa.Table:
+        return pa.table(dict(zip(("key", "node", "keys"), shared_keys(*(part.column(c).to_numpy() for c in ("key", "node"))), strict=True)))
+
+    dealt = points.select(F.explode("prefix").alias("key"), "node").select(shard, "key", "node")
+    shared = checkpointed(dealt.groupBy("shard").applyInArrow(run, "key long, node long, keys long"))
+    shard = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-shared.count() // KEY_ROWS_PER_SHARD)))).alias("shard")
+    held = points.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    held = checkpointed(held.join(shared.select("node").distinct(), "node"))
     links = star = pairs = None
     rounds = [False] if shared.groupBy("key").count().filter(F.col("count") >= MANY).isEmpty() else [True, False]
     for first in rounds:
-        rooted = shared.withColumn("root", F.col("node"))
+        rooted = held.withColumn("root", F.col("node"))
         if star is not None:
-            rooted = shared.join(star, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-        fresh = candidate_pairs(rooted.select(shard, "key", "node", "size", "root"), similarity, first)
+            rooted = held.join(star, "node", "left").select("node", "size", "bits", F.coalesce("root", "node").alias("root"))
+        fresh = candidate_pairs(shared.join(rooted, "node").select(shard, "key", "node", "size", "root", "keys", "bits"), similarity, first)
         pairs = checkpointed(fresh if pairs is None else fresh.join(pairs, ["a", "b"], "left_anti"))
         found = exact_links(docs, shingle, pairs, similarity)
         links = checkpointed(found if links is None else links.union(found))
