@@ -64,6 +64,7 @@ MOST_PAIRS = 2_000_000
 SAMPLED = 16  # common shingles are counted in one of so many texts
 COMMON, MOST_COMMON = 8, 500_000  # sampled texts with a common shingle, and how many shingles are taken as common
 ROWS_PER_SHARD = 200_000
+ROUNDS = 4  # in which keys of many points are held against one of them
 KEY_ROWS_PER_SHARD = 50_000  # of keys with their points
 PARITIES = 1024  # a multiple of 64
 PAIRS_AT_ONCE = 100_000
@@ -435,11 +436,12 @@ def shared_keys(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(number, length), node[at], np.repeat(keys, length)
 
 
-def run_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, keys: np.ndarray, bits: np.ndarray, similarity: float, first: bool) -> tuple[np.ndarray, ...]:
+def run_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, keys: np.ndarray, bits: np.ndarray, similarity: float, first: int) -> tuple[np.ndarray, ...]:
     """Pairs of nodes with one key, of different roots and of sizes and parities that allow the similarity.
 
     Returned are the nodes, how many keys that one stands for (a pair comes once a key), and the sizes.
-    first: of a key with MANY nodes or more only the pairs with the node that has most nodes beside it, over all its keys.
+    first: of a key with MANY nodes or more only the pairs with one node: at 1 the one with most nodes beside it over all its
+    keys, later any one, chosen anew each time. At 0 all pairs.
     """
     order = np.lexsort((node, size, key))
     key, node = key[order], node[order]
@@ -449,7 +451,7 @@ def run_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndar
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     length = np.diff(np.append(starts, len(key)))
     unsettled = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), length) if len(key) else np.zeros(0, bool)
-    many = np.repeat(first & (length >= MANY), length)
+    many = np.repeat(bool(first) & (length >= MANY), length)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     apart = (1 - similarity) / (1 + similarity)  # most that sets may differ in, of the sum of their sizes
 
@@ -465,9 +467,12 @@ def run_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndar
             right.append(np.where(swapped, x, y))
 
     if many.any():
-        _, at = np.unique(node, return_inverse=True)
-        beside = np.bincount(at, keys * np.repeat(length, length))[at]
-        pivot = np.lexsort((node, -beside, key))[starts]
+        if first == 1:
+            _, at = np.unique(node, return_inverse=True)
+            order = -np.bincount(at, keys * np.repeat(length, length))[at]
+        else:
+            order = _mixed(node.view(np.uint64) + np.uint64(first))
+        pivot = np.lexsort((node, order, key))[starts]
         take(np.repeat(pivot, length)[many & unsettled], np.flatnonzero(many & unsettled))
     rest = np.repeat(starts + length, length) - np.arange(len(key))
     at = np.flatnonzero(~many & unsettled & (rest > 1))
@@ -481,7 +486,7 @@ def run_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndar
     return node[a], node[b], keys[a], size[a], size[b]
 
 
-def candidate_pairs(rows: DataFrame, similarity: float, first: bool) -> DataFrame:
+def candidate_pairs(rows: DataFrame, similarity: float, first: int) -> DataFrame:
     """Distinct pairs (a, b) of `run_pairs` over the rows of each shard that share shingles enough.
 
     What two prefixes share and what follows the prefix that ends first is all that the sets can share.
@@ -521,7 +526,7 @@ def with_set_components(docs: DataFrame, similarity: float, shingle: int | None
     held = points.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
     held = checkpointed(held.join(shared.select("node").distinct(), "node"))
     links = star = pairs = None
-    rounds = [False] if shared.groupBy("key").count().filter(F.col("count") >= MANY).isEmpty() else [True, False]
+    rounds = [0] if shared.groupBy("key").count().filter(F.col("count") >= MANY).isEmpty() else [*range(1, ROUNDS + 1), 0]
     for first in rounds:
         rooted = held.withColumn("root", F.col("node"))
         if star is not None:
