@@ -30,6 +30,19 @@ def shards_for(n_bytes: int, per_shard: int, least: int = 6) -> int:
     return max(least, -(-n_bytes // per_shard))
 
 
+BROADCAST_ROWS = 200_000  # of a few numbers and short strings each
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame, marked for broadcast if it has at most `most` rows. They are counted, so give it checkpointed."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often lambdas in the body use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 MOST_PARTITIONS = 20_000
 
 
