@@ -39,8 +39,8 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def let(value: Column, body) -> Column:
-    """body(value) with the value worked out once, however often lambdas in the body use it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body(value) with the value worked out once, however often lambdas in the body use it, and nothing copied."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda known, _: known, body)
 
 
 MOST_PARTITIONS = 20_000
