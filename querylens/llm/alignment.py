@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from querylens.llm._shared import checkpoint_folder, checkpointed, let, table
 from querylens.llm.packing import default_vocabulary, encoder
 
+COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 BLOCK_BYTES = 4 << 20
 BROADCAST_PAIRS = 1_000_000
 PAIR = 1 << 20  # a pair of ids is one number: A's id times this plus B's
@@ -249,7 +250,7 @@ def align(docs: DataFrame, vocabulary: str | None = None, pieces: str | None = N
     links = scored_links(texts.select("row", F.explode("links").alias("pair")), counted_pairs(texts), broadcast_pairs)
     scores = links.groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
     numbers = texts.select("row", "doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "groups_sha256")
-    return numbers.join(scores, "row", "left").fillna(0, ["n_best", "count_sum"]).drop("row")
+    return numbers.join(scores, "row", "left").fillna(0, ["n_best", "count_sum"]).select(*COLUMNS)
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
