@@ -3,8 +3,9 @@
 Each (lang, source) group and each language gives every kept term a smoothed share in whole billionths; the divergence of a
 share p from a share q is floor((p - q)^2 / q). All numbers are 64-bit integers, exact up to 9 * 10^15 occurrences.
 
-* Counts: terms become rows in the JVM and are summed per (lang, source, term) before they are dealt out, so no source,
-  language or term gathers in a task; a window over (lang, term) has a row for each source.
+* Counts: a task counts the terms of its texts by (lang, source) in a bounded table and gives out sums, which meet per
+  (lang, source, term), so no source, language or term gathers in a task; a window over (lang, term) has a row for each
+  source. A long text is counted in pieces that end between terms.
 * Pairs of sources are sparse. A term that neither source has adds the same to all pairs of shares of nothing: the baseline,
   V times. What a source's own terms add to that depends on its count only, so it is summed over the distinct counts of
   each group. Only terms that both sources have are corrected one by one: a task holds the terms dealt to it, sums its
@@ -20,6 +21,7 @@ Extra columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from querylens.llm._shared import checkpointed, let, small_side, table
+from querylens.llm._shared import checkpointed, small_side, table
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,15 +40,55 @@ DIGIT_BITS = 16
 LAST_BIN = 1000  # rows of a group's last bin that are ranked without further digits
 BLOCK_PAIRS = 1 << 20
 KEYS = ["lang", "source"]
+HELD_TERMS = 400_000  # entries of a task's table, over all its groups
+PIECE_BYTES = 1 << 22
+# bytes of a text as those of its terms, with a space for each byte between them; bytes beyond ASCII are parts of terms
+_AS_TERMS = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def _pieces(text: bytes) -> Iterator[list[bytes]]:
+    """A text's terms, some megabytes at a time."""
+    text = text.translate(_AS_TERMS)
+    at = 0
+    while at < len(text):
+        to = text.find(b" ", at + PIECE_BYTES)
+        to = len(text) if to < 0 else to
+        yield text[at:to].split()
+        at = to
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, count and docs (rows that hold the term)."""
-    lowered = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    # equal terms stand together in the sorted array, so the first of each run counts the document
-    flagged = let(F.sort_array(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))), lambda terms: F.transform(terms, lambda t, i: F.struct(t.alias("term"), F.when(t.eqNullSafe(F.get(terms, i - 1)), 0).otherwise(1).alias("new"))))
-    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.inline(flagged))
-    return rows.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("count"), F.sum("new").alias("docs"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held = 0
+        for batch in batches:
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                counts, docs_of = tables.setdefault((lang, source), (Counter(), Counter()))
+                before, seen = len(counts), set()
+                for terms in _pieces(text.as_py()):
+                    counts.update(terms)
+                    seen.update(terms)
+                docs_of.update(seen)
+                held += len(counts) - before
+                if held > HELD_TERMS:
+                    yield from _counted(tables)
+                    tables, held = {}, 0
+        yield from _counted(tables)
+
+    rows = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in KEYS], F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = rows.mapInArrow(count, "lang string, source string, term string, count long, docs long")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+
+
+def _counted(tables: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+    for (lang, source), (counts, docs_of) in tables.items():
+        n = len(counts)
+        terms = pa.array(list(counts), pa.binary()).cast(pa.string())
+        same = [pa.array([x], pa.string()).take(pa.array(np.zeros(n, np.int32))) for x in (lang, source)]
+        numbers = [pa.array(np.fromiter(x, np.int64, n)) for x in (counts.values(), map(docs_of.__getitem__, counts))]
+        yield pa.RecordBatch.from_arrays([*same, terms, *numbers], ["lang", "source", "term", "count", "docs"])
 
 
 def share(count: Column, total: Column) -> Column:
