@@ -11,18 +11,24 @@ large the corpus is, so the plan is made on the driver:
 The plan lists, for each length, intervals of ranks with their first sequence number and offset. A piece finds its place by
 its rank among the pieces of its length, which two-level counting gives without collecting a length's pieces in one task.
 
+Step 1 can spend short pieces that later gaps need, so the plan is made several times: with combinations of up to one, two or
+three members, and with pieces below some length kept for step 2. The plan of fewest sequences is taken.
+
 Ids are those of the `tokenizers` file byte_bpe_50k.json. They are made with `tiktoken` from the same vocabulary's rank
-file, which gives equal ids (a test holds the two against each other) in about a fifth of the time.
+file, which gives equal ids (a test holds the two against each other) in about a fifth of the time; texts are cut at the
+strings of the file's added tokens first, which get their ids, as `tokenizers` does by default.
 
-Defined results: a null text is the end id alone, repeated rows are packed each on their own, special tokens' strings are
-ordinary text, an empty table gives an empty result. Extra columns are not read.
+Defined results: a null text is the end id alone, repeated rows are packed each on their own, an empty table gives an empty
+result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,18 +63,44 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """Strings that a tokenizer file gives ids of their own, beside its vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+
+
+def with_added(encode: Callable[[str], list[int]], added: dict[str, int]) -> Callable[[str], list[int]]:
+    """An encoder that gives the added tokens' strings their ids, and the stretches between them those of `encode`."""
+    if not added:
+        return encode
+    cut_at = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})")
+
+    def ids(text: str) -> list[int]:
+        if not any(s in text for s in added):
+            return encode(text)
+        return [i for part in cut_at.split(text) if part for i in ([added[part]] if part in added else encode(part))]
+
+    return ids
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n > 0 ids: full ones at the end, the first takes the rest."""
     first = n % capacity or capacity
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32."""
-    path = vocabulary or default_vocabulary()
+def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, tokenizer: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32. `vocabulary` has the ranks, `tokenizer` the added tokens."""
+    path, added = vocabulary or default_vocabulary(), added_tokens(tokenizer or default_tokenizer())
 
     def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = with_added(encoder(path).encode_ordinary, added)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -82,10 +114,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
 
 
 class _Plan:
-    """Bins of equal contents, as (lengths in order, how many)."""
+    """Bins of equal contents, as (lengths in order, how many).
+
+    members: how many pieces may fill a gap exactly; least: the shortest of them where there are several.
+    """
 
-    def __init__(self, counts: dict[int, int], capacity: int):
-        self.capacity = capacity
+    def __init__(self, counts: dict[int, int], capacity: int, members: int = 3, least: int = 1):
+        self.capacity, self.members, self.least = capacity, members, least
         self.left = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             self.left[length] = n
@@ -93,6 +128,9 @@ class _Plan:
         self._exact()
         self._best_fit()
 
+    def size(self) -> int:
+        return sum(n for _, n in self.bins)
+
     def _use(self, lengths: list[int]) -> None:
         need = defaultdict(int)
         for x in lengths:
@@ -105,7 +143,7 @@ class _Plan:
     def _pair(self, total: int, most: int) -> list[int] | None:
         """The pair with the given sum whose longer member is longest."""
         low = (total + 1) // 2
-        high = min(most, total - 1)
+        high = min(most, total - self.least)
         if high < low:
             return None
         longer = np.arange(high, low - 1, -1)
@@ -115,7 +153,7 @@ class _Plan:
         return [int(longer[k]), int(shorter[k])] if there[k] else None
 
     def _triple(self, total: int, most: int) -> list[int] | None:
-        for a in range(min(most, total - 2), (total + 2) // 3 - 1, -1):
+        for a in range(min(most, total - 2 * self.least), (total + 2) // 3 - 1, -1):
             if self.left[a] > 0:
                 self.left[a] -= 1
                 pair = self._pair(total - a, a)
@@ -131,7 +169,7 @@ class _Plan:
             gap = self.capacity - length
             while self.left[length] > 0:
                 self.left[length] -= 1
-                found = [gap] if self.left[gap] > 0 else self._pair(gap, length) or self._triple(gap, length)
+                found = [gap] if self.left[gap] > 0 and self.members else (self.members > 1 and self._pair(gap, length)) or (self.members > 2 and self._triple(gap, length))
                 self.left[length] += 1
                 if not found:
                     break
@@ -161,11 +199,24 @@ class _Plan:
         self.bins += [x for kept in room.values() for x in kept]
 
 
+def best_plan(counts: dict[int, int], capacity: int) -> _Plan:
+    """The plan of fewest sequences over the kinds of combinations; the first of equals, and none beyond a perfect one."""
+    bound = -(-sum(x * n for x, n in counts.items()) // capacity)
+    best = None
+    for members, least in [(3, 1), (3, capacity // 64), (3, capacity // 16), (2, 1), (2, capacity // 16), (2, capacity // 6), (1, 1), (0, 1)]:
+        made = _Plan(counts, capacity, members, max(1, least))
+        if best is None or made.size() < best.size():
+            best = made
+        if best.size() <= bound:
+            break
+    return best
+
+
 def plan(counts: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
     """Intervals of ranks: length, first rank, first sequence number, offset in the sequence; sorted by length and rank."""
     used: dict[int, int] = defaultdict(int)
     rows, base = [], 0
-    for lengths, n in _Plan(counts, capacity).bins:
+    for lengths, n in best_plan(counts, capacity).bins:
         offset = 0
         for x in lengths:
             rows.append((x, used[x], base, offset))

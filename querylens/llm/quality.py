@@ -232,6 +232,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+CONTRACT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = checkpointed(with_stats(table(spark, sf_dir, "documents")))
-    return judge_stats(stats, fit(stats, table(spark, sf_dir, "labels")))
+    judged = judge_stats(stats, fit(stats, table(spark, sf_dir, "labels")))
+    return judged.select(*CONTRACT, *[c for c in judged.columns if c not in CONTRACT])

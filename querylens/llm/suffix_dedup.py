@@ -111,7 +111,7 @@ class _Shard:
         self.order: dict[int, int] = {}
         for i, t in zip(ids, texts, strict=True):
             raw = (t or "").encode()
-            self.order[key := row_key(i, raw)] = NULL_ID if i is None else i
+            self.order[key := row_key(i, raw)] = order_of(i)
             self.raw[key] = raw
         self.keys = np.array(list(self.raw), np.int64)
         self.data = np.frombuffer(b"".join(self.raw.values()), np.uint8)
@@ -128,7 +128,13 @@ class _Shard:
 
 
 def row_key(doc_id: int | None, raw: bytes) -> int:
-    return xxhash.xxh64_intdigest(raw, 0 if doc_id is None else doc_id % (1 << 64)) - (1 << 63)
+    """Every id is a seed of its own; for none, the text gets an end that no UTF-8 text has."""
+    return (xxhash.xxh64_intdigest(raw + b"\xff", 0) if doc_id is None else xxhash.xxh64_intdigest(raw, doc_id % (1 << 64))) - (1 << 63)
+
+
+def order_of(doc_id: int | None) -> int:
+    """Where a row stands among the ids: null after all of them, so these stand one lower than they are."""
+    return NULL_ID if doc_id is None else max(doc_id - 1, -(1 << 63))
 
 
 def _shard_column(shards: int) -> Column:

@@ -114,3 +114,16 @@ def test_very_long_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r.doc_id, r.n_removed, r.n_spans) for r in sd.op2_suffix_dedup(spark, str(tmp_path)).collect())
     assert got == [(1, 0, 0), (2, 2_499_000, 1), (2, 2_599_995, 1), (3, 200_000, 1)]
+
+
+def test_ids_at_the_ends_of_their_range(spark, tmp_path):
+    """One text under null, 0, -1 and the greatest id, all in one shard: the smallest id keeps it, null comes last."""
+    same = "one text that all of them hold, and that is longer than fifty bytes"
+    for k, ids in enumerate([(None, 0, 5), (None, 0, -1, (1 << 63) - 1), (None, (1 << 63) - 1), (None, None), (-7, None, -8)]):
+        rows = [(i, same, "e") for i in ids]
+        spark.createDataFrame(rows, "doc_id long, text string, shard string").write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        got = {r.doc_id: r.n_removed for r in sd.op2_suffix_dedup(spark, f"{tmp_path}/{k}").collect()}
+        least = min((i for i in ids if i is not None), default=None)
+        assert got == {i: 0 if i == least else len(same) for i in ids}
+    kept = sd._Shard([None, 0, -1, 0], [same] * 4, 50)
+    assert sorted(kept.order.values()) == [-2, -1, sd.NULL_ID]  # rows that are equal count once
