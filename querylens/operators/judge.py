@@ -49,6 +49,11 @@ def execute(schema_text: str | None, query: str | None, backend: str = "typed")
         return False, None, str(problem)[:300], "runtime"
 
 
+@lru_cache(maxsize=1024)  # in each Python worker
+def _executed(schema_text: str | None, query: str | None, backend: str):
+    return execute(schema_text, query, backend)
+
+
 def grade(success: bool, error_kind: str | None) -> float:
     return RAN if success else PARSE if error_kind == "parse" else RUNTIME
 
@@ -70,7 +75,7 @@ def execution_column(query: Column, schema: Column, backend: str = "typed") -> C
 
     @F.pandas_udf(RESULT)
     def run(queries: pd.Series, schemas: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([execute(s, q, backend) for q, s in zip(queries, schemas, strict=True)], columns=RESULT.names)
+        return pd.DataFrame([_executed(s, q, backend) for q, s in zip(queries, schemas, strict=True)], columns=RESULT.names)
 
     return run(query, schema)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_ONE_AT_A_TIME = threading.Lock()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -32,12 +34,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     checkpoint_folder(spark)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        return df.select("*").checkpoint(eager=True)  # a plan made under the setting
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    with _ONE_AT_A_TIME:  # the setting is the session's
+        before = spark.conf.get(CLEANUP, None)
+        spark.conf.set(CLEANUP, "true")
+        try:
+            return df.select("*").checkpoint(eager=True)  # a plan made under the setting
+        finally:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:

@@ -11,19 +11,25 @@ from __future__ import annotations
 import itertools
 import threading
 import uuid
-from dataclasses import dataclass, field
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.errors import PySparkException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from querylens.plans import syntax as S
+from querylens.plans import types as Y
 from querylens.plans.binder import Binder, Catalog
 from querylens.plans.checkpoints import checkpointed
 
+SEEN_PARTS = 16  # rounds of a growing frontier whose results are one checkpoint again
 LAZY_HOPS = 8  # paths that can be longer grow round by round, each checkpointed, until a round adds none
 ROW_CAP = 10_001
+RUN_ERRORS = (PySparkException, Py4JJavaError)  # the second where several stages fail at once
 
 
 @dataclass
@@ -58,45 +64,75 @@ class GraphSession:
 
     def __init__(self, spark: SparkSession, graph: PropertyGraph, mode: str = "typed", max_hops: int | None = None):
         self.spark, self.graph, self.mode, self.max_hops = spark, graph, mode, max_hops
+        self.counts: dict[int, tuple[DataFrame, int]] = {}
+
+    def rows_of(self, labels: list[str]) -> int:
+        """Rows of the labels' tables (of all, without); each table is counted once, files by their footers alone."""
+        total = 0
+        for label in labels or self.graph.nodes:
+            d = self.graph.nodes.get(label)
+            if d is not None:
+                if id(d) not in self.counts:
+                    self.counts[id(d)] = d, d.count()
+                total += self.counts[id(d)][1]
+        return total
 
     def execute(self, query: str) -> DataFrame:
         """The query's result, lazily; raises QueryError. Updates change the session's graph by making new DataFrames."""
         parsed = S.parse(query)
         Binder(self.graph.catalog() if self.mode == "typed" else None).query(parsed)
-        frames = [_Part(self).run(clauses) for clauses in parsed.parts]
-        out = frames[0]
-        for frame, keep_all in zip(frames[1:], parsed.keep_all, strict=True):
-            out = out.union(frame)
-            out = out if keep_all else out.distinct()
-        return out
+        try:
+            frames = [_Part(self).run(clauses) for clauses in parsed.parts]
+            out = frames[0]
+            for frame, keep_all in zip(frames[1:], parsed.keep_all, strict=True):
+                out = out.union(frame)
+                out = out if keep_all else out.distinct()
+            return out
+        except (AnalysisException, RecursionError) as problem:
+            raise S.BindProblem(str(problem)[:300]) from problem
 
     def run(self, query: str, timeout_s: float | None = None) -> ExecutionResult:
         """Rows (ROW_CAP at most) or a classified error; a query over its time is cancelled."""
-        group = f"query-{id(self)}-{next(_numbers)}"
-        sc = self.spark.sparkContext
-        late = threading.Event()
-        timer = threading.Timer(timeout_s, lambda: (late.set(), sc.cancelJobGroup(group))) if timeout_s else None
-        try:
-            sc.setJobGroup(group, "query", interruptOnCancel=True)
-            if timer:
-                timer.start()
-            frame = self.execute(query).limit(ROW_CAP)
-            return ExecutionResult(True, [tuple(r) for r in frame.collect()])
-        except S.QueryError as problem:
-            return ExecutionResult(False, None, str(problem)[:300], problem.kind)
-        except PySparkException as problem:
-            return ExecutionResult(False, None, str(problem)[:300], "timeout" if late.is_set() else "runtime")
-        except Exception as problem:
-            if not late.is_set():
-                raise
-            return ExecutionResult(False, None, str(problem)[:300], "timeout")
-        finally:
-            if timer:
-                timer.cancel()
-            sc.setLocalProperty("spark.jobGroup.id", None)
-
-
-_numbers = itertools.count()
+        with deadline(self.spark, timeout_s) as late:
+            try:
+                frame = self.execute(query).limit(ROW_CAP)
+                return ExecutionResult(True, [tuple(r) for r in frame.collect()])
+            except S.QueryError as problem:
+                return ExecutionResult(False, None, str(problem)[:300], "timeout" if late.is_set() else problem.kind)
+            except RUN_ERRORS as problem:
+                return ExecutionResult(False, None, str(problem)[:300], "timeout" if late.is_set() else "runtime")
+            except Exception as problem:
+                if not late.is_set():
+                    raise
+                return ExecutionResult(False, None, str(problem)[:300], "timeout")
+
+
+@contextmanager
+def deadline(spark: SparkSession, seconds: float | None):
+    """Jobs that this thread starts inside are one group, cancelled when the time is over, as are those it starts after that.
+
+    Gives an event that tells whether the time was over.
+    """
+    group, late, done, sc = f"query-{uuid.uuid4()}", threading.Event(), threading.Event(), spark.sparkContext
+
+    def watch() -> None:
+        left = seconds
+        while not done.wait(left):
+            late.set()
+            sc.cancelJobGroup(group)
+            left = 0.5
+
+    sc.setJobGroup(group, "query", interruptOnCancel=True)
+    watcher = threading.Thread(target=watch, daemon=True)
+    if seconds:
+        watcher.start()
+    try:
+        yield late
+    finally:
+        done.set()
+        if seconds:
+            watcher.join()
+        sc.setLocalProperty("spark.jobGroup.id", None)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -174,6 +210,32 @@ def simple(e) -> bool:
     return not isinstance(e, (tuple, list)) or (not e or e[0] not in ("exists", "has", "each")) and all(map(simple, e))
 
 
+def repeats_dont_count(clauses: list) -> list[bool]:
+    """For each clause whether rows may come more or less often without changing the result: a projection soon makes them distinct."""
+    out, later = [], False
+    for c in reversed(clauses):
+        if isinstance(c, S.Projection):
+            said = [e for e, _ in (*c.items, *c.order)]
+            later = all(map(_set_aggregates, said)) if any(map(S.has_aggregate, said)) else c.distinct
+        elif not isinstance(c, (S.Match, S.Unwind)):
+            later = False
+        out.append(later)
+    return out[::-1]
+
+
+def _set_aggregates(e: tuple) -> bool:
+    """Every aggregate in it gives the same for a row that comes twice."""
+    if e[0] == "call" and e[1] in S.AGGREGATES:
+        return e[1] in ("min", "max") or e[2] and e[1] != "count_rows"
+    return all(map(_set_aggregates, S.children(e)))
+
+
+def turned(path: S.Path) -> S.Path:
+    """The same pattern, written from its other end."""
+    flipped = {"out": "in", "in": "out", "both": "both"}
+    return S.Path(path.var, path.nodes[::-1], [replace(r, direction=flipped[r.direction]) for r in path.rels[::-1]])
+
+
 class _Part:
     def __init__(self, session: GraphSession):
         self.session, self.graph = session, session.graph
@@ -184,12 +246,12 @@ class _Part:
 
     def run(self, clauses: list) -> DataFrame:
         self.named = mentioned(clauses)
-        for clause in clauses:
+        as_sets = repeats_dont_count(clauses)
+        for clause, self.as_set in zip(clauses, as_sets, strict=True):
             if isinstance(clause, S.Match):
                 self.match(clause)
             elif isinstance(clause, S.Unwind):
-                self.df = self.frame().withColumn(clause.var, F.explode(self.value(clause.value)))
-                self.kinds[clause.var] = "value"
+                self.unwind(clause)
             elif isinstance(clause, S.Projection):
                 out = self.project(clause)
                 if clause.final:
@@ -202,6 +264,16 @@ class _Part:
                 self.foreach(clause)
         return self.session.spark.createDataFrame([], "done boolean")
 
+    def unwind(self, clause: S.Unwind) -> None:
+        """A row for each item; none for null, one for a value that is no list."""
+        df = self.frame()
+        kind, items = self.typer(self.kinds, df).of(clause.value), self.value(clause.value, df=df)
+        if Y.is_list(kind):
+            self.df = df.withColumn(clause.var, F.explode(items))
+        else:
+            self.df = df.withColumn(clause.var, items).filter(F.col(f"`{clause.var}`").isNotNull())
+        self.kinds[clause.var] = "value"
+
     def frame(self) -> DataFrame:
         return self.one if self.df is None else self.df
 
@@ -247,6 +319,33 @@ class _Part:
         ends = F.concat_ws(">", F.lit(start), "src", F.lit(end), "dst")
         return F.concat(F.lit(kind + ":"), F.coalesce(F.col("eid").cast("string"), ends) if "eid" in d.columns else ends)
 
+    def reached(self, var: str, rel: S.Rel, seeds: DataFrame) -> DataFrame:
+        """Pairs of seeds and the nodes that a path leads to, each once: a frontier that grows by nodes not seen before.
+
+        A walk between two nodes holds a path without a repeated edge, so none is kept. Each round meets the edges with the
+        last round's new pairs only, and ends when there are none; what is written is every pair once.
+        """
+        low, high = rel.hops
+        bounds = [x for x in (self.session.max_hops if high is None else high, self.most_hops(rel)) if x is not None]
+        most = min(bounds) if bounds else None
+        step = self.edges_of("s", S.Rel(None, rel.types, rel.direction), set())
+        step = checkpointed(step.select(*[F.col(f"`s:{c}`").alias(f"s:{c}") for c in ("from:label", "from:id", "to:label", "to:id")]).distinct())
+        pair = [f"{var}:{e}:{c}" for e in ("from", "to") for c in ("label", "id")]
+        start = seeds.select(*[F.col(c).alias(f"{var}:{e}:{c}") for e in ("from", "to") for c in ("label", "id")])
+        frontier, k = checkpointed(start), 0
+        seen = None if low else frontier
+        on = (F.col(f"`{var}:to:id`") == F.col("`s:from:id`")) & (F.col(f"`{var}:to:label`") == F.col("`s:from:label`"))
+        while most is None or k < most:
+            k += 1
+            new = frontier.join(step, on).select(*[F.col(f"`{c}`") for c in pair[:2]], *[F.col(f"`s:to:{c}`").alias(f"{var}:to:{c}") for c in ("label", "id")]).distinct()
+            frontier = checkpointed(new if seen is None else new.join(seen, pair, "left_anti"))
+            if frontier.isEmpty():
+                break
+            seen = frontier if seen is None else seen.union(frontier)
+            if k % SEEN_PARTS == 0:  # a plan of few parts
+                seen = checkpointed(seen)
+        return (start.limit(0) if seen is None else seen).withColumn(f"{var}:eids", F.array().cast("array<string>"))
+
     def most_hops(self, rel: S.Rel) -> int | None:
         """How long a path can be by the labels of its ends; None where these form a cycle."""
         ends = {(a, b) for kind in rel.types or self.graph.rels for a, b, _ in self.graph.rels.get(kind, [])}
@@ -261,9 +360,11 @@ class _Part:
             ends, n = rest, n + 1
         return n
 
-    def hops_of(self, var: str, rel: S.Rel, seeds: DataFrame) -> DataFrame:
+    def hops_of(self, var: str, rel: S.Rel, seeds: DataFrame, keep_nodes: bool = False) -> DataFrame:
         """Paths of the asked lengths from the seeds (label, id) as one edge each; no edge twice in a path.
 
+        keep_nodes: with the nodes after the first, for a path that has a name.
+
         Without an upper bound, paths grow until none can. Labels may say after how many hops that is; else, and where it
         is late, each round is checkpointed and the first that adds nothing is the last.
         """
@@ -274,14 +375,16 @@ class _Part:
         step = self.edges_of("s", S.Rel(None, rel.types, rel.direction), set())
         step = step.select(*[F.col(f"`s:{c}`").alias(f"s:{c}") for c in ends], F.col("`s:eid`").alias("s:eid"))
         start = [F.col(c).alias(f"{var}:{e}:{c}") for e in ("from", "to") for c in ("label", "id")]
-        path = seeds.select(*start, F.array().cast("array<string>").alias(f"{var}:eids"))
+        path = seeds.select(*start, F.array().cast("array<string>").alias(f"{var}:eids"), *([F.array().cast(T.ArrayType(Y.ELEMENT)).alias(f"{var}:nodes")] if keep_nodes else []))
+        reached = F.struct(F.col("`s:to:label`").alias("label"), F.col("`s:to:id`").cast("long").alias("id"))
         found, k = [path] if low == 0 else [], 0
         on = (F.col(f"`{var}:to:id`") == F.col("`s:from:id`")) & (F.col(f"`{var}:to:label`") == F.col("`s:from:label`"))
         while most is None or k < most:
             k += 1
             path = path.join(step, on).filter(~F.array_contains(f"`{var}:eids`", F.col("`s:eid`")))
             path = path.select(
-                *[F.col(f"`{var}:from:{c}`") for c in ("label", "id")], *[F.col(f"`s:to:{c}`").alias(f"{var}:to:{c}") for c in ("label", "id")], F.concat(f"`{var}:eids`", F.array("`s:eid`")).alias(f"{var}:eids")
+                *[F.col(f"`{var}:from:{c}`") for c in ("label", "id")], *[F.col(f"`s:to:{c}`").alias(f"{var}:to:{c}") for c in ("label", "id")], F.concat(f"`{var}:eids`", F.array("`s:eid`")).alias(f"{var}:eids"),
+                *([F.concat(f"`{var}:nodes`", F.array(reached)).alias(f"{var}:nodes")] if keep_nodes else []),
             )
             if most is None or most > LAZY_HOPS:
                 path = checkpointed(path)
@@ -306,9 +409,55 @@ class _Part:
         others = [x.var for x in (*path.nodes[1:], *path.rels)] + [v for v in said if v != first]
         return None if said.get(first, set()) - {"id"} or any(v in kinds for v in others) else first
 
-    def pattern(self, df: DataFrame | None, paths: list[S.Path], kinds: dict[str, str], where: tuple | None = None) -> tuple[DataFrame, list[Column]]:
+    def anchored(self, paths: list[S.Path], where: tuple | None, kinds: dict[str, str]) -> list[S.Path]:
+        """The paths, each from its best place: a node that is there already, else the one that fewest rows are expected of.
+
+        A path that starts in its middle becomes two. Paths that a name holds stay as they are.
+        """
+        out, known = [], set(kinds)
+        for path in paths:
+            at = 0
+            if path.rels and path.var not in self.named:
+                held = [k for k, n in enumerate(path.nodes) if n.var in known]
+                tested = self.tested(where)
+                if held:
+                    at = held[0]
+                elif any(n.props or tested.get(n.var) for n in path.nodes):
+                    at = min(range(len(path.nodes)), key=lambda k: self.expected(path.nodes[k], tested))
+            if 0 < at < len(path.nodes) - 1 and path.nodes[at].var is None:
+                hidden = replace(path.nodes[at], var=f"_a{next(self.anonymous)}")
+                path = replace(path, nodes=[*path.nodes[:at], hidden, *path.nodes[at + 1 :]])
+            if at < len(path.nodes) - 1 or not at:
+                out.append(S.Path(path.var, path.nodes[at:], path.rels[at:]))
+            if at:
+                first = path.nodes[at] if at == len(path.nodes) - 1 else S.Node(path.nodes[at].var)
+                out.append(turned(S.Path(path.var, [*path.nodes[:at], first], path.rels[:at])))
+            known |= {n.var for n in path.nodes if n.var}
+        return out
+
+    @staticmethod
+    def tested(where: tuple | None) -> dict[str, list[tuple[str, str]]]:
+        """For each variable the properties that a condition holds against a constant, with the comparison."""
+        out: dict[str, list[tuple[str, str]]] = {}
+        for e in conjuncts(where):
+            if e[0] == "bin" and e[1] in ("=", "IN", "<", "<=", ">", ">=", "STARTS"):
+                for a, b in ((e[2], e[3]), (e[3], e[2])):
+                    if a[0] == "prop" and a[1][0] == "var" and not mentioned([S.Match([], b, False)]):
+                        out.setdefault(a[1][1], []).append((e[1], a[2]))
+        return out
+
+    def expected(self, node: S.Node, tested: dict[str, list[tuple[str, str]]]) -> float:
+        """Rows that a node is expected to leave: an id one, an equality a hundredth, a range a third."""
+        rows = float(self.session.rows_of(node.labels))
+        for op, key in [*(("=", key) for key, _ in node.props), *tested.get(node.var, [])]:
+            rows = min(rows, 1.0) if (op, key) == ("=", "id") else rows / (100 if op in ("=", "IN") else 3)
+        return rows
+
+    def pattern(self, df: DataFrame | None, paths: list[S.Path], kinds: dict[str, str], where: tuple | None = None, as_set: bool = False) -> tuple[DataFrame, list[Column]]:
         """Extend df by the paths. kinds gets the new variables; inline conditions on old ones are returned.
 
+        as_set: the caller needs each row once only.
+
         Without df, a first node in kinds is taken from its relationship (see open_start). What `where` says of the variables before a variable-length relationship is applied before that grows paths; the
         caller applies all of it in the end.
         """
@@ -316,6 +465,7 @@ class _Part:
         tests: list[Column] = []
         for path in paths:
             names = [n.var or f"_n{next(self.anonymous)}" for n in path.nodes]
+            rels: list[tuple[str, bool]] = []
             for k, node in enumerate(path.nodes):
                 need = self.named.get(node.var, set()) | {key for key, _ in node.props}
                 rel = path.rels[k - 1] if k else None
@@ -334,7 +484,8 @@ class _Part:
                             if simple(e) and set(mentioned([S.Match([], e, False)])) <= set(kinds):
                                 df = df.filter(self.value(e, kinds, df))
                         seeds = df.select(*[F.col(f"`{names[k - 1]}:{c}`").alias(c) for c in ("label", "id")]).distinct()
-                    edges = self.hops_of(r, rel, seeds) if rel.hops else self.edges_of(r, rel, self.named.get(rel.var, set()) | {key for key, _ in rel.props})
+                    alone = as_set and rel.hops and not rel.var and path.var not in self.named and sum(len(p.rels) for p in paths) == 1 and rel.hops[0] <= (rel.direction != "both")
+                    edges = self.reached(r, rel, seeds) if alone else self.hops_of(r, rel, seeds, path.var in self.named) if rel.hops else self.edges_of(r, rel, self.named.get(rel.var, set()) | {key for key, _ in rel.props})
                     before = names[k - 1]
                     on = [(f"{before}:id", f"{r}:from:id"), (f"{before}:label", f"{r}:from:label")]
                     if var in kinds:
@@ -356,9 +507,10 @@ class _Part:
                     for other, many in used:
                         df = df.filter(self.apart(other, many, r, bool(rel.hops)))
                     used.append((r, bool(rel.hops)))
+                    rels.append((r, bool(rel.hops)))
                     kinds[r] = "hops" if rel.hops else "rel"
                     for key, value in rel.props:
-                        df = df.filter(self.column(r, key) == self.value(value, kinds))
+                        df = df.filter(self.column(r, key) == self.value(value, kinds, df))
                 if var in kinds and node.labels:
                     tests.append(F.col(f"`{var}:label`").isin(node.labels))
                 kinds[var] = "node"
@@ -366,8 +518,21 @@ class _Part:
                     tests.append(F.col(f"`{var}:label`").isin(group))
                 for key, value in node.props:
                     tests.append(self.property(df, var, key) == self.value(value, kinds, df))
+            if path.var in self.named:
+                df = df.withColumns(self.path_columns(path.var, names, rels))
+                kinds[path.var] = "path"
         return df, tests
 
+    @staticmethod
+    def path_columns(var: str, nodes: list[str], rels: list[tuple[str, bool]]) -> dict[str, Column]:
+        """A path as its number of hops, its relationships' keys and its nodes, for the names of its parts."""
+        eids = [F.col(f"`{r}:eids`") if many else F.array(f"`{r}:eid`") for r, many in rels]
+        node = lambda label, key: F.struct(F.col(f"`{label}`").alias("label"), F.col(f"`{key}`").cast("long").alias("id"))
+        inner = [F.col(f"`{r}:nodes`") if many else F.array(node(f"{n}:label", f"{n}:id")) for (r, many), n in zip(rels, nodes[1:], strict=True)]
+        whole = F.concat(F.array(node(f"{nodes[0]}:label", f"{nodes[0]}:id")), *inner)
+        keys = F.concat(*eids) if eids else F.array().cast("array<string>")
+        return {f"{var}:hops": F.size(keys).cast("long"), f"{var}:eids": keys, f"{var}:nodes": whole}
+
     @staticmethod
     def apart(a: str, a_many: bool, b: str, b_many: bool) -> Column:
         """No edge in both of two relationships."""
@@ -375,8 +540,9 @@ class _Part:
         return ~F.arrays_overlap(left, right)
 
     def match(self, clause: S.Match) -> None:
+        clause = S.Match(self.anchored(clause.paths, clause.where, self.kinds), clause.where, clause.optional)
         if not clause.optional:
-            df, tests = self.pattern(self.df, clause.paths, self.kinds, clause.where)
+            df, tests = self.pattern(self.df, clause.paths, self.kinds, clause.where, self.as_set)
             for t in tests:
                 df = df.filter(t)
             self.df = self.where(df, clause.where, self.kinds)
@@ -390,7 +556,7 @@ class _Part:
         keys = base.select(*[F.col(f"`{c}`") for c in seeds]).distinct() if seeds else None
         if start := self.open_start(clause.paths, clause.where, old):
             seeds, keys = [f"{start}:label", f"{start}:id"], None
-        df, tests = self.pattern(keys, clause.paths, inner, clause.where)
+        df, tests = self.pattern(keys, clause.paths, inner, clause.where, self.as_set)
         for t in tests:
             df = df.filter(t)
         df = self.where(df, clause.where, inner)
@@ -422,6 +588,7 @@ class _Part:
         for inner in self.nested_exists(e):
             flags[id(inner)] = flag = f"_flag{next(self.anonymous)}"
             df = self.exists(df, inner, kinds, flag)
+        self.typer(kinds, df).truth(e)
         return df.filter(self.value(e, kinds, df, flags)).select(*[F.col(f"`{c}`") for c in held])
 
     def nested_exists(self, e: tuple) -> list[tuple]:
@@ -429,6 +596,7 @@ class _Part:
 
     def exists(self, df: DataFrame, e: tuple, kinds: dict[str, str], how: str) -> DataFrame:
         """how: a kind of join, or the name of a flag column to add."""
+        e = (*e[:1], self.anchored(e[1], e[2], kinds), *e[2:])
         inside = mentioned([S.Match(e[1], e[2], False)])
         shared = sorted({v for v in (*(n.var for p in e[1] for n in p.nodes), *inside) if v in kinds})
         seeds = [c for v in shared for c in ([v] if kinds[v] == "value" else [f"{v}:label", f"{v}:id", *(f"{v}:{p}" for p in self.held(df, v) if p in inside.get(v, ()))])]
@@ -437,7 +605,7 @@ class _Part:
         keys = df.select(*[F.col(f"`{c}`") for c in seeds]).distinct() if seeds else None
         if start := self.open_start(e[1], e[2], kinds):
             seeds, keys = [f"{start}:label", f"{start}:id"], None
-        found, tests = self.pattern(keys, e[1], inner_kinds, e[2])
+        found, tests = self.pattern(keys, e[1], inner_kinds, e[2], as_set=True)
         for t in tests:
             found = found.filter(t)
         found = self.where(found, e[2], inner_kinds)
@@ -449,6 +617,17 @@ class _Part:
         return df.join(flagged, on, "left").withColumn(how, F.coalesce(how, F.lit(False))).drop(*[f"key {c}" for c in seeds])
 
     # --- expressions
+    def typer(self, kinds: dict[str, str], df: DataFrame | None) -> Y.Typer:
+        fields = {f.name: f.dataType for f in df.schema.fields} if df is not None else {}
+
+        def leaf(var: str, key: str | None) -> T.DataType | None:
+            kind = kinds.get(var, "value")
+            if key is not None:
+                return None if kind == "value" else fields.get(f"{var}:{key}", Y.NULL)
+            return fields.get(var) if kind == "value" else T.ArrayType(Y.TEXT) if kind == "hops" else Y.ELEMENT
+
+        return Y.Typer(leaf)
+
     def column(self, var: str, key: str) -> Column:
         return F.col(f"`{var}:{key}`")
 
@@ -473,15 +652,20 @@ class _Part:
         if what == "prop":
             if e[1][0] == "var" and kinds.get(e[1][1], "value") != "value":
                 return self.property(df, e[1][1], e[2])
-            return {"year": F.year, "month": F.month, "day": F.dayofmonth}.get(e[2], lambda c: c[e[2]])(go(e[1]))
+            kind = self.typer(kinds, df).of(e[1])
+            if Y.family(kind) == "time":
+                return {"year": F.year, "month": F.month, "day": F.dayofmonth}[e[2]](go(e[1])).cast("long")
+            return go(e[1])[e[2]] if isinstance(kind, T.StructType) and e[2] in kind.names else F.lit(None)
         if what == "list":
-            return F.array(*map(go, e[1]))
+            typer = self.typer(kinds, df)
+            item = typer.of(e).elementType
+            alike = all(typer.of(x) in (item, Y.NULL) for x in e[1])
+            return F.array(*[go(x) if alike else go(x).cast(item) for x in e[1]])
         if what == "map":
             return F.struct(*[go(v).alias(k) for k, v in e[1]])
-        if what == "not":
-            return ~go(e[1])
-        if what == "neg":
-            return -go(e[1])
+        if what in ("not", "neg"):
+            self.typer(kinds, df).of(e)  # fails where it doesn't fit
+            return ~go(e[1]).cast("boolean") if what == "not" else -go(e[1])
         if what == "null":
             x = self.identity(e[1][1], kinds) if e[1][0] == "var" and kinds.get(e[1][1], "value") != "value" else go(e[1])
             return x.isNull() if e[2] else x.isNotNull()
@@ -502,7 +686,8 @@ class _Part:
             high = go(e[3]) if e[3] else F.size(owner)
             return F.slice(owner, (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
         if what == "each":
-            inner = lambda x: lambda c: self.substitute(x, e[1], c, kinds, df, flags)
+            item = self.typer(kinds, df).items(e[2])
+            inner = lambda x: lambda c: self.value(Y.put(x, e[1], ("column", c, item)), kinds, df, flags)
             out = go(e[2])
             out = F.filter(out, inner(e[3])) if e[3] else out
             return F.transform(out, inner(e[4])) if e[4] else out
@@ -510,38 +695,71 @@ class _Part:
             return self.aggregate(e, kinds, df, flags) if e[1] in S.AGGREGATES else self.call(e, kinds, df, flags)
         if what == "column":
             return e[1]
-        return self.binary(e[1], go(e[2]), go(e[3]), e)
-
-    def substitute(self, x: tuple, var: str, c: Column, kinds, df, flags) -> Column:
-        """The expression with a list's element in place of its variable."""
-
-        def put(y):
-            if isinstance(y, tuple):
-                return ("column", c) if y == ("var", var) else tuple(map(put, y))
-            return [put(z) for z in y] if isinstance(y, list) else y
-
-        return self.value(put(x), kinds, df, flags)
+        return self.binary(e, kinds, df, flags)
 
     def identity(self, var: str, kinds: dict[str, str]) -> Column:
-        return F.col(f"`{var}:{ {'node': 'id', 'rel': 'eid', 'hops': 'eids'}[kinds[var]] }`") if kinds.get(var) in ("node", "rel", "hops") else F.col(f"`{var}`")
-
-    def binary(self, op: str, a: Column, b: Column, e: tuple) -> Column:
-        if op == "IN" and e[3][0] == "list":
-            return a.isin([x[1] for x in e[3][1]]) if all(x[0] == "lit" for x in e[3][1]) else F.array_contains(b, a)
-        if op == "/" and all(x[0] == "lit" and isinstance(x[1], int) for x in e[2:4]):
-            return F.lit(int(e[2][1] / e[3][1]))
-        if op == "+" and any(x[0] == "lit" and isinstance(x[1], str) for x in e[2:4]):
+        return F.col(f"`{var}:{ {'node': 'id', 'rel': 'eid', 'hops': 'eids', 'path': 'hops'}[kinds[var]] }`") if kinds.get(var) in ("node", "rel", "hops", "path") else F.col(f"`{var}`")
+
+    def binary(self, e: tuple, kinds: dict[str, str], df: DataFrame | None, flags: dict | None) -> Column:
+        """The operation that the operands' types ask for."""
+        op, typer = e[1], self.typer(kinds, df)
+        typer.of(e)  # fails where no operation fits
+        left, right = typer.of(e[2]), typer.of(e[3])
+        a, b = self.value(e[2], kinds, df, flags), self.value(e[3], kinds, df, flags)
+        known = a.isNotNull() & b.isNotNull()
+        if op == "IN":
+            return self.contained(a, b, left, right, e)
+        if op in ("=", "<>"):
+            return (a == b if op == "=" else a != b) if Y.comparable(left, right) else F.when(known, F.lit(op == "<>"))
+        if op in ("<", "<=", ">", ">="):
+            return {"<": lambda: a < b, "<=": lambda: a <= b, ">": lambda: a > b, ">=": lambda: a >= b}[op]() if Y.comparable(left, right) else F.lit(None).cast("boolean")
+        if op in ("STARTS", "ENDS", "CONTAINS", "=~"):
+            if not (Y.is_text(left) and Y.is_text(right)):
+                return F.lit(None).cast("boolean")
+            a, b = a.cast("string"), b.cast("string")
+            return {"STARTS": lambda: a.startswith(b), "ENDS": lambda: a.endswith(b), "CONTAINS": lambda: a.contains(b), "=~": lambda: F.regexp_like(a, F.concat(F.lit("^(?:"), b, F.lit(")$")))}[op]()
+        if op in ("AND", "OR", "XOR"):
+            a, b = a.cast("boolean"), b.cast("boolean")
+            return {"AND": lambda: a & b, "OR": lambda: a | b, "XOR": lambda: a != b}[op]()
+        if op == "+" and (Y.is_list(left) or Y.is_list(right)):
+            whole = typer.of(e)
+            sides = [x if Y.is_list(t) else F.array(x) for x, t in ((a, left), (b, right))]
+            return F.when(known, F.concat(*[x if Y.is_null(whole.elementType) else x.cast(whole) for x in sides]))
+        if op == "+" and Y.TEXT in (left, right):
             return F.concat(a.cast("string"), b.cast("string"))
-        made = {
-            "AND": lambda: a & b, "OR": lambda: a | b, "XOR": lambda: a != b, "=": lambda: a == b, "<>": lambda: a != b, "<": lambda: a < b, "<=": lambda: a <= b, ">": lambda: a > b, ">=": lambda: a >= b,
-            "IN": lambda: F.array_contains(b, a), "STARTS": lambda: a.startswith(b), "ENDS": lambda: a.endswith(b), "CONTAINS": lambda: a.contains(b), "=~": lambda: F.regexp_like(a, F.concat(F.lit("^(?:"), b, F.lit(")$"))),
-            "+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b, "%": lambda: a % b, "^": lambda: F.pow(a, b),
-        }
+        if isinstance(left, T.DateType):
+            return (F.date_add if op == "+" else F.date_sub)(a, b.cast("int"))
+        if op in ("/", "%") and not all(Y.is_whole(t) or Y.is_null(t) for t in (left, right)):
+            a, b = a.cast("double"), b.cast("double")
+            if op == "/":  # as the binary floating-point standard has it
+                by_zero = F.when((a == 0) | F.isnan(a), float("nan")).when(a > 0, float("inf")).otherwise(float("-inf"))
+                return F.when(known, F.when(b == 0, by_zero).otherwise(a / b))
+        made = {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: F.call_function("div", a, b), "%": lambda: a % b, "^": lambda: F.pow(a, b)}
         return made[op]()
 
+    @staticmethod
+    def contained(a: Column, b: Column, left: T.DataType, right: T.DataType, e: tuple) -> Column:
+        item = right.elementType if Y.is_list(right) else Y.NULL
+        if Y.is_null(item):  # an empty list, one of nulls, or null
+            return F.when(F.size(b) == 0, F.lit(False)) if Y.is_list(right) else F.lit(None).cast("boolean")
+        if not Y.comparable(left, item):
+            return F.when(a.isNotNull() & b.isNotNull(), F.lit(False))
+        if e[3][0] == "list" and all(x[0] == "lit" and x[1] is not None for x in e[3][1]):
+            return a.isin([x[1] for x in e[3][1]])
+        wide = Y.common([left, item]) if Y.family(left) == Y.family(item) else item
+        return F.array_contains(b.cast(T.ArrayType(wide)), a.cast(wide))
+
     def call(self, e: tuple, kinds, df, flags) -> Column:
         name, args = e[1], e[3]
+        kind = self.typer(kinds, df)
+        kind.of(e)  # fails where the arguments don't fit
+        if name in ("nodes", "relationships", "length", "size") and args[0][0] == "var" and kinds.get(args[0][1]) == "path":
+            return F.col(f"`{args[0][1]}:{ {'nodes': 'nodes', 'relationships': 'eids'}.get(name, 'hops') }`")
+        if name in ("nodes", "relationships"):
+            raise Y.mismatch(f"{name} needs a path")
         if name in ("id", "labels", "label", "type"):
+            if args[0][0] != "var":
+                raise Y.mismatch(f"{name} needs a node or relationship")
             var = args[0][1]
             if name == "id":
                 return self.identity(var, kinds)
@@ -554,22 +772,29 @@ class _Part:
         made = {
             "date": lambda: F.to_date(c[0]), "datetime": lambda: F.to_timestamp_ntz(c[0]), "tolower": lambda: F.lower(c[0]), "lower": lambda: F.lower(c[0]), "toupper": lambda: F.upper(c[0]), "upper": lambda: F.upper(c[0]),
             "trim": lambda: F.trim(c[0]), "tostring": lambda: text(c[0]), "tointeger": lambda: c[0].try_cast("long"), "tofloat": lambda: c[0].try_cast("double"), "coalesce": lambda: F.coalesce(*c),
-            "abs": lambda: F.abs(c[0]), "round": lambda: F.round(*c[:1], args[1][1] if len(c) > 1 else 0), "floor": lambda: F.floor(c[0]), "ceil": lambda: F.ceil(c[0]), "sqrt": lambda: F.sqrt(c[0]), "range": lambda: F.sequence(*c),
+            "abs": lambda: F.abs(c[0]), "round": lambda: F.round(*c[:1], args[1][1] if len(c) > 1 else 0), "floor": lambda: F.floor(c[0]), "ceil": lambda: F.ceil(c[0]), "sqrt": lambda: F.sqrt(c[0]), "range": lambda: self.steps(*c),
             "substring": lambda: c[0].substr(c[1] + 1, c[2] if len(c) > 2 else F.length(c[0])), "replace": lambda: F.replace(*c), "split": lambda: F.split(c[0], F.concat(F.lit("\\Q"), c[1], F.lit("\\E"))),
             "head": lambda: F.get(c[0], F.lit(0)), "last": lambda: F.get(c[0], F.size(c[0]) - 1), "left": lambda: F.left(c[0], c[1]), "right": lambda: F.right(c[0], c[1]),
         }
         if name in ("size", "length"):
-            hops = args[0][0] == "var" and kinds.get(args[0][1]) == "hops"
-            if hops:
+            if args[0][0] == "var" and kinds.get(args[0][1]) == "hops":
                 return F.size(f"`{args[0][1]}:eids`")
-            return F.size(c[0]) if args[0][0] in ("list", "each") or args[0][0] == "call" and args[0][1] in ("collect", "range", "split", "labels") else F.length(c[0])
+            return F.array_size(c[0]) if Y.is_list(kind.of(args[0])) else F.length(c[0].cast("string"))
         return made[name]()
 
+    @staticmethod
+    def steps(low: Column, high: Column, step: Column | None = None) -> Column:
+        """Whole numbers from low to high, none where the step leads away from it."""
+        low, high, step = low.cast("long"), high.cast("long"), F.lit(1).cast("long") if step is None else step.cast("long")
+        onward = ((step > 0) & (low <= high)) | ((step < 0) & (low >= high))
+        return F.when(onward, F.sequence(low, high, F.when(onward, step).otherwise(1))).when(step.isNotNull() & low.isNotNull() & high.isNotNull(), F.array().cast("array<bigint>"))
+
     def aggregate(self, e: tuple, kinds, df, flags) -> Column:
         name = e[1]
         if name == "count_rows":
             return F.count(F.lit(1))
         arg = e[3][0]
+        self.typer(kinds, df).of(e)  # fails where the argument doesn't fit
         whole = arg[0] == "var" and kinds.get(arg[1], "value") != "value"
         x = (F.when(self.identity(arg[1], kinds).isNotNull(), F.struct(*[F.col(f"`{arg[1]}:{c}`") for c in (("label", "id") if kinds[arg[1]] == "node" else ("eid",))])) if name == "count" else self.value(arg, kinds, df, flags)) if whole else self.value(arg, kinds, df, flags)
         if name == "count":

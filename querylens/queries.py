@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from querylens.functions import text as X
 from querylens.operators import evaluate as ev
+from querylens.operators import graph_judge as gj
 from querylens.operators import judge, pattern
+from querylens.operators import rowsets as rs
 from querylens.operators import schema as sc
 from querylens.plans.checkpoints import checkpoint_folder
 from querylens.plans.frames import GraphSession, PropertyGraph
@@ -256,10 +259,10 @@ def _varied(spark, sf_dir):
     json = F.concat(F.lit('{"L'), k, F.lit('": {"type": "node", "properties": {'), inner, F.lit('}}, "R'), k, F.lit('": {"type": "relationship", "from": ["L'), k, F.lit('"], "to": ["M'), k, F.lit('"]}}'))
     blocks = F.concat(F.lit("L"), k, F.lit(" {"), joined(lambda p: F.concat(p.n, F.lit(": "), p.t), ", "), F.lit("}\n{'start': L"), k, F.lit(", 'type': R"), k, F.lit(", 'end': M"), k, F.lit("}"))
     text = F.when(key % 3 == 0, markdown).when(key % 3 == 1, json).otherwise(blocks)
-    return ad.read_table(spark, sf_dir, "customer").filter(key % 6 > 0).select("c_custkey", text.alias("schema"))
+    return ad.read_table(spark, sf_dir, "customer").select("c_custkey", text.alias("schema"))
 
 
-@query(f"SELECT c_custkey, 'CREATE NODE TABLE L' || c_custkey || '(id INT64, ' || array_to_string([{', '.join(ad._text(f'{n} {sc.TYPES.get(t, chr(83) + 'TRING')}') for n, t in _VARIED)}][1:c_custkey % 6], ', ') || ', PRIMARY KEY (id));' || chr(10) || 'CREATE NODE TABLE M' || c_custkey || '(id INT64, PRIMARY KEY (id));' || chr(10) || 'CREATE REL TABLE R' || c_custkey || '(FROM L' || c_custkey || ' TO M' || c_custkey || ');' AS ddl FROM customer WHERE c_custkey % 6 > 0")
+@query(f"SELECT c_custkey, 'CREATE NODE TABLE L' || c_custkey || '(id INT64, ' || array_to_string([{', '.join(ad._text(f'{n} {sc.TYPES.get(t, chr(83) + 'TRING')}, ') for n, t in _VARIED)}][1:c_custkey % 6], '') || 'PRIMARY KEY (id));' || chr(10) || 'CREATE NODE TABLE M' || c_custkey || '(id INT64, PRIMARY KEY (id));' || chr(10) || 'CREATE REL TABLE R' || c_custkey || '(FROM L' || c_custkey || ' TO M' || c_custkey || ');' AS ddl FROM customer")
 def schema_compile_varied(spark, sf_dir):
     return sc.compile_column(_varied(spark, sf_dir)).select("c_custkey", "ddl")
 
@@ -456,12 +459,12 @@ _HOSTILE = [
 ]
 
 
-@query(f"WITH h(k, kind) AS (VALUES {', '.join(f'({k}, {ad._text(kind) if kind else chr(78) + chr(85) + chr(76) + chr(76)})' for k, (_, kind) in enumerate(_HOSTILE))}) SELECT c_custkey, kind AS error_kind, CASE kind WHEN 'parse' THEN 0.0 WHEN 'timeout' THEN 0.3 WHEN 'runtime' THEN 0.3 ELSE 0.7 END::DOUBLE AS grade FROM customer JOIN h ON k = c_custkey % {len(_HOSTILE)} WHERE c_custkey < 70")
+@query(f"WITH h(k, kind) AS (VALUES {', '.join(f'({k}, {ad._text(kind) if kind else chr(78) + chr(85) + chr(76) + chr(76)})' for k, (_, kind) in enumerate(_HOSTILE))}) SELECT c_custkey, kind AS error_kind, CASE kind WHEN 'parse' THEN 0.0 WHEN 'timeout' THEN 0.3 WHEN 'runtime' THEN 0.3 ELSE 0.7 END::DOUBLE AS grade FROM customer JOIN h ON k = c_custkey % {len(_HOSTILE)}")
 def judge_hostile(spark, sf_dir):
     """Completions made to break a judge: each ends within its budget, with a grade."""
     key = F.col("c_custkey")
     text = F.get(F.array(*[F.lit(q) for q, _ in _HOSTILE]), (key % len(_HOSTILE)).cast("int"))
-    d = ad.read_table(spark, sf_dir, "customer").filter(key < 70).select("c_custkey", text.alias("pred"), F.lit("MATCH (c:Customer) RETURN c").alias("cypher"), F.lit(ad.SCHEMAS[0]).alias("schema"))
+    d = ad.read_table(spark, sf_dir, "customer").select("c_custkey", text.alias("pred"), F.lit("MATCH (c:Customer) RETURN c").alias("cypher"), F.lit(ad.SCHEMAS[0]).alias("schema"))
     d = judge.judge_column(d, "pred").withColumn("r", judge.execution_column(F.col("pred"), F.col("schema")))
     return d.select("c_custkey", "r.error_kind", "grade")
 
@@ -525,7 +528,18 @@ GRAPH_QUERIES = {
     "cy_union": ("MATCH (c:Customer) RETURN c.mktsegment AS x UNION MATCH (r:Region) RETURN r.name AS x", "SELECT c_mktsegment AS x FROM customer UNION SELECT r_name FROM region"),
     "cy_union_all": ("MATCH (n:Nation) RETURN n.regionkey AS x UNION ALL MATCH (r:Region) RETURN r.id AS x", "SELECT n_regionkey::BIGINT AS x FROM nation UNION ALL SELECT r_regionkey::BIGINT FROM region"),
     "cy_unwind": ("UNWIND [3, 1, 2] AS x MATCH (r:Region) WHERE r.id = x RETURN x, r.name AS name", "SELECT x::INT AS x, r_name AS name FROM (SELECT unnest([3, 1, 2]) AS x) JOIN region ON r_regionkey = x"),
-    "cy_list_ops": ("UNWIND range(1, 4) AS x RETURN x, size([y IN [1, 2, 3, 4] WHERE y > x]) AS n, coalesce(head([y IN [1, 2, 3, 4] WHERE y > x | y * 10]), -1) AS h, x IN [2, 4] AS even", "SELECT x::INT AS x, (4 - x)::INT AS n, CASE WHEN x < 4 THEN (x + 1) * 10 ELSE -1 END::INT AS h, x IN (2, 4) AS even FROM range(1, 5) r(x)"),
+    "cy_list_ops": ("MATCH (p:Part) WITH p.id AS id, p.size % 4 + 1 AS x RETURN id, size([y IN [1, 2, 3, 4] WHERE y > x]) AS n, coalesce(head([y IN [1, 2, 3, 4] WHERE y > x | y * 10]), -1) AS h, x IN [2, 4] AS even, size(range(1, x)) + size(range(4, x)) AS r", "SELECT p_partkey AS id, (4 - x)::INT AS n, CASE WHEN x < 4 THEN (x + 1) * 10 ELSE -1 END::INT AS h, x IN (2, 4) AS even, (x + (x = 4)::INT)::INT AS r FROM (SELECT p_partkey, p_size % 4 + 1 AS x FROM part)"),
+    "cy_int_division": ("MATCH (p:Part) RETURN p.id AS id, p.size / 7 AS a, (p.size + 0.5) / 2 AS b, (10 - p.size) / 4 AS c, (10 - p.size) % 4 AS m, p.size / 4.0 AS d", "SELECT p_partkey AS id, (p_size // 7)::BIGINT AS a, (p_size + 0.5::DOUBLE) / 2 AS b, trunc((10 - p_size) / 4)::BIGINT AS c, (10 - p_size) % 4 AS m, p_size / 4.0::DOUBLE AS d FROM part"),
+    "cy_string_concat": ("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.name + r.name AS a, n.name + '-' + r.name AS b, n.name + n.id AS c, size(n.name + r.name) AS k", "SELECT n_name || r_name AS a, n_name || '-' || r_name AS b, n_name || n_nationkey AS c, length(n_name || r_name)::INT AS k FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "cy_list_concat": ("MATCH (c:Customer) WITH c.id AS id, [c.id, c.nationkey] + [3] + c.id AS xs, [] + [c.name] AS ys RETURN id, size(xs) AS k, last(xs) AS l, xs[2] AS t, c_in IN xs AS i, head(ys) AS n".replace("c_in", "id"), "SELECT c_custkey AS id, 4::INT AS k, c_custkey AS l, 3::BIGINT AS t, true AS i, c_name AS n FROM customer"),
+    "cy_size_of_collected": ("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) WITH n, collect(c.name) AS xs, collect(DISTINCT c.mktsegment) AS ys RETURN n.name AS n, size(xs) AS k, size(ys) AS m", "SELECT n_name AS n, count(*)::INT AS k, count(DISTINCT c_mktsegment)::INT AS m FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name"),
+    "cy_unwind_null": ("MATCH (c:Customer) UNWIND null AS x RETURN count(x) AS k, count(*) AS n UNION ALL MATCH (c:Customer) WITH CASE WHEN c.acctbal < 0 THEN null ELSE [c.id, null, c.nationkey] END AS xs UNWIND xs AS x RETURN count(x) AS k, count(*) AS n", "SELECT 0::BIGINT AS k, 0::BIGINT AS n UNION ALL SELECT count(*) * 2, count(*) * 3 FROM customer WHERE c_acctbal >= 0"),
+    "cy_named_path": ("MATCH p = (c:Customer)-[:IN_NATION|IN_REGION*1..2]->(x) RETURN length(p) AS k, label(x) AS l, last(nodes(p)).id AS x, count(*) AS n", "SELECT 1::BIGINT AS k, 'Nation' AS l, n_nationkey::BIGINT AS x, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 3 UNION ALL SELECT 2, 'Region', n_regionkey::BIGINT, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 3"),
+    "cy_named_path_fixed": ("MATCH p = (c:Customer)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(s:Supplier) WHERE c.acctbal > 9000 RETURN c.id AS c, nodes(p)[2].id AS s, length(p) + size(relationships(p)) AS k", "SELECT c_custkey AS c, s_suppkey::BIGINT AS s, 4::BIGINT AS k FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE c_acctbal > 9000"),
+    "cy_mixed_types": ("MATCH (c:Customer) RETURN c.id AS id, c.name = c.id AS e, c.name <> c.id AS d, c.name IN [c.id] AS i, coalesce(c.name < c.id, false) AS l, [c.id] = [c.id * 1.0] AS x", "SELECT c_custkey AS id, false AS e, true AS d, false AS i, false AS l, true AS x FROM customer"),
+    "cy_anchor_last": ("MATCH (c:Customer)-[:PLACED]->(o:Orders)-[:CONTAINS]->(p:Part) WHERE p.name = 'red widget' AND p.size < 5 RETURN c.id AS c, count(*) AS k", "SELECT o_custkey AS c, count(*) AS k FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_name = 'red widget' AND p_size < 5 GROUP BY 1"),
+    "cy_anchor_middle": ("MATCH (c:Customer)-[:PLACED]->(:Orders {id: 7})-[x:CONTAINS]->(p:Part) RETURN c.id AS c, p.id AS p, x.quantity AS q", "SELECT o_custkey AS c, l_partkey AS p, l_quantity AS q FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey = 7"),
+    "cy_optional_turned": ("MATCH (o:Orders) WHERE o.totalprice > 300000 OPTIONAL MATCH (c:Customer)-[:PLACED]->(o) WHERE c.acctbal < 0 RETURN o.id AS o, coalesce(c.id, -1) AS c", "SELECT o_orderkey AS o, coalesce(c_custkey, -1) AS c FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal < 0 WHERE o_totalprice > 300000"),
     "cy_case": ("MATCH (o:Orders) RETURN CASE WHEN o.totalprice > 300000 THEN 'high' WHEN o.totalprice > 100000 THEN 'mid' ELSE 'low' END AS c, count(*) AS n", "SELECT CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS c, count(*) AS n FROM orders GROUP BY 1"),
     "cy_strings": ("MATCH (p:Part) WHERE p.name STARTS WITH 'P' OR p.type CONTAINS 'STEEL' OR p.brand ENDS WITH '1' RETURN p.id AS id, toLower(p.brand) + '!' AS b, substring(p.type, 0, 3) AS t", "SELECT p_partkey AS id, lower(p_brand) || '!' AS b, substring(p_type, 1, 3) AS t FROM part WHERE starts_with(p_name, 'P') OR contains(p_type, 'STEEL') OR ends_with(p_brand, '1')"),
     "cy_null_logic": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Orders) WHERE o.totalprice > 450000 WITH c, o WHERE o IS NULL AND NOT c.acctbal < 0 RETURN count(c) AS n", "SELECT count(*) AS n FROM customer WHERE NOT c_acctbal < 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)"),
@@ -590,6 +604,126 @@ def cy_var_unbounded(spark, sf_dir):
     return g.execute("MATCH (a:N {id: 0})-[p:NEXT*]->(b) RETURN b.id AS b, size(p) AS n")
 
 
+# customers in a graph with cycles: each order leads from its customer to another one
+_NEXT_SQL = "e AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 31 + o_custkey) % (SELECT count(*) FROM customer) AS dst FROM orders)"
+
+
+def _customer_graph(spark, sf_dir) -> GraphSession:
+    star = ad.star_graph(spark, sf_dir)
+    n = star.nodes["Customer"].agg(F.count(F.lit(1)).alias("n"))
+    orders = ad.read_table(spark, sf_dir, "orders").crossJoin(F.broadcast(n))  # one row
+    edges = orders.select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 31 + F.col("o_custkey")) % F.col("n")).alias("dst")).distinct()
+    return GraphSession(spark, PropertyGraph({"Customer": star.nodes["Customer"]}, {"NEXT": [("Customer", "Customer", edges)]}))
+
+
+@query(f"WITH RECURSIVE {_NEXT_SQL}, r(a, b) AS (SELECT c_custkey, dst FROM customer JOIN e ON src = c_custkey WHERE c_acctbal > 9950 UNION SELECT a, dst FROM r JOIN e ON src = b) SELECT a, b::BIGINT AS b FROM r")
+def cy_reachable(spark, sf_dir):
+    """Who can be reached from the richest customers, along any number of orders."""
+    return _customer_graph(spark, sf_dir).execute("MATCH (a:Customer)-[:NEXT*]->(b:Customer) WHERE a.acctbal > 9950 RETURN DISTINCT a.id AS a, b.id AS b")
+
+
+@query(f"WITH RECURSIVE {_NEXT_SQL}, t(c, n) AS (SELECT c_custkey, 0 FROM customer WHERE c_acctbal > 9900 UNION SELECT src, n + 1 FROM t JOIN e ON dst = c WHERE n < 2) SELECT c_custkey AS c FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey NOT IN (SELECT c FROM t WHERE n > 0)")
+def cy_reachable_not(spark, sf_dir):
+    """Who can't reach a rich customer in two steps: an anti join with pairs that are found once."""
+    return _customer_graph(spark, sf_dir).execute("MATCH (a:Customer {mktsegment: 'BUILDING'}) WHERE NOT EXISTS { (a)-[:NEXT*1..2]->(b:Customer) WHERE b.acctbal > 9900 } RETURN a.id AS c")
+
+
+# --- results of queries compared as frames
+_HALF = "o_totalprice > 100000"
+_SIDES = [  # name, the two sides as SQL, and as frames over orders
+    ("turned round", f"SELECT o_orderkey, o_custkey FROM orders WHERE {_HALF}", f"SELECT o_orderkey, o_custkey FROM orders WHERE {_HALF} ORDER BY o_custkey DESC"),
+    ("other types", f"SELECT o_orderkey, o_custkey FROM orders WHERE {_HALF}", f"SELECT o_orderkey::DOUBLE, o_custkey::DECIMAL(20, 2) FROM orders WHERE {_HALF}"),
+    ("repeated", "SELECT o_orderstatus FROM orders", "SELECT DISTINCT o_orderstatus FROM orders"),
+    ("one row less", "SELECT o_orderkey FROM orders", "SELECT o_orderkey FROM orders WHERE o_orderkey <> (SELECT max(o_orderkey) FROM orders)"),
+    ("columns exchanged", "SELECT o_orderkey, o_custkey FROM orders", "SELECT o_custkey, o_orderkey FROM orders"),
+    ("truth as number", f"SELECT o_custkey, {_HALF} FROM orders", f"SELECT o_custkey, ({_HALF})::INT FROM orders"),
+    ("nulls", "SELECT nullif(o_custkey % 5, 0), o_orderstatus FROM orders", "SELECT CASE WHEN o_custkey % 5 > 0 THEN o_custkey % 5 END, o_orderstatus FROM orders ORDER BY 2"),
+    ("nothing", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 0", "SELECT o_orderkey FROM orders WHERE o_orderkey < -1"),
+    ("a cent more", "SELECT o_orderkey, o_totalprice FROM orders", "SELECT o_orderkey, CASE WHEN o_orderkey = 5 THEN o_totalprice + 0.01 ELSE o_totalprice END FROM orders"),
+]
+
+
+def _sides_sql() -> str:
+    parts = []
+    for name, a, b in _SIDES:
+        if name == "nothing":  # sets without rows, of other widths
+            parts.append(f"SELECT '{name}' AS pair, NOT EXISTS ({a}) AND NOT EXISTS ({b}) AS equal, 0::BIGINT AS n_left, 0::BIGINT AS n_right")
+        else:
+            parts.append(f"SELECT '{name}' AS pair, NOT EXISTS (({a}) EXCEPT ({b})) AND NOT EXISTS (({b}) EXCEPT ({a})) AS equal, (SELECT count(*) FROM (SELECT DISTINCT * FROM ({a}))) AS n_left, (SELECT count(*) FROM (SELECT DISTINCT * FROM ({b}))) AS n_right")
+    return " UNION ALL ".join(parts)
+
+
+@query(_sides_sql())
+def rowset_frames(spark, sf_dir):
+    """Two results compared as sets of rows: reordered, of other types, repeated, and with small differences."""
+    o = ad.read_table(spark, sf_dir, "orders")
+    key, cust, status, price = (F.col(f"o_{c}") for c in ("orderkey", "custkey", "orderstatus", "totalprice"))
+    half = o.filter(price > 100000)
+    sides = {
+        "turned round": (half.select(key, cust), half.repartition(7).select(key.alias("x"), cust.alias("x")).sortWithinPartitions(F.rand(1))),
+        "other types": (half.select(key, cust), half.select(key.cast("double"), cust.cast("decimal(20,2)"))),
+        "repeated": (o.select(status), o.select(status).distinct()),
+        "one row less": (o.select(key), o.select(key).join(F.broadcast(o.agg(F.max(key).alias("o_orderkey"))), "o_orderkey", "left_anti")),
+        "columns exchanged": (o.select(key, cust), o.select(cust, key)),
+        "truth as number": (o.select(cust, price > 100000), o.select(cust, (price > 100000).cast("int"))),
+        "nulls": (o.select(F.nullif(cust % 5, F.lit(0)), status), o.select(F.when(cust % 5 > 0, cust % 5), status)),
+        "nothing": (o.filter(key < 0).select(key, cust), o.filter(key < -1).select(key)),
+        "a cent more": (o.select(key, price), o.select(key, F.when(key == 5, price + 0.01).otherwise(price))),
+    }
+    found = [rs.same_rows(a, b).select(F.lit(name).alias("pair"), "equal", "n_left", "n_right") for name, (a, b) in sides.items()]
+    return functools.reduce(DataFrame.union, found)
+
+
+# --- predictions run over the graph's rows: the gold query and what a model may answer, with the same as SQL
+_GOLD_PATH = "MATCH (c:Customer)-[:IN_NATION]->(n:Nation)-[:IN_REGION]->(r:Region {name: '@'})"
+_PEOPLE = "SELECT n_name AS a, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = g.region"
+_PREDICTIONS = [  # the answer, and the grade or SQL for its rows
+    (f"{_GOLD_PATH} RETURN n.name, count(*)", f"{_PEOPLE} GROUP BY 1"),
+    ("MATCH (r:Region)<-[:IN_REGION]-(n:Nation)<-[:IN_NATION]-(c:Customer) WHERE r.name = '@' RETURN n.name AS x, count(c) * 1.0 AS y ORDER BY y", f"{_PEOPLE} GROUP BY 1"),
+    (f"{_GOLD_PATH} RETURN n.name AS a, count(*) AS k UNION ALL {_GOLD_PATH} RETURN n.name AS a, count(*) AS k", f"{_PEOPLE} GROUP BY 1"),
+    (_GOLD_PATH.replace("Customer", "Supplier") + " RETURN n.name, count(*)", f"{_PEOPLE} GROUP BY 1".replace("customer", "supplier").replace("c_nationkey", "s_nationkey")),
+    (f"{_GOLD_PATH} WHERE c.acctbal > -500 RETURN n.name, count(*)", f"{_PEOPLE} AND c_acctbal > -500 GROUP BY 1"),
+    (f"{_GOLD_PATH} WHERE c.acctbal > -2000 RETURN n.name, count(DISTINCT c)", f"{_PEOPLE} AND c_acctbal > -2000 GROUP BY 1"),
+    (f"{_GOLD_PATH} WHERE EXISTS {{ (c)-[:PLACED]->(:Orders) }} RETURN n.name, count(*)", f"{_PEOPLE} AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY 1"),
+    (f"{_GOLD_PATH} RETURN count(*), n.name", f"SELECT k, a FROM ({_PEOPLE} GROUP BY 1)"),
+    (f"{_GOLD_PATH} WITH n, collect(c.id) AS xs RETURN n.name, size(xs)", f"{_PEOPLE} GROUP BY 1"),
+    ("MATCH (c:Customer)-[:IN_NATION|IN_REGION*2..2]->(r:Region {name: '@'}), (c)-[:IN_NATION]->(n:Nation) RETURN n.name, count(*)", f"{_PEOPLE} AND false GROUP BY 1"),  # no relationship twice in one MATCH
+    (f"{_GOLD_PATH} RETURN n.name, count(*) LIMIT 1", None),
+    (f"{_GOLD_PATH} RETURN n.name, count(*) / (count(*) - count(c))", 0.3),
+    ("MATCH (c:Client)-[:IN_NATION]->(n) RETURN n.name, count(*)", 0.3),
+    (f"{_GOLD_PATH} RETURN n.nome, count(*)", 0.3),
+    (f"{_GOLD_PATH} RETURN n.name - 1, count(*)", 0.3),
+    ("MATCH (c:Customer RETURN '@'", 0.0),
+    ("", 0.0),
+]
+
+
+def _exec_sql() -> str:
+    parts = []
+    for k, (_, rows) in enumerate(_PREDICTIONS):
+        if isinstance(rows, float):
+            grade = str(rows)
+        elif rows is None:  # one of several rows; all of them where there is one nation
+            grade = f"CASE WHEN (SELECT count(*) FROM ({_PEOPLE} GROUP BY 1)) <= 1 THEN 1.0 ELSE 0.7 END"
+        else:
+            gold = f"SELECT a::VARCHAR, k::VARCHAR FROM ({_PEOPLE} GROUP BY 1)"
+            pred = f"SELECT COLUMNS(*)::VARCHAR FROM ({rows})"
+            grade = f"CASE WHEN NOT EXISTS (({gold}) EXCEPT ({pred})) AND NOT EXISTS (({pred}) EXCEPT ({gold})) THEN 1.0 ELSE 0.7 END"
+        parts.append(f"SELECT g.region, {k} AS answer, ({grade})::DOUBLE AS grade FROM (SELECT r_name AS region FROM region) g")
+    return " UNION ALL ".join(parts)
+
+
+@query(_exec_sql())
+def exec_on_graph(spark, sf_dir):
+    """Answers to one question for each region, graded by what they and the gold query give over the star graph."""
+    answers = F.array(*[F.struct(F.lit(k).alias("answer"), F.lit(text).alias("text")) for k, (text, _) in enumerate(_PREDICTIONS)])
+    rows = ad.read_table(spark, sf_dir, "region").select(F.col("r_name").alias("region"), F.explode(answers).alias("x"))
+    filled = lambda c: F.replace(c, F.lit("@"), F.col("region"))
+    rows = rows.select("region", "x.answer", filled(F.col("x.text")).alias("pred"), filled(F.lit(_PREDICTIONS[0][0])).alias("cypher"))
+    graded = gj.GraphJudge(GraphSession(spark, ad.star_graph(spark, sf_dir)), timeout_s=120).grade(rows)
+    return graded.select("region", "answer", "grade")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation from completions to the report's rows."""
     return eval_rollup(spark, sf_dir)
