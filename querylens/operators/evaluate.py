@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -72,6 +73,56 @@ def generator(complete: Callable[[str], str]) -> Callable[[Column], Column]:
     return run
 
 
+Model = Callable[[list[str]], list[str]]
+_models: dict[str, Model] = {}  # of a Python worker
+PROMPTS_AT_ONCE = 64
+
+
+def answers(model: Model, prompts: list[str], at_once: int = PROMPTS_AT_ONCE) -> list[str]:
+    """A model's answers to prompts, `at_once` of them a call; equal prompts are asked once.
+
+    A call that fails, or gives another number of answers, is split in halves, down to the prompt at fault, whose answer is
+    empty. So one bad prompt costs its batch some calls and no other row its answer.
+    """
+
+    def ask(some: list[str]) -> list[str]:
+        try:
+            found = list(model(some))
+            if len(found) == len(some):
+                return ["" if x is None else str(x) for x in found]
+        except Exception:
+            pass
+        if len(some) == 1:
+            return [""]
+        half = len(some) // 2
+        return ask(some[:half]) + ask(some[half:])
+
+    different = list(dict.fromkeys(prompts))
+    known: dict[str, str] = {}
+    for k in range(0, len(different), at_once):
+        part = different[k : k + at_once]
+        known.update(zip(part, ask(part), strict=True))
+    return [known[p] for p in prompts]
+
+
+def batch_generator(load: Callable[[], Model], at_once: int = PROMPTS_AT_ONCE) -> Callable[[Column], Column]:
+    """A hook for `evaluate` from a model that answers several prompts a call.
+
+    `load` makes the model, once in each Python worker that meets the hook, however many tasks and batches it runs; prompts
+    come in Arrow batches and are asked `at_once` at a time. Null prompts are empty ones.
+    """
+    token = uuid.uuid4().hex
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        if token not in _models:
+            _models[token] = load()
+        for prompts in parts:
+            yield pd.Series(answers(_models[token], prompts.fillna("").tolist(), at_once), dtype=object)
+
+    return run
+
+
 def with_completions(df: DataFrame, completion: str = "completion", prompt_template: str | None = None, generate: Callable[[Column], Column] | None = None) -> DataFrame:
     """The completion of each row: `generate` of its prompt if given, else the column of that name; null becomes empty."""
     made = F.col(completion) if generate is None else generate(X.prompt(F.col("schema"), F.col("question"), prompt_template or X.PROMPT))
@@ -85,7 +136,7 @@ def evaluate(
     """The report as a dict: overall, per_source and the first five rows. Writes it as one JSON file if a path is given.
 
     Completions are read from a column, or made by `generate`, a function from the prompt's column to the completion's
-    (see `generator`); `prompt_template` has the places {schema} and {question}. What comes to the driver is one row per
+    (see `generator` and `batch_generator`); `prompt_template` has the places {schema} and {question}. What comes to the driver is one row per
     source and five samples.
     """
     rows = row_metrics(with_completions(first_rows(df, max_examples, order), completion, prompt_template, generate), completion, backend)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import uuid
 from collections.abc import Callable
 
@@ -222,6 +223,44 @@ def stream_scores(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("row_id", "em", "r_length")
 
 
+@query(f"{_ROWS} SELECT grouping(data_source)::INT AS is_total, data_source, {_MEANS} FROM scored GROUP BY ROLLUP (data_source)")
+def stream_rollup(spark, sf_dir):
+    """The roll-up kept by a stream that is stopped when it has read some of its files, and started again when all are there."""
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4()}"
+    rows = _t2c(spark, sf_dir).repartition(4, "row_id")
+    part = F.pmod(F.xxhash64("row_id"), F.lit(3))
+    for which in (part == 0, part > 0):  # the second start finds the rest
+        rows.filter(which).write.mode("append").parquet(f"{folder}/in")
+        files = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/in")
+        stream.write_rollup(files, f"{folder}/out", f"{folder}/state").awaitTermination()
+    d = stream.read_rollup(spark, f"{folder}/out")
+    return d.select("is_total", "data_source", *[F.round(c, 9).alias(c) for c in ev.METRICS], "n")
+
+
+def _answering_model():
+    """Stands for a language model: answers from the question alone, and fails on whole batches that hold a certain name."""
+    asked = re.compile("What did (.*?) order")
+
+    def model(prompts: list[str]) -> list[str]:
+        names = [asked.search(p)[1] for p in prompts]
+        if any(name.endswith("13") for name in names):
+            raise RuntimeError("out of memory")
+        return ["RETURN 1" if name.endswith("7") else f"```cypher\nMATCH (c:Customer {{name: '{name}'}})-[:PLACED]->(o:Orders) RETURN o.total AS total\n```" for name in names]
+
+    return model
+
+
+_ANSWERED = f"SELECT row_id, CASE WHEN n LIKE '%13' THEN '' WHEN n LIKE '%7' THEN 'RETURN 1' ELSE cypher END AS pred, (n NOT LIKE '%13' AND n NOT LIKE '%7')::INT AS em FROM (SELECT *, regexp_extract(question, 'What did (.*) order', 1) AS n FROM t2c)"
+
+
+@query(f"{_T2C} {_ANSWERED}")
+def batch_completions(spark, sf_dir):
+    """Completions by a model that answers batches of prompts, loaded once a worker."""
+    d = ev.with_completions(_t2c(spark, sf_dir), generate=ev.batch_generator(_answering_model, 32))
+    d = d.withColumn("pred", X.extract_query(F.col("completion")))
+    return d.select("row_id", "pred", X.exact_match(F.col("pred"), F.col("cypher")).alias("em"))
+
+
 @query(f"{_ROWS} SELECT 0 AS is_total, NULL::VARCHAR AS data_source, {_MEANS} FROM scored WHERE data_source IS NULL")
 def null_source_group(spark, sf_dir):
     return eval_rollup(spark, sf_dir).filter("is_total = 0 AND data_source IS NULL")

@@ -87,3 +87,34 @@ def test_public_names():
     import querylens
 
     assert all(hasattr(querylens, n) for n in querylens.__all__)
+
+
+def test_batches_are_split_at_the_prompt_that_fails():
+    calls = []
+
+    def model(prompts):
+        calls.append(len(prompts))
+        if "bad" in prompts:
+            raise RuntimeError
+        return [None if p == "none" else p.upper() for p in prompts] if "short" not in prompts else ["x"] * (len(prompts) + 1)
+
+    prompts = ["a", "bad", "b", "a", "none", "short", "", "c"]
+    assert ev.answers(model, prompts, 4) == ["A", "", "B", "A", "", "", "", "C"]
+    assert max(calls) <= 4 and ev.answers(model, [], 4) == []
+
+
+def test_a_model_is_loaded_once_a_worker(spark, tmp_path):
+    loads = str(tmp_path / "loads")
+
+    def load():
+        with open(loads, "a") as f:
+            f.write("x")
+        return lambda prompts: [f"MATCH {len(prompts)} {p[-5:]}" for p in prompts]
+
+    df = spark.createDataFrame([(k, f"q{k:05}", "s", "MATCH") for k in range(50)], "row_id long, question string, schema string, cypher string").repartition(8)
+    hook = ev.batch_generator(load, 10)
+    got = ev.with_completions(df, prompt_template="{schema} {question}", generate=hook)
+    assert all(r.completion.endswith(f"{r.row_id:05}") for r in got.collect())
+    got.count()
+    with open(loads) as f:
+        assert 1 <= len(f.read()) <= 8
