@@ -1,7 +1,7 @@
 """Schema compiler: textual graph schemas in three formats to typed property-graph definitions.
 
 The text is read by all three readers (JSON only where it looks like JSON); each gives facts, and folding the facts in order
-gives the schema. A DDL depends on nothing but the text, so `compile_column` compiles each distinct text once.
+gives the schema. This module reads one text at a time, for the judge; `schema_native` says the same as column expressions.
 """
 
 from __future__ import annotations
@@ -10,10 +10,8 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # fixed values: types, the DDL of a schema without content, and what the formats look like
 TYPES = {
@@ -136,18 +134,6 @@ def is_trivial(ddl: Column) -> Column:
     return F.trim(ddl) == F.lit(TRIVIAL_DDL)
 
 
-@F.pandas_udf(T.StringType())
-def _compile(texts: pd.Series) -> pd.Series:
-    return pd.Series([compile_schema(t) for t in texts], dtype=object)
-
-
-def compile_column(df: DataFrame, schema: str = "schema", out: str = "ddl") -> DataFrame:
-    """Add the DDL of each row's schema text, compiling each distinct text once. A null text gives the trivial DDL."""
-    key = F.coalesce(F.col(schema), F.lit(""))
-    compiled = df.select(key.alias("__text")).distinct().withColumn(out, _compile("__text"))
-    return df.join(compiled, key == F.col("__text"), "left").drop("__text")
-
-
 def parse_rate(ddl: DataFrame, column: str = "ddl") -> DataFrame:
     """total, trivial and non_trivial_rate of a column of DDLs."""
     n, trivial = F.count(F.lit(1)), F.count_if(is_trivial(F.col(column)))

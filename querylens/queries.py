@@ -16,6 +16,7 @@ from querylens.operators import graph_judge as gj
 from querylens.operators import judge, pattern
 from querylens.operators import rowsets as rs
 from querylens.operators import schema as sc
+from querylens.operators import schema_native as sn
 from querylens.plans.checkpoints import checkpoint_folder
 from querylens.plans.frames import GraphSession, PropertyGraph
 from querylens import streaming as stream
@@ -303,7 +304,7 @@ def _varied(spark, sf_dir):
 
 @query(f"SELECT c_custkey, 'CREATE NODE TABLE L' || c_custkey || '(id INT64, ' || array_to_string([{', '.join(ad._text(f'{n} {sc.TYPES.get(t, chr(83) + 'TRING')}, ') for n, t in _VARIED)}][1:c_custkey % 6], '') || 'PRIMARY KEY (id));' || chr(10) || 'CREATE NODE TABLE M' || c_custkey || '(id INT64, PRIMARY KEY (id));' || chr(10) || 'CREATE REL TABLE R' || c_custkey || '(FROM L' || c_custkey || ' TO M' || c_custkey || ');' AS ddl FROM customer")
 def schema_compile_varied(spark, sf_dir):
-    return sc.compile_column(_varied(spark, sf_dir)).select("c_custkey", "ddl")
+    return sn.compile_column(_varied(spark, sf_dir)).select("c_custkey", "ddl")
 
 
 @query(f"{_T2C}, r AS (SELECT DISTINCT schema, unnest(regexp_extract_all(schema, {ad._text(sc.ARROW)})) AS hit FROM t2c) SELECT schema, regexp_extract(hit, {ad._text(sc.ARROW)}, 2) AS type, regexp_extract(hit, {ad._text(sc.ARROW)}, 1) AS src, regexp_extract(hit, {ad._text(sc.ARROW)}, 3) AS dst FROM r")
@@ -360,12 +361,12 @@ _EXPECTED = [
 
 @query(f"{_T2C}, expected(k, ddl) AS (VALUES {', '.join(f'({k}, {ad._text(d)})' for k, d in enumerate(_EXPECTED))}) SELECT row_id, ddl FROM t2c JOIN expected ON k = (row_id // {ad.KINDS}) % {len(ad.SCHEMAS)}")
 def schema_compile(spark, sf_dir):
-    return sc.compile_column(_t2c(spark, sf_dir).select("row_id", "schema")).select("row_id", "ddl")
+    return sn.compile_column(_t2c(spark, sf_dir).select("row_id", "schema")).select("row_id", "ddl")
 
 
 @query(f"{_T2C} SELECT count(*) AS total, count(*) FILTER ({_NO_SCHEMA}) AS trivial, round(count(*) FILTER (NOT {_NO_SCHEMA}) / greatest(count(*), 1), 9) AS non_trivial_rate FROM t2c")
 def parse_rate(spark, sf_dir):
-    return sc.parse_rate(sc.compile_column(_t2c(spark, sf_dir).select("schema"))).withColumn("non_trivial_rate", F.round("non_trivial_rate", 9))
+    return sc.parse_rate(sn.compile_column(_t2c(spark, sf_dir).select("schema"))).withColumn("non_trivial_rate", F.round("non_trivial_rate", 9))
 
 
 @query(f"{_T2C}, expected(k, ddl) AS (VALUES {', '.join(f'({k}, {ad._text(d)})' for k, d in enumerate(_EXPECTED))}) SELECT row_id, statement FROM (SELECT row_id, trim(u, chr(10) || ' ') AS statement FROM (SELECT row_id, unnest(string_split(ddl, ';')) AS u FROM t2c JOIN expected ON k = (row_id // {ad.KINDS}) % {len(ad.SCHEMAS)})) WHERE statement <> ''")

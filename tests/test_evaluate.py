@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from querylens.operators import evaluate as ev
 from querylens.operators import schema as sc
+from querylens.operators import schema_native as sn
 from querylens.sources.adapters import strided_sample
 
 S = "(:A)-[:R]->(:B)"
@@ -41,7 +42,7 @@ def test_group_advantage(spark):
 
 
 def test_parse_rate(spark):
-    d = sc.compile_column(spark.createDataFrame([(S,), (None,), ("",), ("hello",), (S,)], "schema string"))
+    d = sn.compile_column(spark.createDataFrame([(S,), (None,), ("",), ("hello",), (S,)], "schema string"))
     r = sc.parse_rate(d).first()
     assert (r.total, r.trivial, r.non_trivial_rate) == (5, 3, 0.4)
     assert sc.parse_rate(d.limit(0)).first().non_trivial_rate == 0.0
