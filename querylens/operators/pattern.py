@@ -25,6 +25,7 @@ RELATIONSHIP = r"-\s*\[\s*([A-Za-z_][A-Za-z0-9_]*)?\s*(?::\s*([A-Za-z_][A-Za-z0-
 UNLABELED = "_unlabeled_"
 MAX_SIZE = 20
 BUDGET = 10_000  # expansions of one edit distance, about three seconds
+LONG_BUDGET = 100_000  # where exact answers are worth half a minute
 
 GRAPH = T.StructType(
     [

@@ -432,9 +432,10 @@ def ged_score(spark, sf_dir):
 
 @query()
 def ged_exact(spark, sf_dir):
-    """The score without a budget, and whether the budget would have cut it."""
+    """The score with ten times the budget, whether it is exact, and whether the usual budget would have cut it."""
     d = _pred(spark, sf_dir)
-    return d.select("row_id", F.round(pattern.ged_column("pred", "cypher", None), 9).alias("ged"), pattern.ged_struct("pred", "cypher")["exact"].alias("within_budget"))
+    d = d.select("row_id", pattern.ged_struct("pred", "cypher", pattern.LONG_BUDGET).alias("long"), pattern.ged_struct("pred", "cypher")["exact"].alias("within_budget"))
+    return d.select("row_id", F.round("long.score", 9).alias("ged"), "long.exact", "within_budget")
 
 
 # patterns of three arrows, by key: the types differ, each way of the arrow is met, and a comma starts a new path
