@@ -37,10 +37,10 @@ from querylens.llm._shared import checkpoint_folder, checkpointed, let, table
 from querylens.llm.packing import default_vocabulary, encoder
 
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 BROADCAST_PAIRS = 1_000_000
 PAIR = 1 << 20  # a pair of ids is one number: A's id times this plus B's
-STRETCH_CHARS = 1 << 16
+UNITS_AT_ONCE = 8192
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _WIDE_SPACE = re.compile(r"\s\s|^\s|\s\Z")  # without any, all spaces are single ones
 BLOCKS = "docs array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,units:array<int>>>, a_ids array<int>, a_ends array<bigint>, b_ids array<int>, b_ends array<bigint>, unit_ends array<bigint>"
@@ -80,33 +80,28 @@ def blocks(docs: DataFrame, vocabulary: str, pieces: str, block_bytes: int = BLO
             b = sp.encode(text)
             return (encode.encode_ordinary(" " + text), b) if b"".join(map(piece_bytes.__getitem__, b)) == f" {text}".encode() else None
 
-        def stretches(units: list[str]) -> Iterator[tuple[list[int], tuple | None]]:
-            """Numbers of units whose tokens come together, with these; units without white space at an end can be joined."""
-            joint, size = [], 0
-            for k, u in enumerate(units):
-                if not cuttable or u[0].isspace() or u[-1].isspace():
-                    yield [k], tokens(u)
-                else:
-                    joint.append(k)
-                    size += len(u)
-                    if size > STRETCH_CHARS:
-                        yield joint, tokens(" ".join([units[j] for j in joint]))
-                        joint, size = [], 0
-            if joint:
-                yield joint, tokens(" ".join([units[j] for j in joint]))
-
-        def block(ids: list, texts: list[list[str]]) -> pa.RecordBatch:
+        def stretches(units: list[str], spaced: set[str]) -> Iterator[tuple[list[int], tuple | None]]:
+            """Numbers of units whose tokens come together, with these; units with white space at an end come alone."""
+            alone = [k for k, u in enumerate(units) if u in spaced] if cuttable else range(len(units))
+            joint = np.setdiff1d(np.arange(len(units)), np.array(alone, np.int64)).tolist()
+            for k in alone:
+                yield [k], tokens(units[k])
+            for at in range(0, len(joint), UNITS_AT_ONCE):
+                part = joint[at : at + UNITS_AT_ONCE]
+                yield part, tokens(" ".join([units[k] for k in part]))
+
+        def block(ids: list, texts: list[list[str]], spaced: set[str]) -> pa.RecordBatch:
             known: dict[str, int] = defaultdict(count().__next__)
             rows = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.int32)
             offsets = np.cumsum([0, *map(len, texts)], dtype=np.int32)
             units = list(known)
             place, a, b, sizes = np.full(len(units), -1, np.int32), [], [], []
-            for joint, found in stretches(units):
+            for joint, found in stretches(units, spaced):
                 parts = [(joint, found)] if found else [([k], tokens(units[k])) for k in joint] if len(joint) > 1 else []
                 for own, both in parts:
                     if both:
                         place[own] = np.arange(len(sizes), len(sizes) + len(own))
-                        sizes += [len(units[k].encode()) + 1 for k in own]
+                        sizes += [len(x) + 1 for x in " ".join([units[k] for k in own]).encode().split(b" ")] if len(own) > 1 else [len(units[own[0]].encode()) + 1]
                         a.append(both[0])
                         b.append(both[1])
             rows = place[rows]
@@ -126,18 +121,24 @@ def blocks(docs: DataFrame, vocabulary: str, pieces: str, block_bytes: int = BLO
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             return pa.RecordBatch.from_arrays([one(held), *[one(pa.array(v)) for v in flat.values()]], ["docs", *flat])
 
-        ids, texts, size = [], [], 0
+        ids, texts, spaced, size = [], [], set(), 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(doc_id)
-                texts.append([] if not text else [text] if not cuttable else _SINGLE_SPACE.split(text) if _WIDE_SPACE.search(text) else text.split(" "))
-                size += len(text) + 64
+                if not text:
+                    texts.append([])
+                elif cuttable and not _WIDE_SPACE.search(text):
+                    texts.append(text.split(" "))
+                else:
+                    units = _SINGLE_SPACE.split(text) if cuttable else [text]
+                    texts.append(units)
+                    spaced.update(u for u in units if u[0].isspace() or u[-1].isspace() or " " in u)
+                size += len(text or "") + 64
                 if size > block_bytes:
-                    yield block(ids, texts)
-                    ids, texts, size = [], [], 0
+                    yield block(ids, texts, spaced)
+                    ids, texts, spaced, size = [], [], set(), 0
         if ids:
-            yield block(ids, texts)
+            yield block(ids, texts, spaced)
 
     return docs.select("doc_id", "text").mapInArrow(tokenise, BLOCKS)
 
