@@ -4,12 +4,16 @@ Each language has a suffix automaton of its labelled sample: a walk along its tr
 substrings. A text is parsed against it into phrases, each the longest match from where the one before ended. The fewer
 phrases, relative to the length, the better the language's sample describes the text; the least count wins.
 
-The automata are fitted on a bounded sample: of at most LANGUAGES languages (those with most labelled documents, then by
-name) at most DOCS_PER_LANGUAGE labelled documents each (the ones with the least digests of id and text; equal ones count
-once) and CHARS_PER_LANGUAGE symbols, shared out over the documents; with many languages the symbols are cut so that all
-tables together hold at most TOTAL_CHARS. The tables are broadcast; this is their size bound.
-Predictions read whole texts. Texts are parsed in blocks of BLOCK symbols that start at the root, many blocks in step, so
-the parse is a few array operations for each position rather than a Python loop for each symbol.
+The automata are fitted on a bounded sample: of every language at most DOCS_PER_LANGUAGE labelled documents (the ones with the
+least digests of id and text; equal ones count once), fewer where there are so many languages that SAMPLE_DOCS would be
+passed, and CHARS_PER_LANGUAGE symbols, shared out over the documents; with many languages the symbols are cut so that all
+tables together hold about TOTAL_CHARS. The tables are broadcast; this is their size bound.
+
+Predictions read whole texts. A text is parsed in blocks of BLOCK symbols, many blocks in step, so the parse is a few array
+operations for each position rather than a Python loop for each symbol. All blocks start at the root first. Then each that
+follows another one is parsed from the state that this one ended in: two parses of one block are the same from the first
+place on where both are in one state, mostly within PROBE symbols, so only these are parsed again, and the whole block where
+that isn't so. It goes on until no block's state at its start changes. Phrases are then those of whole texts.
 
 Symbols: letters in lower case; every run of other characters is one space. Defined results: `und` and score 0 for a null
 text or one without a letter, and where nothing was learned; ties go to the language that sorts first; a row with a null
@@ -27,11 +31,13 @@ from pyspark.sql import functions as F
 
 from querylens.llm._shared import table
 
-LANGUAGES = 256
 DOCS_PER_LANGUAGE = 64
+SAMPLE_DOCS = 16_384  # of all languages, but at least one of each
+BROADCAST_DRAWS = 100_000
 CHARS_PER_LANGUAGE = 16_384
 TOTAL_CHARS = 1_000_000
 BLOCK = 512
+PROBE = 64  # symbols of a block
 BATCH_SYMBOLS = 4_000_000
 _letters: list[np.ndarray] = []
 
@@ -130,20 +136,37 @@ class LanguageModel:
             self._lut_[list(self.number)] = list(self.number.values())
         return self._lut_
 
-    def phrases(self, blocks: np.ndarray) -> np.ndarray:
-        """Phrases of each block (rows, padded with 0) in each language."""
+    @staticmethod
+    def _parse(table: np.ndarray, steps: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after the steps (rows: one symbol of every block), and how many phrases ended on the way."""
+        count = np.zeros(len(state), np.int32)
+        for row in steps:
+            state = table[state + row]
+            ended = state >> 31
+            count -= ended
+            state = state ^ ended
+        return state, count
+
+    def phrases(self, blocks: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Phrases that end in each block (rows, padded with 0) in each language; `first` marks blocks that begin a text."""
         steps = np.ascontiguousarray(blocks.T)
-        out = np.ones((len(self.tables), blocks.shape[0]), np.int64)
+        out = np.zeros((len(self.tables), blocks.shape[0]), np.int64)
         for k, t in enumerate(self.tables):
-            state = np.zeros(blocks.shape[0], np.int32)
-            count = np.zeros(blocks.shape[0], np.int32)
-            for row in steps:
-                state += row
-                state = t[state]
-                ended = state >> 31
-                count -= ended
-                state ^= ended
-            out[k] += count
+            start = np.zeros(blocks.shape[0], np.int32)
+            middle, early = self._parse(t, steps[:PROBE], start)
+            end, late = self._parse(t, steps[PROBE:], middle)
+            while True:
+                carried = np.where(first, 0, np.concatenate([start[:1] * 0, end[:-1]])).astype(np.int32)
+                changed = np.flatnonzero(carried != start)
+                if not len(changed):
+                    break
+                start = carried
+                state, early[changed] = self._parse(t, steps[:PROBE][:, changed], carried[changed])
+                apart = changed[state != middle[changed]]
+                middle[changed] = state
+                if len(apart):
+                    end[apart], late[apart] = self._parse(t, steps[PROBE:][:, apart], middle[apart])
+            out[k] = early + late
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -154,12 +177,12 @@ class LanguageModel:
         for c, n in zip(coded, n_blocks, strict=True):
             flat[at : at + len(c)] = c
             at += int(n) * BLOCK
-        per_block = self.phrases(blocks)
         owner = np.repeat(np.arange(len(coded)), n_blocks)
+        per_block = self.phrases(blocks, np.diff(owner, prepend=-1) > 0)
         names, scores = [], []
         total = np.zeros((len(texts), len(self.tables)))
         for k in range(len(self.tables)):
-            total[:, k] = np.bincount(owner, per_block[k], len(texts))
+            total[:, k] = 1 + np.bincount(owner, per_block[k], len(texts))
         for c, counts in zip(coded, total, strict=True):
             if not len(c) or not len(counts):
                 names.append("und")
@@ -180,14 +203,18 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Lang
     """Fit on rows with doc_id, text and lang; rows without a lang or text are left out."""
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     labelled = labelled.select("lang", F.xxhash64("doc_id", "text").alias("draw"), "text")
-    counted = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    languages = labelled.agg(F.count_distinct("lang")).first()[0]
+    docs_per_language = max(1, min(docs_per_language, SAMPLE_DOCS // max(1, languages)))
     first = Window.partitionBy("lang").orderBy("draw")
     # each task keeps its own first rows before the shuffle, so a language that most rows have moves no more than others
     drawn = labelled.select("lang", "draw").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= docs_per_language)
-    chosen = drawn.select("lang", "draw").distinct().join(F.broadcast(counted), "lang")  # LANGUAGES * docs_per_language rows at most
+    chosen = drawn.select("lang", "draw").distinct()
+    if languages * docs_per_language <= BROADCAST_DRAWS:
+        chosen = F.broadcast(chosen)
     samples: dict[str, list[str]] = {}
-    texts = labelled.join(F.broadcast(chosen), ["lang", "draw"]).dropDuplicates(["lang", "draw"])
-    for r in texts.select("lang", F.substring("text", 1, CHARS_PER_LANGUAGE).alias("text")).collect():
+    texts = labelled.join(chosen, ["lang", "draw"]).dropDuplicates(["lang", "draw"])
+    share = min(CHARS_PER_LANGUAGE, 64 * max(1, TOTAL_CHARS // max(1, languages)))  # of what is read of each, a part is taken
+    for r in texts.select("lang", F.substring("text", 1, share).alias("text")).collect():
         samples.setdefault(r["lang"], []).append(r["text"])
     return LanguageModel({k: v for k, v in samples.items() if any(len(symbols(t)) for t in v)})
 

@@ -23,28 +23,46 @@ def test_automaton_spells_just_the_substrings(s, probe):
     assert (state is not None) == there
 
 
-def brute_phrases(sample, s):
-    n = i = 0
+def brute_phrases(sample, s, known):
+    """Longest matches, each from where the one before ended; a symbol the sample lacks ends one and is in none."""
+    n, i = 1, 0
     while i < len(s):
-        k = 1
+        k = 0
         while i + k < len(s) and any(sample[j : j + k + 1] == s[i : i + k + 1] for j in range(len(sample) - k)):
             k += 1
-        n += 1
         i += k
+        if i < len(s):
+            n += 1
+            i += s[i] not in known
     return n
 
 
-def test_phrases_match_brute_force():
+def test_phrases_match_brute_force(monkeypatch):
     rng = random.Random(3)
-    sample, text = sentence(rng, "aa", 40), sentence(rng, "aa", 30) + " " + sentence(rng, "bb", 10)
-    model = LanguageModel({"aa": [sample]})
-    coded = model.encode(text)[: language.BLOCK]
-    blocks = model.phrases(coded.reshape(1, -1))
-    own = [model.number.get(c, 1) for c in symbols(sample).tolist()]
-    known = set(own)
-    got, want = int(blocks[0, 0]), brute_phrases(own, coded.tolist())
-    unknown = sum(c not in known for c in coded.tolist())
-    assert want - unknown <= got <= want + 1 and got > 5
+    sample = sentence(rng, "aa", 40)
+    texts = [sentence(rng, "aa", 30) + " " + sentence(rng, "bb", 10), sentence(rng, "bb", 60), sentence(rng, "aa", 200), "a", sample * 3, "the" * 90, "\u00e9" * 50 + "the"]
+    for block, probe in ((512, 64), (32, 4), (16, 16), (7, 1), (1, 1)):
+        monkeypatch.setattr(language, "BLOCK", block)
+        monkeypatch.setattr(language, "PROBE", probe)
+        model = LanguageModel({"aa": [sample], "bb": [sentence(random.Random(9), "bb", 40)]})
+        own = [model.number.get(c, 1) for c in symbols(sample).tolist()]
+        want = [brute_phrases(own, model.encode(t).tolist(), set(own)) for t in texts]
+        counted = []
+        monkeypatch.setattr(language.np, "argmin", lambda counts, found=counted: found.append(counts[0]) or 0)
+        model.predict(texts)
+        monkeypatch.undo()
+        assert counted == want
+
+
+def test_no_language_is_dropped(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k}": [letters[k // 26 % 26] + letters[k % 26] + w for w in ("x", "yz", "q")] for k in range(300)}
+    rows = [(k, " ".join(rng.choices(words[lang], k=30)), lang) for k, lang in enumerate(words)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 300
+    got = model.predict([" ".join(rng.choices(words[f"l{k}"], k=40)) for k in (0, 150, 299)])[0]
+    assert got == ["l0", "l150", "l299"]
 
 
 def test_held_out_accuracy_and_edges(spark, tmp_path):
