@@ -42,11 +42,18 @@ BROADCAST_PAIRS = 1_000_000
 PAIR = 1 << 20  # a pair of ids is one number: A's id times this plus B's
 UNITS_AT_ONCE = 8192
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_WIDE_SPACE = re.compile(r"\s\s|^\s|\s\Z")  # without any, all spaces are single ones
+_WIDE_SPACE = re.compile(r"\s\s|^\s|\s\Z")
 BLOCKS = "docs array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,units:array<int>>>, a_ids array<int>, a_ends array<bigint>, b_ids array<int>, b_ends array<bigint>, unit_ends array<bigint>"
 _pieces: dict = {}
 
 
+def wide(text: str) -> bool:
+    """Whether white space stands at an end or beside other white space; else every space is a single one."""
+    if len(text.split()) == text.count(" ") + text.count("\n") + 1:
+        return False
+    return _WIDE_SPACE.search(text) is not None
+
+
 def default_pieces() -> str:
     import public_tokenizers
 
@@ -127,7 +134,7 @@ def blocks(docs: DataFrame, vocabulary: str, pieces: str, block_bytes: int = BLO
                 ids.append(doc_id)
                 if not text:
                     texts.append([])
-                elif cuttable and not _WIDE_SPACE.search(text):
+                elif cuttable and not wide(text):
                     texts.append(text.split(" "))
                 else:
                     units = _SINGLE_SPACE.split(text) if cuttable else [text]
@@ -160,13 +167,9 @@ def iff(condition: Column, yes: Column, no: Column) -> Column:
     return F.call_function("if", condition, yes, no)
 
 
-def upto(last: Column, k: Column) -> Column:
-    """The indices of stretch k, where `last` holds the last index of each stretch."""
-    return F.sequence(begin(last, k), F.get(last, k))
-
-
-def begin(last: Column, k: Column) -> Column:
-    return iff(k == 0, F.lit(0), F.get(last, k - 1) + 1)
+def starts(last: Column) -> Column:
+    """The first index of each stretch, and one more, from the last ones."""
+    return F.concat(F.array(F.lit(0)), F.transform(last, lambda i: i + 1))
 
 
 def aligned(tokenised: DataFrame) -> DataFrame:
@@ -176,11 +179,11 @@ def aligned(tokenised: DataFrame) -> DataFrame:
         """Of each group: its ids as text, and its links."""
 
         def group(last: Column, k: Column) -> Column:
-            one = (last == begin(x["a_last"], k)) & (F.get(x["b_last"], k) == begin(x["b_last"], k))
-            first, second = F.get("a_ids", last), F.get("b_ids", F.get(x["b_last"], k))
+            one = (last == F.get(x["a_first"], k)) & (F.get(x["b_last"], k) == F.get(x["b_first"], k))
+            first, second = F.get("a_ids", last), F.get("b_ids", F.get(x["b_first"], k))
             single = F.struct(F.concat(first.cast("string"), F.lit("|"), second.cast("string")).alias("written"), F.array(first.cast("long") * PAIR + second).alias("pairs"))
-            a = F.transform(upto(x["a_last"], k), lambda i: F.get("a_ids", i))
-            b = F.transform(upto(x["b_last"], k), lambda j: F.get("b_ids", j))
+            a = F.transform(F.sequence(F.get(x["a_first"], k), last), lambda i: F.get("a_ids", i))
+            b = F.transform(F.sequence(F.get(x["b_first"], k), F.get(x["b_last"], k)), lambda j: F.get("b_ids", j))
             written = F.concat(F.array_join(a.cast("array<string>"), ","), F.lit("|"), F.array_join(b.cast("array<string>"), ","))
             pairs = let(b, lambda right: F.flatten(F.transform(a, lambda i: F.transform(right, lambda j: i.cast("long") * PAIR + j))))
             return iff(one, single, F.struct(written.alias("written"), pairs.alias("pairs")))  # mostly one token of each
@@ -189,8 +192,8 @@ def aligned(tokenised: DataFrame) -> DataFrame:
 
     def of_units(x: Column, groups: Column) -> Column:
         def unit(last: Column, u: Column) -> Column:
-            mine = lambda field: F.transform(upto(x["u_last"], u), lambda k: F.get(groups, k)[field])
-            n_groups = last - begin(x["u_last"], u) + 1
+            mine = lambda field: F.transform(F.sequence(F.get(x["u_first"], u), last), lambda k: F.get(groups, k)[field])
+            n_groups = last - F.get(x["u_first"], u) + 1
             return F.struct(n_groups.alias("n_groups"), F.array_join(mine("written"), ";").alias("written"), F.flatten(mine("pairs")).alias("pairs"))
 
         return F.transform(x["u_last"], unit)
@@ -206,9 +209,9 @@ def aligned(tokenised: DataFrame) -> DataFrame:
         return F.transform("docs", doc)
 
     def all_of(cuts: Column) -> Column:
-        u_last = positions(F.col("unit_ends"), cuts)
-        x = F.struct(positions(cuts, F.col("a_ends")).alias("a_last"), positions(cuts, F.col("b_ends")).alias("b_last"), u_last.alias("u_last"))
-        return let(x, lambda y: let(of_groups(y), lambda groups: let(of_units(y, groups), of_docs)))
+        last = F.struct(positions(cuts, F.col("a_ends")).alias("a"), positions(cuts, F.col("b_ends")).alias("b"), positions(F.col("unit_ends"), cuts).alias("u"))
+        with_starts = lambda x: F.struct(*[x[c].alias(f"{c}_last") for c in "abu"], *[starts(x[c]).alias(f"{c}_first") for c in "abu"])
+        return let(let(last, with_starts), lambda y: let(of_groups(y), lambda groups: let(of_units(y, groups), of_docs)))
 
     return tokenised.select(F.inline(let(F.array_intersect("a_ends", "b_ends"), all_of)))
 
