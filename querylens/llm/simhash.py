@@ -64,12 +64,12 @@ MOST_PAIRS = 2_000_000
 SAMPLED = 16  # common shingles are counted in one of so many texts
 COMMON, MOST_COMMON = 8, 500_000  # sampled texts with a common shingle, and how many shingles are taken as common
 ROWS_PER_SHARD = 200_000
-ROUNDS = 4  # in which keys of many points are held against one of them
+PIVOTS = 4  # points of a key with many that all of them are held against first
 KEY_ROWS_PER_SHARD = 50_000  # of keys with their points
 PARITIES = 1024  # a multiple of 64
 PAIRS_AT_ONCE = 100_000
 SETS_AT_ONCE = 500
-MANY = 8  # points of a key that are held against one of them first
+MANY = 8  # points of a key that are held against some of them first
 SLOTS = 1 << 23  # of the filter that candidates' sets pass; fewer let more sets by
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -436,12 +436,12 @@ def shared_keys(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(number, length), node[at], np.repeat(keys, length)
 
 
-def run_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, keys: np.ndarray, bits: np.ndarray, similarity: float, first: int) -> tuple[np.ndarray, ...]:
+def run_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, keys: np.ndarray, bits: np.ndarray, similarity: float, pivots: int) -> tuple[np.ndarray, ...]:
     """Pairs of nodes with one key, of different roots and of sizes and parities that allow the similarity.
 
     Returned are the nodes, how many keys that one stands for (a pair comes once a key), and the sizes.
-    first: of a key with MANY nodes or more only the pairs with one node: at 1 the one with most nodes beside it over all its
-    keys, later any one, chosen anew each time. At 0 all pairs.
+    pivots: of a key with MANY nodes or more only the pairs with so many of its nodes: the one with most nodes beside it over all
+    its keys, and others that a digest chooses. At 0 all pairs.
     """
     order = np.lexsort((node, size, key))
     key, node = key[order], node[order]
@@ -451,7 +451,7 @@ def run_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndar
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     length = np.diff(np.append(starts, len(key)))
     unsettled = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), length) if len(key) else np.zeros(0, bool)
-    many = np.repeat(bool(first) & (length >= MANY), length)
+    many = np.repeat(bool(pivots) & (length >= MANY), length)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     apart = (1 - similarity) / (1 + similarity)  # most that sets may differ in, of the sum of their sizes
 
@@ -466,12 +466,12 @@ def run_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndar
             left.append(np.where(swapped, y, x))
             right.append(np.where(swapped, x, y))
 
-    if many.any():
-        if first == 1:
+    for k in range(pivots if many.any() else 0):
+        if not k:
             _, at = np.unique(node, return_inverse=True)
             order = -np.bincount(at, keys * np.repeat(length, length))[at]
         else:
-            order = _mixed(node.view(np.uint64) + np.uint64(first))
+            order = _mixed(node.view(np.uint64) + np.uint64(k))
         pivot = np.lexsort((node, order, key))[starts]
         take(np.repeat(pivot, length)[many & unsettled], np.flatnonzero(many & unsettled))
     rest = np.repeat(starts + length, length) - np.arange(len(key))
@@ -486,7 +486,7 @@ def run_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndar
     return node[a], node[b], keys[a], size[a], size[b]
 
 
-def candidate_pairs(rows: DataFrame, similarity: float, first: int) -> DataFrame:
+def candidate_pairs(rows: DataFrame, similarity: float, pivots: int) -> DataFrame:
     """Distinct pairs (a, b) of `run_pairs` over the rows of each shard that share shingles enough.
 
     What two prefixes share and what follows the prefix that ends first is all that the sets can share.
@@ -494,7 +494,7 @@ def candidate_pairs(rows: DataFrame, similarity: float, first: int) -> DataFrame
 
     def run(part: pa.Table) -> pa.Table:
         bits = part.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, PARITIES // 64)
-        a, b, n, x, y = run_pairs(*(part.column(c).to_numpy() for c in ("key", "node", "size", "root", "keys")), bits, similarity, first)
+        a, b, n, x, y = run_pairs(*(part.column(c).to_numpy() for c in ("key", "node", "size", "root", "keys")), bits, similarity, pivots)
         order = np.lexsort((b, a))
         new = np.flatnonzero(np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])) if len(a) else order
         at = order[new]
@@ -526,12 +526,12 @@ def with_set_components(docs: DataFrame, similarity: float, shingle: int | None
     held = points.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
     held = checkpointed(held.join(shared.select("node").distinct(), "node"))
     links = star = pairs = None
-    rounds = [0] if shared.groupBy("key").count().filter(F.col("count") >= MANY).isEmpty() else [*range(1, ROUNDS + 1), 0]
-    for first in rounds:
+    rounds = [0] if shared.groupBy("key").count().filter(F.col("count") >= MANY).isEmpty() else [PIVOTS, 0]
+    for pivots in rounds:
         rooted = held.withColumn("root", F.col("node"))
         if star is not None:
             rooted = held.join(star, "node", "left").select("node", "size", "bits", F.coalesce("root", "node").alias("root"))
-        fresh = candidate_pairs(shared.join(rooted, "node").select(shard, "key", "node", "size", "root", "keys", "bits"), similarity, first)
+        fresh = candidate_pairs(shared.join(rooted, "node").select(shard, "key", "node", "size", "root", "keys", "bits"), similarity, pivots)
         pairs = checkpointed(fresh if pairs is None else fresh.join(pairs, ["a", "b"], "left_anti"))
         found = exact_links(docs, shingle, pairs, similarity)
         links = checkpointed(found if links is None else links.union(found))
