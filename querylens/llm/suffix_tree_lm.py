@@ -60,6 +60,11 @@ def word_key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
+def sums(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sum of each of n owners' values, as doubles also where there are none (bincount gives whole numbers then)."""
+    return np.bincount(owner, values, n).astype(np.float64)
+
+
 def grams(texts: list[bytes], depth: int) -> np.ndarray:
     """For each byte of each text: the `depth` bytes before it and itself, as one number."""
     lead = bytes([END]) * depth
@@ -293,7 +298,7 @@ def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, most_words:
             place = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
             owner = np.repeat(np.arange(len(ids)), sizes)
             top_known = np.bincount(owner[place >= 0], minlength=len(ids))
-            base = np.bincount(owner[place >= 0], logs[place[place >= 0]], len(ids)) if len(logs) else np.zeros(len(ids))
+            base = sums(owner[place >= 0], logs[place[place >= 0]], len(ids))
             rare = np.flatnonzero(place < 0)
             rare_keys = np.fromiter((word_key(flat[i]) for i in rare.tolist()), np.int64, len(rare))
             offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[rare], minlength=len(ids)))]).astype(np.int32)
@@ -302,7 +307,7 @@ def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, most_words:
             spelling = np.add.reduceat(spelling, np.cumsum(widths) - widths) if len(flat) else spelling
             token, seen = spelling + unknown, place >= 0
             token[seen] = np.log10(share * counted[place[seen]] / tokens + (1 - share) * 10 ** spelling[seen])
-            score = np.bincount(owner, token, len(ids))
+            score = sums(owner, token, len(ids))
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(rare_keys), pa.array(spelling[rare])], ["key", "spelling"]))
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(top_known.astype(np.int64)), pa.array(base), pa.array(score), lists],
@@ -318,7 +323,8 @@ def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, most_words:
                 if size > BATCH_BYTES:
                     yield scored(ids, held)
                     ids, held, size = [], [], 0
-            yield scored(ids, held)
+            if ids:
+                yield scored(ids, held)
 
     schema = "doc_id long, n_tokens long, top_known long, top_logs double, score double, rare array<struct<key: long, spelling: double>>"
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())

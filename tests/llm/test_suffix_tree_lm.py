@@ -114,3 +114,13 @@ def test_query(spark, tmp_path):
     assert {k: types[k] for k in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")} == {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"}
     got = got.collect()
     assert len(got) == len(rows) and all(r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 == 2) for r in got)
+
+
+def test_a_part_of_a_batch_that_ends_with_it_and_words_that_are_all_rare(spark):
+    """Batches of a part's size leave nothing over, and a batch with no frequent word has sums of nothing."""
+    docs = spark.createDataFrame([(0, "word " * (lm.BATCH_BYTES // 5 + 1))], "doc_id long, text string").coalesce(1)
+    for most in (1_000_000, 0):
+        (got,) = lm.score(docs, docs, most_words=most).collect()
+        assert got.n_tokens == got.n_known == got.train_tokens == lm.BATCH_BYTES // 5 + 2 and isinstance(got.base_score, float)
+    other = spark.createDataFrame([(1, "seldom")], "doc_id long, text string")
+    assert lm.score(other, docs).first().n_known == 1
