@@ -14,7 +14,7 @@ from querylens.llm import mixing, packing, quality, simhash, suffix_dedup
 from querylens.llm._shared import checkpoint_folder, checkpointed, delete_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# near duplicates: five-word shingles, similarity 0.8 or more
+# near duplicates: five-word shingles, fingerprints in trees, similarity 0.8 or more
 SHINGLE, RADIUS, HASHES, SIMILARITY = 5, 8, 6, 0.8
 
 
@@ -24,7 +24,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the least id."""
+    """One document of each group of near-duplicates stays, that with the least id.
+
+    Links come from vantage-point trees of the fingerprints, and an exact check of the sets follows.
+    """
     return simhash.keep_one(docs.select(COLUMNS), SHINGLE, RADIUS, HASHES, SIMILARITY)
 
 

@@ -25,8 +25,10 @@ differ, give or take 3. So with a `similarity` the shingle sets themselves decid
 Texts of equal sets are one point. In any total order of shingles two sets of similarity t share one of each set's first
 n - ceil(t n) + 1, so only these are dealt out. Of these a pair must share as many as its similarity needs with all that is
 not dealt out in common (no link is lost), and each such pair is decided by the exact Jaccard of its sets.
-The order puts shingles common in a sample last, which keeps candidates few and changes no link. Shingles that the same points share are one key that counts so many times. Of a key with many points these are first held
-against the one that shares most, and keys whose points are not in one component by then are gone through again. Each point
+The order puts shingles common in a sample last, which keeps candidates few and changes no link. Shingles that the same points share are one key that counts so many times.
+Links come from vantage-point trees first: each key's points make a tree for each of their `hashes` fingerprints, every point is
+taken with the least one that lies within `radius`, and exact Jaccard follows. Fingerprints only estimate the similarity, so keys
+whose points are not in one component by then are gone through pair by pair, and no similar pair is lost. Each point
 carries the parities of its shingles in PARITIES classes: two sets differ in at least as many shingles as they have
 parities that differ, so a pair with too many goes before it leaves its task, and no similar one does. Sets are of 64-bit
 hashes.
@@ -64,12 +66,11 @@ MOST_PAIRS = 2_000_000
 SAMPLED = 16  # common shingles are counted in one of so many texts
 COMMON, MOST_COMMON = 8, 500_000  # sampled texts with a common shingle, and how many shingles are taken as common
 ROWS_PER_SHARD = 200_000
-PIVOTS = 4  # points of a key with many that all of them are held against first
 KEY_ROWS_PER_SHARD = 50_000  # of keys with their points
 PARITIES = 1024  # a multiple of 64
 PAIRS_AT_ONCE = 100_000
 SETS_AT_ONCE = 500
-MANY = 8  # points of a key that are held against some of them first
+MANY = 8  # points of a key that make a tree of several levels; fewer are one leaf
 SLOTS = 1 << 23  # of the filter that candidates' sets pass; fewer let more sets by
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -154,6 +155,21 @@ def _lists(texts: pa.Array, shingle: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
 
 
+def set_fingerprints(offsets: np.ndarray, values: np.ndarray, hashes: int) -> np.ndarray:
+    """A row of fingerprints for each shingle set, as `simhash` has them for texts whose shingles don't repeat."""
+    size = np.diff(offsets)
+    out = np.zeros((len(size), hashes), np.uint64)
+    some = np.flatnonzero(size)
+    if not len(some):
+        return out
+    starts, h = offsets[some] - offsets[0], values[offsets[0] : offsets[-1]].view(np.uint64)
+    for k in range(hashes):
+        part = _mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) if k else h
+        ones = np.add.reduceat(np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), starts, axis=0, dtype=np.int32)
+        out[some, k] = np.packbits(2 * ones > size[some, None], axis=1).view(">u8").ravel()
+    return out
+
+
 class VantagePointTree:
     """Pairs of points within a radius; points are distinct 64-bit numbers.
 
@@ -224,6 +240,33 @@ class VantagePointTree:
             self.held = len(left[0])
 
 
+def near_points(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of near pairs of distinct points, from trees; many points are dealt to these by each block of bits, of which near ones share one.
+
+    A tree that holds more than POINTS_PER_KEY even so has a crowd: its points are linked with a vantage point each that is near.
+    """
+    if len(points) <= POINTS_PER_KEY:
+        return VantagePointTree(points).pairs(radius)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for shift, width in blocks(radius + 1):
+        block = points >> np.uint64(shift) & np.uint64((1 << width) - 1)
+        order = np.argsort(block, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0, [True]]))
+        for f, g in zip(first.tolist(), first[1:].tolist(), strict=False):
+            some = order[f:g]
+            while len(some) > POINTS_PER_KEY:
+                vantage = some[len(some) // 2]
+                near = np.bitwise_count(points[some] ^ points[vantage]) <= radius
+                left.append(np.full(int(near.sum()), vantage))
+                right.append(some[near])
+                some = some[~near]
+            if len(some) > 1:
+                a, b = VantagePointTree(points[some]).pairs(radius)
+                left.append(some[a])
+                right.append(some[b])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For each of n items the least item of its component, by label propagation with pointer jumping."""
     label = np.arange(n)
@@ -347,10 +390,10 @@ def components(edges: DataFrame) -> DataFrame:
 def with_components(prints: DataFrame, radius: int = RADIUS, hashes: int = 1, similarity: float | None = None) -> DataFrame:
     """Add node, root and component_id to rows with doc_id and fingerprints, which should be given checkpointed.
 
-    With a `similarity` the rows' shingle sets decide, exactly, and the fingerprints aren't read.
+    With a `similarity` the rows' shingle sets decide, exactly, and the fingerprints are made of these sets.
     """
     if similarity is not None:
-        return with_set_components(prints.select(*[c for c in prints.columns if c != "shingles"], "shingles"), similarity)
+        return with_set_components(prints.select(*[c for c in prints.columns if c != "shingles"], "shingles"), similarity, radius=radius, hashes=hashes)
     fps = names(hashes)
     node = F.col("fp") if hashes == 1 else F.xxhash64(*fps)
     points = checkpointed(prints.groupBy(*fps).agg(F.min("doc_id").alias("least")).withColumn("node", node))
@@ -396,10 +439,10 @@ def parities(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
-def first_shingles(rows: DataFrame, shingle: int | None, sample: DataFrame, similarity: float) -> DataFrame:
-    """The node, size, parities and prefix of each row's shingle set in place of the last column."""
+def first_shingles(rows: DataFrame, shingle: int | None, sample: DataFrame, similarity: float, hashes: int = 1) -> DataFrame:
+    """The node, size, parities, fingerprints and prefix of each row's shingle set in place of the last column."""
     shared = rows.sparkSession.sparkContext.broadcast(common_shingles(sample, shingle))
-    names = [*rows.columns[:-1], "node", "size", "bits", "prefix"]
+    names = [*rows.columns[:-1], "node", "size", "bits", "prints", "prefix"]
 
     def each(columns: list, sets: pa.Array, node: list) -> pa.RecordBatch:
         common, rank = shared.value
@@ -409,10 +452,11 @@ def first_shingles(rows: DataFrame, shingle: int | None, sample: DataFrame, simi
         bits = [parities(values[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         width = PARITIES // 64
         bits = pa.ListArray.from_arrays(pa.array((np.arange(len(bits) + 1) * width).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *bits])))
-        return pa.RecordBatch.from_arrays([*columns, pa.array(node, pa.int64()), pa.array(np.diff(offsets).astype(np.int64)), bits, lists], names)
+        prints = pa.ListArray.from_arrays(pa.array((np.arange(len(node) + 1) * hashes).astype(np.int32)), pa.array(set_fingerprints(offsets, values, hashes).view(np.int64).ravel()))
+        return pa.RecordBatch.from_arrays([*columns, pa.array(node, pa.int64()), pa.array(np.diff(offsets).astype(np.int64)), bits, prints, lists], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return over_sets(rows, shingle, each, schema + ", node long, size long, bits array<long>, prefix array<long>")
+    return over_sets(rows, shingle, each, schema + ", node long, size long, bits array<long>, prints array<long>, prefix array<long>")
 
 
 def shared_keys(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -436,12 +480,65 @@ def shared_keys(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(number, length), node[at], np.repeat(keys, length)
 
 
-def run_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, keys: np.ndarray, bits: np.ndarray, similarity: float, pivots: int) -> tuple[np.ndarray, ...]:
+def tree_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, bits: np.ndarray, prints: np.ndarray, similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key every node with the least one that each fingerprint has within the radius, if sizes and parities allow the similarity.
+
+    A key's nodes make a tree for each fingerprint; less than MANY of them are one leaf, and all such leaves are compared at once.
+    """
+    order = np.lexsort((node, key))
+    new = np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(node[order]) != 0)]) if len(key) else np.zeros(0, bool)
+    order = order[new]
+    key, node, size, bits, prints = key[order], node[order], size[order], bits[order], prints[order]
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0])) if len(key) else np.zeros(0, np.int64)
+    length = np.diff(np.append(starts, len(key)))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def take(a: np.ndarray, b: np.ndarray) -> None:
+        """Keeps of each second node the pair with the least first one."""
+        fits = similar_enough(size, bits, a, b, similarity)
+        a, b = a[fits], b[fits]
+        order = np.lexsort((a, b))
+        first = order[np.concatenate([[True], np.diff(b[order]) != 0])] if len(order) else order
+        left.append(a[first])
+        right.append(b[first])
+
+    rest = np.repeat(starts + length, length) - np.arange(len(key))
+    at, d = np.flatnonzero(np.repeat(length < MANY, length) & (rest > 1)), 1
+    while len(at):
+        near = at[(np.bitwise_count(prints[at] ^ prints[at + d]) <= radius).any(1)]
+        take(near, near + d)
+        d += 1
+        at = at[rest[at] > d]
+    for f, n in zip(starts[length >= MANY].tolist(), length[length >= MANY].tolist(), strict=True):
+        for k in range(prints.shape[1]):
+            points, first, back = np.unique(prints[f : f + n, k], return_index=True, return_inverse=True)
+            a, b = near_points(points, radius)
+            least = first[back]  # equal points' first one, and of others the least that is near
+            np.minimum.at(least, np.maximum(first[a], first[b]), np.minimum(first[a], first[b]))
+            paired = np.flatnonzero(least < np.arange(n))
+            take(f + least[paired], f + paired)
+    a, b = np.concatenate(left), np.concatenate(right)
+    order = np.lexsort((a, b))
+    first = order[np.concatenate([[True], np.diff(b[order]) != 0])] if len(order) else order
+    return node[a[first]], node[b[first]]
+
+
+def similar_enough(size: np.ndarray, bits: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sizes and parities of the sets a and b allow the similarity; some pairs at a time."""
+    apart = (1 - similarity) / (1 + similarity)  # most that sets may differ in, of the sum of their sizes
+    fits = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6
+    sized = np.flatnonzero(fits)
+    for at in range(0, len(sized), PAIRS_AT_ONCE):
+        some = sized[at : at + PAIRS_AT_ONCE]
+        x, y = a[some], b[some]
+        fits[some] = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= apart * (size[x] + size[y]) + 1e-6
+    return fits
+
+
+def run_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, keys: np.ndarray, bits: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
     """Pairs of nodes with one key, of different roots and of sizes and parities that allow the similarity.
 
     Returned are the nodes, how many keys that one stands for (a pair comes once a key), and the sizes.
-    pivots: of a key with MANY nodes or more only the pairs with so many of its nodes: the one with most nodes beside it over all
-    its keys, and others that a digest chooses. At 0 all pairs.
     """
     order = np.lexsort((node, size, key))
     key, node = key[order], node[order]
@@ -451,42 +548,36 @@ def run_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndar
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     length = np.diff(np.append(starts, len(key)))
     unsettled = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), length) if len(key) else np.zeros(0, bool)
-    many = np.repeat(bool(pivots) & (length >= MANY), length)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    apart = (1 - similarity) / (1 + similarity)  # most that sets may differ in, of the sum of their sizes
-
-    def take(a: np.ndarray, b: np.ndarray) -> None:
-        fits = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6)
-        a, b = a[fits], b[fits]
-        for at in range(0, len(a), PAIRS_AT_ONCE):
-            x, y = a[at : at + PAIRS_AT_ONCE], b[at : at + PAIRS_AT_ONCE]
-            near = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= apart * (size[x] + size[y]) + 1e-6
-            x, y = x[near], y[near]
-            swapped = node[x] > node[y]
-            left.append(np.where(swapped, y, x))
-            right.append(np.where(swapped, x, y))
-
-    for k in range(pivots if many.any() else 0):
-        if not k:
-            _, at = np.unique(node, return_inverse=True)
-            order = -np.bincount(at, keys * np.repeat(length, length))[at]
-        else:
-            order = _mixed(node.view(np.uint64) + np.uint64(k))
-        pivot = np.lexsort((node, order, key))[starts]
-        take(np.repeat(pivot, length)[many & unsettled], np.flatnonzero(many & unsettled))
     rest = np.repeat(starts + length, length) - np.arange(len(key))
-    at = np.flatnonzero(~many & unsettled & (rest > 1))
+    at = np.flatnonzero(unsettled & (rest > 1))
     d = 1
     while len(at):
         at = at[size[at] >= similarity * size[at + d] - 1e-6]  # sizes rise, so what is too small stays so
-        take(at, at + d)
+        a = at[root[at] != root[at + d]]
+        a = a[similar_enough(size, bits, a, a + d, similarity)]
+        swapped = node[a] > node[a + d]
+        left.append(np.where(swapped, a + d, a))
+        right.append(np.where(swapped, a, a + d))
         d += 1
         at = at[rest[at] > d]
     a, b = np.concatenate(left), np.concatenate(right)
     return node[a], node[b], keys[a], size[a], size[b]
 
 
-def candidate_pairs(rows: DataFrame, similarity: float, pivots: int) -> DataFrame:
+def tree_candidates(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Distinct pairs (a, b) of `tree_pairs` over the rows of each shard."""
+
+    def run(part: pa.Table) -> pa.Table:
+        wide = lambda c: part.column(c).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(part.num_rows, -1)
+        a, b = tree_pairs(*(part.column(c).to_numpy() for c in ("key", "node", "size")), wide("bits"), wide("prints"), similarity, radius)
+        a, b = np.unique(np.column_stack([a, b]), axis=0).T
+        return pa.table({"a": a, "b": b})
+
+    return rows.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
+
+
+def candidate_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs (a, b) of `run_pairs` over the rows of each shard that share shingles enough.
 
     What two prefixes share and what follows the prefix that ends first is all that the sets can share.
@@ -494,7 +585,7 @@ def candidate_pairs(rows: DataFrame, similarity: float, pivots: int) -> DataFram
 
     def run(part: pa.Table) -> pa.Table:
         bits = part.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, PARITIES // 64)
-        a, b, n, x, y = run_pairs(*(part.column(c).to_numpy() for c in ("key", "node", "size", "root", "keys")), bits, similarity, pivots)
+        a, b, n, x, y = run_pairs(*(part.column(c).to_numpy() for c in ("key", "node", "size", "root", "keys")), bits, similarity)
         order = np.lexsort((b, a))
         new = np.flatnonzero(np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])) if len(a) else order
         at = order[new]
@@ -507,13 +598,15 @@ def candidate_pairs(rows: DataFrame, similarity: float, pivots: int) -> DataFram
     return found.filter(enough).select("a", "b")
 
 
-def with_set_components(docs: DataFrame, similarity: float, shingle: int | None = None, sample: DataFrame | None = None) -> DataFrame:
+def with_set_components(docs: DataFrame, similarity: float, shingle: int | None = None, sample: DataFrame | None = None, radius: int = RADIUS, hashes: int = 1) -> DataFrame:
     """node, root and component_id instead of the last column, the texts or (no `shingle`) sets; links are all pairs that similar.
 
+    Trees of fingerprints give links first, each decided exactly; then the keys that these leave apart are gone through.
+
     The sets are made again when candidates are decided rather than stored. `sample` has some of the rows, or all by default.
     """
     rest = docs.columns[:-1]
-    points = checkpointed(first_shingles(docs, shingle, docs if sample is None else sample, similarity))
+    points = checkpointed(first_shingles(docs, shingle, docs if sample is None else sample, similarity, hashes))
     rows = points.agg(F.sum(F.size("prefix"))).first()[0] or 0
     shard = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-rows // ROWS_PER_SHARD)))).alias("shard")
 
@@ -523,19 +616,16 @@ def with_set_components(docs: DataFrame, similarity: float, shingle: int | None
     dealt = points.select(F.explode("prefix").alias("key"), "node").select(shard, "key", "node")
     shared = checkpointed(dealt.groupBy("shard").applyInArrow(run, "key long, node long, keys long"))
     shard = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-shared.count() // KEY_ROWS_PER_SHARD)))).alias("shard")
-    held = points.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    held = points.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("prints").alias("prints"))
     held = checkpointed(held.join(shared.select("node").distinct(), "node"))
-    links = star = pairs = None
-    rounds = [0] if shared.groupBy("key").count().filter(F.col("count") >= MANY).isEmpty() else [PIVOTS, 0]
-    for pivots in rounds:
-        rooted = held.withColumn("root", F.col("node"))
-        if star is not None:
-            rooted = held.join(star, "node", "left").select("node", "size", "bits", F.coalesce("root", "node").alias("root"))
-        fresh = candidate_pairs(shared.join(rooted, "node").select(shard, "key", "node", "size", "root", "keys", "bits"), similarity, pivots)
-        pairs = checkpointed(fresh if pairs is None else fresh.join(pairs, ["a", "b"], "left_anti"))
-        found = exact_links(docs, shingle, pairs, similarity)
-        links = checkpointed(found if links is None else links.union(found))
-        star = checkpointed(components(links))
+    pairs = checkpointed(tree_candidates(shared.join(held, "node").select(shard, "key", "node", "size", "bits", "prints"), similarity, radius))
+    links = exact_links(docs, shingle, pairs, similarity)
+    star = checkpointed(components(links := checkpointed(links)))
+    rooted = held.join(star, "node", "left").select("node", "size", "bits", F.coalesce("root", "node").alias("root"))
+    rest_of = candidate_pairs(shared.join(rooted, "node").select(shard, "key", "node", "size", "root", "keys", "bits"), similarity)
+    rest_of = checkpointed(rest_of.join(pairs, ["a", "b"], "left_anti"))
+    if not rest_of.isEmpty():
+        star = checkpointed(components(links.union(exact_links(docs, shingle, rest_of, similarity))))
     grouped = checkpointed(points.select(*rest, "node").join(star, "node", "left").select(*rest, "node", F.coalesce("root", "node").alias("root")))
     ids = checkpointed(grouped.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return grouped.join(ids, "root")
@@ -563,15 +653,15 @@ def exact_links(docs: DataFrame, shingle: int | None, pairs: DataFrame, similari
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, hashes: int = 1, similarity: float | None = None) -> DataFrame:
     """One row of each component, one with the least id, with all columns of `docs`.
 
-    Components are told apart by their roots, since ids may be repeated or null. Of rows with that id the one with the least text digest stays, and of equal rows any one. With a `similarity` the
-    shingle sets decide, exactly, and no fingerprints are made.
+    Components are told apart by their roots, since ids may be repeated or null. Of rows with that id the one with the least text digest stays, and of equal rows any one. With a `similarity` trees of
+    fingerprints give the links first, and the shingle sets decide, exactly.
     """
     digests = docs.withColumn("__text", F.xxhash64("text"))
     if similarity is None:
         found = with_components(checkpointed(fingerprints(digests, shingle, ("doc_id", "__text"), hashes)), radius, hashes)
     else:
         rows = digests.select("doc_id", "__text", "text")
-        found = with_set_components(rows, similarity, shingle, rows.filter(F.pmod("__text", F.lit(SAMPLED)) == 0))
+        found = with_set_components(rows, similarity, shingle, rows.filter(F.pmod("__text", F.lit(SAMPLED)) == 0), radius, hashes)
     found = found.filter("doc_id <=> component_id")
     first = checkpointed(found.groupBy("root").agg(F.min_by(F.struct("doc_id", "__text"), "__text").alias("kept"), F.count(F.lit(1)).alias("n")))
     keys = first.select(F.col("kept.doc_id").alias("__id"), F.col("kept.__text").alias("__kept"))

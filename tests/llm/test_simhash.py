@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -215,3 +216,32 @@ def test_a_spanning_forest_stands_for_very_many_pairs(monkeypatch):
     monkeypatch.setattr(module, "MOST_PAIRS", 20)
     c, d = VantagePointTree(x, 8).pairs(4)
     assert len(c) < len(a) and roots(len(x), c, d).tolist() == want
+
+
+def test_near_duplicates_are_linked_by_trees_of_fingerprints(spark, monkeypatch):
+    """Trees alone link near copies, and what they give is what brute force finds in each key."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.int64).astype(np.uint64)
+    prints = np.stack([np.concatenate([base, base ^ np.uint64(0b101), base ^ np.uint64((1 << 9) - 1)]), rng.integers(0, 1 << 63, 1200, dtype=np.int64).astype(np.uint64)], 1)
+    node, key = rng.permutation(1200).astype(np.int64), rng.integers(0, 90, 1200) ** 2 // 180
+    size, bits = np.full(1200, 100), np.zeros((1200, module.PARITIES // 64), np.uint64)
+    want, linked = set(), set()
+    for j in range(1200):
+        near = [node[i] for i in range(1200) if key[i] == key[j] and node[i] < node[j] and (np.bitwise_count(prints[i] ^ prints[j]) <= 8).any()]
+        want |= {(min(near), node[j])} if near else set()
+        linked |= {(i, node[j]) for i in near}
+    for many, per_key in ((8, 1024), (2, 16)):
+        monkeypatch.setattr(module, "MANY", many)
+        monkeypatch.setattr(module, "POINTS_PER_KEY", per_key)
+        got = set(zip(*module.tree_pairs(key, node, size, bits, prints, 0.8, 8), strict=True))
+        assert len(want) > 20 and (got <= linked and len(got) > 0.8 * len(want) if many == 2 else got == want)
+    crowd = np.uint64(7) ^ np.uint64(1) << np.arange(64, dtype=np.uint64)
+    a, b = module.near_points(np.unique(crowd), 8)
+    assert len(a) < 64 * 64 and set(range(64)) == set(a.tolist()) | set(b.tolist())
+    texts = [" ".join(f"w{g}x{k}" for k in range(200)) for g in range(40)]
+    sets = module._lists(pa.array([*texts, "", None]), 5)
+    got = module.set_fingerprints(sets.offsets.to_numpy(), sets.values.to_numpy(), 3)
+    assert got.tolist() == [simhash(t, 5, 3) for t in [*texts, "", None]]
+    monkeypatch.setattr(module, "candidate_pairs", lambda rows, similarity: rows.sparkSession.createDataFrame([], "a long, b long"))
+    docs = spark.createDataFrame([(2 * g + k, t.replace("x100 ", "y ") if k else t) for g, t in enumerate(texts) for k in (0, 1)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in keep_one(docs, 5, 8, 6, 0.8).collect()) == list(range(0, 80, 2))
