@@ -27,6 +27,10 @@ from querylens.plans.binder import Binder, Catalog
 from querylens.plans.checkpoints import checkpointed
 
 SEEN_PARTS = 16  # rounds of a growing frontier whose results are one checkpoint again
+SHARED_FROM = 16  # seeds from which on what a pivot reaches is held once for all that reach the pivot
+PIVOTS = 2
+BROADCAST_NODES = 200_000
+PAIRS_A_TASK = 16_000_000
 LAZY_HOPS = 8  # paths that can be longer grow round by round, each checkpointed, until a round adds none
 ROW_CAP = 10_001
 RUN_ERRORS = (PySparkException, Py4JJavaError)  # the second where several stages fail at once
@@ -243,11 +247,13 @@ class _Part:
         self.anonymous = itertools.count()
         self.one = session.spark.range(1).select()
         self.df: DataFrame | None = None
+        self.once: tuple[DataFrame | None, set[str]] = None, set()  # a frame whose rows differ in these nodes' ids
 
     def run(self, clauses: list) -> DataFrame:
         self.named = mentioned(clauses)
         as_sets = repeats_dont_count(clauses)
-        for clause, self.as_set in zip(clauses, as_sets, strict=True):
+        for k, (clause, self.as_set) in enumerate(zip(clauses, as_sets, strict=True), 1):
+            self.later = mentioned(clauses[k:])
             if isinstance(clause, S.Match):
                 self.match(clause)
             elif isinstance(clause, S.Unwind):
@@ -320,31 +326,116 @@ class _Part:
         return F.concat(F.lit(kind + ":"), F.coalesce(F.col("eid").cast("string"), ends) if "eid" in d.columns else ends)
 
     def reached(self, var: str, rel: S.Rel, seeds: DataFrame) -> DataFrame:
-        """Pairs of seeds and the nodes that a path leads to, each once: a frontier that grows by nodes not seen before.
+        """Pairs of seeds and the nodes that a path leads to, each once.
 
-        A walk between two nodes holds a path without a repeated edge, so none is kept. Each round meets the edges with the
-        last round's new pairs only, and ends when there are none; what is written is every pair once.
+        A walk between two nodes holds a path without a repeated edge, so none is kept. Without a bound, many seeds mostly
+        reach the same nodes: what a pivot reaches is found once, and every seed that reaches the pivot has all of it and what
+        it reaches outside; their pairs are a product that is not written. Other seeds are taken with the next pivot, or walk.
         """
         low, high = rel.hops
         bounds = [x for x in (self.session.max_hops if high is None else high, self.most_hops(rel)) if x is not None]
         most = min(bounds) if bounds else None
         step = self.edges_of("s", S.Rel(None, rel.types, rel.direction), set())
         step = checkpointed(step.select(*[F.col(f"`s:{c}`").alias(f"s:{c}") for c in ("from:label", "from:id", "to:label", "to:id")]).distinct())
+        start = checkpointed(seeds.select(*[F.col(c).alias(f"{var}:{e}:{c}") for e in ("from", "to") for c in ("label", "id")]))
+        found = []
+        while most is None and len(found) < 2 * PIVOTS and start.limit(SHARED_FROM).count() == SHARED_FROM:
+            parts, rest, step = self.by_pivot(var, low, start, step)
+            if not parts:
+                break
+            found, start = found + parts, rest
+        return _union([*found, self.walk(var, low, most, start, step)]).withColumn(f"{var}:eids", F.array().cast("array<string>"))
+
+    @staticmethod
+    def walk(var: str, low: int, most: int | None, start: DataFrame, step: DataFrame) -> DataFrame:
+        """A frontier that grows by nodes not seen before. Each round meets the edges with the last round's new pairs only,
+        and ends when there are none; what is written is every pair once. Edges with `s:way` are for seeds of that label.
+        """
         pair = [f"{var}:{e}:{c}" for e in ("from", "to") for c in ("label", "id")]
-        start = seeds.select(*[F.col(c).alias(f"{var}:{e}:{c}") for e in ("from", "to") for c in ("label", "id")])
         frontier, k = checkpointed(start), 0
-        seen = None if low else frontier
+        seen, n_new = None if low else frontier, frontier.count()
         on = (F.col(f"`{var}:to:id`") == F.col("`s:from:id`")) & (F.col(f"`{var}:to:label`") == F.col("`s:from:label`"))
-        while most is None or k < most:
+        if "s:way" in step.columns:
+            on &= F.col(f"`{var}:from:label`") == F.col("`s:way`")
+        while n_new and (most is None or k < most):
             k += 1
-            new = frontier.join(step, on).select(*[F.col(f"`{c}`") for c in pair[:2]], *[F.col(f"`s:to:{c}`").alias(f"{var}:to:{c}") for c in ("label", "id")]).distinct()
+            near = F.broadcast(frontier) if n_new <= BROADCAST_NODES else frontier
+            new = step.join(near, on).select(*[F.col(f"`{c}`") for c in pair[:2]], *[F.col(f"`s:to:{c}`").alias(f"{var}:to:{c}") for c in ("label", "id")]).distinct()
             frontier = checkpointed(new if seen is None else new.join(seen, pair, "left_anti"))
-            if frontier.isEmpty():
+            if not (n_new := frontier.count()):
                 break
             seen = frontier if seen is None else seen.union(frontier)
             if k % SEEN_PARTS == 0:  # a plan of few parts
                 seen = checkpointed(seen)
-        return (start.limit(0) if seen is None else seen).withColumn(f"{var}:eids", F.array().cast("array<string>"))
+        return start.limit(0) if seen is None else seen
+
+    def by_pivot(self, var: str, low: int, start: DataFrame, step: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+        """Pairs of the seeds that reach the pivot, the other seeds, and the edges that these may meet; no pairs where none reach it.
+
+        What the pivot reaches is closed: a path that enters it doesn't leave. So beyond it, seeds walk on edges that don't
+        lead into it; and none of the others reaches a node that reaches the pivot.
+        """
+        at = lambda e: [F.col(f"`s:{e}:{c}`").alias(c) for c in ("label", "id")]
+        named = lambda e: [F.col(c).alias(f"{var}:{e}:{c}") for c in ("label", "id")]
+        counts = [step.select(*at(e)).groupBy("label", "id").agg(F.count(F.lit(1)).alias(e)) for e in ("from", "to")]
+        best = counts[0].join(counts[1], ["label", "id"]).orderBy(F.desc(F.least("from", "to")), F.desc(F.greatest("from", "to")), "label", "id").first()
+        if best is None:
+            return [], start, step
+        turned = step.select(*[F.col(f"`s:{a}:{c}`").alias(f"s:{b}:{c}") for a, b in (("to", "from"), ("from", "to")) for c in ("label", "id")])
+        both = step.withColumn("s:way", F.lit("out")).unionByName(turned.withColumn("s:way", F.lit("in")))
+        ways = self.session.spark.createDataFrame([("out",), ("in",)], "way string")
+        pivot = ways.select(F.col("way").alias(f"{var}:from:label"), F.lit(best["id"]).alias(f"{var}:from:id"), F.lit(best["label"]).alias(f"{var}:to:label"), F.lit(best["id"]).alias(f"{var}:to:id"))
+        met = checkpointed(self.walk(var, 1, None, pivot, both))
+        ends = met.select(F.col(f"`{var}:from:label`").alias("way"), *[F.col(f"`{var}:to:{c}`").alias(c) for c in ("label", "id")])
+        before = ends.filter("way = 'in'").drop("way")
+        own = self.session.spark.createDataFrame([(best["label"], best["id"])], before.schema)
+        closed = checkpointed(ends.filter("way = 'out'").drop("way").union(own).distinct())
+
+        def among(d: DataFrame, nodes: DataFrame, names: list[str], how: str) -> DataFrame:
+            return d.join(nodes.select(*[F.col(c).alias(f"__{c}") for c in ("label", "id")]), (F.col(f"`{names[0]}`") == F.col("__label")) & (F.col(f"`{names[1]}`") == F.col("__id")), how)
+
+        seed, to = [f"{var}:from:label", f"{var}:from:id"], ["s:to:label", "s:to:id"]
+        taken, rest = checkpointed(among(start, before, seed, "left_semi")), checkpointed(among(start, before, seed, "left_anti"))
+        n_taken, n_closed = taken.count(), closed.count()
+        if not n_taken:
+            return [], start, step
+        tasks = max(self.session.spark.sparkContext.defaultParallelism, min(n_closed, n_taken * n_closed // PAIRS_A_TASK))
+        left, right = taken.select(*[F.col(f"`{c}`") for c in seed]), closed.select(*named("to"))
+        if min(n_taken, n_closed) > BROADCAST_NODES:
+            product = left.crossJoin(right)
+        elif n_taken < n_closed:
+            product = right.repartition(tasks).crossJoin(F.broadcast(left)).select(*left.columns, *right.columns)
+        else:
+            product = left.repartition(tasks).crossJoin(F.broadcast(right))
+        outside = self.walk(var, low, None, among(taken, closed, seed, "left_anti"), checkpointed(among(step, closed, to, "left_anti")))
+        return [product, outside], rest, checkpointed(among(step, before, ["s:from:label", "s:from:id"], "left_anti"))
+
+    def ends_suffice(self, clause: S.Match) -> bool:
+        """Whether the clause is one relationship of any length, of which later clauses ask for the ids of its ends alone."""
+        if clause.optional or not self.as_set or self.df is not None or self.kinds or len(clause.paths) != 1 or len(clause.paths[0].nodes) != 2:
+            return False
+        path = clause.paths[0]
+        (a, b), (rel,) = path.nodes, path.rels
+        if not rel.hops or rel.var or rel.props or path.var in self.named or rel.hops[0] > (rel.direction != "both") or a.also or b.also or b.props or a.var and a.var == b.var:
+            return False
+        return all(self.later.get(n.var, set()) <= {"id"} for n in (a, b)) and all(simple(e) and set(mentioned([S.Match([], e, False)])) <= {a.var} for e in conjuncts(clause.where))
+
+    def match_ends(self, clause: S.Match) -> None:
+        """The pairs of ends as they are reached, with no join for what only the clause's own conditions ask."""
+        path = clause.paths[0]
+        first, last = [replace(n, var=n.var or f"_n{next(self.anonymous)}") for n in path.nodes]
+        kinds: dict[str, str] = {}
+        df, tests = self.pattern(None, [S.Path(None, [first], [])], kinds, None, True)
+        for t in tests:
+            df = df.filter(t)
+        df = self.where(df, clause.where, kinds)
+        r = f"_r{next(self.anonymous)}"
+        seeds = df.select(*[F.col(f"`{first.var}:{c}`").alias(c) for c in ("label", "id")]).filter(F.col("id").isNotNull()).distinct()
+        df = self.reached(r, path.rels[0], seeds).select(*[F.col(f"`{r}:{e}:{c}`").alias(f"{n.var}:{c}") for e, n in (("from", first), ("to", last)) for c in ("label", "id")])
+        self.df = df.filter(F.col(f"`{last.var}:label`").isin(last.labels)) if last.labels else df
+        self.kinds = {first.var: "node", last.var: "node"}
+        if len(first.labels) == len(last.labels) == 1:
+            self.once = self.df, {first.var, last.var}
 
     def most_hops(self, rel: S.Rel) -> int | None:
         """How long a path can be by the labels of its ends; None where these form a cycle."""
@@ -541,6 +632,9 @@ class _Part:
 
     def match(self, clause: S.Match) -> None:
         clause = S.Match(self.anchored(clause.paths, clause.where, self.kinds), clause.where, clause.optional)
+        if self.ends_suffice(clause):
+            self.match_ends(clause)
+            return
         if not clause.optional:
             df, tests = self.pattern(self.df, clause.paths, self.kinds, clause.where, self.as_set)
             for t in tests:
@@ -836,8 +930,9 @@ class _Part:
             for k, (e, _) in enumerate(p.order):
                 if repr(e) not in same and not (e[0] == "var" and e[1] in outputs) and not p.distinct:
                     order_extra.append(self.value(self.inline(e, items), kinds, df).alias(f"_order{k}"))
-            df = df.select(*chosen, *order_extra)
-            df = df.distinct() if p.distinct else df
+            df_before, df = df, df.select(*chosen, *order_extra)
+            differ = df_before is self.once[0] and self.once[1] <= {e[1][1] for e, _ in items if e[0] == "prop" and e[1][0] == "var" and e[2] == "id"}
+            df = df.distinct() if p.distinct and not differ else df
         new_kinds = {name: kinds[kept[name]] if name in kept else "value" for _, name in items}
         if p.order:
             keys = []

@@ -1,6 +1,7 @@
 """Expressions whose operation depends on types: the same cases through the compiler to DataFrames and the evaluator."""
 
 import math
+import random
 
 import pytest
 
@@ -91,6 +92,31 @@ def test_reachability_takes_each_pair_once(spark):
     assert session.run("MATCH (a:P {id: 1010})-[:N*1..2]->(b) RETURN count(*) AS n").rows == [(2,)]
 
 
+def test_what_many_seeds_reach_alike_is_held_once(spark):
+    rng = random.Random(3)
+    pairs = [(i, (i * 7 + 1) % 20) for i in range(20)] + [(rng.randrange(24), rng.randrange(28)) for _ in range(30)]  # a knot, what leads to it and what hangs from it
+    pairs += [(100, 101), (101, 100), (101, 102), (103, 3), (103, 104), (104, 104)]
+    ids = sorted({x for p in pairs for x in p} | {300})
+    graph = PropertyGraph({"P": spark.createDataFrame([(i, i % 7) for i in ids], "id long, k long")}, {"N": [("P", "P", spark.createDataFrame(pairs, "src long, dst long"))]})
+    session = GraphSession(spark, graph)
+
+    def reached(a, edges):
+        seen, new = set(), {d for s, d in edges if s == a}
+        while new:
+            seen |= new
+            new = {d for s, d in edges if s in new} - seen
+        return seen
+
+    want = {(a, b) for a in ids if a % 7 > 1 for b in reached(a, pairs)}
+    frame = session.execute("MATCH (a:P)-[:N*]->(b:P) WHERE a.k > 1 RETURN DISTINCT a.id AS a, b.id AS b")
+    got = [tuple(r) for r in frame.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" in plan and "Aggregate" not in plan
+    rows = session.execute("MATCH (a:P)-[:N*0..]->(b:P) WHERE a.k > 1 RETURN DISTINCT a.id AS a, b.id AS b").collect()
+    assert len(rows) == len(set(rows)) and {tuple(r) for r in rows} == want | {(a, a) for a in ids if a % 7 > 1}
+
+
 def test_what_makes_repeats_count():
     flags = lambda q: repeats_dont_count(S.parse(q).parts[0])
     assert flags("MATCH (a) RETURN DISTINCT a") == [True, True] and flags("MATCH (a) RETURN a") == [False, False]
