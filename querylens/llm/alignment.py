@@ -9,8 +9,8 @@ different units of its texts, as ids and end offsets of both tokenizers, and eac
 stretch between single spaces; no token of either tokenizer reaches over its ends, which the piece table is tested for when
 it is loaded (else a whole text is one unit). So a word that a block holds a thousand times is aligned once.
 
-From there on all is Spark: array_intersect of the end arrays gives the cuts, transform and sequence the groups and links of
-each unit, aggregate the sums of each document, which become rows again. They are written to the shared folder and read
+From there on all is Spark: array_intersect of a unit's end arrays gives its cuts, zip_with, transform and sequence its groups
+and links, aggregate the sums of each document, which become rows again. They are written to the shared folder and read
 twice: distinct links are counted with partial sums, then all links meet their counts. The most frequent pairs, a bounded
 number that is found from a histogram of counts, are broadcast, so a frequent pair is never dealt to one task and a document's
 links are summed where they are; only rarer pairs are joined by key.
@@ -37,13 +37,14 @@ from querylens.llm._shared import checkpoint_folder, checkpointed, let, table
 from querylens.llm.packing import default_vocabulary, encoder
 
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-BLOCK_BYTES = 1 << 18
+BLOCK_BYTES = 1 << 20
 BROADCAST_PAIRS = 1_000_000
 PAIR = 1 << 20  # a pair of ids is one number: A's id times this plus B's
 UNITS_AT_ONCE = 8192
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _WIDE_SPACE = re.compile(r"\s\s|^\s|\s\Z")
-BLOCKS = "docs array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,units:array<int>>>, a_ids array<int>, a_ends array<bigint>, b_ids array<int>, b_ends array<bigint>, unit_ends array<bigint>"
+BLOCKS = "docs array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,units:array<int>>>, units array<struct<a_ids:array<int>,a_ends:array<int>,b_ids:array<int>,b_ends:array<int>>>"
+SEARCHED = 64  # tokens of a unit up to which the place of a cut is searched for, not merged
 _pieces: dict = {}
 
 
@@ -118,15 +119,17 @@ def blocks(docs: DataFrame, vocabulary: str, pieces: str, block_bytes: int = BLO
                 offsets = np.cumsum([0, *np.bincount(np.repeat(np.arange(len(texts)), lengths)[~lost], minlength=len(texts))], dtype=np.int32)
                 rows = rows[~lost]
             a_ids, b_ids = (np.fromiter(chain.from_iterable(x), np.int32) for x in (a, b))
-            flat = {"a_ids": a_ids, "a_ends": np.cumsum(a_bytes[a_ids], dtype=np.int64), "b_ids": b_ids, "b_ends": np.cumsum(b_bytes[b_ids], dtype=np.int64), "unit_ends": np.cumsum(sizes, dtype=np.int64)}
-            ends = flat["unit_ends"]
-            totals = []  # tokens of each document, from those of its units
-            for side in ("a_ends", "b_ends"):
-                of_unit = np.diff(np.searchsorted(flat[side], ends, "right"), prepend=0)
-                totals.append(np.diff(np.concatenate([[0], np.cumsum(of_unit[rows])])[offsets]))
+            ends = np.cumsum(sizes, dtype=np.int32)
+            totals, sides = [], []  # tokens of each document, from those of its units; each unit's tokens and where they end
+            for found, n_bytes in ((a_ids, a_bytes), (b_ids, b_bytes)):
+                found_ends = np.cumsum(n_bytes[found], dtype=np.int32)
+                cuts = pa.array(np.searchsorted(found_ends, np.concatenate([[0], ends]), "right").astype(np.int32))
+                totals.append(np.diff(np.concatenate([[0], np.cumsum(np.diff(cuts.to_numpy())[rows], dtype=np.int64)])[offsets]))
+                sides += [pa.ListArray.from_arrays(cuts, pa.array(found)), pa.ListArray.from_arrays(cuts, pa.array(found_ends))]
             held = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, totals), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows))], ["doc_id", "n_a", "n_b", "units"])
+            aligned_later = pa.StructArray.from_arrays(sides, ["a_ids", "a_ends", "b_ids", "b_ends"])
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            return pa.RecordBatch.from_arrays([one(held), *[one(pa.array(v)) for v in flat.values()]], ["docs", *flat])
+            return pa.RecordBatch.from_arrays([one(held), one(aligned_later)], ["docs", "units"])
 
         ids, texts, spaced, size = [], [], set(), 0
         for batch in batches:
@@ -167,36 +170,46 @@ def iff(condition: Column, yes: Column, no: Column) -> Column:
     return F.call_function("if", condition, yes, no)
 
 
-def starts(last: Column) -> Column:
-    """The first index of each stretch, and one more, from the last ones."""
-    return F.concat(F.array(F.lit(0)), F.transform(last, lambda i: i + 1))
+def aligned_unit(unit: Column) -> Column:
+    """n_groups, the groups' ids as text, and the links of one unit."""
+    pair = lambda i, j: i.cast("long") * PAIR + j
+    text = lambda ids: F.array_join(ids.cast("array<string>"), ",")
+    unit_of = lambda n, written, pairs: F.struct(n.alias("n_groups"), written.alias("written"), pairs.alias("pairs"))
+    a_ids, b_ids, a_ends, b_ends = (unit[c] for c in ("a_ids", "b_ids", "a_ends", "b_ends"))
 
+    def of_groups(cuts: Column) -> Column:
+        search = lambda ends: F.transform(cuts, lambda c: (F.array_position(ends, c) - 1).cast("int"))
+        searched = F.struct(search(a_ends).alias("a"), search(b_ends).alias("b"))
+        merged = F.struct(positions(cuts, a_ends).alias("a"), positions(cuts, b_ends).alias("b"))
+        short = F.size(a_ends) + F.size(b_ends) <= SEARCHED
 
-def aligned(tokenised: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, its numbers and digest, and its links as pair numbers."""
-
-    def of_groups(x: Column) -> Column:
-        """Of each group: its ids as text, and its links."""
+        def made(x: Column) -> Column:
+            i, j = F.get(a_ids, x["a_first"]), F.get(b_ids, x["b_first"])
+            one = F.struct(F.concat(i.cast("string"), F.lit("|"), j.cast("string")).alias("written"), F.array(pair(i, j)).alias("pairs"))
+            a, b = F.slice(a_ids, x["a_first"] + 1, x["a_last"] - x["a_first"] + 1), F.slice(b_ids, x["b_first"] + 1, x["b_last"] - x["b_first"] + 1)
+            many = let(b, lambda right: F.flatten(F.transform(a, lambda p: F.transform(right, lambda q: pair(p, q)))))
+            return iff((x["a_first"] == x["a_last"]) & (x["b_first"] == x["b_last"]), one, F.struct(F.concat(text(a), F.lit("|"), text(b)).alias("written"), many.alias("pairs")))
 
         def group(last: Column, k: Column) -> Column:
-            one = (last == F.get(x["a_first"], k)) & (F.get(x["b_last"], k) == F.get(x["b_first"], k))
-            first, second = F.get("a_ids", last), F.get("b_ids", F.get(x["b_first"], k))
-            single = F.struct(F.concat(first.cast("string"), F.lit("|"), second.cast("string")).alias("written"), F.array(first.cast("long") * PAIR + second).alias("pairs"))
-            a = F.transform(F.sequence(F.get(x["a_first"], k), last), lambda i: F.get("a_ids", i))
-            b = F.transform(F.sequence(F.get(x["b_first"], k), F.get(x["b_last"], k)), lambda j: F.get("b_ids", j))
-            written = F.concat(F.array_join(a.cast("array<string>"), ","), F.lit("|"), F.array_join(b.cast("array<string>"), ","))
-            pairs = let(b, lambda right: F.flatten(F.transform(a, lambda i: F.transform(right, lambda j: i.cast("long") * PAIR + j))))
-            return iff(one, single, F.struct(written.alias("written"), pairs.alias("pairs")))  # mostly one token of each
+            first = lambda ends: iff(k == 0, F.lit(0), F.get(ends, k - 1) + 1)
+            return let(F.struct(first(last["a"]).alias("a_first"), F.get(last["a"], k).alias("a_last"), first(last["b"]).alias("b_first"), F.get(last["b"], k).alias("b_last")), made)
+
+        def said(groups: Column) -> Column:
+            return unit_of(F.size(cuts), F.array_join(groups["written"], ";"), F.flatten(groups["pairs"]))
+
+        return let(iff(short, searched, merged), lambda last: let(F.transform(F.sequence(F.lit(0), F.size(cuts) - 1), lambda k: group(last, k)), said))
 
-        return F.transform(x["a_last"], group)
+    def of_cuts(cuts: Column) -> Column:
+        single = (F.size(cuts) == F.size(a_ends)) & (F.size(cuts) == F.size(b_ends))  # a token of each in every group
+        written = F.zip_with(a_ids, b_ids, lambda i, j: F.concat(i.cast("string"), F.lit("|"), j.cast("string")))
+        whole = unit_of(F.lit(1), F.concat(text(a_ids), F.lit("|"), text(b_ids)), F.flatten(F.transform(a_ids, lambda i: F.transform(b_ids, lambda j: pair(i, j)))))
+        return iff(single, unit_of(F.size(cuts), F.array_join(written, ";"), F.zip_with(a_ids, b_ids, pair)), iff(F.size(cuts) == 1, whole, of_groups(cuts)))
 
-    def of_units(x: Column, groups: Column) -> Column:
-        def unit(last: Column, u: Column) -> Column:
-            mine = lambda field: F.transform(F.sequence(F.get(x["u_first"], u), last), lambda k: F.get(groups, k)[field])
-            n_groups = last - F.get(x["u_first"], u) + 1
-            return F.struct(n_groups.alias("n_groups"), F.array_join(mine("written"), ";").alias("written"), F.flatten(mine("pairs")).alias("pairs"))
+    return let(F.array_intersect(a_ends, b_ends), of_cuts)
 
-        return F.transform(x["u_last"], unit)
+
+def aligned(tokenised: DataFrame) -> DataFrame:
+    """A row for each document: doc_id, its numbers and digest, and its links as pair numbers."""
 
     def of_docs(units: Column) -> Column:
         def doc(d: Column) -> Column:
@@ -208,12 +221,7 @@ def aligned(tokenised: DataFrame) -> DataFrame:
 
         return F.transform("docs", doc)
 
-    def all_of(cuts: Column) -> Column:
-        last = F.struct(positions(cuts, F.col("a_ends")).alias("a"), positions(cuts, F.col("b_ends")).alias("b"), positions(F.col("unit_ends"), cuts).alias("u"))
-        with_starts = lambda x: F.struct(*[x[c].alias(f"{c}_last") for c in "abu"], *[starts(x[c]).alias(f"{c}_first") for c in "abu"])
-        return let(let(last, with_starts), lambda y: let(of_groups(y), lambda groups: let(of_units(y, groups), of_docs)))
-
-    return tokenised.select(F.inline(let(F.array_intersect("a_ends", "b_ends"), all_of)))
+    return tokenised.select(F.inline(let(F.transform("units", aligned_unit), of_docs)))
 
 
 def counted_pairs(texts: DataFrame) -> DataFrame:

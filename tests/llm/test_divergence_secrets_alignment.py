@@ -224,3 +224,14 @@ def test_alignment_uses_python_for_tokens_only(spark, tmp_path):
     spark.createDataFrame(rows_of([("one two", "en", "s")]), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     plan = registry.QUERIES["op13_alignment"](spark, str(tmp_path))._jdf.queryExecution().toString()
     assert "Python" not in plan and "MapInArrow" not in plan
+
+
+def test_alignment_of_a_unit_by_its_own_tokens(spark, monkeypatch):
+    rows = rows_of([(t, "en", "s") for t in ["one antidisestablishmentarianism one", "Wörter日本語 one"]])
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    (block,) = alignment.blocks(docs, alignment.default_vocabulary(), alignment.default_pieces()).collect()
+    assert len(block.units) == 3 and sum(len(d.units) for d in block.docs) == 5
+    assert all(u.a_ends[-1] == u.b_ends[-1] and len(u.a_ids) == len(u.a_ends) and len(u.b_ids) == len(u.b_ends) for u in block.units)
+    for tokens in (0, 1000):  # cuts placed by merging, by searching
+        monkeypatch.setattr(alignment, "SEARCHED", tokens)
+        assert sorted(map(tuple, alignment.align(docs).collect())) == sorted(brute_alignment(rows))
