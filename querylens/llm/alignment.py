@@ -37,7 +37,7 @@ from querylens.llm._shared import checkpoint_folder, checkpointed, let, table
 from querylens.llm.packing import default_vocabulary, encoder
 
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 21
 BROADCAST_PAIRS = 1_000_000
 PAIR = 1 << 20  # a pair of ids is one number: A's id times this plus B's
 UNITS_AT_ONCE = 8192
